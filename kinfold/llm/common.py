@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         if not n:
             continue
         texts = batch.column(batch.schema.get_field_index(column))
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
         ends = np.cumsum(size)
         at = 0
         while at < n:
@@ -59,12 +60,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             at = to
 
 
-def map_text(df: DataFrame, text: str, keep: list[str], schema: str, work: Callable[[list], list]) -> DataFrame:
+def map_text(df: DataFrame, text: str, keep: list[str], schema: str, work: Callable[[list], list], cast: str = "string") -> DataFrame:
     """Columns ``keep`` and what ``work`` makes of ``text``: it takes a list of strings or nulls and returns a list of Arrow arrays or Python lists, one for each field of ``schema``. Only these columns are read. A column of the input with the name of a new one isn't carried: the new one stands."""
     new = [f.name for f in _schema(df, schema)]
     keep = [c for c in keep if c.lower() not in {x.lower() for x in new}]
     fields = _schema(df, schema)
-    frame = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    frame = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast(cast).alias("__text"))
     out = frame.drop("__text").schema
     for f in fields:
         out = out.add(f)
