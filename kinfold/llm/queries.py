@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, secrets, tokens, treebpe
+from . import language, packing, quality, secrets, tiff, tokens, treebpe
 from .common import documents, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,10 @@ def op9_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), keep=["doc_id"], order=["doc_id"])
+
+
+@_query
+def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = tiff.with_media(documents(spark, sf_dir), keep=["doc_id"])
+    read = tiff.digests(stored, keep=["doc_id", "n_bytes"])
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pages", "error")
