@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, secrets, tiff, tokens, treebpe
+from . import language, packing, quality, secrets, tiff, tokens, treebpe, wrapper
 from .common import documents, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = tiff.with_media(documents(spark, sf_dir), keep=["doc_id"])
     read = tiff.digests(stored, keep=["doc_id", "n_bytes"])
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pages", "error")
+
+
+@_query
+def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(documents(spark, sf_dir, "pages"), keep=["page_id", "url"])
