@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, secrets, tiff, tokens, treebpe, wrapper
+from . import language, packing, quality, secrets, tiff, tokens, treebpe, warc, wrapper
 from .common import documents, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(documents(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+@_query
+def op6_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, documents(spark, sf_dir, "pages"))
