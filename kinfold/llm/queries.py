@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, secrets, tiff, tokens, treebpe, warc, wrapper
+from . import jaccard, language, packing, quality, secrets, tiff, tokens, treebpe, warc, wrapper
 from .common import documents, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, documents(spark, sf_dir, "pages"))
+
+
+@_query
+def op8_count_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir))
