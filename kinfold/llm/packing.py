@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import functools
 import os
+import sys
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -31,6 +33,13 @@ CAPACITY = 1024
 GROUP_ROWS = 2_000
 
 
+def _four_bytes(ids: list[int]) -> bytes:
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
+
+
 class Encoder:
     """Ids of whole texts as the library gives them, as little-endian unsigned 32-bit numbers."""
 
@@ -47,7 +56,7 @@ class Encoder:
         out = []
         for i in range(0, len(chunks), 20_000):
             got = self.tokenizer.encode_batch_fast(chunks[i : i + 20_000], add_special_tokens=False)
-            out += [np.array(e.ids, "<u4").tobytes() for e in got]
+            out += [_four_bytes(e.ids) for e in got]
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

@@ -15,7 +15,7 @@ from collections.abc import Callable
 import regex
 
 #: Chunks kept by a worker; when full, the dictionary starts anew.
-CHUNKS = 500_000
+CHUNKS = 1_200_000
 _SPACE = regex.compile(r"\s")
 
 
