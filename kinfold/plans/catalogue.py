@@ -1,25 +1,4 @@
-"""The named queries over the driver's tables, each with its DuckDB oracle."""
+"""All named queries, with their oracles."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its oracle where SQL can express it."""
-
-    def keep(f: Query) -> Query:
-        key = name or f.__name__
-        QUERIES[key] = f
-        if oracle is not None:
-            ORACLES[key] = oracle
-        return f
-
-    return keep
+from kinfold.plans import datasets, rankings, retrievals, scores  # noqa: F401
+from kinfold.plans.registry import ORACLES, QUERIES  # noqa: F401
