@@ -1 +1,119 @@
-"""See the README for what this subpackage holds."""
+"""Readers and writers of archives, submissions, bids, scores and embeddings. Schemas are declared, never inferred."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+CONTENT = "struct<title:string,abstract:string,venueid:string,weight:double>"
+NOTE = f"id string, cdate bigint, mdate bigint, pdate bigint, odate bigint, content {CONTENT}"
+BID = "forum string, signature string, tag string"
+EMBEDDING = "paper_id string, embedding array<double>"
+SCORE = "a string, b string, score double"
+
+
+def _stem() -> Column:
+    """File name up to its last dot."""
+    return F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+
+
+def archives(spark: SparkSession, folder: str) -> DataFrame:
+    """author, id, dates, content: a row a publication; the file's name is the author."""
+    return spark.read.schema(NOTE).json(folder).select(_stem().alias("author"), "*").filter("id is not null")
+
+
+def submissions(spark: SparkSession, folder: str | None = None, file: str | None = None) -> DataFrame:
+    """id, mdate, title, abstract from a folder of notes (preferred) or one JSON map of id to note. Of a file of several lines the last stands."""
+    if folder is not None:
+        rows = spark.read.schema(NOTE).json(folder).select(_stem().alias("sub"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), "mdate", "content")
+        w = Window.partitionBy("sub").orderBy(F.desc("b"), F.desc("i"))
+        return rows.withColumn("r", F.row_number().over(w)).filter("r = 1").select(F.col("sub").alias("id"), "mdate", "content.title", "content.abstract")
+    text = spark.read.text(file, wholetext=True)
+    notes = text.select(F.explode(F.from_json("value", f"map<string,struct<id:string,mdate:bigint,content:{CONTENT}>>")).alias("id", "n"))
+    return notes.select("id", "n.mdate", "n.content.title", "n.content.abstract")
+
+
+def bids(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(BID).json(folder)
+
+
+def csv_expertise(spark: SparkSession, path: str) -> DataFrame:
+    """author, id, title, abstract without header."""
+    return spark.read.schema("author string, id string, title string, abstract string").csv(path, header=False, multiLine=True, escape='"')
+
+
+def csv_submissions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id string, title string, abstract string").csv(path, header=False, multiLine=True, escape='"')
+
+
+def inline_submissions(spark: SparkSession, given: list[dict]) -> DataFrame:
+    return spark.createDataFrame([(str(x["id"]), x.get("title"), x.get("abstract")) for x in given], "id string, title string, abstract string")
+
+
+def embeddings(spark: SparkSession, path: str, dimensions: int) -> DataFrame:
+    """paper_id, e (zeros where there is none), is_bad. Lines that aren't JSON or lack a field are passed over; another length is an error."""
+    rows = spark.read.schema(EMBEDDING).json(path).filter("paper_id is not null and embedding is not null")
+    n = F.size("embedding")
+    checked = F.when(n == 0, F.array_repeat(F.lit(0.0), dimensions)).when(n == dimensions, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit("embedding of another length: "), "paper_id")).cast("array<double>"))
+    return rows.select("paper_id", checked.alias("e"), (n == 0).alias("is_bad"))
+
+
+def scores(spark: SparkSession, path: str, first: bool = False) -> DataFrame:
+    """a, b, score. A pair that occurs twice is an error, or (``first``) its first row stands."""
+    rows = spark.read.schema(SCORE).csv(path)
+    w = Window.partitionBy("a", "b")
+    if first:
+        ordered = rows.withColumn("i", F.monotonically_increasing_id())
+        return ordered.withColumn("r", F.row_number().over(w.orderBy("i"))).filter("r = 1").select("a", "b", "score")
+    n = F.count("*").over(w)
+    return rows.withColumn("score", F.when(n == 1, F.col("score")).otherwise(F.raise_error(F.concat(F.lit("pair occurs twice: "), "a", F.lit(" "), "b")).cast("double")))
+
+
+def gold_standard(spark: SparkSession, path: str, papers: int = 10) -> DataFrame:
+    """participant, paper, expertise from a wide tab-separated file; empty places are left out."""
+    wide = spark.read.csv(path, sep="\t", header=True)
+    pairs = ", ".join(f"`Paper{i}`, `Expertise{i}`" for i in range(1, papers + 1) if f"Paper{i}" in wide.columns)
+    return wide.select(F.col("ParticipantID").alias("participant"), F.expr(f"stack({pairs.count(',') // 2 + 1}, {pairs}) as (paper, expertise)")).filter("paper is not null and expertise is not null").withColumn("expertise", F.col("expertise").cast("double"))
+
+
+def vocabulary_file(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("item string, idx int, cnt bigint").csv(path, sep="\t")
+
+
+def group_papers(spark: SparkSession, file: str) -> DataFrame:
+    """profile, paper from one JSON map of profile to papers."""
+    text = spark.read.text(file, wholetext=True)
+    return text.select(F.explode(F.from_json("value", "map<string,array<struct<id:string>>>")).alias("profile", "p")).select("profile", F.explode("p.id").alias("paper"))
+
+
+# ---- writers
+
+
+def write_archives(rows: DataFrame, folder: str, author: str = "author") -> None:
+    rows.write.mode("overwrite").partitionBy(author).json(folder)
+
+
+def write_scores(rows: DataFrame, folder: str, digits: int | None = None, s: str = "score") -> None:
+    """Headerless CSV in as many files as the plan has tasks; scores half-even at ``digits``."""
+    (rows if digits is None else rows.withColumn(s, F.bround(s, digits))).write.mode("overwrite").csv(folder, header=False)
+
+
+def write_matrix(rows: DataFrame, folder: str) -> None:
+    """Scores in long form; a matrix is never laid out wide."""
+    rows.write.mode("overwrite").parquet(folder)
+
+
+def write_embeddings(rows: DataFrame, folder: str) -> None:
+    rows.select("paper_id", "embedding").write.mode("overwrite").json(folder)
+
+
+def stream_results(rows: DataFrame, chunk: int = 1000):
+    """Rows in lists of ``chunk``, a partition at a time on the driver."""
+    held = []
+    for r in rows.toLocalIterator():
+        held.append(r.asDict(recursive=True))
+        if len(held) == chunk:
+            yield held
+            held = []
+    if held:
+        yield held
