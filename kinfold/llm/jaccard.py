@@ -11,8 +11,8 @@ shingles in any order that is the same for all sets; so sets that share such a s
 pair meets in some block. The order puts shingles first that few sets have, by a counting sketch of fixed size over the
 whole corpus; so passages that many documents share make no blocks unless a set has little else.
 
-Equal sets are one set from the start. In each block all sets are first verified against the block's least one; the
-links found make components, and only what a block holds beyond one component goes on to the tree. Components are
+Equal sets are one set from the start. Each set is first verified against the least set of the block it shares most blocks with;
+the links found make components, and only what a block holds beyond one component goes on to the tree. Components are
 spread by least label with pointer jumping over written tables.
 
 Defined results: null and empty texts and texts without words have no shingles and link with nothing; a component is
@@ -107,7 +107,17 @@ def key_of(x: np.ndarray) -> bytes | None:
 
 
 def point(x: np.ndarray) -> np.ndarray:
-    return np.bincount((x >> _U(60)).astype(np.int64), minlength=GROUPS)
+    """Counts by group, in units that fit 16 bits, rounded up: units are one but for sets of over 65535."""
+    counts = np.bincount((x >> _U(60)).astype(np.int64), minlength=GROUPS)
+    return -(-counts // _unit(len(x)))
+
+
+def _unit(n):
+    return np.maximum(-(-n // 65535), 1)
+
+
+def _points(data: list[bytes], n: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(data), "<u2").reshape(-1, GROUPS).astype(np.int64) * _unit(n)[:, None]
 
 
 def least_shared(n: np.ndarray | int, m: np.ndarray | int, ratio=RATIO):
@@ -178,7 +188,7 @@ def _described(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
                     np.add.at(sketch, (x & _U((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
                     any_ = True
             none = pa.nulls(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array([point(x).astype("<u4").tobytes() for x in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array([point(x).astype("<u2").tobytes() for x in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         if any_:
             parts = np.minimum(sketch, 0xFFFFFFFF).astype("<u4").reshape(-1, 1 << CHUNK_BITS)
             n = len(parts)
@@ -299,26 +309,29 @@ def _bounded(pairs: DataFrame, sets: DataFrame, ratio) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 n, m = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").reshape(-1, GROUPS) for i in (4, 5))
+                x, y = _points(b.column(4).to_pylist(), n), _points(b.column(5).to_pylist(), m)
                 yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(np.minimum(x, y).sum(1, dtype=np.int64) >= least_shared(n, m, ratio)))
 
     return both.mapInArrow(run, "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, doc_id: str, text: str, k: int, ratio) -> DataFrame:
-    """The linked ones of written pairs. Each set in them is made again from one document that has it; pairs then meet at ``a``, whose set a task holds while the sets of its partners pass."""
-    needed = written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(sets.select("key", "doc"), "key"), "needed")
-    needed = needed.select(F.col("key").alias("key__"), F.col("doc").alias("doc__"))
-    source = docs.select(F.col(doc_id).cast("long").alias("doc__"), F.col(text).cast("string").alias("text")).join(F.broadcast(needed) if small_enough(needed, 48) else needed, "doc__")
+    """The linked ones of written pairs. Each set in them is made again from one document that has it and sent to the
+    pairs' first sets, where a task holds that one set while its partners pass; no set goes anywhere else."""
+    needs = pairs.select(F.col("b").alias("key__"), F.col("a").alias("place__")).union(pairs.select(F.col("a").alias("key__"), F.col("a").alias("place__")).distinct())
+    needs = written(needs.join(sets.select(F.col("key").alias("key__"), F.col("doc").alias("doc__")), "key__"), "needs")
+    wanted = needs.select("key__", "doc__").distinct()
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc__"), F.col(text).cast("string").alias("text"))
+    small = small_enough(needs, 64)
+    rows = rows.join(F.broadcast(wanted) if small else wanted, "doc__")
 
     def make(texts):
         found = shingles(texts, k)
         return [list(map(key_of, found)), [x.tobytes() for x in found]]
 
-    made = map_text(source, "text", ["key__"], "key binary, hashes binary", make).filter("key = key__").select("key", "hashes")
-    made = written(made, "shingles")
-    partners = pairs.join(made.select(F.col("key").alias("b"), "hashes"), "b").select("a", F.lit(1).alias("kind"), "b", "hashes")
-    own = made.join(pairs.select(F.col("a").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("a"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("b"), "hashes")
+    made = map_text(rows, "text", ["key__"], "key binary, hashes binary", make).filter("key = key__").select("key__", "hashes")
+    places = needs.select("key__", "place__")
+    sent = made.join(F.broadcast(places) if small else places, "key__").select(F.col("place__").alias("a"), F.when(F.col("key__") == F.col("place__"), 0).otherwise(1).alias("kind"), F.col("key__").alias("b"), "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, x = None, None
@@ -332,7 +345,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, doc_id: str, t
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in zip(*set(out), strict=True)], names=["a", "b"])
 
-    return written(own.unionByName(partners).repartition("a").sortWithinPartitions("a", "kind").mapInArrow(run, "a binary, b binary"), "links")
+    return written(sent.repartition("a").sortWithinPartitions("a", "kind").mapInArrow(run, "a binary, b binary"), "links")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -353,8 +366,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def _across(blocks: DataFrame, sets: DataFrame, labels: DataFrame, ratio) -> DataFrame:
     """Pairs of large blocks that the bound lets pass, of different components; pairs with the block's first were verified before."""
-    rows = blocks.filter("large and key <> first").select("token", "key")
-    rows = rows.join(sets.select("key", "n", "counts"), "key").join(labels, "key", "left").select("token", "n", "key", F.coalesce("label", "key").alias("label"), "counts")
+    rows = blocks.filter("large and key <> first").select("token", "key").join(labels, "key", "left").select("token", "key", F.coalesce("label", "key").alias("label"))
+    mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
+    rows = rows.join(mixed, "token").join(sets.select("key", "n", "counts"), "key").select("token", "n", "key", "label", "counts")
 
     def pairs(keys, labels_, n, c) -> list[tuple[bytes, bytes]]:
         if len(keys) < 2 or (labels_ == labels_[0]).all():
@@ -372,7 +386,8 @@ def _across(blocks: DataFrame, sets: DataFrame, labels: DataFrame, ratio) -> Dat
         def block():
             if len(held) > 1:
                 keys, labels_ = [r[2] for r in held], np.array([r[3] for r in held], object)
-                said.update(pairs(keys, labels_, np.array([r[1] for r in held]), np.frombuffer(b"".join(r[4] for r in held), "<u4").reshape(-1, GROUPS).astype(np.int64)))
+                n = np.array([r[1] for r in held])
+                said.update(pairs(keys, labels_, n, _points([r[4] for r in held], n)))
             held.clear()
 
         def give():
@@ -401,17 +416,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = described.filter("chunk is null").select("doc_id", "n", "key", "counts")
     sets = written(rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("counts").alias("counts")), "sets")
     blocks = written(_blocks(_postings(docs, text, _sketch(described), k, ratio)), "blocks")
-    stars = blocks.filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
-    links = _verified(written(_bounded(stars, sets, ratio), "pairs"), docs, sets, doc_id, text, k, ratio)
+    # each set is first held against the block's least set that it meets in most blocks; what this leaves apart follows
+    stars = written(blocks.filter("key <> first").groupBy(F.col("first").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("times")), "stars")
+    nearest = stars.groupBy("b").agg(F.max(F.struct("times", "a")).alias("best")).select("best.a", "b")
+    links = _verified(written(_bounded(nearest, sets, ratio), "pairs"), docs, sets, doc_id, text, k, ratio)
     labels = components(links)
-    more = written(_bounded(_across(blocks, sets, labels, ratio), sets, ratio), "pairs")
+    ends = lambda c: labels.select(F.col("key").alias(c), F.col("label").alias(f"label_{c}"))
+    apart = stars.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(ends("a"), "a", "left").join(ends("b"), "b", "left")
+    apart = apart.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+    more = written(_bounded(apart.union(_across(blocks, sets, labels, ratio)).distinct(), sets, ratio), "pairs")
     if not more.isEmpty():
         links = links.union(_verified(more, docs, sets, doc_id, text, k, ratio))
         labels = components(links)
     named = labels.join(sets.select("key", "doc"), "key")
     least = named.groupBy("label").agg(F.min("doc").alias("component"))
-    ends = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count("*").alias("n_links"))
-    found = labels.join(least, "label").select("key", "component").join(ends, "key", "left")
+    linked_ = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count("*").alias("n_links"))
+    found = labels.join(least, "label").select("key", "component").join(linked_, "key", "left")
     same = sets.filter("copies > 1").select("key", "doc")
     known = written(same.join(found, "key", "full").select("key", F.coalesce("component", "doc").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "components")
     out = rows.select("doc_id", "n", "key").join(F.broadcast(known) if small_enough(known, 48) else known, "key", "left")
