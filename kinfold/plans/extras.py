@@ -95,8 +95,8 @@ def negative_sampling(spark, sf_dir):
     return d.join(F.broadcast(names)).select("doc_id", "source", F.get(F.filter("all", lambda x: x != F.col("source")), F.lit(0)).alias("neg"))
 
 
-@query("select time_bucket(interval '1 hour', ts) \"start\", event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2")
+@query("select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') began, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2")
 def rating_windows(spark, sf_dir):
     from kinfold.streaming import rating_windows as windows
 
-    return windows(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("total", F.round("total", 4))
+    return windows(spark.read.parquet(f"{sf_dir}/events.parquet")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("began"), "event_type", "n", F.round("total", 4).alias("total"))
