@@ -345,7 +345,7 @@ def pages(df: DataFrame, media: str = "media", keep: list[str] | None = None) ->
     frame = df.select(*[f"`{c}`" for c in keep], F.col(media).alias("__media"))
     out = frame.drop("__media").schema
     for n in names:
-        out = out.add(n, "binary" if n == "pixels" else "string" if n in ("feature", "error") else "int")
+        out = out.add(n, "binary" if n == "pixels" else "string" if n in ("feature", "error") else "integer")
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
