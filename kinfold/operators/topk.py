@@ -22,9 +22,10 @@ def rank_lists(scores: DataFrame, *, row: str = "sub", col: str = "rev", s: str
 
 
 def roles(scores: DataFrame, symmetric: bool, *, row: str = "sub", col: str = "rev", s: str = "s") -> DataFrame:
-    """entityA, entityB, score: rows are A in symmetric jobs, else B; a row named dummy is dropped."""
+    """entityA, entityB, score: rows are A in symmetric jobs, else B; in mixed jobs a row named dummy is dropped."""
     a, b = (row, col) if symmetric else (col, row)
-    return scores.filter(F.col(row).cast("string") != "dummy").select(F.col(a).alias("entityA"), F.col(b).alias("entityB"), F.col(s).alias("score"))
+    rows = scores if symmetric else scores.filter(F.col(row).cast("string") != "dummy")
+    return rows.select(F.col(a).alias("entityA"), F.col(b).alias("entityB"), F.col(s).alias("score"))
 
 
 def statistics(scores: DataFrame, s: str = "s") -> DataFrame:
