@@ -150,6 +150,11 @@ def test_wrapper_drops_constant_slots_without_tell_tale_names(spark):
     assert wrapper.extract(df.limit(0)).count() == 0
 
 
+def test_parts_of_a_page_by_role():
+    page = "<html class='no-sidebar'><body class='page with-sidebar'><header>no</header><main class='has-ads'><article><header><h1>Yes</h1></header><p>body &eacute;\u00a0 x</p><p hidden>no</p><aside>no</aside><section id='comments'><article class='comment'>no</article></section></article></main><div role='complementary'>no</div><p>no"
+    assert wrapper.main_text(page) == "Yes\nbody \u00e9 x"
+
+
 def test_wrappers_merge_in_any_grouping():
     p = [wrapper.slots(wrapper.parse(f"<div class=a>same</div><div><p>{i}</p>" + "<p>x</p>" * i + "</div>")) for i in range(4)]
     one = wrapper.merged(wrapper.merged(wrapper.merged(p[0], p[1]), p[2]), p[3])
