@@ -88,4 +88,23 @@ def op6_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_count_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(documents(spark, sf_dir))
+    return jaccard.near_duplicates(documents(spark, sf_dir)).drop("n_links")
+
+
+# Base 32 of a digest: every five hexadecimal digits make four characters.
+ORACLES["op6_capture_index"] = """
+with p as (select page_id, coalesce(html, '') html from pages), h as (select page_id, html, sha1(html) s, min(page_id) over (partition by html) f from p)
+select page_id, strlen(html) payload_bytes,
+  array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(s, (i * 5 + 1)::int, 5))::bigint >> k) & 31) + 1)::int, 1)), '')), '') payload_digest,
+  case when f = page_id then 'response' else 'revisit' end record_type, case when f <> page_id then f end refers_to
+from h"""
+
+ORACLES["op8_count_tree_jaccard"] = r"""
+with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from d),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b using (g) where a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+e as (select a, b from l union select b, a from l),
+r(doc_id, c) as (select doc_id, doc_id from d union select r.doc_id, e.b from r join e on e.a = r.c)
+select d.doc_id, coalesce(n.n, 0) n_shingles, m.c component_id from d left join n using (doc_id) join (select doc_id, min(c) c from r group by 1) m using (doc_id)"""
