@@ -290,3 +290,23 @@ def test_pipeline_stages_take_odd_tables(spark, docs, empty, sf_dir):
         for name, stage in P.STAGES:
             now = P.written(stage(spark, now, sf_dir), name)
             assert name == P.STAGES[-1][0] or now.columns == table.columns
+
+
+def test_blocks_across_batch_ends(spark):
+    """Blocks are the same however the sorted stream is cut into batches."""
+    rng = random.Random(11)
+    rows = [(rng.randrange(-9, 9), bytes([rng.randrange(12)]) * 16) for _ in range(160)] + [(77, b"z" * 16)] * 5 + [(78, bytes([i]) * 16) for i in range(20)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(t, bytearray(k)) for t, k in rows], "token long, key binary")
+    held = defaultdict(set)
+    for t, k in rows:
+        held[t].add(k)
+    want = {(t, k, min(ks), len(ks) >= 3) for t, ks in held.items() if len(ks) > 1 for k in ks}
+    for size in (1, 2, 3, 7, 1000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = [(r.token, bytes(r.key), bytes(r.first), r.large) for r in jaccard._blocks(df).collect()]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(got) == len(want) and {x[:3] for x in got} == {x[:3] for x in want}
+        assert {x for x in got if not x[3]} <= want
