@@ -36,7 +36,7 @@ from .common import map_text, slices, small_enough, written
 SHINGLE = 4
 #: A similarity of RATIO[0] / RATIO[1] or more links.
 RATIO = (85, 100)
-GROUPS = 16
+GROUPS = 256
 SKETCH_BITS, CHUNK_BITS = 20, 16
 LEAF = 32
 SLICE = 1 << 20
@@ -107,17 +107,20 @@ def key_of(x: np.ndarray) -> bytes | None:
 
 
 def point(x: np.ndarray) -> np.ndarray:
-    """Counts by group, in units that fit 16 bits, rounded up: units are one but for sets of over 65535."""
-    counts = np.bincount((x >> _U(60)).astype(np.int64), minlength=GROUPS)
-    return -(-counts // _unit(len(x)))
+    """Counts by group."""
+    return np.bincount((x >> _U(56)).astype(np.int64), minlength=GROUPS)
 
 
-def _unit(n):
-    return np.maximum(-(-n // 65535), 1)
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in bytes, in units rounded up, after the unit: it is one unless a group has over 255."""
+    unit = max(1, -(-int(counts.max(initial=0)) // 255))
+    return unit.to_bytes(8, "little") + (-(-counts // unit)).astype(np.uint8).tobytes()
 
 
-def _points(data: list[bytes], n: np.ndarray) -> np.ndarray:
-    return np.frombuffer(b"".join(data), "<u2").reshape(-1, GROUPS).astype(np.int64) * _unit(n)[:, None]
+def _points(data: list[bytes]) -> np.ndarray:
+    x = np.frombuffer(b"".join(data), np.uint8).reshape(-1, GROUPS + 8)
+    unit = np.ascontiguousarray(x[:, :8]).view("<u8").astype(np.int64)
+    return x[:, 8:].astype(np.int16) if (unit == 1).all() else x[:, 8:] * unit
 
 
 def least_shared(n: np.ndarray | int, m: np.ndarray | int, ratio=RATIO):
@@ -143,7 +146,7 @@ class CountTree:
     """An R-tree over points, packed by size of the sets; a box has its points' greatest counts and least size."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, ratio=RATIO):
-        self.points, self.sizes, self.ratio = points.astype(np.int64), sizes.astype(np.int64), ratio
+        self.points, self.sizes, self.ratio = points, sizes.astype(np.int64), ratio
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         top, low = self.points, self.sizes
         while len(top) > LEAF:
@@ -151,17 +154,19 @@ class CountTree:
             top, low = np.maximum.reduceat(top, at, axis=0), np.minimum.reduceat(low, at)
             self.levels.append((top, low))
 
-    def find(self, q: np.ndarray, n: int, after: int) -> np.ndarray:
-        """Places over ``after`` whose bound reaches what a link with a set of n at point q needs."""
+    def find(self, q: np.ndarray, n: int, after: int, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Places over ``after`` (of those ``wanted``, if given) whose bound reaches what a link with a set of n at point q needs."""
         at = None
         for depth in range(len(self.levels), -1, -1):
             points, sizes = self.levels[depth - 1] if depth else (self.points, self.sizes)
             at = np.arange(len(points)) if at is None else (at[:, None] * LEAF + np.arange(LEAF)).ravel()
             at = at[at < len(points)]
             at = at[at >= (after + 1) // LEAF**depth] if depth else at[at > after]
+            if not depth and wanted is not None:
+                at = at[wanted[at]]
             if not len(at):
                 return at
-            bound = np.minimum(points[at], q).sum(1)
+            bound = np.minimum(points[at], q).sum(1, dtype=np.int64)
             at = at[bound >= least_shared(n, sizes[at], self.ratio)]
         return at
 
@@ -188,7 +193,7 @@ def _described(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
                     np.add.at(sketch, (x & _U((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
                     any_ = True
             none = pa.nulls(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array([point(x).astype("<u2").tobytes() for x in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array([_packed(point(x)) for x in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         if any_:
             parts = np.minimum(sketch, 0xFFFFFFFF).astype("<u4").reshape(-1, 1 << CHUNK_BITS)
             n = len(parts)
@@ -309,7 +314,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, ratio) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 n, m = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-                x, y = _points(b.column(4).to_pylist(), n), _points(b.column(5).to_pylist(), m)
+                x, y = _points(b.column(4).to_pylist()), _points(b.column(5).to_pylist())
                 yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(np.minimum(x, y).sum(1, dtype=np.int64) >= least_shared(n, m, ratio)))
 
     return both.mapInArrow(run, "a binary, b binary")
@@ -364,30 +369,41 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def _across(blocks: DataFrame, sets: DataFrame, labels: DataFrame, ratio) -> DataFrame:
-    """Pairs of large blocks that the bound lets pass, of different components; pairs with the block's first were verified before."""
+def _block_pairs(classes: np.ndarray, n: np.ndarray, c: np.ndarray, spanning: bool, ratio) -> list[tuple[int, int]]:
+    """Pairs of places in different classes that the bound lets pass. ``spanning``: only as many as would join the classes if all of them were links."""
+    classes, out = classes.copy(), []
+    left = len(np.unique(classes))
+    if left < 2:
+        return out
+    tree = CountTree(c, n, ratio)
+    for i in range(len(n) - 1):
+        for j in tree.find(c[i], int(n[i]), i, classes != classes[i]).tolist():
+            if classes[i] == classes[j]:
+                continue
+            out.append((i, j))
+            if spanning:
+                classes[classes == classes[j]] = classes[i]
+                left -= 1
+                if left == 1:
+                    return out
+    return out
+
+
+def _across(blocks: DataFrame, sets: DataFrame, labels: DataFrame, spanning: bool, ratio) -> DataFrame:
+    """Pairs of large blocks that the bound lets pass, of different components; pairs with the block's first are verified by themselves."""
     rows = blocks.filter("large and key <> first").select("token", "key").join(labels, "key", "left").select("token", "key", F.coalesce("label", "key").alias("label"))
     mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
     rows = rows.join(mixed, "token").join(sets.select("key", "n", "counts"), "key").select("token", "n", "key", "label", "counts")
 
-    def pairs(keys, labels_, n, c) -> list[tuple[bytes, bytes]]:
-        if len(keys) < 2 or (labels_ == labels_[0]).all():
-            return []
-        tree, out = CountTree(c, n, ratio), []
-        for i in range(len(keys) - 1):
-            for j in tree.find(c[i], int(n[i]), i):
-                if labels_[i] != labels_[j]:
-                    out.append((keys[i], keys[j]) if keys[i] < keys[j] else (keys[j], keys[i]))
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, held, said = None, [], set()
 
         def block():
             if len(held) > 1:
-                keys, labels_ = [r[2] for r in held], np.array([r[3] for r in held], object)
-                n = np.array([r[1] for r in held])
-                said.update(pairs(keys, labels_, n, _points([r[4] for r in held], n)))
+                keys = [r[2] for r in held]
+                classes = np.unique(np.array([r[3] for r in held], "V16"), return_inverse=True)[1]
+                for i, j in _block_pairs(classes, np.array([r[1] for r in held]), _points([r[4] for r in held]), spanning, ratio):
+                    said.add((keys[i], keys[j]) if keys[i] < keys[j] else (keys[j], keys[i]))
             held.clear()
 
         def give():
@@ -421,13 +437,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nearest = stars.groupBy("b").agg(F.max(F.struct("times", "a")).alias("best")).select("best.a", "b")
     links = _verified(written(_bounded(nearest, sets, ratio), "pairs"), docs, sets, doc_id, text, k, ratio)
     labels = components(links)
-    ends = lambda c: labels.select(F.col("key").alias(c), F.col("label").alias(f"label_{c}"))
-    apart = stars.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(ends("a"), "a", "left").join(ends("b"), "b", "left")
-    apart = apart.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-    more = written(_bounded(apart.union(_across(blocks, sets, labels, ratio)).distinct(), sets, ratio), "pairs")
-    if not more.isEmpty():
-        links = links.union(_verified(more, docs, sets, doc_id, text, k, ratio))
-        labels = components(links)
+    done = nearest
+    # first pairs that would join the components of a block if all were links; if any isn't, all pairs across components
+    for spanning in (True, False):
+        ends = lambda c: labels.select(F.col("key").alias(c), F.col("label").alias(f"label_{c}"))  # noqa: B023, E731
+        apart = stars.select("a", "b").join(done, ["a", "b"], "left_anti").join(ends("a"), "a", "left").join(ends("b"), "b", "left")
+        apart = apart.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+        across = _across(blocks, sets, labels, spanning, ratio).join(done, ["a", "b"], "left_anti")
+        more = written(_bounded(apart.union(across).distinct(), sets, ratio), "pairs")
+        asked = more.count()
+        if not asked:
+            break
+        new = _verified(more, docs, sets, doc_id, text, k, ratio)
+        links, done = links.union(new), done.union(more)
+        found = new.count()
+        if found:
+            labels = components(links)
+        if found == asked:
+            break
     named = labels.join(sets.select("key", "doc"), "key")
     least = named.groupBy("label").agg(F.min("doc").alias("component"))
     linked_ = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count("*").alias("n_links"))
