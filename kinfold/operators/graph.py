@@ -46,6 +46,36 @@ def textrank(pairs: DataFrame, top: int, *, damping: float = DAMPING, rounds: in
     return pairs.groupBy("id").applyInPandas(run, "id long, word string, score double, rank long")
 
 
+def weighted_cooccurrences(tokens: DataFrame, window: int = 10) -> DataFrame:
+    """id, w1, w2, n: how often two different words stand less than ``window`` places apart."""
+    at = tokens.select("id", "words", F.posexplode("words").alias("i", "a"))
+    near = at.select("id", "a", F.explode(F.slice("words", F.col("i") + 2, F.lit(window - 1))).alias("b")).filter("a <> b")
+    return near.groupBy("id", F.least("a", "b").alias("w1"), F.greatest("a", "b").alias("w2")).agg(F.count("*").alias("n"))
+
+
+def singlerank(pairs: DataFrame, top: int = 3, *, damping: float = DAMPING, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """id, word, score, rank: as textrank, with links weighted by how often they occur."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        names, codes = np.unique(np.concatenate([pdf["w1"], pdf["w2"]]).astype(str), return_inverse=True)
+        a, b, n = codes[: len(pdf)], codes[len(pdf) :], pdf["n"].to_numpy(float)
+        src, to, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([n, n])
+        strength = np.bincount(src, w, len(names))
+        score = np.full(len(names), 1 / len(names))
+        for _ in range(rounds):
+            new = (1 - damping) / len(names) + damping * np.bincount(to, score[src] * w / strength[src], len(names))
+            moved, score = np.abs(new - score).sum(), new
+            if moved < tolerance:
+                break
+        order = np.lexsort((names, -score.round(9)))[:top]
+        return pd.DataFrame({"id": pdf["id"].iloc[0], "word": names[order], "score": score[order], "rank": np.arange(1, len(order) + 1)})
+
+    return pairs.groupBy("id").applyInPandas(run, "id long, word string, score double, rank long")
+
+
 def chunk_runs(tags: DataFrame, id_: str, pos: str, tag: str, word: str) -> DataFrame:
     """id, tag, phrase: neighbouring words of one tag joined by underscores."""
     w = Window.partitionBy(id_).orderBy(pos)

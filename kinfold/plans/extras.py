@@ -100,3 +100,14 @@ def rating_windows(spark, sf_dir):
     from kinfold.streaming import rating_windows as windows
 
     return windows(spark.read.parquet(f"{sf_dir}/events.parquet")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("began"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query()
+def facet_mixture(spark, sf_dir):
+    """Gradient-fitted mixtures of three facets an author; checked against least squares in the tests."""
+    from kinfold.operators import embedding
+
+    subs, pubs, a = vectors(spark, sf_dir)
+    owned = pubs.join(a, "pub").withColumn("facet", F.col("pub") % 3)
+    facets = owned.groupBy("rev", "facet").agg(F.min_by("e", "pub").alias("b")).groupBy("rev").agg(F.transform(F.array_sort(F.collect_list(F.struct("facet", "b"))), lambda x: x["b"]).alias("facets"))
+    return embedding.facet_distances(facets, subs).withColumn("d", F.round("d", 6))

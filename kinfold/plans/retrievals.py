@@ -114,6 +114,17 @@ def textrank_top(spark, sf_dir):
     return G.textrank(cooccur_pairs(spark, sf_dir), 5)
 
 
+@query(f"""with {_WORDS}, p as (select id, words, unnest(range(1, len(words) + 1)) i from w), n as (select id, words[i] a, unnest(words[i + 1 : i + 9]) b from p)
+select id, least(a, b) w1, greatest(a, b) w2, count(*) n from n where a <> b group by 1, 2, 3""")
+def cooccur_weights(spark, sf_dir):
+    return G.weighted_cooccurrences(G.words(_tables(spark, sf_dir)[1], "q", "text"))
+
+
+@query()
+def singlerank_top(spark, sf_dir):
+    return G.singlerank(cooccur_weights(spark, sf_dir))
+
+
 @query("select doc_id, case when x < 600 then 'train' when x < 700 then 'dev' else 'test' end part from (select doc_id, ((doc_id % 1000003) * 2654435761 % 4294967296) % 1000 x from documents)")
 def split_60_10_30(spark, sf_dir):
     d = _tables(spark, sf_dir)[0].select(F.col("doc").alias("doc_id"))

@@ -196,3 +196,37 @@ def test_streamed_cache_appends_once(spark, tmp_path):
     for _ in range(2):
         append_embeddings(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "cache"), str(tmp_path / "check")).awaitTermination()
     assert pairs(spark.read.parquet(str(tmp_path / "cache")), "paper_id", "year_month") == {("a", "2024-01"), ("b", "2024-01")}
+
+
+def test_embedding_hook_with_cache(spark):
+    from kinfold.operators import embedding
+
+    papers = spark.createDataFrame([("a", 0, "x"), ("b", 0, "yy"), ("c", 0, None)], "paper_id string, mdate long, text string")
+    held = spark.sql("select 'm' model, 'a' paper_id, array(9.0D) embedding, timestamp'2024-01-02' embedding_date")
+    every, new = embedding.embed_missing(papers, held, "m", lambda texts: [[float(len(t))] for t in texts])
+    assert {(r.paper_id, tuple(r.embedding)) for r in every.collect()} == {("a", (9.0,)), ("b", (2.0,)), ("c", ())}
+    assert pairs(new, "paper_id") == {("b",), ("c",)}
+
+
+def test_gradient_fit_is_bounded_least_squares():
+    from kinfold.operators.embedding import gradient_fit
+
+    rng = np.random.default_rng(3)
+    bases = rng.normal(size=(3, 8))
+    c, d = gradient_fit(bases, np.array([0.2, 0.7, 0.0]) @ bases, rounds=3000)
+    assert np.allclose(c, [0.2, 0.7, 0.0], atol=1e-3) and d < 1e-5
+    c, d = gradient_fit(bases[:1], 5 * bases[0], rounds=100)
+    assert c[0] == pytest.approx(1.0) and d == pytest.approx(16 * (bases[0] ** 2).sum())
+
+
+def test_best_options(spark):
+    from kinfold.operators.embedding import best_options
+
+    got = best_options([{"k": 3}, {"k": 1}, {"k": 2}], lambda c: spark.range(1).select(F.lit(float(c["k"])))).collect()
+    assert [r.candidate for r in got] == [1, 2, 0]
+
+
+def test_singlerank_weighs_links(spark):
+    t = spark.createDataFrame([(1, ["aa", "bb", "aa", "bb", "cc"])], "id long, words array<string>")
+    got = [r.word for r in graph.singlerank(graph.weighted_cooccurrences(t, 2), 3).orderBy("rank").collect()]
+    assert got[0] == "bb" and got[-1] == "cc"
