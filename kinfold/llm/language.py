@@ -66,25 +66,33 @@ class TextModel:
 
 
 def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", sample_rows: int = SAMPLE_ROWS, least_rows: int = 5) -> TextModel:
-    """Fit on at most ``sample_rows`` labelled rows of smallest hash; a language needs ``least_rows`` of them. Counts are summed by the executors."""
+    """Fit on at most ``sample_rows`` different labelled texts, those of smallest hash; a language needs ``least_rows`` of them (copies read by other tasks count anew). Counts are summed by the executors."""
     rows = docs.select(F.lower(F.col(label)).alias("__l"), F.col(text).alias("__t")).filter("__l is not null and __t is not null and length(__t) > 0")
-    picked = rows.withColumn("__h", F.xxhash64("__t")).orderBy("__h", "__l").limit(sample_rows)
+    rows = rows.withColumn("__h", F.xxhash64("__t", "__l"))
+    # only hashes are ordered and brought together; the texts under the last one stay where they are
+    last = rows.select("__h").distinct().orderBy("__h").limit(sample_rows).agg(F.max("__h")).first()[0]
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         rows: dict[str, int] = {}
+        seen: set[int] = set()
         for b in batches:
-            for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for lang, t, h in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if h in seen:
+                    continue
+                seen.add(h)
                 sums[lang] = sums.get(lang, 0) + np.bincount(_trigrams(t.encode()), minlength=1 << BITS)
                 rows[lang] = rows.get(lang, 0) + 1
         for lang, v in sums.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang], "n": pa.array([rows[lang]], pa.int64()), "counts": pa.array([v.tolist()], pa.list_(pa.int64()))})
-
-    got = picked.select("__l", "__t").mapInArrow(count, "lang string, n long, counts array<bigint>").collect()
-    sums: dict[str, list] = {}
-    for r in got:
-        n, v = sums.get(r.lang, (0, 0))
-        sums[r.lang] = (n + r.n, v + np.array(r.counts))
+            yield pa.RecordBatch.from_pydict({"lang": [lang], "n": pa.array([rows[lang]], pa.int64()), "bucket": pa.array([np.flatnonzero(v).tolist()], pa.list_(pa.int64())), "times": pa.array([v[v > 0].tolist()], pa.list_(pa.int64()))})
+
+    counts = written(rows.filter(F.col("__h") <= F.lit(last)).select("__l", "__t", "__h").mapInArrow(count, "lang string, n long, bucket array<bigint>, times array<bigint>"), "counts")
+    sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    cells = counts.select("lang", F.explode(F.arrays_zip("bucket", "times")).alias("c")).groupBy("lang", "c.bucket").agg(F.sum("c.times").alias("times")).collect()
+    # as many cells as buckets and languages, whatever the input
+    sums = {k: (n, np.zeros(1 << BITS, np.int64)) for k, n in sizes.items()}
+    for r in cells:
+        sums[r["lang"]][1][r["bucket"]] = r["times"]
     languages = sorted(k for k, (n, _) in sums.items() if n >= least_rows)
     columns = [np.log((sums[k][1] + 0.05) / (sums[k][1].sum() + 0.05 * (1 << BITS))) for k in languages]
     return TextModel(languages, np.stack(columns, 1).astype(np.float32) if columns else np.zeros((1 << BITS, 0), np.float32))
