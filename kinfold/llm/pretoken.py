@@ -48,6 +48,12 @@ def load_json(path: str) -> tuple[dict[bytes, int], list[tuple[int, int, int]],
     return {bytes(table[c] for c in k): v for k, v in vocab.items() if k not in special}, merges, special
 
 
+@functools.cache
+def white_space() -> frozenset[str]:
+    """Characters that the pattern takes for white space; all lie in the first plane."""
+    return frozenset(c for c in map(chr, range(1 << 16)) if _SPACE.match(c))
+
+
 class Chunks:
     """What ``make`` gives for the chunks of texts. ``make`` takes a list of strings that no kept result covers and returns a list."""
 
@@ -58,23 +64,25 @@ class Chunks:
 
     def of(self, texts: list[str]) -> list[list]:
         """The results of each text's chunks, in order."""
-        parts = [t.split(" ") for t in texts]
-        odd = {i for i, p in enumerate(parts) if "" in p[1:]}
-        new: set[str] = set().union(*(p[1:] for i, p in enumerate(parts) if i not in odd)) if parts else set()
+        tails = [t.split(" ") for t in texts]
+        heads = [p.pop(0) for p in tails]
+        odd = {i for i, p in enumerate(tails) if "" in p}
         if len(self.kept) + len(self.firsts) > self.most:
             self.kept.clear()
             self.firsts.clear()
-        new.difference_update(self.kept.keys())
-        blank = {x for x in new if _SPACE.match(x)}
+        every: set[str] = set().union(*(p for i, p in enumerate(tails) if i not in odd))
+        new = every.difference(self.kept)  # a dictionary: looked up, not gone through
+        spaces = white_space()
+        blank = {x for x in new if x[0] in spaces}
         if blank:
-            odd |= {i for i, p in enumerate(parts) if not blank.isdisjoint(p[1:])}
+            odd |= {i for i, p in enumerate(tails) if not blank.isdisjoint(p)}
             new -= blank
-        fresh = sorted(new)
+        fresh = list(new)
         self.kept.update(zip(fresh, self.make([" " + x for x in fresh]), strict=True))
-        starts = sorted({texts[i] if i in odd else p[0] for i, p in enumerate(parts)} - self.firsts.keys())
+        starts = list({texts[i] if i in odd else h for i, h in enumerate(heads)}.difference(self.firsts))
         self.firsts.update(zip(starts, self.make(starts), strict=True))
-        get = self.kept.__getitem__
-        return [[self.firsts[texts[i]]] if i in odd else [self.firsts[p[0]], *map(get, p[1:])] for i, p in enumerate(parts)]
+        get, first = self.kept.__getitem__, self.firsts
+        return [[first[texts[i]]] if i in odd else [first[h], *map(get, p)] for i, (h, p) in enumerate(zip(heads, tails, strict=True))]
 
 
 def split_special(text: str, special: list[str]) -> list[str]:
