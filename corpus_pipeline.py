@@ -14,6 +14,10 @@ from kinfold.llm.common import documents, small_enough, written
 from kinfold.llm.queries import vocabulary
 
 
+#: Words of a shingle, and the similarity (of the first to the second) that makes near duplicates; the contract of op8 holds for its query alone.
+SHINGLE, RATIO = 5, (80, 100)
+
+
 def _carried(docs: DataFrame) -> DataFrame:
     """The whole row under one name, so that no column meets one that an operator makes; and the text."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row__"), F.col("text"))
@@ -37,8 +41,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the least doc_id. Rows that share a doc_id are one document, of which one row stays; rows without doc_id stay."""
-    found = jaccard.near_duplicates(docs)
+    """Of each component of documents with a Jaccard similarity of 0.8 or more over five words, the one with the least doc_id. Rows that share a doc_id are one document, of which one row stays; rows without doc_id stay."""
+    found = jaccard.near_duplicates(docs, k=SHINGLE, ratio=RATIO)
     gone = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
     kept = docs.join(F.broadcast(gone) if small_enough(gone, 24) else gone, "doc_id", "left_anti")
     again = written(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
