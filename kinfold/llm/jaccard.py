@@ -369,8 +369,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def _block_pairs(classes: np.ndarray, n: np.ndarray, c: np.ndarray, spanning: bool, ratio) -> list[tuple[int, int]]:
-    """Pairs of places in different classes that the bound lets pass. ``spanning``: only as many as would join the classes if all of them were links."""
+def _block_pairs(classes: np.ndarray, n: np.ndarray, c: np.ndarray, spanning: bool, ratio, refused: set[tuple[int, int]] = frozenset()) -> list[tuple[int, int]]:
+    """Pairs of places in different classes that the bound lets pass, ``refused`` ones aside. ``spanning``: only as many as would join the classes if all of them were links."""
     classes, out = classes.copy(), []
     left = len(np.unique(classes))
     if left < 2:
@@ -378,7 +378,7 @@ def _block_pairs(classes: np.ndarray, n: np.ndarray, c: np.ndarray, spanning: bo
     tree = CountTree(c, n, ratio)
     for i in range(len(n) - 1):
         for j in tree.find(c[i], int(n[i]), i, classes != classes[i]).tolist():
-            if classes[i] == classes[j]:
+            if classes[i] == classes[j] or (i, j) in refused:
                 continue
             out.append((i, j))
             if spanning:
@@ -389,11 +389,13 @@ def _block_pairs(classes: np.ndarray, n: np.ndarray, c: np.ndarray, spanning: bo
     return out
 
 
-def _across(blocks: DataFrame, sets: DataFrame, labels: DataFrame, spanning: bool, ratio) -> DataFrame:
-    """Pairs of large blocks that the bound lets pass, of different components; pairs with the block's first are verified by themselves."""
+def _across(blocks: DataFrame, sets: DataFrame, labels: DataFrame, nearest: DataFrame, spanning: bool, ratio) -> DataFrame:
+    """Pairs of large blocks that the bound lets pass, of different components; pairs with the block's first are verified by themselves.
+    ``nearest`` (a, b) has each b once and was verified: those of its pairs that are still apart are no links and join nothing."""
     rows = blocks.filter("large and key <> first").select("token", "key").join(labels, "key", "left").select("token", "key", F.coalesce("label", "key").alias("label"))
     mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-    rows = rows.join(mixed, "token").join(sets.select("key", "n", "counts"), "key").select("token", "n", "key", "label", "counts")
+    rows = rows.join(mixed, "token").join(sets.select("key", "n", "counts"), "key").join(nearest.select(F.col("b").alias("key"), F.col("a").alias("tried")), "key", "left")
+    rows = rows.select("token", "n", "key", "label", "counts", "tried")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, held, said = None, [], set()
@@ -402,7 +404,10 @@ def _across(blocks: DataFrame, sets: DataFrame, labels: DataFrame, spanning: boo
             if len(held) > 1:
                 keys = [r[2] for r in held]
                 classes = np.unique(np.array([r[3] for r in held], "V16"), return_inverse=True)[1]
-                for i, j in _block_pairs(classes, np.array([r[1] for r in held]), _points([r[4] for r in held]), spanning, ratio):
+                place = {k: i for i, k in enumerate(keys)}
+                tried = [(i, place[r[5]]) for i, r in enumerate(held) if r[5] in place]
+                refused = {(min(p), max(p)) for p in tried}
+                for i, j in _block_pairs(classes, np.array([r[1] for r in held]), _points([r[4] for r in held]), spanning, ratio, refused):
                     said.add((keys[i], keys[j]) if keys[i] < keys[j] else (keys[j], keys[i]))
             held.clear()
 
@@ -443,14 +448,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         ends = lambda c: labels.select(F.col("key").alias(c), F.col("label").alias(f"label_{c}"))  # noqa: B023, E731
         apart = stars.select("a", "b").join(done, ["a", "b"], "left_anti").join(ends("a"), "a", "left").join(ends("b"), "b", "left")
         apart = apart.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-        across = _across(blocks, sets, labels, spanning, ratio).join(done, ["a", "b"], "left_anti")
+        across = _across(blocks, sets, labels, nearest, spanning, ratio).join(done, ["a", "b"], "left_anti")
         more = written(_bounded(apart.union(across).distinct(), sets, ratio), "pairs")
         asked = more.count()
         if not asked:
             break
         new = _verified(more, docs, sets, doc_id, text, k, ratio)
         links, done = links.union(new), done.union(more)
-        found = new.count()
+        found = new.distinct().count()
         if found:
             labels = components(links)
         if found == asked:

@@ -38,3 +38,25 @@ def test_pipeline_links_five_words_at_four_fifths(spark, changed):
     got = {r.doc_id for r in dict(P.STAGES)["near_duplicates"](spark, df, "").collect()}
     assert got == set(components_by_all_pairs(rows, 5, (80, 100)).values())
     assert len(got) == (6 if changed == 4 else 12)
+
+
+def lost_link(salt):
+    """Documents f, i, j, j2 and others, as sets of words: i-j2 and j-j2 are links, i-j is none, though j's nearest; what i and j2 are found by f has too."""
+    some = lambda name, n: [f"{salt}{name}{x}" for x in range(n)]
+    both, not_j, ij, all4, jj2 = some("core", 1578), some("notj", 112), some("ij", 100), some("all", 40), some("jj", 15)
+    filler = some("filler", 300)
+    sets = [all4 + filler, both + not_j + ij + all4 + some("i", 170), both + ij + all4 + jj2 + some("j", 10), both + not_j + all4 + jj2 + some("jtwo", 15)]
+    return sets + [both + not_j + filler + some(f"dummy{d}x", 1000) for d in range(5)]
+
+
+def test_a_refused_pair_does_not_end_the_search(spark):
+    for salt in range(3000):
+        # the order of keys that puts f first in its blocks, then i, then j
+        names = [jaccard.key_of(x) for x in jaccard.shingles([" ".join(x) for x in lost_link(salt)[:4]], 1)]
+        if names == sorted(names):
+            break
+    rows = list(enumerate(" ".join(x) for x in lost_link(salt)))
+    want = components_by_all_pairs(rows, 1, jaccard.RATIO)
+    assert want[1] == want[2] == want[3] == 1 and want[0] == 0
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), k=1)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
