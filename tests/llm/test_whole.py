@@ -2,8 +2,9 @@
 
 import random
 
+import pyarrow as pa
 import pytest
-from kinfold.llm import jaccard
+from kinfold.llm import jaccard, wrapper
 from test_corpus import shingle_set
 
 
@@ -60,3 +61,22 @@ def test_a_refused_pair_does_not_end_the_search(spark):
     assert want[1] == want[2] == want[3] == 1 and want[0] == 0
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), k=1)
     assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def test_large_wrappers_count_all_pages():
+    """Over 2000 nodes that two pages each have, and then template blocks that come late: every node is counted on every page."""
+    letters = lambda x: "".join(chr(97 + x // 26**i % 26) for i in range(3))
+    many = "".join(f"<div class=q{letters(x)}><p>{x}</p></div>" for x in range(1100))
+    late = [f"<section class=late>Late template</section><div class=body><p>Story {i}</p></div>" for i in range(4)]
+    sources = [many, many, *late]
+
+    def folded(some):
+        (b,) = wrapper._fold([pa.RecordBatch.from_pydict({"host": ["h"] * len(some), "html": some})])
+        return b.column(1)[0].as_py()
+
+    whole = wrapper.load(folded(sources))
+    (b,) = wrapper._merge([pa.RecordBatch.from_pydict({"host": ["h"] * 3, "wrapper": [folded(sources[:3]), folded(sources[3:4]), folded(sources[4:])]})])
+    for made in (whole, wrapper.load(b.column(1)[0].as_py())):
+        found = [k for k in made.kids if k.key == "section.late+"]
+        assert made.n == 6 and [(k.n, k.chars, k.text is not None) for k in found] == [(4, 4 * len("Late template"), True)]
+        assert wrapper.main_text(late[0], made) == "Story 0"
