@@ -80,3 +80,18 @@ def test_large_wrappers_count_all_pages():
         found = [k for k in made.kids if k.key == "section.late+"]
         assert made.n == 6 and [(k.n, k.chars, k.text is not None) for k in found] == [(4, 4 * len("Late template"), True)]
         assert wrapper.main_text(late[0], made) == "Story 0"
+
+
+def test_elements_at_any_depth():
+    """Deep elements close themselves and not their ancestors, and deep menus are put out; a wrapper of deep pages is read back whole."""
+    deep = "<div>" * 70 + "<p>deep {0}</p><nav>menu</nav><form>ask</form>" + "</div>" * 70
+    page = "<body><main><p>first {0}</p><div>" + deep + "</div><p>last {0}</p></main><p>end</p>"
+    assert wrapper.main_text(page.format(1)) == "first 1\ndeep 1\nlast 1"
+    deeper = ["<div>" * 20_000 + f"<p>same</p><article>story {i}</article>" + "</div>" * 20_000 for i in range(3)]
+    one = wrapper.slots(wrapper.parse(deeper[0]))
+    for x in deeper[1:]:
+        one = wrapper.merged(one, wrapper.slots(wrapper.parse(x)))
+    text = wrapper.dump(one)
+    again = wrapper.load(text)
+    assert wrapper.dump(again) == text and wrapper.count(again) == wrapper.count(one) == 20_003
+    assert [wrapper.main_text(x, again) for x in deeper] == ["story 0", "story 1", "story 2"]
