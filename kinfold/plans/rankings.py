@@ -102,7 +102,7 @@ def load_imbalance(spark, sf_dir):
 def bootstrap_ci(spark, sf_dir):
     g = gold(spark, sf_dir)
     parts = g.groupBy("who").agg(F.sum(F.col("gold") * F.col("s")).alias("num"), F.sum("gold").alias("den"))
-    return E.bootstrap(parts, "who", "num", "den", draws=200)
+    return E.bootstrap(parts, "who", "num", "den", draws=1000)
 
 
 _BIDS = "bids as (select distinct event_id % 40 forum, user_id who, event_type tag from events), pos as (select unnest([min(event_type), max(event_type)]) tag from events)"
