@@ -5,24 +5,33 @@ are a point. What two sets share is at most the sum over groups of the lesser co
 out whole boxes: with a box's greatest counts in place of a point's the sum still bounds every set inside. Survivors are
 verified on the shingles.
 
-Points spread over all dimensions alike, so no box of few dimensions parts a corpus into pieces that can be joined
-apart; instead the trees are built in blocks. Sets of a similarity of t or more share one of the first n - ceil(t n) + 1
-shingles in any order that is the same for all sets; so sets that share such a shingle are a block, and every linked
-pair meets in some block. The order puts shingles first that few sets have, by a counting sketch of fixed size over the
-whole corpus; so passages that many documents share make no blocks unless a set has little else.
-
-Equal sets are one set from the start. Each set is first verified against the least set of the block it shares most blocks with;
-the links found make components, and only what a block holds beyond one component goes on to the tree. Components are
-spread by least label with pointer jumping over written tables.
+One tree over a corpus would be held by one task, so the trees are built over clusters that hold every linked pair. Sets
+of a similarity of t or more share one of the first n - ceil(t n) + 1 shingles in any order that is the same for all
+sets; the order puts shingles first that few sets have, by a counting sketch of fixed size over the whole corpus, so
+passages that many documents share bring few sets together. Sets that share such a shingle are in the cluster that is
+named by the least of them; a set is in a cluster once, however many shingles brought it there.
+
+A cluster's points are packed into a tree by halving along the coordinate of greatest spread, and the tree is joined
+with itself, box against box. Sets of a pair that the bound lets pass go, as shingles, to the cluster's place, where the
+pairs are verified; only links that join what was apart there leave it, so what comes out is in proportion to the sets.
+A cluster too large for one place falls into tiles. First each tile is joined with itself, a few hubs being in all tiles
+of the cluster; the components that this gives are classes. Then tiles are cut anew by class and by bands of set sizes,
+and each pair of tiles that isn't of one class, and whose bands can link, is a place of its own. Components come from
+least labels and pointer jumping over written tables.
 
 Defined results: null and empty texts and texts without words have no shingles and link with nothing; a component is
-named by the least doc_id in it, null ids aside; repeated rows share a component; an empty table gives none. Shingles
-are compared by 64-bit hashes, sets by 128-bit ones. No link between different sets is lost.
+named by the least doc_id in it, null ids aside (a text without id still links others); repeated rows share a component;
+an empty table gives an empty one; texts of any length are read whole; columns of the input other than the two named
+ones are not read, so none can clash. Ties don't arise: a link is a matter of the two sets alone. Shingles are compared
+by 64-bit hashes under a key drawn anew for each call, sets by 128-bit digests of these. No link between different sets
+is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import secrets
 import zlib
 from collections.abc import Iterator
 
@@ -38,29 +47,29 @@ SHINGLE = 4
 RATIO = (85, 100)
 GROUPS = 256
 SKETCH_BITS, CHUNK_BITS = 20, 16
-LEAF = 32
+#: Points of a box of the lowest level, boxes of a box above.
+LEAF = 16
+#: Pairs of boxes whose bounds are computed at once.
+STRIP = 1 << 15
 SLICE = 1 << 20
 #: Sets that a task remembers in order not to repeat them.
 SEEN = 200_000
+#: Sets of a tile: at least, at most, and bytes of shingles at most.
+TILE_LEAST, TILE_MOST, TILE_BYTES = 256, 1 << 14, 32 << 20
+#: Hubs of a cluster of many tiles, about.
+HUBS = 32
 
 _U = np.uint64
-_P = _U(0x9E3779B97F4A7C15)
-_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^i and P^-i for i < n, modulo 2^64."""
-    if len(_powers[0]) < n:
-        for k, p in enumerate((_P, _INVERSE)):
-            x = np.full(n, p, _U)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0][:n], _powers[1][:n]
+#: By number of bytes, the part of eight that they are.
+_PART = np.array([(1 << (8 * i)) - 1 for i in range(9)], _U)
+#: Longer words are hashed one by one.
+_LONG = 256
+#: The key of hashes where a caller names none; near_duplicates draws one.
+KEY = bytes(range(1, 33))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -69,22 +78,37 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingles(texts: list[str | None], k: int = SHINGLE) -> list[np.ndarray]:
+def _word_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, key: bytes) -> np.ndarray:
+    """A keyed 64-bit hash of each word, eight bytes at a time; words of eight bytes or fewer can't collide with each other of their length. ``buffer`` ends with eight bytes beyond the last word."""
+    k = np.frombuffer(key, "<u8")
+    at = np.ndarray(max(len(buffer) - 7, 0), "<u8", np.ascontiguousarray(buffer), strides=(1,))
+    length = end - start
+    out = _mix((at[start] & _PART[np.minimum(length, 8)]) ^ (length.astype(_U) * (k[0] | _U(1)) + k[1]))
+    left, done = np.flatnonzero((length > 8) & (length <= _LONG)), 8
+    while len(left):
+        rest = length[left] - done
+        out[left] = _mix((at[start[left] + done] & _PART[np.minimum(rest, 8)]) ^ (out[left] * (k[2] | _U(1)) + _U(done)))
+        left, done = left[rest > 8], done + 8
+    for i in np.flatnonzero(length > _LONG).tolist():
+        word = buffer[start[i] : end[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=key).digest(), "little")
+    return out
+
+
+def shingles(texts: list[str | None], k: int = SHINGLE, key: bytes = KEY) -> list[np.ndarray]:
     """Of each text the hashes of its distinct shingles, sorted; of one with fewer than k words, that of the whole."""
     data = [b"" if t is None else t.encode() for t in texts]
-    buffer = _LOWER[np.frombuffer(b"\n".join(data) + b"\n", np.uint8)]
+    buffer = _LOWER[np.frombuffer(b"\n".join(data) + b"\n" * 9, np.uint8)]
     space = _SPACE[buffer]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
-    up, down = _power(len(buffer) + 1)
-    total = np.zeros(len(buffer) + 1, _U)
-    np.cumsum((buffer.astype(_U) + _U(1)) * up[:-1], out=total[1:])
-    words = _mix((total[end] - total[start]) * down[start] + (end - start).astype(_U))
+    words = _word_hashes(buffer, start, end, key)
+    times = np.frombuffer(key, "<u8")[3] | _U(1)
     ends = np.cumsum([len(d) + 1 for d in data])
     at = np.searchsorted(start, np.concatenate([[0], ends]))
     rows = np.zeros(max(len(words) - k + 1, 0), _U)
     for i in range(k):
-        rows = rows * _U(0xD6E8FEB86659FD93) + words[i : len(words) - k + 1 + i] if len(rows) else rows
+        rows = rows * times + words[i : len(words) - k + 1 + i] if len(rows) else rows
     rows = _mix(rows)
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -92,11 +116,10 @@ def shingles(texts: list[str | None], k: int = SHINGLE) -> list[np.ndarray]:
             x = np.sort(rows[a : b - k + 1])
             out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
         elif b > a:
-            h = _U(b - a)
-            with np.errstate(over="ignore"):
-                for w in words[a:b]:
-                    h = h * _U(0xA0761D6478BD642F) + w
-            out.append(_mix(np.array([h], _U)))
+            h = _mix(np.array([b - a], _U))
+            for w in words[a:b]:
+                h = h * times + w
+            out.append(_mix(h))
         else:
             out.append(np.zeros(0, _U))
     return out
@@ -112,15 +135,30 @@ def point(x: np.ndarray) -> np.ndarray:
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """Counts in bytes, in units rounded up, after the unit: it is one unless a group has over 255."""
-    unit = max(1, -(-int(counts.max(initial=0)) // 255))
+    """Counts in half bytes where all are below 16, or in bytes, in units rounded up, after the unit: it is one unless a group has over 255."""
+    most = int(counts.max(initial=0))
+    if most < 16:
+        c = counts.astype(np.uint8)
+        return (c[::2] | (c[1::2] << 4)).tobytes()
+    unit = max(1, -(-most // 255))
     return unit.to_bytes(8, "little") + (-(-counts // unit)).astype(np.uint8).tobytes()
 
 
 def _points(data: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(data), np.uint8).reshape(-1, GROUPS + 8)
-    unit = np.ascontiguousarray(x[:, :8]).view("<u8").astype(np.int64)
-    return x[:, 8:].astype(np.int16) if (unit == 1).all() else x[:, 8:] * unit
+    size = np.fromiter(map(len, data), np.int64, len(data))
+    small, out = size == GROUPS // 2, np.empty((len(data), GROUPS), np.uint8)
+    x = np.frombuffer(b"".join(d for d in data if len(d) == GROUPS // 2), np.uint8).reshape(-1, GROUPS // 2)
+    out[np.ix_(small, range(0, GROUPS, 2))], out[np.ix_(small, range(1, GROUPS, 2))] = x & 15, x >> 4
+    if small.all():
+        return out
+    x = np.frombuffer(b"".join(d for d in data if len(d) != GROUPS // 2), np.uint8).reshape(-1, GROUPS + 8)
+    unit = np.ascontiguousarray(x[:, :8]).view("<i8")
+    if (unit == 1).all():
+        out[~small] = x[:, 8:]
+        return out
+    out = out.astype(np.int64)
+    out[~small] = x[:, 8:] * unit
+    return out
 
 
 def least_shared(n: np.ndarray | int, m: np.ndarray | int, ratio=RATIO):
@@ -142,39 +180,75 @@ def prefix(x: np.ndarray, sketch: np.ndarray, ratio=RATIO) -> np.ndarray:
     return x[place <= np.partition(place, p - 1)[p - 1]] if p < len(x) else x
 
 
+def _packing(points: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """``rows`` in runs of LEAF, halved again and again along the coordinate in which they spread most."""
+    out, left = [], [rows]
+    while left:
+        x = left.pop()
+        if len(x) <= LEAF:
+            out.append(x)
+            continue
+        here = points[x]
+        half = -(-len(x) // (2 * LEAF)) * LEAF
+        x = x[np.argsort(here[:, int(here.var(axis=0).argmax())], kind="stable")]
+        left += [x[half:], x[:half]]
+    return out
+
+
 class CountTree:
-    """An R-tree over points, packed by size of the sets; a box has its points' greatest counts and least size."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, ratio=RATIO):
-        self.points, self.sizes, self.ratio = points, sizes.astype(np.int64), ratio
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        top, low = self.points, self.sizes
-        while len(top) > LEAF:
-            at = np.arange(0, len(top), LEAF)
-            top, low = np.maximum.reduceat(top, at, axis=0), np.minimum.reduceat(low, at)
-            self.levels.append((top, low))
-
-    def find(self, q: np.ndarray, n: int, after: int, wanted: np.ndarray | None = None) -> np.ndarray:
-        """Places over ``after`` (of those ``wanted``, if given) whose bound reaches what a link with a set of n at point q needs."""
-        at = None
-        for depth in range(len(self.levels), -1, -1):
-            points, sizes = self.levels[depth - 1] if depth else (self.points, self.sizes)
-            at = np.arange(len(points)) if at is None else (at[:, None] * LEAF + np.arange(LEAF)).ravel()
-            at = at[at < len(points)]
-            at = at[at >= (after + 1) // LEAF**depth] if depth else at[at > after]
-            if not depth and wanted is not None:
-                at = at[wanted[at]]
-            if not len(at):
-                return at
-            bound = np.minimum(points[at], q).sum(1, dtype=np.int64)
-            at = at[bound >= least_shared(n, sizes[at], self.ratio)]
-        return at
+    """An R-tree over points. A box has its points' greatest counts, the least size of a set, and the least and greatest
+    class and side of its points. ``classes``: pairs within one aren't asked for. ``sides``: nor are pairs within side 0
+    or within side 1; points of side 2 meet all."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, classes: np.ndarray | None = None, sides: np.ndarray | None = None, ratio=RATIO):
+        n, self.ratio = len(points), ratio
+        classes = np.arange(n) if classes is None else classes
+        sides = np.full(n, 2) if sides is None else sides
+        much = np.bincount(classes)[classes] > LEAF if n else classes  # a class of some size fills its own boxes
+        runs = np.where(much, classes + 1, 0) * 3 + sides
+        order = [_packing(points, np.flatnonzero(runs == r)) for r in np.unique(runs)]
+        self.order = np.concatenate([x for run in order for x in run]) if n else np.zeros(0, np.int64)
+        at = self.order
+        level = (points[at], sizes[at].astype(np.int64), classes[at], classes[at], sides[at], sides[at])
+        self.levels = [level]
+        while len(level[0]) > LEAF:
+            cut = np.arange(0, len(level[0]), LEAF)
+            level = tuple(f.reduceat(x, cut, axis=0) for f, x in zip((np.maximum, np.minimum, np.minimum, np.maximum, np.minimum, np.maximum), level, strict=True))
+            self.levels.append(level)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of points that the bound and the classes and sides leave, and by how much the bound is over; each pair once."""
+        top = len(self.levels) - 1
+        left = [(top, *map(np.ravel, np.triu_indices(len(self.levels[top][0]), 0 if top else 1)))]
+        while left:
+            depth, i, j = left.pop()
+            if len(i) > STRIP:
+                left += [(depth, i[a : a + STRIP], j[a : a + STRIP]) for a in range(0, len(i), STRIP)]
+                continue
+            points, sizes, low, high, first, last = self.levels[depth]
+            one_class = (low[i] == high[j]) & (high[i] == low[j])
+            one_side = (first[i] == last[j]) & (last[i] == first[j]) & (first[i] < 2)
+            may = ~(one_class | one_side)
+            i, j = i[may], j[may]
+            over = np.minimum(points[i], points[j]).sum(1, dtype=np.uint16 if points.dtype == np.uint8 else np.int64).astype(np.int64) - least_shared(sizes[i], sizes[j], self.ratio)
+            may = over >= 0
+            i, j, over = i[may], j[may], over[may]
+            if not len(i):
+                continue
+            if not depth:
+                yield self.order[i], self.order[j], over
+                continue
+            below, each = len(self.levels[depth - 1][0]), np.arange(LEAF)
+            grid = np.zeros((len(i), LEAF, LEAF), np.int64)
+            a, b = (grid + (i[:, None] * LEAF + each)[:, :, None]).ravel(), (grid + (j[:, None] * LEAF + each)[:, None, :]).ravel()
+            may = (a < below) & (b < below) & ((a < b) if depth == 1 else (a <= b))
+            left.append((depth - 1, a[may], b[may]))
 
 
 # ---- passes over the texts
 
 
-def _described(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
+def _described(docs: DataFrame, doc_id: str, text: str, k: int, secret: bytes) -> DataFrame:
     """A row a document: doc_id, n, key, counts; and the task's part of the sketch in rows with a chunk."""
     frame = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
@@ -183,7 +257,7 @@ def _described(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
         schema = pa.schema(kinds)
         sketch, seen, any_ = np.zeros(1 << SKETCH_BITS, np.int64), set(), False
         for b in slices(batches, "text", SLICE):
-            sets = shingles(b.column(1).to_pylist(), k)
+            sets = shingles(b.column(1).to_pylist(), k, secret)
             keys = list(map(key_of, sets))
             for x, key in zip(sets, keys, strict=True):
                 if key is not None and key not in seen:
@@ -223,7 +297,7 @@ def _sketch(described: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _postings(docs: DataFrame, text: str, sketch: np.ndarray, k: int, ratio) -> DataFrame:
+def _postings(docs: DataFrame, text: str, sketch: np.ndarray, k: int, ratio, secret: bytes) -> DataFrame:
     """token, key for each set's prefix; a task gives a set once as long as it remembers it."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, 0xFFFFFFFF).astype(np.uint32))
 
@@ -231,7 +305,7 @@ def _postings(docs: DataFrame, text: str, sketch: np.ndarray, k: int, ratio) ->
         table, seen = shared.value, set()
         for b in slices(batches, "text", SLICE):
             found, keys, times = [], [], []
-            for x in shingles(b.column(0).to_pylist(), k):
+            for x in shingles(b.column(0).to_pylist(), k, secret):
                 key = key_of(x)
                 if key is None or key in seen:
                     continue
@@ -305,52 +379,150 @@ def _blocks(postings: DataFrame) -> DataFrame:
     return postings.repartition("token").sortWithinPartitions("token", "key").mapInArrow(run, "token long, key binary, first binary, large boolean")
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, ratio) -> DataFrame:
-    """Pairs (a, b) whose count vectors leave a link possible."""
-    side = lambda n: sets.select(F.col("key").alias(n), F.col("n").alias(f"n_{n}"), F.col("counts").alias(f"c_{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "c_a", "c_b")
+# ---- clusters: where points, then shingles, meet
+
+
+class _Classes:
+    """Classes that grow together."""
+
+    def __init__(self, labels: list[bytes]):
+        self.first = {}
+        self.root = [self.first.setdefault(x, i) for i, x in enumerate(labels)]
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        self.root[max(i, j)] = min(i, j)
+
+
+def _each_place(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each place, of batches sorted by it; a set once."""
+    place, held = None, {}
+    for b in batches:
+        for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if r[0] != place:
+                if len(held) > 1:
+                    yield list(held.values())
+                place, held = r[0], {}
+            held.setdefault((r[1], r[2]), r)
+    if len(held) > 1:
+        yield list(held.values())
+
+
+def _candidates(members: DataFrame, ratio) -> DataFrame:
+    """place, side, key, label of the ``members`` (place, side, key, label, n, counts) that the tree of their place leaves in some pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                n, m = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-                x, y = _points(b.column(4).to_pylist()), _points(b.column(5).to_pylist())
-                yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(np.minimum(x, y).sum(1, dtype=np.int64) >= least_shared(n, m, ratio)))
+        names, out = ["place", "side", "key", "label"], []
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        give = lambda: pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        for rows in _each_place(batches):
+            labels = {}
+            classes = np.array([labels.setdefault(r[3], len(labels)) for r in rows])
+            tree = CountTree(_points([r[5] for r in rows]), np.array([r[4] for r in rows]), classes, np.array([r[1] for r in rows]), ratio)
+            some = np.zeros(len(rows), bool)
+            for i, j, _ in tree.pairs():
+                some[i] = some[j] = True
+            out += [rows[i][:4] for i in np.flatnonzero(some).tolist()]
+            if len(out) > 20_000:
+                yield give()
+                out = []
+        if out:
+            yield give()
 
-    return both.mapInArrow(run, "a binary, b binary")
+    dealt = members.select("place", "side", "key", "label", "n", "counts").repartition("place").sortWithinPartitions("place", "key")
+    return dealt.mapInArrow(run, "place long, side int, key binary, label binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, doc_id: str, text: str, k: int, ratio) -> DataFrame:
-    """The linked ones of written pairs. Each set in them is made again from one document that has it and sent to the
-    pairs' first sets, where a task holds that one set while its partners pass; no set goes anywhere else."""
-    needs = pairs.select(F.col("b").alias("key__"), F.col("a").alias("place__")).union(pairs.select(F.col("a").alias("key__"), F.col("a").alias("place__")).distinct())
-    needs = written(needs.join(sets.select(F.col("key").alias("key__"), F.col("doc").alias("doc__")), "key__"), "needs")
-    wanted = needs.select("key__", "doc__").distinct()
+def _sets_again(wanted: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, secret: bytes) -> DataFrame:
+    """key, hashes of the ``wanted`` (key, doc) sets, each made again from the document that has it."""
+    wanted = wanted.select(F.col("key").alias("key__"), F.col("doc").alias("doc__"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc__"), F.col(text).cast("string").alias("text"))
-    small = small_enough(needs, 64)
-    rows = rows.join(F.broadcast(wanted) if small else wanted, "doc__")
 
     def make(texts):
-        found = shingles(texts, k)
+        found = shingles(texts, k, secret)
         return [list(map(key_of, found)), [x.tobytes() for x in found]]
 
-    made = map_text(rows, "text", ["key__"], "key binary, hashes binary", make).filter("key = key__").select("key__", "hashes")
-    places = needs.select("key__", "place__")
-    sent = made.join(F.broadcast(places) if small else places, "key__").select(F.col("place__").alias("a"), F.when(F.col("key__") == F.col("place__"), 0).otherwise(1).alias("kind"), F.col("key__").alias("b"), "hashes")
+    known = wanted.filter("doc__ is not null")
+    known = rows.join(F.broadcast(known) if small_enough(known, 64) else known, "doc__")
+    made = map_text(known, "text", ["key__"], "key binary, hashes binary", make).filter("key = key__").select("key", "hashes")
+    if wanted.filter("doc__ is null").isEmpty():
+        return made
+    nameless = map_text(rows.filter("doc__ is null"), "text", [], "key binary, hashes binary", make).dropDuplicates(["key"])
+    return made.union(nameless.join(wanted.filter("doc__ is null").select(F.col("key__").alias("key")), "key", "left_semi"))
+
+
+def _links(members: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, ratio, secret: bytes) -> DataFrame:
+    """Linked pairs (a, b) of sets of one place and different labels: as many as join what is linked there."""
+    found = written(_candidates(members, ratio), "candidates")
+    wanted = found.select("key").distinct().join(sets.select("key", "doc"), "key")
+    made = _sets_again(written(wanted, "wanted"), docs, doc_id, text, k, secret)
+    sent = made.join(F.broadcast(found) if small_enough(found, 96) else found, "key").select("place", "side", "key", "label", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, x = None, None
-        for b in batches:
+        for rows in _each_place(batches):
+            sets_ = [np.frombuffer(r[4], _U) for r in rows]
+            classes = _Classes([r[3] for r in rows])
+            now = np.array([classes.find(i) for i in range(len(rows))])
+            tree = CountTree(np.array([point(x) for x in sets_]), np.array(list(map(len, sets_))), np.unique(now, return_inverse=True)[1], np.array([r[1] for r in rows]), ratio)
             out = []
-            for a, kind, other, hashes in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if kind == 0:
-                    here, x = a, np.frombuffer(hashes, _U)
-                elif a == here and linked(x, np.frombuffer(hashes, _U), ratio):
-                    out.append((a, other))
+            for i, j, over in tree.pairs():
+                best = np.argsort(-over, kind="stable")
+                for a, b in zip(i[best].tolist(), j[best].tolist(), strict=True):
+                    p, q = classes.find(a), classes.find(b)
+                    if p != q and linked(sets_[a], sets_[b], ratio):
+                        classes.join(p, q)
+                        out.append((rows[a][2], rows[b][2]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in zip(*set(out), strict=True)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in zip(*out, strict=True)], names=["a", "b"])
+
+    return written(sent.repartition("place").sortWithinPartitions("place", "key").mapInArrow(run, "a binary, b binary"), "links")
+
+
+def _tile_size(n: str, longest: str):
+    """Sets of a tile for a cluster of n sets: their number grows as its root, so that tiles and their pairs both stay few."""
+    by_bytes = F.greatest(F.lit(LEAF), F.floor(F.lit(TILE_BYTES) / (8 * F.greatest(F.col(longest), F.lit(1)))))
+    return F.least(F.lit(TILE_MOST), F.greatest(F.lit(TILE_LEAST), F.ceil(8 * F.sqrt(F.col(n)))), by_bytes).cast("long")
 
-    return written(sent.repartition("a").sortWithinPartitions("a", "kind").mapInArrow(run, "a binary, b binary"), "links")
+
+def _side(df: DataFrame, row_bytes: int) -> DataFrame:
+    return F.broadcast(df) if small_enough(df, row_bytes) else df
+
+
+def _first_places(clusters: DataFrame, large: DataFrame) -> DataFrame:
+    """Members with place, side, label: each cluster, or tile of a large one, by itself; hubs are in all tiles."""
+    rows = clusters.join(_side(large, 64), "head", "left")
+    tiles = F.ceil(F.coalesce(F.col("members") / F.col("tile"), F.lit(1.0))).cast("int")
+    part = F.pmod(F.xxhash64("key"), tiles).cast("int")
+    hub = (tiles > 1) & (F.pmod(F.xxhash64("key", F.lit("hub")), F.ceil(F.col("members") / HUBS)) == 0)
+    rows = rows.withColumn("part", F.explode(F.when(hub, F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(part))))
+    return rows.select(F.xxhash64("head", "part").alias("place"), F.lit(2).alias("side"), "key", F.col("key").alias("label"), "n", "counts")
+
+
+def _second_places(clusters: DataFrame, large: DataFrame, labels: DataFrame, ratio) -> DataFrame:
+    """Members of large clusters with place, side, label: pairs of tiles of different classes whose sizes can link."""
+    rows = clusters.join(_side(large, 64), "head").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    mixed = rows.groupBy("head").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("head")
+    width = math.log(ratio[1] / ratio[0]) * 1.000001
+    rows = rows.join(_side(mixed, 64), "head", "left_semi").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
+    rows = written(rows.select("head", "key", "label", "n", "counts", "band", "tile"), "mixed")
+    by_label = rows.groupBy("head", "band", "label").agg(F.count("*").alias("here"), F.first("tile").alias("tile"))
+    classes = by_label.withColumn("class", F.when(4 * F.col("here") >= F.col("tile"), F.col("label")).otherwise(F.lit(b"")))
+    parts = classes.groupBy("head", "band", "class").agg(F.ceil(F.sum("here") / F.first("tile")).cast("int").alias("parts"))
+    own = classes.filter("class <> x''").select("head", "band", "label", "class")
+    tiled = rows.join(_side(own, 128), ["head", "band", "label"], "left").withColumn("class", F.coalesce("class", F.lit(b""))).join(_side(parts, 128), ["head", "band", "class"])
+    tiled = tiled.withColumn("at", F.struct("band", "class", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part")))
+    tiles = parts.select("head", "band", "class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("head", F.struct("band", "class", "part").alias("at"))
+    x, y = tiles.select("head", F.col("at").alias("x")), tiles.select("head", F.col("at").alias("y"))
+    apart = (F.col("x.class") != F.col("y.class")) | (F.col("x.class") == F.lit(b""))
+    pairs = written(x.join(y, "head").filter((F.col("x") <= F.col("y")) & (F.abs(F.col("x.band") - F.col("y.band")) <= 1) & apart), "tiles")
+    sides = pairs.select("head", F.col("x").alias("at"), F.xxhash64("head", "x", "y").alias("place"), F.when(F.col("x") == F.col("y"), 2).otherwise(0).alias("side"))
+    sides = sides.union(pairs.filter("x <> y").select("head", "y", F.xxhash64("head", "x", "y"), F.lit(1)))
+    return tiled.join(_side(sides, 128), ["head", "at"]).select("place", "side", "key", "label", "n", "counts")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -369,102 +541,27 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def _block_pairs(classes: np.ndarray, n: np.ndarray, c: np.ndarray, spanning: bool, ratio, refused: set[tuple[int, int]] = frozenset()) -> list[tuple[int, int]]:
-    """Pairs of places in different classes that the bound lets pass, ``refused`` ones aside. ``spanning``: only as many as would join the classes if all of them were links."""
-    classes, out = classes.copy(), []
-    left = len(np.unique(classes))
-    if left < 2:
-        return out
-    tree = CountTree(c, n, ratio)
-    for i in range(len(n) - 1):
-        for j in tree.find(c[i], int(n[i]), i, classes != classes[i]).tolist():
-            if classes[i] == classes[j] or (i, j) in refused:
-                continue
-            out.append((i, j))
-            if spanning:
-                classes[classes == classes[j]] = classes[i]
-                left -= 1
-                if left == 1:
-                    return out
-    return out
-
-
-def _across(blocks: DataFrame, sets: DataFrame, labels: DataFrame, nearest: DataFrame, spanning: bool, ratio) -> DataFrame:
-    """Pairs of large blocks that the bound lets pass, of different components; pairs with the block's first are verified by themselves.
-    ``nearest`` (a, b) has each b once and was verified: those of its pairs that are still apart are no links and join nothing."""
-    rows = blocks.filter("large and key <> first").select("token", "key").join(labels, "key", "left").select("token", "key", F.coalesce("label", "key").alias("label"))
-    mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-    rows = rows.join(mixed, "token").join(sets.select("key", "n", "counts"), "key").join(nearest.select(F.col("b").alias("key"), F.col("a").alias("tried")), "key", "left")
-    rows = rows.select("token", "n", "key", "label", "counts", "tried")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, held, said = None, [], set()
-
-        def block():
-            if len(held) > 1:
-                keys = [r[2] for r in held]
-                classes = np.unique(np.array([r[3] for r in held], "V16"), return_inverse=True)[1]
-                place = {k: i for i, k in enumerate(keys)}
-                tried = [(i, place[r[5]]) for i, r in enumerate(held) if r[5] in place]
-                refused = {(min(p), max(p)) for p in tried}
-                for i, j in _block_pairs(classes, np.array([r[1] for r in held]), _points([r[4] for r in held]), spanning, ratio, refused):
-                    said.add((keys[i], keys[j]) if keys[i] < keys[j] else (keys[j], keys[i]))
-            held.clear()
-
-        def give():
-            made = pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in zip(*said, strict=True)], names=["a", "b"])
-            said.clear()
-            return made
-
-        for b in batches:
-            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if r[0] != token:
-                    block()
-                    token = r[0]
-                held.append(r)
-            if len(said) > 20_000:
-                yield give()
-        block()
-        if said:
-            yield give()
-
-    return rows.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(run, "a binary, b binary").distinct()
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int = SHINGLE, ratio: tuple[int, int] = RATIO) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row, n_links (links of its set to other sets that were verified; at least one where there is any)."""
-    described = written(_described(docs, doc_id, text, k), "described")
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int = SHINGLE, ratio: tuple[int, int] = RATIO, secret: bytes | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row. ``secret``: 32 bytes that key the hashes, drawn anew if not given."""
+    secret = secret or secrets.token_bytes(32)
+    described = written(_described(docs, doc_id, text, k, secret), "described")
     rows = described.filter("chunk is null").select("doc_id", "n", "key", "counts")
     sets = written(rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("counts").alias("counts")), "sets")
-    blocks = written(_blocks(_postings(docs, text, _sketch(described), k, ratio)), "blocks")
-    # each set is first held against the block's least set that it meets in most blocks; what this leaves apart follows
-    stars = written(blocks.filter("key <> first").groupBy(F.col("first").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("times")), "stars")
-    nearest = stars.groupBy("b").agg(F.max(F.struct("times", "a")).alias("best")).select("best.a", "b")
-    links = _verified(written(_bounded(nearest, sets, ratio), "pairs"), docs, sets, doc_id, text, k, ratio)
+    met = _blocks(_postings(docs, text, _sketch(described), k, ratio, secret)).select(F.col("first").alias("head"), "key")
+    clusters = written(met.distinct().join(sets.select("key", "n", "counts"), "key"), "clusters")
+    size = clusters.groupBy("head").agg(F.count("*").alias("members"), F.max("n").alias("longest"))
+    large = written(size.withColumn("tile", _tile_size("members", "longest")).filter("members > tile").select("head", "members", "tile"), "large")
+    resolve = lambda members: _links(members, sets, docs, doc_id, text, k, ratio, secret)
+    links = resolve(_first_places(clusters, large))
     labels = components(links)
-    done = nearest
-    # first pairs that would join the components of a block if all were links; if any isn't, all pairs across components
-    for spanning in (True, False):
-        ends = lambda c: labels.select(F.col("key").alias(c), F.col("label").alias(f"label_{c}"))  # noqa: B023, E731
-        apart = stars.select("a", "b").join(done, ["a", "b"], "left_anti").join(ends("a"), "a", "left").join(ends("b"), "b", "left")
-        apart = apart.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-        across = _across(blocks, sets, labels, nearest, spanning, ratio).join(done, ["a", "b"], "left_anti")
-        more = written(_bounded(apart.union(across).distinct(), sets, ratio), "pairs")
-        asked = more.count()
-        if not asked:
-            break
-        new = _verified(more, docs, sets, doc_id, text, k, ratio)
-        links, done = links.union(new), done.union(more)
-        found = new.distinct().count()
-        if found:
-            labels = components(links)
-        if found == asked:
-            break
+    if not large.isEmpty():
+        more = resolve(_second_places(clusters, large, labels, ratio))
+        if not more.isEmpty():
+            labels = components(links.union(more))
     named = labels.join(sets.select("key", "doc"), "key")
     least = named.groupBy("label").agg(F.min("doc").alias("component"))
-    linked_ = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count("*").alias("n_links"))
-    found = labels.join(least, "label").select("key", "component").join(linked_, "key", "left")
+    found = labels.join(least, "label").select("key", "component")
     same = sets.filter("copies > 1").select("key", "doc")
-    known = written(same.join(found, "key", "full").select("key", F.coalesce("component", "doc").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "components")
+    known = written(same.join(found, "key", "full").select("key", F.coalesce("component", "doc").alias("component")), "components")
     out = rows.select("doc_id", "n", "key").join(F.broadcast(known) if small_enough(known, 48) else known, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -72,23 +72,72 @@ def test_near_duplicates_at_the_threshold(spark):
     assert got == want and 12 < len({c for *_, c in want}) < len(rows)
 
 
+def near_copies(rng, families, members, words, most):
+    """Rows of families of copies with up to ``most`` words changed, some in chains, and a passage that half of all share."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.choice((3, 6, 11, 30))))
+    passage, rows = [word() for _ in range(40)], []
+    for _ in range(families):
+        base = [word() for _ in range(words)]
+        for _ in range(members):
+            copy = list(base)
+            for _ in range(rng.randint(0, most)):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((len(rows) * 7 % 1009, " ".join((passage if rng.random() < 0.5 else []) + copy)))
+            base = copy if rng.random() < 0.2 else base
+    return rows
+
+
+@pytest.mark.parametrize("tile", [4, 16, 90])
+def test_near_duplicates_in_tiles(spark, monkeypatch, tile):
+    """Clusters of many tiles give what all pairs give; a text without id links two others."""
+    monkeypatch.setattr(jaccard, "TILE_LEAST", tile)
+    monkeypatch.setattr(jaccard, "TILE_MOST", tile)
+    monkeypatch.setattr(jaccard, "HUBS", 2)
+    rows = near_copies(random.Random(tile), 2, 110, 120, 6)
+    w = [f"w{i}" for i in range(90)]
+    ends = [(5000, " ".join(w)), (None, " ".join(w[:88] + ["x", "y"])), (5001, " ".join(w[:83] + ["o", "p", "q"] + w[86:88] + ["x", "y"]))]
+    rows += [(d, t) for d, t in ends]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect() if r.doc_id is not None)
+    want = plain_components(rows)
+    assert got == want and 20 < len({c for *_, c in want}) < 200
+
+
+def test_words_that_polynomials_confuse(spark):
+    """The Thue-Morse word and its complement have one polynomial hash modulo 2^64, whatever the base."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    rows = [(1, f"w x y {a}"), (2, "w x y " + a.translate(str.maketrans("ab", "ba"))), (3, f"W x  y {a}")]
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_word_hashes_tell_words_apart():
+    """Words of all lengths about the hash's steps, alike but for a byte, and the same words at other places."""
+    words = sorted({"a" * n + x + "b" * m for n in (0, 1, 6, 7, 8, 9, 15, 16, 250, 256, 300) for m in (0, 1, 7, 8, 9) for x in ("", "c", "é", "日")} - {""})
+    (x,), (y,) = jaccard.shingles([" ".join(words)], 1), jaccard.shingles(["  \n" + "\t ".join(words[::-1])], 1)
+    assert len(x) == len(words) and (x == y).all() and not np.intersect1d(x, jaccard.shingles([" ".join(words)], 1, bytes(32))[0]).size
+
+
 def test_count_tree_finds_all_that_the_bound_allows():
     rng = np.random.default_rng(0)
-    base = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
+    base = rng.integers(0, 1 << 62, 400, dtype=np.uint64) << np.uint64(2)
     sets = []
-    for _ in range(300):
+    for i in range(300):
         keep = base[rng.random(400) < rng.choice([0.3, 0.9, 0.97])]
-        sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 62, rng.integers(0, 30), dtype=np.uint64)])))
-    sets.sort(key=len)
-    n, c = np.array(list(map(len, sets))), np.array([jaccard.point(x) for x in sets])
-    tree, kept = jaccard.CountTree(c, n), 0
-    for i in range(len(sets)):
-        found = set(tree.find(c[i], int(n[i]), i).tolist())
-        want = {j for j in range(i + 1, len(sets)) if np.minimum(c[i], c[j]).sum() >= jaccard.least_shared(n[i], n[j])}
-        assert found == want
-        kept += len(found)
-        assert all(j in found for j in range(i + 1, len(sets)) if jaccard.linked(sets[i], sets[j]))
-    assert kept < 300 * 299 / 2
+        more = rng.integers(0, 1 << 62, 9000 if i % 60 == 0 else rng.integers(0, 30), dtype=np.uint64) << np.uint64(2)
+        sets.append(np.unique(np.concatenate([keep, more])))
+    counts = [jaccard.point(x) for x in sets]
+    assert (jaccard._points([jaccard._packed(c) for c in counts]) >= counts).all()
+    for some in (sets, [x for x in sets if len(x) < 9000], sets[:1], []):
+        n = np.array(list(map(len, some)), int)
+        c = jaccard._points([jaccard._packed(jaccard.point(x)) for x in some]) if some else np.zeros((0, jaccard.GROUPS), np.uint8)
+        classes, sides = rng.integers(0, 9, len(some)), rng.integers(0, 3, len(some))
+        for kinds, halves in ((None, None), (classes, None), (classes, sides)):
+            got = [(min(p), max(p)) for i, j, _ in jaccard.CountTree(c, n, kinds, halves).pairs() for p in zip(i.tolist(), j.tolist(), strict=True)]
+            apart = lambda i, j: (kinds is None or kinds[i] != kinds[j]) and (halves is None or halves[i] != halves[j] or halves[i] == 2)  # noqa: B023, E731
+            want = {(i, j) for i in range(len(some)) for j in range(i + 1, len(some)) if apart(i, j) and np.minimum(c[i].astype(int), c[j]).sum() >= jaccard.least_shared(n[i], n[j])}
+            assert len(got) == len(set(got)) and set(got) == want
+            assert all((i, j) in want for i in range(len(some)) for j in range(i + 1, len(some)) if apart(i, j) and jaccard.linked(some[i], some[j]))
+    assert 0 < len(want) if some else True
 
 
 def test_language(docs, empty, spark, sf_dir):

@@ -59,7 +59,7 @@ def test_a_refused_pair_does_not_end_the_search(spark):
     rows = list(enumerate(" ".join(x) for x in lost_link(salt)))
     want = components_by_all_pairs(rows, 1, jaccard.RATIO)
     assert want[1] == want[2] == want[3] == 1 and want[0] == 0
-    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), k=1)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), k=1, secret=jaccard.KEY)
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
