@@ -9,7 +9,9 @@ the tasks that need them.
 Of records with equal payloads of at least ``least_bytes`` bytes, that of the smallest page_id is a response and the
 others revisit it. Defined results: null html is an empty payload; a page without id revisits the smallest id of its
 payload, or is a response if there is none; repeated rows are written and found each; a page without address has the
-key ''. An empty table makes archives and an index without records.
+key ''; control characters and spaces of a key are escaped before it is sorted. Pages of any length are whole records.
+Only address, html and page_id are read, so other columns can't clash. An empty table makes archives and an index
+without records.
 """
 
 from __future__ import annotations
@@ -42,11 +44,19 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+def _escaped(key: Column) -> Column:
+    """Control characters and spaces as %XX, so that no key holds what parts the fields and lines of an index, and the order of keys is that of lines."""
+    made = key
+    for c in (*range(33), 127):
+        made = F.replace(made, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    return F.when(key.rlike(r"[\x00-\x20\x7f]"), made).otherwise(key)
+
+
 def key_of(url: Column) -> Column:
     """Reversed host, then path and query: com,example,www)/a?b. Null gives ''."""
     host = F.coalesce(host_of(url), F.lit(""))
     rest = F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
-    return F.coalesce(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest), F.lit(""))
+    return _escaped(F.coalesce(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest), F.lit("")))
 
 
 def _header(value: str) -> str:
@@ -144,7 +154,7 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
                 if out is None:
                     files.create_dir(base, recursive=True)
                     out = files.open_output_stream(f"{base}/{name}", compression=None)
-                lines.append(f"{_header_key(full)}\t{file}\t{start}\t{length}".encode())
+                lines.append(f"{full}\t{file}\t{start}\t{length}".encode())
                 if len(lines) == block_lines:
                     block()
         if out is not None:
@@ -158,11 +168,6 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
     return sorted((bytes(r["first"]), r["name"]) for r in ordered.mapInArrow(write, "first binary, name string").collect())
 
 
-def _header_key(full: str) -> str:
-    """Keys as lines have them: no tab or line end. The order of keys stays, as each such character becomes a space, the least of what is left."""
-    return full.replace("\t", " ").replace("\n", " ").replace("\r", " ")
-
-
 class Index:
     """Lookups by a worker; keeps the last part's directory, the last block, and some open archives."""
 
@@ -198,7 +203,7 @@ class Index:
 
     def find(self, full: str) -> list[tuple[str, int, int]]:
         """File, start and length of every capture of the key. Equal keys may go on in later blocks and parts."""
-        key = _header_key(full).encode()
+        key = full.encode()
         found: list[tuple[str, int, int]] = []
         part = max(bisect.bisect_left(self.firsts, key) - 1, 0)
         while part < len(self.names):

@@ -211,6 +211,17 @@ def test_wrappers_merge_in_any_grouping():
     assert wrapper.dump(one) == wrapper.dump(two) and one.n == 4 and one.kids[0].text is not None and one.kids[1].kids[0].text is None
 
 
+def test_keys_with_control_characters_are_found(spark):
+    """Tabs, line ends and other control characters in addresses, beside keys that begin with them, on one index part and several."""
+    urls = [f"http://x.org/{c}{d}" for c in ("", "\t", "\n", "\r", "\x00", "\x0b", "\x1f", " ", "\x7f", "%09", "b") for d in ("", "z", "\x01")] + ["http://x.org/b", None, "", " "]
+    df = spark.createDataFrame([(i, u, f"page {i % 20}") for i, u in enumerate(urls)] + [(3, urls[3], "page 3")], "page_id long, url string, html string")
+    for parts in ("1", "5"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = warc.round_trip(spark, df).collect()
+        assert sorted(r.page_id for r in got) == sorted([*range(len(urls)), 3]) and all(r.refers_to == (r.page_id % 20 if r.page_id >= 20 else None) for r in got)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_archives(spark):
     rows = [(i, f"http://{'abc'[i % 3]}.example.org/p{i % 7}?q={i}", f"<p>{i % 5}</p>" if i % 4 else f"own {i}") for i in range(400)]
     rows += [(None, "http://x.org/\tz", "<p>1</p>"), (None, None, "alone"), (500, None, None), (501, None, ""), (502, "ftp://x/ y\n", "ü"), (7, rows[7][1], rows[7][2]), (7, rows[7][1], rows[7][2])]
