@@ -63,25 +63,52 @@ def test_a_refused_pair_does_not_end_the_search(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
-def test_large_wrappers_count_all_pages():
+def test_large_wrappers_count_all_pages(spark):
     """Over 2000 nodes that two pages each have, and then template blocks that come late: every node is counted on every page."""
     letters = lambda x: "".join(chr(97 + x // 26**i % 26) for i in range(3))
     many = "".join(f"<div class=q{letters(x)}><p>{x}</p></div>" for x in range(1100))
     late = [f"<section class=late>Late template</section><div class=body><p>Story {i}</p></div>" for i in range(4)]
-    sources = [many, many, *late]
-
-    def folded(some):
-        (b,) = wrapper._fold([pa.RecordBatch.from_pydict({"host": ["h"] * len(some), "html": some})])
-        return b.column(1)[0].as_py()
-
-    whole = wrapper.load(folded(sources))
-    (b,) = wrapper._merge([pa.RecordBatch.from_pydict({"host": ["h"] * 3, "wrapper": [folded(sources[:3]), folded(sources[3:4]), folded(sources[4:])]})])
-    for made in (whole, wrapper.load(b.column(1)[0].as_py())):
+    rows = [("http://h.example/", x) for x in [many, many, *late]]
+    for parts in (1, 3, 6):
+        (r,) = wrapper.induce(spark.createDataFrame(rows, "url string, html string").repartition(parts)).collect()
+        made = wrapper.load(r.wrapper)
         found = [k for k in made.kids if k.key == "section.late+"]
         assert made.n == 6 and [(k.n, k.chars, k.text is not None) for k in found] == [(4, 4 * len("Late template"), True)]
         assert wrapper.main_text(late[0], made) == "Story 0"
 
 
+def test_wrappers_depend_on_the_pages_alone(spark):
+    """Three templates of 300 blocks each on one host, in several orders and partitions: one text a page, without the blocks of any template."""
+    letters = lambda x: "".join(chr(97 + x // 26**i % 26) for i in range(3))
+    block = lambda t: "".join(f"<div class='{t}{letters(x)}'><b>{t}</b> note {x}</div>" for x in range(300))
+    kinds = {"a": block("a"), "b": block("b"), "c": block("c")}
+    said = set()
+    for order in ("aabbccccaaaa", "ccccaabbaaaa", "bbccccaaaaaa"):
+        rows = [(i, "http://h.example/x", kinds[t] + f"<div class=body><p>{t} story {order[:i].count(t)}</p></div>") for i, t in enumerate(order)]
+        for parts in (1, 32):
+            df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts, "page_id")
+            got = wrapper.extract(df, keep=["page_id"]).collect()
+            said.add(tuple(sorted(r.text[-9:] for r in got)))
+            assert all(r.text == f"a story {order[: r.page_id].count('a')}" for r in got if order[r.page_id] == "a")
+    assert len(said) == 1
+
+
+def test_names_that_only_sound_like_menus():
+    page = "<body><nav>no</nav><article><div class='entry-header'><h1>Title</h1></div><p class='share-price'>1.5</p><p class='form-factor'>small</p><p>Sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math></p><p>b</p><div class='share-buttons'>no</div><div class=postComments>no</div><div class='ad-slot top'>no</div><div id=related-posts>no</div></article>"
+    assert wrapper.main_text(page) == "Title\n1.5\nsmall\nSum x+1\nb"
+    assert wrapper.main_text("<div>" * 70 + "<nav>menu text</nav><p>body</p>") == "body"
+    two = "<body><article><p>first</p></article><aside>no</aside><article><p>second, and longer</p></article><footer>no"
+    assert wrapper.main_text(two) == "first\nsecond, and longer"
+
+
+def test_long_lists_are_one_slot():
+    """Tens of thousands of rows are aligned in time, and read whole."""
+    page = "<body><div class=c><table>" + "".join(f"<tr><td>{i}</td><td><p>v</p></td></tr>" for i in range(20_000)) + "</table></div>"
+    own, other = wrapper.slots(wrapper.parse(page)), wrapper.slots(wrapper.parse(page.replace("<td>77</td>", "<td>x</td>")))
+    assert wrapper.count(own) < 10 and len(list(wrapper.aligned(own, other))) == wrapper.count(own)
+    assert wrapper.main_text(page).split("\n")[-2:] == ["19999", "v"]
+
+
 def test_elements_at_any_depth():
     """Deep elements close themselves and not their ancestors, and deep menus are put out; a wrapper of deep pages is read back whole."""
     deep = "<div>" * 70 + "<p>deep {0}</p><nav>menu</nav><form>ask</form>" + "</div>" * 70
