@@ -18,9 +18,11 @@ BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in tests, a session in one process takes a local one; any other is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set: the driver and the executors need a folder that they share")
         found = f"file://{tempfile.mkdtemp(prefix='kinfold-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -41,10 +43,28 @@ def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) ->
     return df.limit(most + 1).count() <= most
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches that hold about ``limit`` bytes of ``column`` at most, one row at least."""
+_kept: list[Callable[[], None]] = []
+_holder: str | None = None
+
+
+def frees(clear: Callable[[], None]) -> None:
+    """``clear`` frees what a worker keeps between batches and tasks; it is called when another operator begins there."""
+    _kept.append(clear)
+
+
+def _held_by(holder: str) -> None:
+    global _holder
+    if holder != _holder:
+        for clear in _kept:
+            clear()
+        _holder = holder
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, holder: str = "") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that hold about ``limit`` bytes of ``column`` at most, one row at least. ``holder`` names whose results the worker may keep."""
     import numpy as np
 
+    _held_by(holder)
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -74,7 +94,7 @@ def map_text(df: DataFrame, text: str, keep: list[str], schema: str, work: Calla
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(out)
-        for b in slices(batches, "__text"):
+        for b in slices(batches, "__text", holder=work.__module__):
             made = work(b.column(b.num_columns - 1).to_pylist())
             columns = [b.column(i) for i in range(b.num_columns - 1)]
             columns += [x if isinstance(x, pa.Array) else pa.array(x, arrow.field(len(keep) + i).type) for i, x in enumerate(made)]

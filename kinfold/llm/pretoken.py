@@ -2,8 +2,8 @@
 
 A space before a character that isn't white space always begins a match of the byte-level pattern, whatever stands
 before it. So a text falls at such spaces into chunks that can be split by the pattern alone, and what a chunk gives is
-kept in a bounded dictionary: most chunks of a corpus are words seen before. Texts with white space after a space are
-split by the pattern as a whole.
+kept in a dictionary of bounded bytes: most chunks of a corpus are words seen before. Long chunks aren't kept, and what is
+kept goes when another operator begins in the worker.
 """
 
 from __future__ import annotations
@@ -14,8 +14,12 @@ from collections.abc import Callable
 
 import regex
 
-#: Chunks kept by a worker; when full, the dictionary starts anew.
-CHUNKS = 1_200_000
+from .common import frees
+
+#: Bytes of chunks and results kept by a worker, as estimated: so much a chunk and so much a character. When full, the dictionary starts anew.
+KEPT_BYTES, ENTRY_BYTES, CHAR_BYTES = 128 << 20, 200, 12
+#: Characters up to which a chunk is kept.
+LONG = 64
 _SPACE = regex.compile(r"\s")
 
 
@@ -57,32 +61,51 @@ def white_space() -> frozenset[str]:
 class Chunks:
     """What ``make`` gives for the chunks of texts. ``make`` takes a list of strings that no kept result covers and returns a list."""
 
-    def __init__(self, make: Callable[[list[str]], list], most: int = CHUNKS):
+    def __init__(self, make: Callable[[list[str]], list], most: int = KEPT_BYTES):
         self.make, self.most = make, most
         self.kept: dict[str, object] = {}  # by the chunk without its space
         self.firsts: dict[str, object] = {}  # chunks at the beginning of a text
+        self.size = 0  # an estimate of the bytes that both hold
+        frees(self.clear)
+
+    def clear(self) -> None:
+        self.kept.clear()
+        self.firsts.clear()
+        self.size = 0
+
+    def _add(self, kept: dict[str, object], chunks: set[str], before: str) -> list[str]:
+        """Add the results of new ``chunks``; return those too long to stay."""
+        short = [x for x in chunks if len(x) <= LONG]
+        kept.update(zip(short, self.make([before + x for x in short]), strict=True))
+        self.size += sum(map(len, short)) * CHAR_BYTES + len(short) * ENTRY_BYTES
+        if len(short) == len(chunks):
+            return []
+        long = [x for x in chunks if len(x) > LONG]
+        kept.update(zip(long, self.make([before + x for x in long]), strict=True))
+        return long
 
     def of(self, texts: list[str]) -> list[list]:
         """The results of each text's chunks, in order."""
-        tails = [t.split(" ") for t in texts]
-        heads = [p.pop(0) for p in tails]
-        odd = {i for i, p in enumerate(tails) if "" in p}
-        if len(self.kept) + len(self.firsts) > self.most:
-            self.kept.clear()
-            self.firsts.clear()
-        every: set[str] = set().union(*(p for i, p in enumerate(tails) if i not in odd))
-        new = every.difference(self.kept)  # a dictionary: looked up, not gone through
+        if self.size > self.most:
+            self.clear()
+        parts = [t.split(" ") for t in texts]
         spaces = white_space()
-        blank = {x for x in new if x[0] in spaces}
+        blank = {x for x in set().union(*(p[1:] for p in parts)).difference(self.kept) if not x or x[0] in spaces}
         if blank:
-            odd |= {i for i, p in enumerate(tails) if not blank.isdisjoint(p)}
-            new -= blank
-        fresh = list(new)
-        self.kept.update(zip(fresh, self.make([" " + x for x in fresh]), strict=True))
-        starts = list({texts[i] if i in odd else h for i, h in enumerate(heads)}.difference(self.firsts))
-        self.firsts.update(zip(starts, self.make(starts), strict=True))
+            # a space before white space, or at the end, begins no match: it belongs to the chunk before
+            for i, p in enumerate(parts):
+                if not blank.isdisjoint(p[1:]):
+                    at = [0, *(k for k in range(1, len(p)) if p[k] not in blank), len(p)]
+                    parts[i] = [" ".join(p[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+        heads = [p.pop(0) for p in parts]
+        long = self._add(self.kept, set().union(*parts).difference(self.kept), " ")
+        firsts = self._add(self.firsts, set(heads).difference(self.firsts), "")
         get, first = self.kept.__getitem__, self.firsts
-        return [[first[texts[i]]] if i in odd else [first[h], *map(get, p)] for i, (h, p) in enumerate(zip(heads, tails, strict=True))]
+        out = [[first[h], *map(get, p)] for h, p in zip(heads, parts, strict=True)]
+        for held, some in ((self.kept, long), (self.firsts, firsts)):
+            for x in some:
+                del held[x]
+        return out
 
 
 def split_special(text: str, special: list[str]) -> list[str]:

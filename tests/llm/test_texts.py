@@ -176,3 +176,19 @@ def test_tiff_rows(spark, docs, texts, empty):
     assert sorted((r.id, r.page, r.error) for r in tiff.pages(bad).filter("error is not null").collect()) == [(2, 0, "not TIFF"), (3, 0, "cut short"), (4, 1, "directories loop")]
     assert tiff.pages(bad).filter("error is null").count() == 1
     assert tiff.digests(bad).count() == 4 and tiff.with_media(empty).count() == 0
+
+
+def test_chunks_are_bounded_by_bytes(vocab):
+    """Long texts with two spaces in a row leave little behind; what is kept stays within its bound and is right after it was let go."""
+    from kinfold.llm.pretoken import LONG, Chunks, pattern
+
+    rng = random.Random(3)
+    split = pattern().findall
+    own = Chunks(lambda chunks: [tuple(split(c)) for c in chunks], most=200_000)
+    for _ in range(30):
+        texts = ["  ".join("".join(rng.choice("abcdefg") for _ in range(rng.choice((2, 5, 90)))) for _ in range(400)) for _ in range(8)]
+        texts += ["", " ", "  ", "a ", " a", "\n a  \n b", "x \t y\u3000 z  "]
+        assert [[t for c in x for t in c] for x in own.of(texts)] == [split(t) for t in texts]
+        assert all(len(x) <= LONG for x in (*own.kept, *own.firsts)) and own.size < 1_500_000
+    own.clear()
+    assert not own.kept and not own.size
