@@ -28,10 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables written by this driver and not yet discarded.
+_paths: list[str] = []
+
+
+def discard(spark: SparkSession, since: int) -> None:
+    """Delete the tables written after the first ``since``, but for the last, which was made of them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _paths[since:-1]:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    del _paths[since:]
+
+
+def tables_written() -> int:
+    return len(_paths)
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: its lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinfold/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -82,25 +100,37 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 def map_text(df: DataFrame, text: str, keep: list[str], schema: str, work: Callable[[list], list], cast: str = "string") -> DataFrame:
     """Columns ``keep`` and what ``work`` makes of ``text``: it takes a list of strings or nulls and returns a list of Arrow arrays or Python lists, one for each field of ``schema``. Only these columns are read. A column of the input with the name of a new one isn't carried: the new one stands."""
-    new = [f.name for f in _schema(df, schema)]
-    keep = [c for c in keep if c.lower() not in {x.lower() for x in new}]
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
     fields = _schema(df, schema)
-    frame = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast(cast).alias("__text"))
-    out = frame.drop("__text").schema
+    keep = [c for c in keep if c.lower() not in {f.name.lower() for f in fields}]
+    # what is kept goes through as one column, so that none of its names meets another
+    frame = df.select(*kept(keep), F.col(f"`{text}`").cast(cast).alias("text"))
+    out = frame.drop("text").schema
     for f in fields:
         out = out.add(f)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(out)
-        for b in slices(batches, "__text", holder=work.__module__):
+        arrow = to_arrow_schema(StructType(list(fields)))
+        for b in slices(batches, "text", holder=work.__module__):
             made = work(b.column(b.num_columns - 1).to_pylist())
-            columns = [b.column(i) for i in range(b.num_columns - 1)]
-            columns += [x if isinstance(x, pa.Array) else pa.array(x, arrow.field(len(keep) + i).type) for i, x in enumerate(made)]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, arrow)], schema=arrow)
+            made = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, arrow, strict=True)]
+            made = [x.cast(f.type) if x.type != f.type else x for x, f in zip(made, arrow, strict=True)]
+            own = [b.schema.field(0)] if b.num_columns > 1 else []
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], schema=pa.schema([*own, *arrow]))
+
+    return unpacked(frame.mapInArrow(run, out), keep, [f.name for f in fields])
+
+
+def kept(keep: list[str]) -> list:
+    """The columns of ``keep`` as one, of a name that no operator gives; none if there are none."""
+    return [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept__")] if keep else []
+
 
-    return frame.mapInArrow(run, out)
+def unpacked(df: DataFrame, keep: list[str], new: list[str]) -> DataFrame:
+    """The columns that ``kept`` put together, and ``new``."""
+    return df.select(*[F.col("kept__").getField(c).alias(c) for c in keep], *new)
 
 
 def _schema(df: DataFrame, schema: str):

@@ -6,8 +6,10 @@ greedily by the longest piece that fits; then its shortest piece gives way to tw
 more tightly, as long as there are such. The pattern found is repeated as often as the histogram allows. Pieces take
 their places by rank within their length; ranks are counted in salted groups, so no length meets in one task.
 
-Defined results: a null or empty text is the end mark alone. Every row is a document, repeated rows too. An empty table
-gives none. Input columns named as a new one are replaced.
+Defined results: a null or empty text is the end mark alone; a text of any length is cut into as many pieces as it needs.
+Every row is a document, repeated rows too. Which of two pieces of one length lies where is settled by the number that
+each got when it was written, and by ``order`` before that within a salted group; of patterns that fit equally well the
+one with the longer first piece is taken. An empty table gives an empty one. Input columns named as a new one are replaced.
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_text, written
+from .common import kept, map_text, unpacked, written
 from .pretoken import Chunks
 
 END = 2
 CAPACITY = 1024
 #: Pieces of one length that are ranked in one group.
-GROUP_ROWS = 2_000
+GROUP_ROWS = 500
 
 
 def _four_bytes(ids: list[int]) -> bytes:
@@ -91,10 +93,14 @@ def pieces(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
         return [out]
 
     fields = "piece:int,start:bigint,length:bigint,ids_crc32:bigint" + ",ids:binary" * with_ids
-    names = {"piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "sequence_id", "offset", "pieces__"}
-    keep = [c for c in keep if c.lower() not in names]
-    made = map_text(df, text, keep, f"pieces__ array<struct<{fields}>>", work)
-    return made.select(*[f"`{c}`" for c in keep], F.inline("pieces__"))
+    keep = _others(keep, with_ids)
+    made = map_text(df.select(*kept(keep), F.col(f"`{text}`").alias("text")), "text", ["kept__"] * bool(keep), f"pieces__ array<struct<{fields}>>", work)
+    new = [f.split(":")[0] for f in fields.split(",")]
+    return unpacked(made.select(*["kept__"] * bool(keep), F.inline("pieces__")), keep, new)
+
+
+def _others(keep: list[str], with_ids: bool) -> list[str]:
+    return [c for c in keep if c.lower() not in {"piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "sequence_id", "offset"}]
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -162,24 +168,26 @@ def places(patterns: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
 
 def packed(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, *, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, order: list[str] | None = None) -> DataFrame:
     """The rows of ``pieces`` with sequence_id (from 0, without gaps) and offset. ``order`` ranks pieces of one length."""
-    found = written(pieces(df, path, text, keep, capacity=capacity, end=end, with_ids=with_ids), "pieces")
+    keep = _others(df.columns if keep is None else keep, with_ids)
+    own = ["piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    made = pieces(df.select(*kept(keep), F.col(f"`{text}`").alias("text")), path, "text", ["kept__"] * bool(keep), capacity=capacity, end=end, with_ids=with_ids)
+    columns = made.columns
+    # the number by which a piece is salted is written with it, so that every reading deals alike
+    found = written(made.withColumn("number__", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = places(plan(histogram, capacity))
     groups = F.array(*[F.lit(-(-histogram.get(n, 0) // GROUP_ROWS) or 1) for n in range(capacity + 1)])
-    salted = found.withColumn("salt__", F.pmod(F.monotonically_increasing_id(), F.get(groups, F.col("length").cast("int"))))
-    w = Window.partitionBy("length", "salt__").orderBy(*(order or []), "piece", "ids_crc32")
+    salted = found.withColumn("salt__", F.pmod(F.xxhash64("number__"), F.get(groups, F.col("length").cast("int"))))
+    w = Window.partitionBy("length", "salt__").orderBy(*[F.col("kept__").getField(c) for c in order or []], "piece", "number__")
     counts = salted.groupBy("length", "salt__").agg(F.count("*").alias("n__"))
     before = Window.partitionBy("length").orderBy("salt__").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "salt__", F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("base__"))
     ranked = salted.withColumn("row__", F.row_number().over(w) - 1).join(bases, ["length", "salt__"]).withColumn("rank__", F.col("row__") + F.col("base__"))
-    columns = found.columns
     frame = ranked.select(*[f"`{c}`" for c in columns], "rank__")
-    out = found.schema.add("sequence_id", "long").add("offset", "long")
+    out = made.schema.add("sequence_id", "long").add("offset", "long")
 
     def place(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow, at = to_arrow_schema(out), columns.index("length")
+        at = columns.index("length")
         for b in batches:
             lengths, ranks = b.column(at).to_numpy(zero_copy_only=False), b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
             sequence, offset = np.empty(len(ranks), np.int64), np.empty(len(ranks), np.int64)
@@ -189,6 +197,6 @@ def packed(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
                 k = np.searchsorted(t[:, 0], ranks[mine], side="right") - 1
                 sequence[mine] = t[k, 1] + ranks[mine] - t[k, 0]
                 offset[mine] = t[k, 2]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence), pa.array(offset)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence), pa.array(offset)], names=out.names)
 
-    return frame.mapInArrow(place, out)
+    return unpacked(frame.mapInArrow(place, out), keep, [*own, "sequence_id", "offset"])

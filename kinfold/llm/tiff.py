@@ -5,7 +5,8 @@ PackBits, LZW and deflate, and the horizontal predictor. ``encode`` writes bytes
 pixels; the pages take turns at the layouts in ``LAYOUTS``.
 
 Defined results: a null file has no page. A file that isn't TIFF, is cut short or loops is a single row with its error
-after the pages that were read. A null or empty text is stored as one row of spaces. Repeated rows give theirs each.
+after the pages that were read. A null or empty text is stored as one row of spaces. Texts of any length are stored
+whole. Repeated rows give theirs each; an empty table gives an empty one. Input columns named as a new one are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import kept, map_text, unpacked
 
 # fixed values of the format: tags, field types, compressions
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
@@ -342,15 +343,15 @@ def pages(df: DataFrame, media: str = "media", keep: list[str] | None = None) ->
     """One row a page: ``keep`` (all columns but ``media`` by default), page, width, height, samples, bits, compression, pixels, feature, error."""
     names = ["page", "width", "height", "samples", "bits", "compression", "pixels", "feature", "error"]
     keep = [c for c in ([c for c in df.columns if c != media] if keep is None else keep) if c.lower() not in names]
-    frame = df.select(*[f"`{c}`" for c in keep], F.col(media).alias("__media"))
-    out = frame.drop("__media").schema
+    frame = df.select(*kept(keep), F.col(f"`{media}`").alias("media"))
+    out = frame.drop("media").schema
     for n in names:
         out = out.add(n, "binary" if n == "pixels" else "string" if n in ("feature", "error") else "integer")
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(out)
+        kinds = list(to_arrow_schema(out))[-len(names) :]
         for b in batches:
             for i, data in enumerate(b.column(b.num_columns - 1)):
                 data, rows = data.as_py(), []
@@ -363,9 +364,9 @@ def pages(df: DataFrame, media: str = "media", keep: list[str] | None = None) ->
                     rows.append((len(rows), None, None, None, None, None, None, None, str(e)))
                 if rows:
                     ids = [c.take(pa.array([i] * len(rows))) for c in b.columns[:-1]]
-                    yield pa.RecordBatch.from_arrays([*ids, *[pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), list(arrow)[len(keep) :], strict=True)]], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([*ids, *[pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), kinds, strict=True)]], names=out.names)
 
-    return frame.mapInArrow(run, out)
+    return unpacked(frame.mapInArrow(run, out), keep, names)
 
 
 def digests(df: DataFrame, media: str = "media", keep: list[str] | None = None) -> DataFrame:

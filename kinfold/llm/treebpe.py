@@ -5,7 +5,9 @@ either side of the seam is encoded anew, and grows until the tokens outside prov
 before the window and its first token, and its last token and the first after it, are each what their joined bytes
 encode to: a sequence is an encoding exactly when every neighbouring pair of it is.
 
-Defined results: null and empty texts have no ids, and decode to no bytes. Special strings are ordinary text.
+Defined results: null and empty texts have no ids, and decode to no bytes. Special strings are ordinary text. Of equal
+ranks the left pair merges first. Texts of any length are encoded whole; repeated rows are encoded each; an empty table
+gives an empty one. Input columns named as a new one are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import heapq
 
 from pyspark.sql import DataFrame
 
-from .common import map_text
+from .common import kept, map_text, unpacked
 from .pretoken import Chunks, pattern
 
 #: Bytes up to which a piece is merged directly.
@@ -177,18 +179,16 @@ def decoded(df: DataFrame, path: str, ids: str = "ids", keep: list[str] | None =
     from pyspark.sql import functions as F
 
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() != "decoded"]
-    frame = df.select(*keep, F.col(ids).alias("__ids"))
-    out = df.select(*keep).schema.add("decoded", "binary")
+    frame = df.select(*kept(keep), F.col(f"`{ids}`").alias("ids"))
+    out = frame.drop("ids").schema.add("decoded", "binary")
 
     def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        bpe, arrow = codec(path).bpe, to_arrow_schema(out)
+        bpe = codec(path).bpe
         for b in batches:
             made = pa.array([bpe.decode(x.as_py() or []) for x in b.column(b.num_columns - 1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=out.names)
 
-    return frame.mapInArrow(run, out)
+    return unpacked(frame.mapInArrow(run, out), keep, ["decoded"])
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
