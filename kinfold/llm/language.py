@@ -7,7 +7,10 @@ suffix and the whole. Only the text model is fitted on a bounded sample of label
 
 Evidence that a row lacks (null or unknown declaration, no host) adds nothing. A null or empty text, or one that a
 uniform model explains better than every language, gets language ``und`` and isn't kept. Without any labelled row
-every text is ``und``. Repeated rows get the same result each. Input columns named as a new one are replaced.
+every text is ``und``. Of languages of one posterior the first in alphabetical order is taken. Texts of any length are
+scored whole. Repeated rows get the same result each; the text model counts equal labelled texts once, the other
+evidence counts rows. An empty table gives an empty model and an empty result. Input columns named as a new one are
+replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, small_enough, written
+from .common import kept, map_text, small_enough, unpacked, written
 
 SAMPLE_ROWS = 6_000
 BITS = 14
@@ -66,7 +69,7 @@ class TextModel:
 
 
 def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", sample_rows: int = SAMPLE_ROWS, least_rows: int = 5) -> TextModel:
-    """Fit on at most ``sample_rows`` different labelled texts, those of smallest hash; a language needs ``least_rows`` of them (copies read by other tasks count anew). Counts are summed by the executors."""
+    """Fit on at most ``sample_rows`` different labelled texts, those of smallest hash; a language needs ``least_rows`` of them. Counts are summed by the executors."""
     rows = docs.select(F.lower(F.col(label)).alias("__l"), F.col(text).alias("__t")).filter("__l is not null and __t is not null and length(__t) > 0")
     rows = rows.withColumn("__h", F.xxhash64("__t", "__l"))
     # only hashes are ordered and brought together; the texts under the last one stay where they are
@@ -75,18 +78,14 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", sample_rows
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         rows: dict[str, int] = {}
-        seen: set[int] = set()
         for b in batches:
-            for lang, t, h in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if h in seen:
-                    continue
-                seen.add(h)
+            for lang, t in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 sums[lang] = sums.get(lang, 0) + np.bincount(_trigrams(t.encode()), minlength=1 << BITS)
                 rows[lang] = rows.get(lang, 0) + 1
         for lang, v in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang], "n": pa.array([rows[lang]], pa.int64()), "bucket": pa.array([np.flatnonzero(v).tolist()], pa.list_(pa.int64())), "times": pa.array([v[v > 0].tolist()], pa.list_(pa.int64()))})
 
-    counts = written(rows.filter(F.col("__h") <= F.lit(last)).select("__l", "__t", "__h").mapInArrow(count, "lang string, n long, bucket array<bigint>, times array<bigint>"), "counts")
+    counts = written(rows.filter(F.col("__h") <= F.lit(last)).dropDuplicates(["__h"]).select("__l", "__t").mapInArrow(count, "lang string, n long, bucket array<bigint>, times array<bigint>"), "counts")
     sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     cells = counts.select("lang", F.explode(F.arrays_zip("bucket", "times")).alias("c")).groupBy("lang", "c.bucket").agg(F.sum("c.times").alias("times")).collect()
     # as many cells as buckets and languages, whatever the input
@@ -189,7 +188,8 @@ def fuse(rows: DataFrame, model: TextModel, evidence: Evidence, least: float = L
     if not k:
         return rows.drop(*new).withColumns({"language": F.lit(UNKNOWN), "confidence": F.lit(0.0), "kept": F.lit(False)})
     small = lambda t: F.broadcast(t) if small_enough(t, 64 + 8 * k) else t
-    out = rows.drop(*new).withColumn("suffix__", suffix_of(F.col("host")))
+    names_ = [c for c in rows.columns if c not in new]
+    out = rows.select(*kept(names_), "text_scores", "declared", "host", suffix_of(F.col("host")).alias("suffix__"))
     out = out.join(small(evidence.declared), "declared", "left").join(small(evidence.hosts), "host", "left").join(small(evidence.suffixes.withColumnRenamed("suffix", "suffix__")), "suffix__", "left")
     known = F.coalesce(F.size("text_scores"), F.lit(0)) > 0
     post = [F.get("text_scores", i) + F.coalesce(F.col(f"d_{i}"), F.lit(0.0)) + F.coalesce(F.col(f"h_{i}"), F.coalesce(F.col(f"s_{i}"), F.lit(0.0)) + F.lit(evidence.whole[i])) for i in range(k)]
@@ -204,4 +204,4 @@ def fuse(rows: DataFrame, model: TextModel, evidence: Evidence, least: float = L
         which = F.when(F.get("post__", i) == F.col("top__"), F.lit(names[i])).otherwise(which)
     out = out.withColumns({"language": F.when(known, which).otherwise(F.lit(UNKNOWN)), "confidence": F.when(known, confidence).otherwise(F.lit(0.0))})
     out = out.withColumn("kept", (F.col("language") != UNKNOWN) & (F.col("confidence") >= F.lit(least)))
-    return out.select(*[c for c in rows.columns if c not in new], *new)
+    return unpacked(out, names_, new)
