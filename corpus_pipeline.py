@@ -1,16 +1,18 @@
 """A corpus in five stages: quality rules, language, near duplicates, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; its result is written and read
-again. All but the last return the columns of ``documents``, whatever else the table has.
+again. All but the last return the columns of ``documents``, whatever else the table has: operators see a document as
+one column beside its text, so no other column can clash with theirs. An empty table goes through every stage and gives an
+empty result; texts of any length are taken whole. Each stage says what becomes of nulls, repeated rows and ties.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm import jaccard, language, packing, quality, secrets
-from kinfold.llm.common import documents, small_enough, written
+from kinfold.llm.common import discard, documents, small_enough, tables_written, written
 from kinfold.llm.queries import vocabulary
 
 
@@ -24,14 +26,14 @@ def _carried(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the learnt list keep."""
+    """Documents that the base rule and the learnt list keep. A null or empty text has no words and goes; repeated rows, and rows without doc_id, are judged each by its text."""
     rules = quality.learn_from(docs, documents(spark, sf_dir, "labels"))
     measured = quality.with_statistics(_carried(docs), keep=["row__"])
     return quality.judged(measured, rules).filter("kept").select("row__.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is one of those of the labels, by their text, declared language and source."""
+    """Documents whose language is one of those of the labels, by their text, declared language and source. Null lang or source is no evidence; a null or empty text goes; repeated rows are judged each. Of equally likely languages the first by name is taken."""
     model = language.fit(docs)
     evidence = [F.lower("lang").alias("declared"), language.host_of(F.col("source")).alias("host")]
     slim = written(language.scored(docs.select("text", *evidence), model, keep=["declared", "host"]), "scores")
@@ -41,25 +43,42 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents with a Jaccard similarity of 0.8 or more over five words, the one with the least doc_id. Rows that share a doc_id are one document, of which one row stays; rows without doc_id stay."""
-    found = jaccard.near_duplicates(docs, k=SHINGLE, ratio=RATIO)
-    gone = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(F.broadcast(gone) if small_enough(gone, 24) else gone, "doc_id", "left_anti")
-    again = written(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
-    if again.isEmpty():
-        return kept.select(docs.columns)
-    side = F.broadcast(again) if small_enough(again, 24) else again
-    one = kept.join(side, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(side, "doc_id", "left_anti").select(docs.columns).union(one)
+    """Of each component of documents with a Jaccard similarity of 0.8 or more over five words, the one with the least doc_id.
+
+    Rows without doc_id stay, but link others. Rows that share a doc_id and a text are one document, of which one row
+    stays. Where texts differ under one doc_id, the one of least digest has the id, and the others are documents after
+    all ids, so that none goes without a representative. A text without words links with nothing and stays.
+    """
+    shared = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    shared = written(shared, "shared")
+    if shared.isEmpty():
+        return _of_components(docs, "doc_id").select(docs.columns)
+    side = F.broadcast(shared) if small_enough(shared, 24) else shared
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    one = docs.join(side, "doc_id", "left_semi").withColumn("digest__", F.when(F.col("text").isNotNull(), digest).otherwise(""))
+    one = one.dropDuplicates(["doc_id", "digest__"])
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("digest__")) == 1
+    late = F.lit(1 << 62) + F.xxhash64("doc_id", "digest__").bitwiseAND((1 << 61) - 1)
+    one = one.withColumn("place__", F.when(first, F.col("doc_id").cast("long")).otherwise(late)).drop("digest__")
+    rest = docs.join(side, "doc_id", "left_anti").withColumn("place__", F.col("doc_id").cast("long"))
+    names = [*docs.columns, "place__"]
+    return _of_components(written(rest.select(names).union(one.select(names)), "places"), "place__").select(docs.columns)
+
+
+def _of_components(docs: DataFrame, doc_id: str) -> DataFrame:
+    """The documents that have the least id of their component, and those without id."""
+    found = jaccard.near_duplicates(docs, doc_id, k=SHINGLE, ratio=RATIO)
+    gone = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)), "gone")
+    return docs.join(F.broadcast(gone) if small_enough(gone, 24) else gone, doc_id, "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents, their secrets replaced by marks."""
+    """The same documents, their secrets replaced by marks. A null or empty text stays as it is; repeated rows are treated each; of spans that overlap the joined stretch goes."""
     return secrets.redacted(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """A row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is its end mark; repeated rows, and rows without doc_id, are packed each."""
     return packing.packed(docs, vocabulary("byte_bpe_50k.json"), keep=["doc_id"], order=["doc_id"])
 
 
@@ -78,5 +97,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        at = tables_written()
+        made = written(stage(spark, docs, sf_dir), name)
+        discard(spark, at)
+        docs = made
     return docs

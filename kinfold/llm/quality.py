@@ -5,8 +5,10 @@ sample, is pruned on the other third, and takes the rows it covers out of the sa
 precise enough. The list is emitted as one ordered Spark conditional expression over the statistics of a text.
 
 Defined results: a null or empty text has no words, so every count is 0 and the base rule rejects it. A list learnt
-from no labelled row, or from rows of one class, has no rule and keeps what the base rule keeps. Repeated rows get the
-same verdict each. Input columns with the name of a statistic or verdict are replaced by it.
+from no labelled row, or from rows of one class, has no rule and keeps what the base rule keeps. Conditions of equal gain
+are settled by the order of ``FEATURES``, then by the lower threshold; the first rule that matches decides. Texts of any
+length are measured whole. Repeated rows get the same verdict each; an empty table gives an empty one. Input columns with
+the name of a statistic or verdict are replaced by it.
 """
 
 from __future__ import annotations

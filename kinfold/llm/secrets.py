@@ -6,7 +6,8 @@ character that enters and taking off the one that leaves. Windows at or over the
 Candidates on the allow list (identifiers, paths, plain words and numbers) are suppressed.
 
 Defined results: null and empty texts have no span; every repeated row gets its spans; spans are code points, end
-exclusive, and may overlap across kinds.
+exclusive, and may overlap across kinds; spans that begin together are in the order of ``KINDS``. Texts of any length are
+scanned whole. An empty table gives an empty one. An input column named ``secrets`` is replaced.
 """
 
 from __future__ import annotations

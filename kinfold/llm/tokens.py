@@ -5,7 +5,8 @@ neighbouring pairs, finds its lowest, and all occurrences of that pair in it are
 overlap. A sequence without a pair in the merge table is done; its surviving symbols are its tokens.
 
 Defined results: null and empty texts have no token. Special strings of the vocabulary inside a text are one token each,
-as the library's default has it. Repeated rows are counted each.
+as the library's default has it. Of equal pairs that overlap the left one merges. Texts of any length are counted whole;
+repeated rows are counted each; an empty table gives an empty one. Input columns named as a new one are replaced.
 """
 
 from __future__ import annotations

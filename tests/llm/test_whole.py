@@ -2,7 +2,6 @@
 
 import random
 
-import pyarrow as pa
 import pytest
 from kinfold.llm import jaccard, wrapper
 from test_corpus import shingle_set
@@ -132,3 +131,151 @@ def test_bootstrap_makes_a_thousand_resamples(spark, sf_dir):
     parts = rankings.gold(spark, sf_dir).groupBy("who").agg(F.sum(F.col("gold") * F.col("s")).alias("num"), F.sum("gold").alias("den"))
     got, want, fewer = (x.first() for x in (rankings.bootstrap_ci(spark, sf_dir), evaluation.bootstrap(parts, "who", "num", "den", draws=1000), evaluation.bootstrap(parts, "who", "num", "den", draws=200)))
     assert tuple(got) == pytest.approx(tuple(want)) and tuple(got) != pytest.approx(tuple(fewer))
+
+
+def clashing(spark, rows):
+    """Tables whose other columns have the names that operators give or use inside."""
+    names = "n_bytes n_tokens over_limit ids ids_sha256 decoded secrets piece start length sequence_id offset media page error payload_bytes record_type key place side label counts hashes n_words kept rule language confidence text_scores declared host row__ __text salt__ number__ n_chars n_shingles component_id".split()
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return made.selectExpr("*", *[f"'clash' as `{n}`" for n in names]).repartition(2)
+
+
+@pytest.fixture(scope="module")
+def odd(spark, texts):
+    """One very long text of each kind, repeated rows, nulls in every column."""
+    long = [" ".join(f"w{i % 977}" for i in range(150_000)), "x" * 400_000, "a  b\n" * 60_000, "password=" + "9f" * 60_000]
+    rows = [(i, t, "en", "s") for i, t in enumerate(long)] + [(9, texts[7], None, None)] * 2 + [(None, None, None, None), (10, "", "en", "")]
+    return clashing(spark, rows)
+
+
+@pytest.mark.parametrize("name", ["tokens", "secrets", "treebpe", "tiff", "packing", "quality", "language", "jaccard", "pages", "archives"])
+def test_odd_tables(spark, odd, vocab, name):
+    """Clashing columns, very long texts, nulls, repeated rows and an empty table, for every operator."""
+    from kinfold.llm import language, packing, quality, secrets, tiff, tokens, treebpe, warc
+    from pyspark.sql import functions as F
+
+    def fused(d):
+        model = language.fit(d, least_rows=1)
+        seen = language.scored(d.withColumns({"declared": F.col("lang"), "host": language.host_of(F.col("source"))}), model)
+        return language.fuse(seen, model, language.gather(seen, model))
+
+    web = lambda d: d.select("*", F.col("doc_id").alias("page_id"), F.concat(F.lit("http://h.x/"), "source").alias("url"), F.concat(F.lit("<p>"), "text").alias("html"))
+    work = {
+        "tokens": lambda d: tokens.token_counts(d, vocab("byte_bpe_50k.json")),
+        "secrets": secrets.scan,
+        "treebpe": lambda d: treebpe.decoded(treebpe.encoded(treebpe.round_trip(d, vocab("byte_bpe_50k.tiktoken")), vocab("byte_bpe_50k.tiktoken")), vocab("byte_bpe_50k.tiktoken")),
+        "tiff": lambda d: tiff.digests(tiff.with_media(d)),
+        "packing": lambda d: packing.packed(d, vocab("byte_bpe_50k.json")),
+        "quality": lambda d: quality.judged(quality.with_statistics(d), quality.DecisionList()),
+        "language": fused,
+        "jaccard": jaccard.near_duplicates,
+        "pages": lambda d: wrapper.extract(web(d)),
+        "archives": lambda d: warc.round_trip(spark, web(d)),
+    }[name]
+    rows = [r.asDict() for r in work(odd).collect()]
+    assert work(odd.limit(0)).count() == 0
+    ids = [r["page_id" if name == "archives" else "doc_id"] for r in rows]
+    assert set(ids) == {0, 1, 2, 3, 9, 10, None} and (name == "packing" or len(rows) == 8 and ids.count(9) == 2)
+    of = {r["page_id" if name == "archives" else "doc_id"]: r for r in rows}
+    if name == "tokens":
+        assert of[None]["n_tokens"] == of[10]["n_tokens"] == 0 and of[0]["n_tokens"] > 150_000 and of[1]["n_bytes"] == 400_000
+    if name == "secrets":
+        assert of[3]["secrets"] and not of[None]["secrets"]
+    if name == "treebpe":
+        assert of[2]["decoded"].decode() == "a  b\n" * 60_000 and of[None]["n_tokens"] == 0
+    if name == "tiff":
+        assert of[3]["payload_bytes"] % 192 == 0 and of[None]["payload_bytes"] == 192 and not any(r["error"] for r in rows)
+    if name == "packing":
+        assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows) and sum(r["length"] for r in rows if r["doc_id"] is None) == 1
+    if name == "quality":
+        assert of[0]["n_words"] == 150_000 and not of[10]["kept"] and of[2]["n_dup_lines"] == 59_999
+    if name == "language":
+        assert of[None]["language"] == "und" and of[9]["language"] is not None
+    if name == "jaccard":
+        assert [of[i]["component_id"] for i in (0, 1, 2, 3, 9, 10)] == [0, 1, 2, 3, 9, 10] and of[0]["n_shingles"] == 977
+    if name == "pages":
+        assert of[None]["text"] == of[10]["text"] == "" and len(of[0]["text"]) > 500_000
+    if name == "archives":
+        assert of[None]["payload_bytes"] == 0 and of[1]["payload_bytes"] == 400_003
+
+
+def test_shared_ids_keep_every_text(spark):
+    """Under one doc_id a copy of another document and a text of its own: the copy goes, its own text stays; equal rows are one."""
+    import corpus_pipeline as P
+
+    rng = random.Random(2)
+    a, b, c, d = (" ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (5, b), (6, b), (7, c), (7, c), (8, None), (8, d), (None, c), (None, None), (9, d)]
+    got = dict(P.STAGES)["near_duplicates"](spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    kept = sorted((r.text for r in got if r.doc_id is not None), key=str)
+    assert kept == sorted([a, b, c, d, None], key=str) and [r.doc_id for r in got].count(None) == 2
+
+
+def test_language_posterior_by_hand(spark):
+    """Posteriors of a small table, computed plainly from the same text scores: declarations, suffixes, and hosts smoothed along domain, suffix and whole."""
+    import math
+
+    from kinfold.llm import language
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    speak = {"aa": ["bacada", "fagaha", "jakala"], "bb": ["rosoto", "vowoxo", "yozoco"]}
+    rows = []
+    for i in range(90):
+        l = "aa" if i % 3 else "bb"
+        text = " ".join(rng.choice(speak[l]) for _ in range(20)) if i % 7 else None
+        rows.append((i, text, l, rng.choice([l, l, "aa", None]), rng.choice(["w.x.org", "v.x.org", f"{l}.net", "plain", None])))
+    rows += [(100, "bacada rosoto", None, "bb", "new.org"), (101, "rosoto bacada", None, None, "w.x.org"), (102, "fagaha vowoxo", None, "zz", None)]
+    df = spark.createDataFrame(rows, "id int, text string, lang string, declared string, host string")
+    model = language.fit(df)
+    seen = [r.asDict() for r in language.scored(df, model).collect()]
+    names, pull = model.languages, language.PULL
+    assert names == ["aa", "bb"]
+
+    def of_text(s):
+        best = max([0.0, *s]) if s else 0
+        return names[s.index(best)] if best > 0 else None
+
+    said = [(r["declared"], r["host"], of_text(r["text_scores"])) for r in seen]
+    said = [x for x in said if x[2]]
+    count = lambda f: [sum(bool(f(x)) and x[2] == l for x in said) for l in names]
+    total = count(lambda x: True)
+    whole = [(n + 1) / (sum(total) + 2) for n in total]
+    suffix_of = lambda h: h.rsplit(".", 1)[1] if h and "." in h else None
+    domain_of = lambda h: ".".join(h.split(".")[-2:])
+    smooth = lambda n, up: [(a + pull * b) / (sum(n) + pull) for a, b in zip(n, up, strict=True)]
+    suffixes = {s: smooth(count(lambda x: suffix_of(x[1]) == s), whole) for s in {suffix_of(x[1]) for x in said} - {None}}
+    hosts = {}
+    for h in {x[1] for x in said} - {None}:
+        domain = smooth(count(lambda x: x[1] and domain_of(x[1]) == domain_of(h)), suffixes.get(suffix_of(h), whole))
+        hosts[h] = smooth(count(lambda x: x[1] == h), domain)
+    declared = {}
+    for d in {x[0] for x in said} - {None}:
+        n = count(lambda x: x[0] == d)
+        declared[d] = [(a + pull * sum(n) / sum(total)) / (t + pull) for a, t in zip(n, total, strict=True)]
+    got = {r.id: r for r in language.fuse(language.scored(df, model), model, language.gather(language.scored(df, model), model)).collect()}
+    for r in seen:
+        s = r["text_scores"]
+        if not s:
+            assert (got[r["id"]].language, got[r["id"]].confidence) == ("und", 0.0)
+            continue
+        prior = hosts.get(r["host"]) or [a * b / b for a, b in zip(suffixes.get(suffix_of(r["host"]), whole), whole, strict=True)]
+        post = [x + math.log(p) + math.log(d) for x, p, d in zip(s, prior, declared.get(r["declared"], [1, 1]), strict=True)] + [math.log(min(whole))]
+        best = post.index(max(post))
+        assert got[r["id"]].language == [*names, "und"][best]
+        assert got[r["id"]].confidence == pytest.approx(1 / sum(math.exp(x - max(post)) for x in post))
+
+
+def test_decision_list_verdicts_by_hand(spark, docs):
+    """What the ordered conditions give for every row, against the rules applied one by one."""
+    from kinfold.llm import quality
+
+    rules = quality.DecisionList([
+        quality.Rule([("symbols_per_word", True, 0.2)]), quality.Rule([("dup_lines_share", True, 0.4), ("n_words", True, 60.0)]), quality.Rule([("chars_per_word", False, 2.0), ("words_per_line", True, 5.0)]), quality.Rule([("n_words", True, 8000.0)]),
+    ])
+    for r in quality.judged(quality.with_statistics(docs), rules).collect():
+        n, chars, symbols, dup, repeat, lines = quality.text_statistics(r.text)
+        value = {"symbols_per_word": symbols / max(n, 1), "chars_per_word": chars / max(n, 1), "dup_lines_share": dup / max(lines, 1), "repeat_share": repeat / max(n, 1), "words_per_line": n / max(lines, 1), "n_words": n}
+        first = next((k for k, rule in enumerate(rules.rules, 1) if all((value[f] >= t) == above for f, above, t in rule.conditions)), 0)
+        failed = n < 50 or 100 * repeat > 50 * n
+        assert (r.base_failed, r.rule, r.kept) == (failed, first, not failed and not first)
