@@ -16,8 +16,8 @@ import regex
 
 from .common import frees
 
-#: Bytes of chunks and results kept by a worker, as estimated: so much a chunk and so much a character. When full, the dictionary starts anew.
-KEPT_BYTES, ENTRY_BYTES, CHAR_BYTES = 128 << 20, 200, 12
+#: Bytes of chunks and results kept by a worker, as estimated: so much a chunk and so much a character. At half of them a new dictionary begins, into which what is met again moves from the one before; that goes when the new one is full.
+KEPT_BYTES, ENTRY_BYTES, CHAR_BYTES = 224 << 20, 200, 12
 #: Characters up to which a chunk is kept.
 LONG = 64
 _SPACE = regex.compile(r"\s")
@@ -65,20 +65,26 @@ class Chunks:
         self.make, self.most = make, most
         self.kept: dict[str, object] = {}  # by the chunk without its space
         self.firsts: dict[str, object] = {}  # chunks at the beginning of a text
+        self.before: dict[int, dict[str, object]] = {}  # what both held before they began anew
         self.size = 0  # an estimate of the bytes that both hold
         frees(self.clear)
 
     def clear(self) -> None:
         self.kept.clear()
         self.firsts.clear()
+        self.before.clear()
         self.size = 0
 
     def _add(self, kept: dict[str, object], chunks: set[str], before: str) -> list[str]:
         """Add the results of new ``chunks``; return those too long to stay."""
         short = [x for x in chunks if len(x) <= LONG]
-        kept.update(zip(short, self.make([before + x for x in short]), strict=True))
         self.size += sum(map(len, short)) * CHAR_BYTES + len(short) * ENTRY_BYTES
-        if len(short) == len(chunks):
+        some = len(short) < len(chunks)
+        if old := self.before.get(id(kept)):
+            kept.update((x, old[x]) for x in short if x in old)
+            short = [x for x in short if x not in old]
+        kept.update(zip(short, self.make([before + x for x in short]), strict=True))
+        if not some:
             return []
         long = [x for x in chunks if len(x) > LONG]
         kept.update(zip(long, self.make([before + x for x in long]), strict=True))
@@ -86,8 +92,9 @@ class Chunks:
 
     def of(self, texts: list[str]) -> list[list]:
         """The results of each text's chunks, in order."""
-        if self.size > self.most:
-            self.clear()
+        if 2 * self.size > self.most:
+            held, self.kept, self.firsts, self.size = (self.kept, self.firsts), {}, {}, 0
+            self.before = {id(self.kept): held[0], id(self.firsts): held[1]}
         parts = [t.split(" ") for t in texts]
         spaces = white_space()
         blank = {x for x in set().union(*(p[1:] for p in parts)).difference(self.kept) if not x or x[0] in spaces}
