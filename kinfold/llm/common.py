@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -113,6 +114,7 @@ def map_text(df: DataFrame, text: str, keep: list[str], schema: str, work: Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(StructType(list(fields)))
+        gc.set_threshold(200_000, 20, 50)  # what workers keep has no cycles, and going through it costs
         for b in slices(batches, "text", holder=work.__module__):
             made = work(b.column(b.num_columns - 1).to_pylist())
             made = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, arrow, strict=True)]

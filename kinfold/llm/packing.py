@@ -62,7 +62,11 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        return list(map(b"".join, self.chunks.of([t or "" for t in texts])))
+        found, which, start, end = self.chunks.flat([t or "" for t in texts])
+        ids = pa.array(found, pa.large_binary()).take(pa.array(which))
+        at = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        whole = memoryview(ids.buffers()[2] or b"")
+        return [whole[a:b].tobytes() for a, b in zip(at[start].tolist(), at[end].tolist(), strict=True)]
 
 
 @functools.cache

@@ -10,8 +10,12 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from .common import frees
@@ -58,61 +62,85 @@ def white_space() -> frozenset[str]:
     return frozenset(c for c in map(chr, range(1 << 16)) if _SPACE.match(c))
 
 
+@functools.cache
+def _cuts() -> tuple[re.Pattern, re.Pattern]:
+    """A space that begins no match, as white space or the end follows; and one that does."""
+    spaces = "".join(sorted(map(re.escape, white_space())))
+    return re.compile(f" (?:[{spaces}]|\\Z)"), re.compile(f" (?![{spaces}]|\\Z)")
+
+
+class _Held:
+    """Results by chunk, of chunks that stand after ``lead``. Those met again live on when the dictionary begins anew."""
+
+    def __init__(self, lead: str):
+        self.lead, self.now, self.old = lead, {}, {}
+
+    def anew(self) -> None:
+        self.now, self.old = {}, self.now
+
+    def of(self, chunks: list[str], make: Callable[[list[str]], list]) -> tuple[list, int]:
+        """The results, and an estimate of the bytes that have come to be kept."""
+        out = list(map(self.now.get, chunks))
+        miss = [i for i, r in enumerate(out) if r is None]
+        if self.old:
+            for i in miss:
+                out[i] = self.old.get(chunks[i])
+            self.now.update((chunks[i], out[i]) for i in miss if out[i] is not None)
+        fresh = [i for i in miss if out[i] is None]
+        for i, r in zip(fresh, make([self.lead + chunks[i] for i in fresh]), strict=True):
+            out[i] = r
+        self.now.update((chunks[i], out[i]) for i in fresh if len(chunks[i]) <= LONG)
+        return out, sum(ENTRY_BYTES + CHAR_BYTES * n for i in miss if (n := len(chunks[i])) <= LONG)
+
+
 class Chunks:
-    """What ``make`` gives for the chunks of texts. ``make`` takes a list of strings that no kept result covers and returns a list."""
+    """What ``make`` gives for the chunks of texts. ``make`` takes a list of strings that no kept result covers and returns a list without None."""
 
     def __init__(self, make: Callable[[list[str]], list], most: int = KEPT_BYTES):
         self.make, self.most = make, most
-        self.kept: dict[str, object] = {}  # by the chunk without its space
-        self.firsts: dict[str, object] = {}  # chunks at the beginning of a text
-        self.before: dict[int, dict[str, object]] = {}  # what both held before they began anew
-        self.size = 0  # an estimate of the bytes that both hold
+        self.inner, self.first = _Held(" "), _Held("")  # chunks without their space; chunks at the beginning of a text
+        self.size = 0  # an estimate of the bytes that both hold anew
         frees(self.clear)
 
     def clear(self) -> None:
-        self.kept.clear()
-        self.firsts.clear()
-        self.before.clear()
-        self.size = 0
-
-    def _add(self, kept: dict[str, object], chunks: set[str], before: str) -> list[str]:
-        """Add the results of new ``chunks``; return those too long to stay."""
-        short = [x for x in chunks if len(x) <= LONG]
-        self.size += sum(map(len, short)) * CHAR_BYTES + len(short) * ENTRY_BYTES
-        some = len(short) < len(chunks)
-        if old := self.before.get(id(kept)):
-            kept.update((x, old[x]) for x in short if x in old)
-            short = [x for x in short if x not in old]
-        kept.update(zip(short, self.make([before + x for x in short]), strict=True))
-        if not some:
-            return []
-        long = [x for x in chunks if len(x) > LONG]
-        kept.update(zip(long, self.make([before + x for x in long]), strict=True))
-        return long
+        self.inner, self.first, self.size = _Held(" "), _Held(""), 0
+
+    def flat(self, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        """Results of different chunks, the number of each chunk's result, and where each text's chunks start and end among these."""
+        if 2 * self.size > self.most:
+            self.inner.anew()
+            self.first.anew()
+            self.size = 0
+        odd, cut = _cuts()
+        plain = [i for i, t in enumerate(texts) if odd.search(t) is None]
+        rest = [i for i, t in enumerate(texts) if odd.search(t) is not None] if len(plain) < len(texts) else []
+        parts = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        others = [cut.split(texts[i]) for i in rest]
+        words = pa.concat_arrays([parts.values, pa.array([x for p in others for x in p], pa.large_string())]).dictionary_encode()
+        ends = np.concatenate([parts.offsets.to_numpy(zero_copy_only=False)[1:], parts.offsets[-1].as_py() + np.cumsum(list(map(len, others)), dtype=np.int64)]).astype(np.int64)
+        end = np.empty(len(texts), np.int64)
+        start = np.empty(len(texts), np.int64)
+        order = [*plain, *rest]
+        end[order], start[order] = ends, np.concatenate([[0], ends[:-1]])[: len(ends)]
+        which, names = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary.to_pylist()
+        inside = np.ones(len(which), bool)
+        inside[start] = False
+        used = np.unique(which[inside])
+        found, more = self.inner.of([names[k] for k in used.tolist()], self.make)
+        heads, place = np.unique(which[start], return_inverse=True)
+        firsts, again = self.first.of([names[k] for k in heads.tolist()], self.make)
+        self.size += more + again
+        number = np.zeros(len(names), np.int64)
+        number[used] = np.arange(len(used))
+        which = number[which]
+        which[start] = len(used) + place
+        return found + firsts, which, start, end
 
     def of(self, texts: list[str]) -> list[list]:
         """The results of each text's chunks, in order."""
-        if 2 * self.size > self.most:
-            held, self.kept, self.firsts, self.size = (self.kept, self.firsts), {}, {}, 0
-            self.before = {id(self.kept): held[0], id(self.firsts): held[1]}
-        parts = [t.split(" ") for t in texts]
-        spaces = white_space()
-        blank = {x for x in set().union(*(p[1:] for p in parts)).difference(self.kept) if not x or x[0] in spaces}
-        if blank:
-            # a space before white space, or at the end, begins no match: it belongs to the chunk before
-            for i, p in enumerate(parts):
-                if not blank.isdisjoint(p[1:]):
-                    at = [0, *(k for k in range(1, len(p)) if p[k] not in blank), len(p)]
-                    parts[i] = [" ".join(p[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
-        heads = [p.pop(0) for p in parts]
-        long = self._add(self.kept, set().union(*parts).difference(self.kept), " ")
-        firsts = self._add(self.firsts, set(heads).difference(self.firsts), "")
-        get, first = self.kept.__getitem__, self.firsts
-        out = [[first[h], *map(get, p)] for h, p in zip(heads, parts, strict=True)]
-        for held, some in ((self.kept, long), (self.firsts, firsts)):
-            for x in some:
-                del held[x]
-        return out
+        found, which, start, end = self.flat(texts)
+        which = which.tolist()
+        return [[found[k] for k in which[a:b]] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
 
 
 def split_special(text: str, special: list[str]) -> list[str]:

@@ -189,6 +189,6 @@ def test_chunks_are_bounded_by_bytes(vocab):
         texts = ["  ".join("".join(rng.choice("abcdefg") for _ in range(rng.choice((2, 5, 90)))) for _ in range(400)) for _ in range(8)]
         texts += ["", " ", "  ", "a ", " a", "\n a  \n b", "x \t y\u3000 z  "]
         assert [[t for c in x for t in c] for x in own.of(texts)] == [split(t) for t in texts]
-        assert all(len(x) <= LONG for x in (*own.kept, *own.firsts)) and own.size < 1_500_000
+        assert all(len(x) <= LONG for h in (own.inner, own.first) for x in (*h.now, *h.old)) and own.size < 1_500_000
     own.clear()
-    assert not own.kept and not own.size
+    assert own.of([]) == [] and not own.inner.now and not own.inner.old and not own.size
