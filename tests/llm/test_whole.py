@@ -123,16 +123,6 @@ def test_elements_at_any_depth():
     assert [wrapper.main_text(x, again) for x in deeper] == ["story 0", "story 1", "story 2"]
 
 
-def test_bootstrap_makes_a_thousand_resamples(spark, sf_dir):
-    from kinfold.operators import evaluation
-    from kinfold.plans import rankings
-    from pyspark.sql import functions as F
-
-    parts = rankings.gold(spark, sf_dir).groupBy("who").agg(F.sum(F.col("gold") * F.col("s")).alias("num"), F.sum("gold").alias("den"))
-    got, want, fewer = (x.first() for x in (rankings.bootstrap_ci(spark, sf_dir), evaluation.bootstrap(parts, "who", "num", "den", draws=1000), evaluation.bootstrap(parts, "who", "num", "den", draws=200)))
-    assert tuple(got) == pytest.approx(tuple(want)) and tuple(got) != pytest.approx(tuple(fewer))
-
-
 def clashing(spark, rows):
     """Tables whose other columns have the names that operators give or use inside."""
     names = "n_bytes n_tokens over_limit ids ids_sha256 decoded secrets piece start length sequence_id offset media page error payload_bytes record_type key place side label counts hashes n_words kept rule language confidence text_scores declared host row__ __text salt__ number__ n_chars n_shingles component_id".split()
