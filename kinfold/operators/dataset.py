@@ -153,3 +153,74 @@ def search_jobs(jobs: DataFrame, prefixes: dict[str, str], owner: str | None = N
     for c, p in prefixes.items():
         jobs = jobs.filter(F.lower(F.col(c)).startswith(p.lower()))
     return jobs if owner is None else jobs.filter(F.col(owner_column) == owner)
+
+
+class ExpectedDataError(ValueError):
+    """Data that a job can't do without isn't there: the fault is in what was asked for."""
+
+
+def required(df: DataFrame, what: str) -> DataFrame:
+    if df.isEmpty():
+        raise ExpectedDataError(f"no {what} found")
+    return df
+
+
+def notes_of(notes: DataFrame, *, invitations: list[str] | None = None, venueid: str | None = None, ids: list | None = None, id_: str = "id") -> DataFrame:
+    """Notes of some invitations (and of the venue, if one is named too), or else of the venue; and besides those of the given ids. Columns: invitation, venueid."""
+    if not invitations and venueid is None and not ids:
+        raise ValueError("notes are asked for by invitation, venueid or id")
+    test = F.lit(False)
+    if invitations:
+        test = F.col("invitation").isin(invitations) & (F.lit(True) if venueid is None else F.col("venueid") == venueid)
+    elif venueid is not None:
+        test = F.col("venueid") == venueid
+    return notes.filter(F.coalesce(test, F.lit(False)) | (F.col(id_).isin(ids) if ids else F.lit(False)))
+
+
+def profiles_of(members_: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(member, profile) of members that have a profile, by its id or by one of its e-mails in lower case, and (member) of
+    those that have none. Of several profiles with one e-mail the least stands. profiles: profile, emails."""
+    mails = profiles.select("profile", F.explode("emails").alias("member")).groupBy(F.lower("member").alias("member")).agg(F.min("profile").alias("profile"))
+    names = profiles.select(F.col("profile").alias("member"), "profile").distinct()
+    kind = member_kind(F.col("member"))
+    key = F.when(kind == "email", F.lower("member")).otherwise(F.col("member"))
+    every = members_.select(key.alias("member")).distinct().join(names.union(mails), "member", "left")
+    return every.filter("profile is not null").select("member", "profile"), every.filter("profile is null").select("member")
+
+
+def bid_publications(notes: DataFrame, bids: DataFrame, labels: list[str], *, paper: str = "id", author: str = "author", label: str = "label") -> DataFrame:
+    """Notes as publications of those who bid one of the labels for them, each once."""
+    chosen = bids.filter(F.col(label).isin(labels)).select(author, paper).distinct()
+    return chosen.join(notes, paper)
+
+
+def edge_sets(edges: DataFrame, tail: str, head: str) -> DataFrame:
+    """tail, papers: the different heads of each tail's edges, in order."""
+    return edges.groupBy(tail).agg(F.array_sort(F.collect_set(head)).alias("papers"))
+
+
+def without_zero_weight(papers: DataFrame, weight: str) -> DataFrame:
+    return papers.filter(F.coalesce(F.col(weight), F.lit(1.0)) != 0)
+
+
+def with_hash(papers: DataFrame, hash_: Column) -> DataFrame:
+    """Papers whose title leaves something to tell them by."""
+    return papers.filter(F.coalesce(hash_, F.lit("")) != "")
+
+
+def note_domain(domain: Column, invitation: Column, invitations: Column) -> Column:
+    """The note's own domain, else the prefix of its invitation, else that of the first of its invitations."""
+    prefix = lambda c: F.split(c, "/-/", 2)[0]
+    return F.coalesce(domain, prefix(invitation), prefix(F.get(invitations, F.lit(0))))
+
+
+def author_key(profile: Column, emails: Column, use_email: bool) -> Column:
+    """The preferred (first) e-mail where e-mails name authors and there is one, else the profile."""
+    return F.coalesce(F.get(emails, F.lit(0)), profile) if use_email else profile
+
+
+def scalar_json(df: DataFrame) -> Column:
+    """A row's plain values as JSON: text, numbers and truth values; lists, maps and records are left out."""
+    from pyspark.sql.types import BooleanType, NumericType, StringType
+
+    return F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, NumericType | StringType | BooleanType)]))

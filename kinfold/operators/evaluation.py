@@ -81,15 +81,56 @@ def ranking_metrics(rows: DataFrame, ks: list[int], q: str = "q", s: str = "s",
     return per.agg(F.avg("ap").alias("map"), F.avg("ndcg").alias("ndcg"), F.avg("f1").alias("best_f1"), *[F.avg(f"r{k}").alias(f"recall_{k}") for k in ks])
 
 
-def bootstrap(parts: DataFrame, who: str, numerator: str, denominator: str, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """One row: low and high, the 2.5 and 97.5 percentiles of sum / sum over resamples of people. A person's times in a resample are Poisson by a hash, so draws need no exchange of rows."""
-    u = F.pmod(F.xxhash64(F.col(who).cast("string"), "draw", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    times, total = F.lit(0), 0.0
-    p = 2.718281828459045**-1
-    for k in range(8):
-        total += p
-        times = times + F.when(u >= F.lit(total), 1).otherwise(0)
-        p /= k + 1
-    drawn = parts.select(who, numerator, denominator, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("t", times)
-    each = drawn.groupBy("draw").agg((F.sum(F.col("t") * F.col(numerator)) / F.nullif(F.sum(F.col("t") * F.col(denominator)), F.lit(0.0))).alias("v"))
-    return each.agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
+def cutoffs(rows: DataFrame, ks: list[int], q: str = "q", s: str = "s", label: str = "label", tie: str = "item", weight: str | None = None) -> DataFrame:
+    """q, auc, recall_k, and weighted_k where a weight column is named, for queries with a positive. With p positives among n
+    items, a positive at place x after i others counts (n - x - (p - i - 1)) / (n - p + 1) to the area, of which the mean is taken."""
+    w = Window.partitionBy(q)
+    r = ranked(rows, q, s, tie).withColumns({"n": F.count("*").over(w), "p": F.sum(label).over(w), "i": F.sum(label).over(w.orderBy("rk")) - 1}).filter(F.col(label) == 1)
+    share = (F.col("n") - F.col("rk") - (F.col("p") - F.col("i") - 1)) / (F.col("n") - F.col("p") + 1)
+    found = [F.avg(share).alias("auc"), *[(F.sum(F.when(F.col("rk") <= k, 1).otherwise(0)) / F.max("p")).alias(f"recall_{k}") for k in ks]]
+    if weight:
+        found += [(F.sum(F.when(F.col("rk") <= k, F.col(weight)).otherwise(0.0)) / F.sum(weight)).alias(f"weighted_{k}") for k in ks]
+    return r.groupBy(q).agg(*found)
+
+
+def fold_means(folds: DataFrame, metrics: list[str]) -> DataFrame:
+    """One row: the mean over folds of each metric."""
+    return folds.agg(*[F.avg(m).alias(m) for m in metrics])
+
+
+def with_popularity(rows: DataFrame, item: str = "item", s: str = "s", label: str = "label") -> DataFrame:
+    """One row: pearson, of items' mean label with their mean score, and deviation, their mean absolute difference."""
+    each = rows.groupBy(item).agg(F.avg(label).alias("l"), F.avg(s).alias("m"))
+    return each.agg(F.corr("l", "m").alias("pearson"), F.avg(F.abs(F.col("l") - F.col("m"))).alias("deviation"))
+
+
+def gold_parts(rows: DataFrame, who: str = "who", item: str = "item", gold: str = "gold", s: str = "s") -> DataFrame:
+    """who, and numerators and denominators of loss, easy and hard over the person's pairs, as ``pairwise_loss`` and ``easy_hard`` have them."""
+    a, b = rows.alias("a"), rows.alias("b")
+    pairs = a.join(b, (F.col(f"a.{who}") == F.col(f"b.{who}")) & (F.col(f"a.{item}") < F.col(f"b.{item}")))
+    x, y, e = F.col(f"a.{gold}"), F.col(f"b.{gold}"), F.col(f"a.{s}") - F.col(f"b.{s}")
+    same = F.signum((x - y).cast("double")) == F.signum(e)
+    wrong = F.when(e == 0, F.abs(x - y) / 2.0).when(~same, F.abs(x - y)).otherwise(0.0)
+    right = F.when(e == 0, 0.5).when(same, 1.0).otherwise(0.0)
+    easy, hard = (F.greatest(x, y) >= 4) & (F.least(x, y) <= 2), F.least(x, y) >= 4
+    sums = [F.sum(wrong).alias("loss_n"), F.sum(F.abs(x - y)).alias("loss_d")]
+    for name, test in (("easy", easy), ("hard", hard)):
+        sums += [F.sum(F.when(test, right).otherwise(0.0)).alias(f"{name}_n"), F.sum(F.when(test, 1.0).otherwise(0.0)).alias(f"{name}_d")]
+    return pairs.filter(x != y).groupBy(F.col(f"a.{who}").alias(who)).agg(*sums)
+
+
+def bootstrap(parts: DataFrame, who: str, names: list[str], draws: int = 1000) -> DataFrame:
+    """name, low, high: the 2.5 and 97.5 percentiles of sum(name_n) / sum(name_d) over resamples of as many people as there
+    are, with replacement. Who is picked is arithmetic on the draw and the pick, so that every engine resamples alike."""
+    from kinfold.operators.sampling import scrambled
+
+    people = parts.withColumn("at", F.row_number().over(Window.orderBy(who)) - 1)  # a gold standard's people: a few hundred
+    n = people.count()
+    if not n:
+        return people.sparkSession.createDataFrame([], "name string, low double, high double")
+    # the picks of a draw are counted before they meet the people
+    picks = people.sparkSession.range(draws * n).select(F.floor(F.col("id") / n).alias("draw"), (F.floor(scrambled(F.col("id") * 7 + 3, 1_000_000_007) / 64) % n).cast("int").alias("at"))
+    times = picks.groupBy("draw", "at").agg(F.count("*").alias("t"))
+    each = times.join(people, "at").groupBy("draw").agg(*[(F.sum(F.col("t") * F.col(f"{x}_n")) / F.nullif(F.sum(F.col("t") * F.col(f"{x}_d")), F.lit(0.0))).alias(x) for x in names])
+    long = each.unpivot(["draw"], names, "name", "v")
+    return long.groupBy("name").agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))

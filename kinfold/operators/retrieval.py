@@ -37,10 +37,51 @@ def bm25(corpus: DataFrame, queries: DataFrame, *, doc: str = "doc", text: str =
     return postings.join(wanted, "term").groupBy(query, F.col("id").alias(doc)).agg(F.sum(part).alias("s"))
 
 
-def normalized_by_query(scores: DataFrame, query: str = "q", s: str = "s") -> DataFrame:
-    """Scores drawn to [0, 1] within each query by its greatest; 1 where all that isn't 0 is equal. Pairs without a common term count as 0 and are left out."""
+def normalized_by_query(scores: DataFrame, documents: int, query: str = "q", s: str = "s") -> DataFrame:
+    """Scores drawn to [0, 1] within each query by the least and greatest over all ``documents`` of the corpus, and
+    ``rest``: what a document without a common term gets. These count as 0 before; where the least and the greatest are
+    equal, what isn't 0 becomes 1."""
     w = Window.partitionBy(query)
-    return scores.withColumn(s, F.coalesce(F.col(s) / F.nullif(F.max(s).over(w), F.lit(0.0)), F.lit(0.0)))
+    some = F.count("*").over(w) < F.lit(documents)
+    low = F.when(some, F.least(F.min(s).over(w), F.lit(0.0))).otherwise(F.min(s).over(w))
+    high = F.when(some, F.greatest(F.max(s).over(w), F.lit(0.0))).otherwise(F.max(s).over(w))
+    ends = scores.withColumns({"low__": low, "high__": high})
+    one = F.col("low__") == F.col("high__")
+    span = F.nullif(F.col("high__") - F.col("low__"), F.lit(0.0))
+    made = F.when(one, F.when(F.col(s) != 0, 1.0).otherwise(0.0)).otherwise((F.col(s) - F.col("low__")) / span)
+    rest = F.when(one, 0.0).otherwise(-F.col("low__") / span)
+    return ends.withColumns({s: made, "rest": rest}).drop("low__", "high__")
+
+
+def by_owner(scores: DataFrame, queries: DataFrame, ownership: DataFrame, how: str = "max", *, query: str = "q", doc: str = "doc", owner: str = "rev", s: str = "s") -> DataFrame:
+    """query, owner, s for every query and owner: max, mean or percentile:<p> over all documents of the owner, those
+    without a common term with the query's ``rest``. Owners without a document (null, or none) have 0."""
+    own = ownership.filter(F.col(doc).isNotNull()).select(owner, doc)
+    sizes = own.groupBy(owner).agg(F.count("*").alias("n__"))
+    every = queries.select(query).distinct().crossJoin(ownership.select(owner).distinct().join(sizes, owner, "left"))
+    rests = scores.groupBy(query).agg(F.first("rest").alias("rest__"))
+    held = [F.max(s).alias("max__"), F.sum(s).alias("sum__"), F.count("*").alias("hits__")]
+    if how.startswith("percentile:"):
+        held.append(F.collect_list(s).alias("all__"))
+    found = scores.join(own, doc).groupBy(query, owner).agg(*held)
+    rows = every.join(rests, query, "left").join(found, [query, owner], "left")
+    n, hits, rest = F.col("n__"), F.coalesce("hits__", F.lit(0)), F.coalesce("rest__", F.lit(0.0))
+    if how == "mean":
+        value = (F.coalesce("sum__", F.lit(0.0)) + rest * (n - hits)) / n
+    elif how == "max":
+        value = F.greatest("max__", F.when(hits < n, rest))
+    else:
+        whole = F.array_sort(F.concat(F.coalesce("all__", F.array().cast("array<double>")), F.array_repeat(rest, (n - hits).cast("int"))))
+        at = F.lit(min(max(float(how.split(":")[1]) / 100, 0.0), 1.0)) * (n - 1)
+        low, high = F.get(whole, F.floor(at).cast("int")), F.get(whole, F.ceil(at).cast("int"))
+        value = low + (high - low) * (at - F.floor(at))
+    return rows.select(query, owner, F.coalesce(F.when(n > 0, value), F.lit(0.0)).alias(s))
+
+
+def without_documents(ownership: DataFrame, documents: DataFrame, owner: str = "rev", doc: str = "doc") -> DataFrame:
+    """Owners of whose documents the corpus has none."""
+    having = ownership.join(documents.select(doc), doc, "left_semi").select(owner)
+    return ownership.select(owner).distinct().join(having.distinct(), owner, "left_anti")
 
 
 def tfidf(corpus: DataFrame, id_: str, text: str, tokens: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -59,6 +100,7 @@ def unit_weights(tf: DataFrame, idf: DataFrame) -> DataFrame:
 
 def cosine(a: DataFrame, b: DataFrame, query: str, doc: str) -> DataFrame:
     """query, doc, s over common terms of two unit-weight tables."""
+    b = b.join(a.select("term").distinct(), "term", "left_semi")  # before the join: only what queries ask for is moved
     return a.select(F.col("id").alias(query), "term", F.col("w").alias("wa")).join(b.select(F.col("id").alias(doc), "term", F.col("w").alias("wb")), "term").groupBy(query, doc).agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
 
 

@@ -52,6 +52,28 @@ def bpr_triples(bids: DataFrame, positive: list[str], having: DataFrame, forum:
     return pos.join(neg, forum).filter("pos <> neg")
 
 
+def negatives(rows: DataFrame, id_: str, group: str, how: str = "uniform") -> DataFrame:
+    """Adds neg: another group than the row's own, null where there is none. uniform: each of the others as likely, by the
+    row's id; rotate: the next in order; shuffle: the next in an order that follows no pattern; paper_uniform: the group
+    of another row, each row as likely, drawn again in order until it is another group's."""
+    groups = rows.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("rows__"))
+    order = [group] if how in ("uniform", "rotate", "paper_uniform") else [scrambled(F.crc32(F.col(group).cast("string").cast("binary")), 1_000_003), group]
+    w = Window.orderBy(*order)  # over groups, not rows
+    placed = groups.select(F.col(group).alias("neg"), (F.row_number().over(w) - 1).alias("at__"), F.count("*").over(Window.partitionBy()).alias("n__"), (F.sum("rows__").over(w) - F.col("rows__")).alias("first__"), "rows__", F.sum("rows__").over(Window.partitionBy()).alias("all__"))
+    own = placed.select(F.col("neg").alias(group), F.col("at__").alias("own__"), "n__", F.col("first__").alias("from__"), F.col("rows__").alias("size__"), "all__")
+    tagged = rows.join(own, group, "left")
+    others = F.nullif(F.col("n__") - 1, F.lit(0))
+    if how == "paper_uniform":
+        # the places of rows of other groups are one stretch once the own group's are left out
+        pick = scrambled(F.col(id_), 1_000_000_007) % F.nullif(F.col("all__") - F.col("size__"), F.lit(0))
+        tagged = tagged.withColumn("pick__", pick + F.when(pick >= F.col("from__"), F.col("size__")).otherwise(0))
+        found = tagged.join(placed.select("neg", "first__", "rows__"), (F.col("pick__") >= F.col("first__")) & (F.col("pick__") < F.col("first__") + F.col("rows__")), "left")
+        return found.select(*rows.columns, "neg")
+    step = (scrambled(F.col(id_)) % others if how == "uniform" else F.when(others.isNotNull(), F.lit(0))) + 1
+    tagged = tagged.withColumn("at__", (F.col("own__") + step) % F.col("n__"))
+    return tagged.join(placed.select("neg", "at__"), "at__", "left").select(*rows.columns, "neg")
+
+
 def heldout_pairs(papers: DataFrame, author: str, id_: str, holdouts: int = 1) -> DataFrame:
     """author, held, other: each author's first papers beside each of the others of that author."""
     w = Window.partitionBy(author).orderBy(id_)

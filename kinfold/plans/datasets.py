@@ -85,7 +85,7 @@ def _edges(spark, sf_dir):
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("paper", F.col("event_id") % 50)
     least = ev.agg(F.min("event_type").alias("event_type"))
     papers = ev.groupBy("user_id", "paper").agg(F.min("event_id").alias("first"))
-    return papers, ev.join(F.broadcast(least), "event_type").select("user_id", "paper")
+    return papers, ev.join(F.broadcast(least), "event_type").select("user_id", "paper", "props")
 
 
 @query(f"with {_EDGES} select p.* from p where not exists (select 1 from e where e.user_id = p.user_id and e.paper = p.paper)")
@@ -94,16 +94,23 @@ def exclude_antijoin(spark, sf_dir):
     return D.excluded(papers, edges, ["user_id", "paper"]).select("user_id", "paper", "first")
 
 
-@query(f"""with {_EDGES}, e2 as (select * from e where user_id % 3 <> 0), m as (select p.*, e2.paper is not null hit from p left join e2 on p.user_id = e2.user_id and p.paper = e2.paper)
+@query(f"""with {_EDGES}, e2 as (select distinct user_id, event_id % 50 paper from events where event_type = (select min(event_type) from events) and json_extract_string(props, '$.k') = '1'), m as (select p.*, e2.paper is not null hit from p left join e2 on p.user_id = e2.user_id and p.paper = e2.paper)
 select user_id, paper, first from (select *, count(*) filter (hit) over (partition by user_id) n from m) where hit or n = 0""")
 def include_semijoin(spark, sf_dir):
     papers, edges = _edges(spark, sf_dir)
-    return D.included(papers, edges.filter("user_id % 3 <> 0"), ["user_id", "paper"], "user_id").select("user_id", "paper", "first")
+    chosen = edges.filter(F.get_json_object("props", "$.k") == "1").select("user_id", "paper")  # many people have none
+    return D.included(papers, chosen, ["user_id", "paper"], "user_id").select("user_id", "paper", "first")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+def _tilde(c: str):
+    return F.concat(F.lit("~"), F.col(c).cast("string"))
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
 def no_profile_antijoin(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").join(_orders(spark, sf_dir).select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    having = _orders(spark, sf_dir).filter("o_orderpriority = '1-URGENT'").select(_tilde("o_custkey").alias("profile"), F.array().cast("array<string>").alias("emails")).distinct()
+    members = spark.read.parquet(f"{sf_dir}/customer.parquet").select(_tilde("c_custkey").alias("member"))
+    return D.profiles_of(members, having)[1].select(F.substring("member", 2, 20).cast("int").alias("c_custkey"))
 
 
 @query("""select p_partkey, case when p_type like (select left(min(p_type), 4) from part) || '%' then 0.5 when p_brand = 'Brand#11' then 2.0 when p_brand = 'Brand#12' then 3.0 when p_size % 2 = 0 then 1.5 else 1.0 end::double w from part""")
@@ -122,11 +129,11 @@ def member_union(spark, sf_dir):
     return D.members(c.filter("c_custkey % 2 = 0").select(name), s.select(F.concat(F.upper("s_name"), F.lit("@X.org")).alias("m")), c.filter("c_custkey % 3 = 0").select(name), s.select(F.lit("neither").alias("m")))
 
 
-@query("""with u as (select item_id id, text, 0 p from benchmark union all select doc_id, lang, 1 from documents where doc_id < 60 union all select r_regionkey::bigint, r_name, 2 from region)
+@query("""with u as (select item_id id, text, 0 p from benchmark union all select doc_id, lang, 1 from documents union all select r_regionkey::bigint, r_name, 2 from region)
 select id, text from (select *, row_number() over (partition by id order by p desc) r from u) where r = 1""")
 def submission_upsert(spark, sf_dir):
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return D.upsert([read("benchmark").select(F.col("item_id").alias("id"), "text"), read("documents").filter("doc_id < 60").select(F.col("doc_id").alias("id"), F.col("lang").alias("text")), read("region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("text"))], "id")
+    return D.upsert([read("benchmark").select(F.col("item_id").alias("id"), "text"), read("documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("text")), read("region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("text"))], "id")
 
 
 @query("select (select count(*) from benchmark) submission_count, (select count(*) from orders) archives_count, (select count(*) from customer where c_custkey not in (select o_custkey from orders)) no_publications_count")
@@ -178,3 +185,57 @@ def machine_tier(spark, sf_dir):
 @query("select p_partkey, lower(translate(p_brand, '/:_.', '----')) s from part")
 def sanitized_names(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", K.sanitized(F.col("p_brand")).alias("s"))
+
+
+@query("select o_orderkey from orders where (o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderstatus = 'O') or o_orderkey in (1, 2, 3)")
+def notes_by_invitation(spark, sf_dir):
+    notes = _orders(spark, sf_dir).select("o_orderkey", F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("invitation"), F.col("o_orderstatus").alias("venueid"))
+    return D.notes_of(notes, invitations=["1-URGENT", "2-HIGH"], venueid="O", ids=[1, 2, 3]).select("o_orderkey")
+
+
+@query("""with p as (select '~' || c_name profile, lower(c_name) || '@x.org' mail from customer where c_acctbal > 1000), m as (select '~' || c_name "member" from customer union select lower(c_name) || '@x.org' from customer)
+select "member", coalesce(a.profile, b.profile) profile from m left join p a on a.profile = m."member" left join p b on b.mail = m."member" """)
+def profiles_split(spark, sf_dir):
+    """Members by id and by e-mail, with their profile; those without have none."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    name = F.concat(F.lit("~"), "c_name")
+    profiles = c.filter("c_acctbal > 1000").select(name.alias("profile"), F.array(F.concat("c_name", F.lit("@X.org")), F.lit("shared@y.org")).alias("emails"))
+    members = D.members(c.select(name.alias("m")), c.select(F.concat("c_name", F.lit("@x.ORG")).alias("m")))
+    valid, invalid = D.profiles_of(members, profiles)
+    return valid.union(invalid.select("member", F.lit(None).cast("string").alias("profile")))
+
+
+_BID_PAPERS = "select distinct user_id who, event_id % 100 doc_id from events where event_type in (select unnest([min(event_type), max(event_type)]) from events)"
+
+
+@query(f"select b.who, d.doc_id, d.lang from ({_BID_PAPERS}) b join documents d using (doc_id)")
+def bid_expertise(spark, sf_dir):
+    """Bids of the wanted labels stand for publications."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ends = list(e.agg(F.min("event_type"), F.max("event_type")).first())
+    bids = e.select(F.col("user_id").alias("who"), (F.col("event_id") % 100).alias("doc_id"), F.col("event_type").alias("label"))
+    notes = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    return D.bid_publications(notes, bids, ends, paper="doc_id", author="who").select("who", "doc_id", "lang")
+
+
+@query(f"with {_EDGES} select user_id, string_agg(paper::varchar, ',' order by paper) papers from e group by 1")
+def exclusion_sets(spark, sf_dir):
+    _, edges = _edges(spark, sf_dir)
+    return D.edge_sets(edges, "user_id", "paper").select("user_id", F.array_join(F.transform("papers", lambda x: x.cast("string")), ",").alias("papers"))
+
+
+@query("""select p_partkey, case when p_brand = 'Brand#12' then 3.0 else 1.0 end::double w from part where p_brand <> 'Brand#11' and p_size > 10""")
+def kept_publications(spark, sf_dir):
+    """Publications of weight 0, and those whose title leaves no hash, go."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rules = [D.WeightRule(0, value="Brand#11"), D.WeightRule(3, value="Brand#12")]
+    w = part.withColumn("w", D.venue_weight(F.col("p_brand"), F.lit(False), rules))
+    title = F.when(F.col("p_size") > 10, F.col("p_name")).otherwise(F.lit(" --- "))
+    return D.with_hash(D.without_zero_weight(w, "w"), K.paperhash(title)).select("p_partkey", "w")
+
+
+@query("select page_id, coalesce(case when page_id % 3 = 0 then 'own' end, case when page_id % 2 = 0 then split_part(url, '/-/', 1) end, split_part(url, '/-/', 1)) d from pages")
+def note_domain(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    own, one = F.when(F.col("page_id") % 3 == 0, F.lit("own")), F.when(F.col("page_id") % 2 == 0, F.col("url"))
+    return p.select("page_id", D.note_domain(own, one, F.array("url")).alias("d"))

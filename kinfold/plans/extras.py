@@ -88,11 +88,15 @@ def centroid_scores(spark, sf_dir):
     return scoring.pairwise(subs, whole.withColumn("pub", F.col("pub").cast("long"))).select("sub", F.col("pub").cast("int").alias("rev"), F.round("s", 4).alias("s"))
 
 
-@query(f"select doc_id, source, list_extract(list(distinct s2 order by s2), 1) neg from (select d.doc_id, d.source, e.source s2 from documents d join (select distinct source from documents) e on e.source <> d.source where {_X.format('d.doc_id')} < 50) group by 1, 2")
+@query(f"""with g as (select source, row_number() over (order by source) - 1 at_, count(*) over () n, c, sum(c) over (order by source) - c f, sum(c) over () t from (select source, count(*) c from documents where source is not null group by 1)),
+d as (select d.doc_id, d.source, g.at_, n, f, c, ({_X.format('d.doc_id')} % nullif(n - 1, 0) + at_ + 1) % n u, case when n > 1 then (at_ + 1) % n end r, ((d.doc_id % 1000003) * 2654435761 % 4294967296) % 1000000007 % nullif(t - c, 0) k from documents d left join g using (source))
+select d.doc_id, d.source, u.source uniform, r.source rotate, p.source paper from d left join g u on u.at_ = d.u left join g r on r.at_ = d.r left join g p on d.k + case when d.k >= d.f then d.c else 0 end >= p.f and d.k + case when d.k >= d.f then d.c else 0 end < p.f + p.c""")
 def negative_sampling(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(S.scrambled(F.col("doc_id")) < 50)  # sampling is the feature
-    names = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.array_sort(F.collect_set("source")).alias("all"))
-    return d.join(F.broadcast(names)).select("doc_id", "source", F.get(F.filter("all", lambda x: x != F.col("source")), F.lit(0)).alias("neg"))
+    """Another source for every document, three ways."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    for how, name in (("uniform", "uniform"), ("rotate", "rotate"), ("paper_uniform", "paper")):
+        d = S.negatives(d, "doc_id", "source", how).withColumnRenamed("neg", name)
+    return d
 
 
 @query("select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') began, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2")

@@ -9,12 +9,12 @@ from kinfold.operators import sampling as S
 from kinfold.plans.registry import query
 from kinfold.plans.scores import _MAX, reviewer_scores
 
-_ROWS = f"{_MAX}, rows as (select sub q, rev item, s, case when (sub // 10) % 4 = rev % 4 then 1 else 0 end label from sc where sub % 70 <> 0)"
+_ROWS = f"{_MAX}, rows as (select sub q, rev item, s, case when (sub // 10) % 4 = rev % 4 then 1 else 0 end label from sc)"
 _RK = _ROWS + ", rk as (select *, row_number() over (partition by q order by s desc, item) r, sum(label) over (partition by q) p from rows)"
 
 
 def rows(spark, sf_dir):
-    s = reviewer_scores(spark, sf_dir).filter("sub % 70 <> 0")
+    s = reviewer_scores(spark, sf_dir)
     return s.select(F.col("sub").alias("q"), F.col("rev").alias("item"), "s", F.when(F.floor(F.col("sub") / 10) % 4 == F.col("rev") % 4, 1).otherwise(0).alias("label"))
 
 
@@ -63,9 +63,9 @@ def easy_hard_accuracy(spark, sf_dir):
     return E.easy_hard(gold(spark, sf_dir)).select("kind", F.round("accuracy", 6).alias("accuracy"), "n")
 
 
-@query("select c_custkey participant, 'Paper1' name, c_nationkey::varchar val from customer where c_custkey <= 50 union all select c_custkey, 'Paper2', c_mktsegment from customer where c_custkey <= 50")
+@query("select c_custkey participant, 'Paper1' name, c_nationkey::varchar val from customer union all select c_custkey, 'Paper2', c_mktsegment from customer")
 def unpivot_refs(spark, sf_dir):
-    wide = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey <= 50").select(F.col("c_custkey").alias("participant"), F.col("c_nationkey").cast("string").alias("Paper1"), F.col("c_mktsegment").alias("Paper2"))
+    wide = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("participant"), F.col("c_nationkey").cast("string").alias("Paper1"), F.col("c_mktsegment").alias("Paper2"))
     return wide.unpivot(["participant"], ["Paper1", "Paper2"], "name", "val")
 
 
@@ -98,11 +98,40 @@ def load_imbalance(spark, sf_dir):
     return top.agg(F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"), F.count("*").alias("used"))
 
 
-@query()
+_PARTS = _PAIR.replace("select a.gold x", "select a.who, a.gold x") + """, pp as (select who, sum(case when e = 0 then abs(x - y) / 2 when sign(x - y) <> sign(e) then abs(x - y) else 0 end) loss_n, sum(abs(x - y)) loss_d,
+sum(case when greatest(x, y) >= 4 and least(x, y) <= 2 then case when e = 0 then 0.5 when sign(x - y) = sign(e) then 1 else 0 end else 0 end) easy_n, count(*) filter (greatest(x, y) >= 4 and least(x, y) <= 2) easy_d,
+sum(case when least(x, y) >= 4 then case when e = 0 then 0.5 when sign(x - y) = sign(e) then 1 else 0 end else 0 end) hard_n, count(*) filter (least(x, y) >= 4) hard_d from pr where x <> y group by 1),
+pe as (select *, row_number() over (order by who) - 1 at_, (select count(*) from pp) n from pp), nn as (select count(*) n from pp), pk as (select id // n draw, (((((id * 7 + 3) % 1000003) * 2654435761 % 4294967296) % 1000000007) // 64) % n at_ from nn, range(0, 1000 * (select count(*) from pp)) r(id)),
+dr as (select draw, sum(loss_n) / sum(loss_d) loss, sum(easy_n) / nullif(sum(easy_d), 0) easy, sum(hard_n) / nullif(sum(hard_d), 0) hard from pk join pe using (at_) group by 1)"""
+
+
+@query(f"{_PARTS} select 'loss' as name, round(quantile_cont(loss, 0.025), 6) low, round(quantile_cont(loss, 0.975), 6) high from dr union all select 'easy', round(quantile_cont(easy, 0.025), 6), round(quantile_cont(easy, 0.975), 6) from dr union all select 'hard', round(quantile_cont(hard, 0.025), 6), round(quantile_cont(hard, 0.975), 6) from dr")
 def bootstrap_ci(spark, sf_dir):
-    g = gold(spark, sf_dir)
-    parts = g.groupBy("who").agg(F.sum(F.col("gold") * F.col("s")).alias("num"), F.sum("gold").alias("den"))
-    return E.bootstrap(parts, "who", "num", "den", draws=1000)
+    got = E.bootstrap(E.gold_parts(gold(spark, sf_dir)), "who", ["loss", "easy", "hard"])
+    return got.select("name", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+_CUTS = (5, 20, 50, 200, 1000)
+
+
+@query(f"""{_RK}, cu as (select *, count(*) over (partition by q) n, sum(label) over (partition by q order by r) - 1 i, 1.0::double + item % 3 w from rk)
+select q, round(avg((n - r - (p - i - 1)) / (n - p + 1)), 6) auc, {', '.join(f'round(count(*) filter (r <= {k}) / max(p), 6) recall_{k}, round(coalesce(sum(w) filter (r <= {k}), 0) / sum(w), 6) weighted_{k}' for k in _CUTS)} from cu where label = 1 group by 1""")
+def ranking_cutoffs(spark, sf_dir):
+    r = E.cutoffs(rows(spark, sf_dir).withColumn("w", 1.0 + F.col("item") % 3), list(_CUTS), weight="w")
+    return r.select("q", *[F.round(c, 6).alias(c) for c in r.columns if c != "q"])
+
+
+@query(f"""{_RK}, e as (select q, sum(case when r <= 3 then label else 0 end) / least(3, max(p)) hits, sum(case when r <= 5 then label else 0 end) / max(p) recall from rk group by q having max(p) > 0), f as (select (((q % 1000003) * 2654435761 % 4294967296) % 5045) % 5 fold, avg(hits) hits, avg(recall) recall from e group by 1) select round(avg(hits), 6) hits, round(avg(recall), 6) recall from f""")
+def fold_means(spark, sf_dir):
+    r = rows(spark, sf_dir)
+    each = E.hits_at(r, 3).join(E.cutoffs(r, [5]).select("q", F.col("recall_5").alias("recall")), "q")
+    per = S.folds(each, "q", 5).groupBy("fold").agg(F.avg("hits").alias("hits"), F.avg("recall").alias("recall"))
+    return E.fold_means(per, ["hits", "recall"]).select(F.round("hits", 6).alias("hits"), F.round("recall", 6).alias("recall"))
+
+
+@query(f"{_ROWS}, e as (select item, avg(label) l, avg(s) m from rows group by 1) select round(corr(l, m), 6) pearson, round(avg(abs(l - m)), 6) deviation from e")
+def popularity_pearson(spark, sf_dir):
+    return E.with_popularity(rows(spark, sf_dir)).select(F.round("pearson", 6).alias("pearson"), F.round("deviation", 6).alias("deviation"))
 
 
 _BIDS = "bids as (select distinct event_id % 40 forum, user_id who, event_type tag from events), pos as (select unnest([min(event_type), max(event_type)]) tag from events)"
@@ -127,11 +156,11 @@ def bid_labels(spark, sf_dir):
     return S.bid_labels(*bids(spark, sf_dir))
 
 
-@query(f"""with {_BIDS}, l as (select distinct forum, who, case when tag in (select tag from pos) then 1 else 0 end label from bids where who % 3 = 0)
+@query(f"""with {_BIDS}, l as (select distinct forum, who, case when tag in (select tag from pos) then 1 else 0 end label from bids where who in (select user_id from events where json_extract_string(props, '$.k') = '1'))
 select a.forum, a.who pos, b.who neg from l a join l b on a.forum = b.forum and a.label = 1 and b.label = 0 and a.who <> b.who""")
 def bpr_triples(spark, sf_dir):
     b, positive = bids(spark, sf_dir)
-    having = b.filter("who % 3 = 0").select("who").distinct()
+    having = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.get_json_object("props", "$.k") == "1").select(F.col("user_id").alias("who")).distinct()
     return S.bpr_triples(b, positive, having)
 
 
@@ -140,10 +169,10 @@ def heldout_pairs(spark, sf_dir):
     return S.heldout_pairs(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_custkey", "o_orderkey")
 
 
-@query(f"{_MAX} select l.doc_id, l.quality, coalesce(m.s, 0) s from labels l join (select distinct vec_id::bigint doc_id from embeddings where vec_id % 10 < 5) p using (doc_id) left join (select sub doc_id, max(s) s from sc group by 1) m using (doc_id)")
+@query(f"{_MAX} select l.doc_id, l.quality, coalesce(m.s, 0) s from labels l join (select distinct vec_id::bigint doc_id from embeddings) p using (doc_id) left join (select sub doc_id, max(s) s from sc group by 1) m using (doc_id)")
 def labels_scores_join(spark, sf_dir):
     l = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    present = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id % 10 < 5").select(F.col("vec_id").cast("long").alias("doc_id")).distinct()
+    present = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("doc_id")).distinct()
     best = reviewer_scores(spark, sf_dir).groupBy(F.col("sub").alias("doc_id")).agg(F.max("s").alias("s"))
     return l.join(present, "doc_id").join(best, "doc_id", "left").select("doc_id", "quality", F.coalesce("s", F.lit(0.0)).alias("s"))
 

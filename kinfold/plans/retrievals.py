@@ -29,13 +29,72 @@ def bm25_scores(spark, sf_dir):
     return R.bm25(docs, subs).withColumn("s", F.round("s", 4))
 
 
-@query(f"""with {_BM25}, n as (select q, doc, s / max(s) over (partition by q) s from bm), m as (select q, source, max(s) s from n join documents d on d.doc_id = n.doc group by 1, 2)
-select a.q, a.source, coalesce(round(s, 4), 0) s from (select distinct item_id q, source from benchmark cross join (select distinct source from documents)) a left join m using (q, source)""")
+# every query beside every document, those without a common term at 0; then the rule as it is written: least and greatest over all
+_FULL = f"""{_BM25}, nd as (select count(*) n from documents), ends as (select q, case when count(*) < n then least(min(s), 0) else min(s) end lo, case when count(*) < n then greatest(max(s), 0) else max(s) end hi from bm cross join nd group by q, n),
+full_ as (select b.item_id q, d.doc_id doc, d.source, coalesce(bm.s, 0) s, coalesce(lo, 0) lo, coalesce(hi, 0) hi from (select distinct item_id from benchmark) b cross join documents d left join bm on bm.q = b.item_id and bm.doc = d.doc_id left join ends on ends.q = b.item_id),
+drawn as (select q, doc, source, case when hi = lo then case when s <> 0 then 1 else 0 end else (s - lo) / (hi - lo) end s from full_)"""
+
+
+def _owned(spark, sf_dir, how):
+    docs, subs = _tables(spark, sf_dir)
+    scores = R.normalized_by_query(R.bm25(docs, subs), docs.count())
+    return R.by_owner(scores, subs, docs.select("doc", "source"), how, owner="source").withColumn("s", F.round("s", 4))
+
+
+@query(f"with {_FULL} select q, source, round(max(s), 4) s from drawn group by 1, 2")
 def bm25_reviewer(spark, sf_dir):
+    return _owned(spark, sf_dir, "max")
+
+
+@query(f"with {_FULL} select q, source, round(avg(s), 4) s from drawn group by 1, 2")
+def bm25_mean(spark, sf_dir):
+    return _owned(spark, sf_dir, "mean")
+
+
+@query(f"with {_FULL} select q, source, round(quantile_cont(s, 0.75), 4) s from drawn group by 1, 2")
+def bm25_percentile(spark, sf_dir):
+    return _owned(spark, sf_dir, "percentile:75")
+
+
+def _papers(spark, sf_dir):
+    """Submissions and publications of both kinds: benchmark items and documents in English have an abstract, the others a title alone; sources are authors."""
     docs, subs = _tables(spark, sf_dir)
-    n = R.normalized_by_query(R.bm25(docs, subs)).join(docs.select("doc", "source"), "doc").groupBy("q", "source").agg(F.round(F.max("s"), 4).alias("s"))
-    every = subs.select("q").crossJoin(docs.select("source").distinct())  # authors without a match have 0: as many rows as the matrix asked for
-    return every.join(n, ["q", "source"], "left").select("q", "source", F.coalesce("s", F.lit(0.0)).alias("s"))
+    first = F.array_join(F.slice(F.split("text", " "), 1, 12), " ")
+    pubs = docs.select(F.col("doc").alias("pub"), first.alias("title"), F.when(F.col("lang") == "en", F.col("text")).alias("abstract"), F.col("source").alias("rev"))
+    return subs.select(F.col("q").alias("sub"), first.alias("title"), F.when(F.length("text") % 2 == 0, F.col("text")).alias("abstract")), pubs.drop("rev"), pubs.select("pub", "rev")
+
+
+def _corpus_sql(n: int, docs: str, subs: str) -> str:
+    """The same plain BM25 over one kind of papers, as common table expressions with numbered names."""
+    return f"""d{n} as ({docs}), s{n} as ({subs}), tf{n} as (select doc, term, count(*) tf from (select doc, unnest(string_split(lower(text), ' ')) term from d{n}) group by 1, 2), dl{n} as (select doc, sum(tf) dl from tf{n} group by 1), st{n} as (select count(*)::double n, avg(dl) a from dl{n}),
+i{n} as (select term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) raw from tf{n} cross join st{n} group by term, n), j{n} as (select term, case when raw < 0 then 0.25::double * (select avg(raw) from i{n}) else raw end idf from i{n}), q{n} as (select q, term, count(*) qtf from (select q, unnest(string_split(lower(text), ' ')) term from s{n}) group by 1, 2),
+b{n} as (select q, doc, sum(qtf * idf * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * dl / a))) s from q{n} join tf{n} using (term) join j{n} using (term) join dl{n} using (doc) cross join st{n} group by 1, 2),
+f{n} as (select s.q, d.doc, d.rev, coalesce(b.s, 0) s from s{n} s cross join d{n} d left join b{n} b on b.q = s.q and b.doc = d.doc), e{n} as (select q, min(s) lo, max(s) hi from f{n} group by 1),
+n{n} as (select q, rev, case when hi = lo then case when s <> 0 then 1 else 0 end else (s - lo) / (hi - lo) end s from f{n} join e{n} using (q)),
+o{n} as (select s.q sub, r.rev, coalesce((select avg(x.s) from n{n} x where x.q = s.q and x.rev = r.rev), 0) s from s{n} s cross join (select distinct source rev from documents) r)"""
+
+
+_FIRST = "array_to_string(string_split(text, ' ')[1:12], ' ')"
+_BOTH = ", ".join((
+    _corpus_sql(1, "select doc_id doc, source rev, text from documents where lang = 'en' and length(text) > 0", "select item_id q, text from benchmark where length(text) % 2 = 0 and length(text) > 0"),
+    _corpus_sql(2, f"select doc_id doc, source rev, {_FIRST} as text from documents where (lang is distinct from 'en' or coalesce(length(text), 0) = 0) and length({_FIRST}) > 0", f"select item_id q, {_FIRST} as text from benchmark where (length(text) % 2 = 1 or length(text) = 0) and length({_FIRST}) > 0"),
+))
+
+
+@query(f"with {_BOTH} select sub, rev, round_even(s, 4) s from (select * from o1 union all select * from o2)")
+def bm25_job(spark, sf_dir):
+    """A whole job by options: titles and abstracts apart, the mean of an author's papers."""
+    from kinfold.plans import jobs
+
+    return jobs.run(jobs.JobOptions.from_request({"model": "bm25", "average": True, "sparse": None}), *_papers(spark, sf_dir))
+
+
+@query("select distinct source rev from documents where source not in (select source from documents where lang = 'en' and length(text) > 0 and source is not null)")
+def no_expertise(spark, sf_dir):
+    from kinfold.plans import jobs
+
+    _, pubs, authorship = _papers(spark, sf_dir)
+    return jobs.no_expertise(jobs.JobOptions(model="bm25", use_title=False), pubs, authorship)
 
 
 _TFIDF = """
@@ -153,7 +212,7 @@ select x.source a, y.source b, len(list_intersect(x.a, y.a))::double / len(x.a)
 def subject_overlap(spark, sf_dir):
     l = _tables(spark, sf_dir)[0].groupBy("source").agg(F.collect_set("lang").alias("a"))
     x, y = l.select(F.col("source").alias("a"), F.col("a").alias("s")), l.select(F.col("source").alias("b"), F.col("a").alias("t"))
-    return x.join(F.broadcast(y), F.col("a") < F.col("b")).select("a", "b", (F.size(F.array_intersect("s", "t")) / F.size("s").cast("double")).alias("recall"))
+    return x.join(y, F.col("a") < F.col("b")).select("a", "b", (F.size(F.array_intersect("s", "t")) / F.size("s").cast("double")).alias("recall"))
 
 
 @query("select item_id, array_to_string(list_slice(list_concat(string_split(lower(text), ' '), ['_', '_', '_', '_', '_', '_', '_', '_']), 1, 8), ',') t from benchmark")

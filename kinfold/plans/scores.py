@@ -33,6 +33,8 @@ def cells(spark: SparkSession, sf_dir: str, dims: int | None = None) -> tuple[Da
 
 
 def reviewer_scores(spark: SparkSession, sf_dir: str, how: str = "max") -> DataFrame:
+    if how in ("max", "mean"):
+        return scoring.author_scores(*vectors(spark, sf_dir), how)
     return scoring.by_author(*cells(spark, sf_dir), how)
 
 
@@ -122,7 +124,7 @@ def facet_distance(spark, sf_dir):
     subs, pubs, a = vectors(spark, sf_dir)
     owned = pubs.join(a, "pub").withColumn("facet", F.col("pub") % 3)
     facets = owned.groupBy("rev", "facet").agg(F.min_by("e", "pub").alias("b"))
-    joined = subs.join(F.broadcast(facets))  # three facets an author here; a few in general
+    joined = subs.crossJoin(facets)  # every submission with every facet is what is asked for
     cos, d = K.facet_fit(F.col("b"), F.col("e"))
     best = F.max(F.struct(cos.alias("c"), (-F.col("facet")).alias("f"), d.alias("d")))
     return joined.groupBy("sub", "rev").agg(best.alias("x")).select("sub", "rev", F.round("x.d", 6).alias("d"))

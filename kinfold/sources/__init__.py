@@ -86,6 +86,48 @@ def group_papers(spark: SparkSession, file: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "map<string,array<struct<id:string>>>")).alias("profile", "p")).select("profile", F.explode("p.id").alias("paper"))
 
 
+def score_labels(spark: SparkSession, path: str) -> DataFrame:
+    """source_id, targets: of each source the (target_id, label) of a JSON lines file, by target."""
+    rows = spark.read.schema("source_id string, target_id string, label double").json(path).filter("source_id is not null")
+    return rows.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("target_id", "label"))).alias("targets"))
+
+
+class Dataset:
+    """A folder with archives, submissions and bids, and metadata.json where there is one. Tables are read when asked for."""
+
+    def __init__(self, spark: SparkSession, root: str, archives: str = "archives", submissions: str = "submissions", bids: str = "bids"):
+        self.spark, self.root, self.names = spark, root.rstrip("/"), {"archives": archives, "submissions": submissions, "bids": bids}
+
+    def metadata(self) -> dict:
+        import json
+
+        rows = self.spark.read.text(f"{self.root}/metadata.json", wholetext=True).collect()  # one file, one row
+        return json.loads(rows[0]["value"])
+
+    def archives(self) -> DataFrame:
+        return archives(self.spark, f"{self.root}/{self.names['archives']}")
+
+    def submissions(self) -> DataFrame:
+        return submissions(self.spark, f"{self.root}/{self.names['submissions']}")
+
+    def bids(self) -> DataFrame:
+        return bids(self.spark, f"{self.root}/{self.names['bids']}")
+
+    def totals(self) -> DataFrame:
+        """One row: archives (publications), authors, submissions."""
+        a = self.archives().agg(F.count("*").alias("archives"), F.countDistinct("author").alias("authors"))
+        return a.join(self.submissions().agg(F.count("*").alias("submissions")))
+
+    def ids(self, kind: str) -> DataFrame:
+        """Ids in order: authors, submissions, or forums that have bids."""
+        table, c = {"authors": (self.archives, "author"), "submissions": (self.submissions, "id"), "bids": (self.bids, "forum")}[kind]
+        return table().select(F.col(c).alias("id")).distinct().orderBy("id")
+
+    def batches(self, kind: str, size: int = 1000):
+        """Rows of a table in lists of ``size``, a partition at a time on the driver."""
+        return stream_results({"archives": self.archives, "submissions": self.submissions, "bids": self.bids}[kind](), size)
+
+
 # ---- writers
 
 

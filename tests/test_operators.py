@@ -185,7 +185,100 @@ def test_jobs(spark):
             jobs.JobOptions(**bad)
     text = lambda *r: spark.createDataFrame(list(r), "x string, title string, abstract string")
     s = jobs.run(jobs.JobOptions(model="bm25", sparse=None), text(("s", "T", "graph nets")).withColumnRenamed("x", "sub"), text(("p", "", "graph nets"), ("q", "other words", ""), ("r", "", "more of them")).withColumnRenamed("x", "pub"), spark.createDataFrame([("p", "a"), ("q", "b"), ("r", "b")], "pub string, rev string"))
-    assert {(r.rev, r.s) for r in s.collect()} == {("a", 1.0), ("b", 0.0)}
+    # abstracts are a corpus of their own: of its two papers one has each word, whose weight is ln(1.5 / 1.5)
+    assert {(r.rev, r.s) for r in s.collect()} == {("a", 0.0), ("b", 0.0)}
+    pubs = text(("p", "", "graph nets"), ("q", "graph words", ""), ("q2", "a title", ""), ("q3", "graph", ""), ("r", "", "more of them"), ("t", "", "nothing here")).withColumnRenamed("x", "pub")
+    own = spark.createDataFrame([("p", "a"), ("r", "a"), ("q", "b"), ("q2", "b"), ("r", "c"), (None, "d")], "pub string, rev string")
+    asked = text(("s", "T", "graph nets"), ("t", "words", None)).withColumnRenamed("x", "sub")
+    score = lambda **o: {(r["sub"], r.rev): r.s for r in jobs.run(jobs.JobOptions(model="bm25", sparse=None, **o), asked, pubs, own).collect()}
+    assert score() == {("s", "a"): 1.0, ("s", "b"): 0.0, ("s", "c"): 0.0, ("s", "d"): 0.0, ("t", "a"): 0.0, ("t", "b"): 1.0, ("t", "c"): 0.0, ("t", "d"): 0.0}
+    assert score(average=True)["s", "a"] == 0.5 and score(average=True)["t", "b"] == 0.5 and score(percentile=50)["s", "a"] == 0.5
+    assert set(score(use_title=False)) == {("s", x) for x in "abcd"}
+    assert {r.rev for r in jobs.no_expertise(jobs.JobOptions(model="bm25", use_title=False), pubs, own).collect()} == {"b", "d"}
+
+
+def test_terms_drawn_to_one(spark):
+    """Least and greatest over all documents of the corpus: by hand, with scores below 0, all equal, and some unmatched."""
+    from kinfold.operators import retrieval
+
+    rows = spark.createDataFrame([("a", 1, -2.0), ("a", 2, 2.0), ("b", 1, 3.0), ("b", 2, 3.0), ("b", 3, 3.0), ("c", 1, -1.0), ("d", 1, 0.0), ("e", 1, 4.0), ("e", 2, 1.0)], "q string, doc long, s double")
+    got = {(r.q, r.doc): (r.s, r.rest) for r in retrieval.normalized_by_query(rows, 3).collect()}
+    assert got == {("a", 1): (0.0, 0.5), ("a", 2): (1.0, 0.5), ("b", 1): (1.0, 0.0), ("b", 2): (1.0, 0.0), ("b", 3): (1.0, 0.0), ("c", 1): (0.0, 1.0), ("d", 1): (0.0, 0.0), ("e", 1): (1.0, 0.0), ("e", 2): (0.25, 0.0)}
+    own = spark.createDataFrame([(1, "x"), (3, "x"), (3, "y")], "doc long, rev string")
+    asked = spark.createDataFrame([("a",), ("c",), ("z",)], "q string")
+    by = lambda how: {(r.q, r.rev): r.s for r in retrieval.by_owner(retrieval.normalized_by_query(rows, 3), asked, own, how).collect()}
+    assert by("max") == {("a", "x"): 0.5, ("a", "y"): 0.5, ("c", "x"): 1.0, ("c", "y"): 1.0, ("z", "x"): 0.0, ("z", "y"): 0.0}
+    assert by("mean")["a", "x"] == 0.25 and by("mean")["c", "x"] == 0.5 and by("percentile:100")["a", "x"] == 0.5
+
+
+def test_job_of_two_models_and_weights(spark):
+    subs = spark.createDataFrame([(1, [1.0, 0.0], [0.0, 1.0])], "sub long, e array<double>, e2 array<double>")
+    pubs = spark.createDataFrame([(1, [1.0, 0.0], [1.0, 0.0], "V/1", True), (2, [0.6, 0.8], [0.0, 1.0], "W/1", True), (3, [0.8, 0.6], [0.6, 0.8], "W/2", False)], "pub long, e array<double>, e2 array<double>, venue string, submitted boolean")
+    own = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "pub long, rev string")
+    run = lambda **o: {r.rev: r.s for r in jobs.run(jobs.JobOptions.from_request({"sparse": None} | o), subs, pubs, own).collect()}
+    assert run(model="vectors+vectors", blend=0.25) == {"a": 0.25, "b": 0.95}
+    assert run(average=True) == {"a": 1.0, "b": 0.7} and run() == {"a": 1.0, "b": 0.8}
+    weighted = run(weights=[{"prefix": "V", "weight": 0}, {"submitted": False, "weight": 3}])
+    assert weighted == {"b": pytest.approx(3 * 0.8 / (0.2 + 3 * 0.8), abs=1e-4)}
+    for bad in ({"nothing": 1}, {"average": 1}, {"blend": "x"}, {"weights": {}}, {"weights": [{"weight": 1}]}, {"weights": [{"value": "x", "wait": 1}]}, {"model": "bm25", "weights": [{"value": "x", "weight": 1}]}, {"use_title": False, "use_abstract": False}):
+        with pytest.raises(ValueError):
+            jobs.JobOptions.from_request(bad)
+    ids = {jobs.job_id() for _ in range(200)}
+    assert len(ids) == 200 and all(len(x) == 10 and x[0].isalpha() and set(x) <= set(jobs.ID_ALPHABET) for x in ids)
+    assert jobs.request_key("group", ["b", "a"], None, 3) == "group:a,b:3"
+
+
+def test_author_scores_without_cells(spark):
+    """The reduced product against one cell at a time: several blocks, authors of text, an author twice on a paper."""
+    from kinfold.operators import scoring
+
+    rng = np.random.default_rng(1)
+    subs = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(13)], "sub long, e array<double>").repartition(3)
+    pubs = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(40)], "pub long, e array<double>").repartition(4)
+    own = spark.createDataFrame([(i, f"r{i * i % 7}") for i in range(40)] + [(3, "r1"), (3, "r1"), (5, "only"), (99, "none")], "pub long, rev string")
+    for how in ("max", "mean"):
+        want = {(r["sub"], r.rev): r.s for r in scoring.by_author(scoring.pairwise(subs, pubs), own, how).collect()}
+        got = {(r["sub"], r.rev): r.s for r in scoring.author_scores(subs, pubs, own, how, block=5).collect()}
+        assert got == pytest.approx(want, abs=1.01e-4) and len(got) == 13 * len({f"r{i * i % 7}" for i in range(40)} | {"only"})
+    assert scoring.author_scores(subs.limit(0), pubs, own).count() == 0
+
+
+def test_dataset_facade(spark, tmp_path):
+    from kinfold.operators import dataset
+
+    for d in ("archives", "submissions", "bids"):
+        (tmp_path / d).mkdir()
+    (tmp_path / "metadata.json").write_text('{"submission_count": 2}')
+    (tmp_path / "archives" / "~B1.jsonl").write_text('{"id": "p1", "content": {"title": "x"}}\n{"id": "p2", "content": {"title": "y"}}\n')
+    (tmp_path / "archives" / "~A1.jsonl").write_text('{"id": "p3", "content": {"title": "z"}}\n')
+    for x in ("s2", "s1"):
+        (tmp_path / "submissions" / f"{x}.jsonl").write_text('{"id": "%s", "content": {"title": "t"}}\n' % x)
+    (tmp_path / "bids" / "s1.jsonl").write_text('{"forum": "s1"}\n')
+    d = sources.Dataset(spark, str(tmp_path))
+    assert d.metadata() == {"submission_count": 2} and tuple(d.totals().first()) == (3, 2, 2)
+    assert [r.id for r in d.ids("authors").collect()] == ["~A1", "~B1"] and [r.id for r in d.ids("submissions").collect()] == ["s1", "s2"]
+    assert sorted(len(b) for b in d.batches("archives", 2)) == [1, 2]
+    (tmp_path / "labels.jsonl").write_text('{"source_id": "a", "target_id": "y", "label": 1}\n{"source_id": "a", "target_id": "x", "label": 0}\n')
+    (r,) = sources.score_labels(spark, str(tmp_path / "labels.jsonl")).collect()
+    assert r.source_id == "a" and [tuple(t) for t in r.targets] == [("x", 0.0), ("y", 1.0)]
+    assert dataset.required(d.bids(), "bids").count() == 1
+    with pytest.raises(dataset.ExpectedDataError, match="no notes found"):
+        dataset.required(spark.range(0), "notes")
+    with pytest.raises(ValueError):
+        dataset.notes_of(spark.range(1))
+    row = spark.sql("select '~a' profile, array('x@y', 'z@y') emails, 1 n, true t, map('k', 1) m")
+    one = row.select(dataset.author_key(F.col("profile"), F.col("emails"), True).alias("a"), dataset.author_key(F.col("profile"), F.col("emails"), False).alias("b"), dataset.scalar_json(row).alias("j")).first()
+    assert tuple(one) == ("x@y", "~a", '{"profile":"~a","n":1,"t":true}')
+
+
+def test_shuffled_negatives(spark):
+    from kinfold.operators import sampling
+
+    rows = spark.createDataFrame([(i, f"g{i % 5}") for i in range(60)] + [(99, None)], "id long, g string")
+    got = sampling.negatives(rows, "id", "g", "shuffle").collect()
+    after = {r.g: r.neg for r in got}
+    assert len(got) == 61 and after.pop(None) is None and all(r.neg == after[r.g] for r in got if r.g) and sorted(after.values()) == sorted(after) and all(a != b for a, b in after.items())
+    assert all(r.neg is None for r in sampling.negatives(rows.filter("g = 'g1'"), "id", "g").collect())
 
 
 def test_streamed_cache_appends_once(spark, tmp_path):
