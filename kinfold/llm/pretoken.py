@@ -21,7 +21,7 @@ import regex
 from .common import frees
 
 #: Bytes of chunks and results kept by a worker, as estimated: so much a chunk and so much a character. At half of them a new dictionary begins, into which what is met again moves from the one before; that goes when the new one is full.
-KEPT_BYTES, ENTRY_BYTES, CHAR_BYTES = 224 << 20, 200, 12
+KEPT_BYTES, ENTRY_BYTES, CHAR_BYTES = 160 << 20, 200, 12
 #: Characters up to which a chunk is kept.
 LONG = 64
 _SPACE = regex.compile(r"\s")
