@@ -18,6 +18,8 @@ from kinfold.llm.queries import vocabulary
 
 #: Words of a shingle, and the similarity (of the first to the second) that makes near duplicates; the contract of op8 holds for its query alone.
 SHINGLE, RATIO = 5, (80, 100)
+#: Bytes of chunks that a worker keeps in the packing stage, beside what the stages before have left in it.
+KEPT_BYTES = 128 << 20
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -79,7 +81,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is its end mark; repeated rows, and rows without doc_id, are packed each."""
-    return packing.packed(docs, vocabulary("byte_bpe_50k.json"), keep=["doc_id"], order=["doc_id"])
+    return packing.packed(docs, vocabulary("byte_bpe_50k.json"), keep=["doc_id"], order=["doc_id"], kept_bytes=KEPT_BYTES)
 
 
 STAGES = [

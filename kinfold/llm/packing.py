@@ -33,6 +33,8 @@ END = 2
 CAPACITY = 1024
 #: Pieces of one length that are ranked in one group.
 GROUP_ROWS = 500
+#: Bytes of chunks that a worker keeps (see ``pretoken``); they settle time and memory, not results. A job whose workers hold much else can ask for less.
+KEPT_BYTES = 224 << 20
 
 
 def _four_bytes(ids: list[int]) -> bytes:
@@ -45,14 +47,14 @@ def _four_bytes(ids: list[int]) -> bytes:
 class Encoder:
     """Ids of whole texts as the library gives them, as little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chunks = Chunks(self._make)
+        self.chunks = Chunks(self._make, kept_bytes)
 
     def _make(self, chunks: list[str]) -> list[bytes]:
         out = []
@@ -70,8 +72,8 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, kept_bytes: int = KEPT_BYTES) -> Encoder:
+    return Encoder(path, kept_bytes)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -80,14 +82,14 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, *, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
+def pieces(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, *, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, kept_bytes: int = KEPT_BYTES) -> DataFrame:
     """A row for each piece: ``keep``, piece, start, length, ids_crc32, and ids (bytes) if asked for."""
     keep = df.columns if keep is None else keep
     tail = np.array([end], "<u4").tobytes()
 
     def work(texts):
         out = []
-        for ids in encoder(path).encode(texts):
+        for ids in encoder(path, kept_bytes).encode(texts):
             ids += tail
             row = []
             for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
@@ -170,11 +172,11 @@ def places(patterns: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
     return {n: np.array(x, np.int64) for n, x in out.items()}
 
 
-def packed(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, *, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, order: list[str] | None = None) -> DataFrame:
+def packed(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, *, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, order: list[str] | None = None, kept_bytes: int = KEPT_BYTES) -> DataFrame:
     """The rows of ``pieces`` with sequence_id (from 0, without gaps) and offset. ``order`` ranks pieces of one length."""
     keep = _others(df.columns if keep is None else keep, with_ids)
     own = ["piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    made = pieces(df.select(*kept(keep), F.col(f"`{text}`").alias("text")), path, "text", ["kept__"] * bool(keep), capacity=capacity, end=end, with_ids=with_ids)
+    made = pieces(df.select(*kept(keep), F.col(f"`{text}`").alias("text")), path, "text", ["kept__"] * bool(keep), capacity=capacity, end=end, with_ids=with_ids, kept_bytes=kept_bytes)
     columns = made.columns
     # the number by which a piece is salted is written with it, so that every reading deals alike
     found = written(made.withColumn("number__", F.monotonically_increasing_id()), "pieces")
