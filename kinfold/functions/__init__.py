@@ -79,6 +79,28 @@ def snake_case(name: str) -> str:
     return re.sub(r"(?<=[a-z0-9])([A-Z])", r"_\1", name).lower()
 
 
+def typed_tokens(title: Column, abstract: Column, mark: str = "<SEP>", most: int = 512) -> tuple[Column, Column]:
+    """Tokens of title and abstract, each ended by the mark, and their types (0 title, 1 abstract); beyond ``most`` the last token takes the last place."""
+    end = F.array(F.lit(mark))
+    none = F.array().cast("array<string>")
+    first, second = F.concat(F.coalesce(title, none), end), F.concat(F.coalesce(abstract, none), end)
+
+    def cut(a: Column) -> Column:
+        return F.when(F.size(a) <= most, a).otherwise(F.concat(F.slice(a, 1, most - 1), F.slice(a, -1, 1)))
+
+    return cut(F.concat(first, second)), cut(F.concat(F.array_repeat(F.lit(0), F.size(first)), F.array_repeat(F.lit(1), F.size(second))))
+
+
+def request_key(*parts: Column) -> Column:
+    return F.concat_ws(":", *parts)
+
+
+def job_id(seed: Column) -> Column:
+    """Ten characters that the seed settles: a letter, then letters and digits."""
+    digest = F.sha2(seed.cast("string"), 256)
+    return F.concat(F.translate(F.substring(digest, 1, 1), "0123456789", "ghijklmnop"), F.substring(digest, 2, 9))
+
+
 # ---- vectors
 
 
@@ -115,6 +137,28 @@ def facet_fit(base: Column, target: Column) -> tuple[Column, Column]:
     return cosine(base, target), F.aggregate(F.zip_with(base, target, lambda x, y: (c * x - y) * (c * x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def softmax(a: Column) -> Column:
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    raised = _once(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))
+    return _once(raised, lambda v: _once(total(v), lambda t: F.transform(v, lambda x: x / t)))
+
+
+def entropy(shares: Column) -> Column:
+    return F.aggregate(shares, F.lit(0.0), lambda s, x: s - F.when(x > 0, x * F.ln(x)).otherwise(0.0))
+
+
+def overlap(found: Column, wanted: Column) -> tuple[Column, Column, Column]:
+    """Recall, precision and F1 of one set against another; 0 where there is nothing to divide by."""
+    both = F.size(F.array_intersect(found, wanted)).cast("double")
+    share = lambda n: F.coalesce(both / F.nullif(n, F.lit(0)), F.lit(0.0))
+    return share(F.size(wanted)), share(F.size(found)), F.coalesce(2 * both / F.nullif(F.size(found) + F.size(wanted), F.lit(0)), F.lit(0.0))
+
+
 # ---- scores
 
 

@@ -224,3 +224,9 @@ def scalar_json(df: DataFrame) -> Column:
     from pyspark.sql.types import BooleanType, NumericType, StringType
 
     return F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, NumericType | StringType | BooleanType)]))
+
+
+def newest(jobs: DataFrame, venue: str, date: str, id_: str, n: int) -> DataFrame:
+    """The n latest jobs of each venue; the lesser id among equals."""
+    w = Window.partitionBy(venue).orderBy(F.desc(date), id_)
+    return jobs.withColumn("r__", F.row_number().over(w)).filter(F.col("r__") <= n).drop("r__")

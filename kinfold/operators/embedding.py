@@ -68,3 +68,11 @@ def best_options(candidates: list[dict], evaluate: Callable[[dict], DataFrame])
         one = evaluate(c).toDF("loss").select(F.lit(i).alias("candidate"), F.lit(str(c)).alias("options"), "loss")
         out = one if out is None else out.union(one)
     return out.orderBy("loss", "candidate")
+
+
+def phrase_vectors(phrases: DataFrame, vectors: DataFrame, phrase: str = "phrase", word: str = "word", vector: str = "e", skip: list[str] | None = None) -> DataFrame:
+    """phrase, pos, v: by phrase, its words' vectors (words are joined by _) over the number of its words; ``skip`` are words that don't count. Phrases without any known word aren't listed."""
+    words = F.filter(F.split(F.lower(phrase), "_"), lambda w: ~w.isin(skip)) if skip else F.split(F.lower(phrase), "_")
+    each = phrases.select(phrase).distinct().select(phrase, F.size(words).alias("n__"), F.explode(words).alias(word))
+    cells = each.join(vectors.select(word, vector), word).select(phrase, "n__", F.posexplode(vector).alias("pos", "x__"))
+    return cells.groupBy(phrase, "n__", "pos").agg(F.sum("x__").alias("sum__")).select(phrase, "pos", (F.col("sum__") / F.col("n__")).alias("v"))

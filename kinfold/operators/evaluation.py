@@ -134,3 +134,16 @@ def bootstrap(parts: DataFrame, who: str, names: list[str], draws: int = 1000) -
     each = times.join(people, "at").groupBy("draw").agg(*[(F.sum(F.col("t") * F.col(f"{x}_n")) / F.nullif(F.sum(F.col("t") * F.col(f"{x}_d")), F.lit(0.0))).alias(x) for x in names])
     long = each.unpivot(["draw"], names, "name", "v")
     return long.groupBy("name").agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
+
+
+def thresholds(rows: DataFrame, s: str = "s", label: str = "label") -> DataFrame:
+    """By score: its positives l, positives and rows from it up (tp, k), and all positives and rows (p, all). As many rows as there are different scores."""
+    g = rows.groupBy(s).agg(F.sum(label).alias("l"), F.count("*").alias("n"))
+    total = rows.agg(F.sum(label).alias("p"), F.count("*").alias("all"))
+    w = Window.orderBy(F.desc(s))
+    return g.join(F.broadcast(total)).select(s, "l", "p", "all", F.sum("l").over(w).alias("tp"), F.sum("n").over(w).alias("k"))
+
+
+def pooled_precision(rows: DataFrame, s: str = "s", label: str = "label") -> DataFrame:
+    """One row: average precision over the thresholds of all rows together."""
+    return thresholds(rows, s, label).agg(F.sum(F.col("l") / F.col("p") * F.col("tp") / F.col("k")).alias("ap"))

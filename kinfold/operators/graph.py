@@ -83,3 +83,10 @@ def chunk_runs(tags: DataFrame, id_: str, pos: str, tag: str, word: str) -> Data
     runs = tags.withColumn("new__", new).withColumn("run__", F.sum("new__").over(w))
     packed = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(word).alias("w"))))
     return runs.groupBy(id_, "run__", tag).agg(F.array_join(F.transform(packed, lambda x: x["w"]), "_").alias("phrase")).drop("run__")
+
+
+def first_phrases(rows: DataFrame, id_: str, phrase: str, score: str, top: int) -> DataFrame:
+    """id, phrase, score, place: each phrase once, at its best score, up to ``top``; the lesser phrase first among equals."""
+    best = rows.groupBy(id_, phrase).agg(F.max(score).alias(score))
+    w = Window.partitionBy(id_).orderBy(F.desc(score), phrase)
+    return best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)

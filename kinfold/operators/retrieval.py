@@ -111,3 +111,27 @@ def vocabulary(docs: DataFrame, text: str, tokens: Column, least: int = 1) -> Da
     above = sizes.select("cnt", (F.sum("n").over(Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1))).alias("above"))
     within = F.row_number().over(Window.partitionBy("cnt").orderBy("item"))
     return counts.withColumn("r", within).join(above, "cnt").select("item", "cnt", (F.coalesce("above", F.lit(0)) + F.col("r") + 1).cast("long").alias("idx"))
+
+
+def vocabulary_with_unknown(docs: DataFrame, text: str, tokens: Column, least: int) -> DataFrame:
+    """``vocabulary``, and a row of index 1 that counts what is too rare to have its own."""
+    rare = docs.select(F.explode(tokens).alias("item")).groupBy("item").agg(F.count("*").alias("cnt")).filter(F.col("cnt") < least)
+    unknown = rare.agg(F.lit("<unk>").alias("item"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("cnt"), F.lit(1).cast("long").alias("idx"))
+    return vocabulary(docs, text, tokens, least).unionByName(unknown)
+
+
+def encoded(rows: DataFrame, id_: str, lists: dict[str, Column], vocab: DataFrame, width: int) -> DataFrame:
+    """id and, by name, the indices of each list's first ``width`` items: 1 for unknown items, filled up with 0 to ``width``. ``id_`` is unique."""
+    def marked(k: int, c: Column) -> Column:
+        return F.transform(F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, width), lambda x, at: F.struct(F.lit(k).alias("list__"), at.alias("at__"), x.alias("item")))
+
+    items = [marked(k, c) for k, c in enumerate(lists.values())]
+    flat = rows.select(id_, F.explode_outer(F.concat(*items)).alias("x__")).select(id_, "x__.*")
+    found = flat.join(vocab.select("item", "idx"), "item", "left").withColumn("idx", F.coalesce("idx", F.lit(1)))
+
+    def of(k: int) -> Column:
+        mine = F.array_sort(F.collect_list(F.when(F.col("list__") == k, F.struct("at__", "idx"))))
+        filled = F.concat(F.transform(mine, lambda x: x["idx"]), F.array_repeat(F.lit(0).cast("long"), width))
+        return F.slice(filled, 1, width)
+
+    return found.groupBy(id_).agg(*[of(k).alias(name) for k, name in enumerate(lists)])

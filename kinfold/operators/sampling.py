@@ -91,3 +91,21 @@ def chunked(rows: DataFrame, items: str, size: int) -> DataFrame:
     """A row for each run of ``size`` items."""
     starts = F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(size))
     return rows.withColumn("at__", F.explode(starts)).withColumn(items, F.slice(F.col(items), F.col("at__") + 1, F.lit(size))).drop("at__")
+
+
+def shuffled(rows: DataFrame, id_: str, piles: int) -> DataFrame:
+    """Adds pile and place: rows are dealt to piles and put in an order within each that follows no pattern of ids. Choose as many piles as leave each of a size that a task can sort."""
+    dealt = rows.withColumn("pile", scrambled(F.col(id_), piles * 1009) % piles)
+    return dealt.withColumn("place", F.row_number().over(Window.partitionBy("pile").orderBy(scrambled(F.col(id_), 1_000_000_007), id_)))
+
+
+def subsample(rows: DataFrame, id_: str, share: float, modulus: int = 1000) -> DataFrame:
+    """The rows whose scrambled id lies below the share."""
+    return rows.filter(scrambled(F.col(id_), modulus) < F.lit(round(share * modulus)))
+
+
+def inverse_frequency(counts: DataFrame, n: str) -> DataFrame:
+    """Adds w: one over the count, by the mean of all such; 0 where there is no count."""
+    one = F.when(F.col(n) > 0, 1.0 / F.col(n))
+    mean = counts.agg(F.avg(one).alias("mean__"))
+    return counts.join(F.broadcast(mean)).withColumn("w", F.coalesce(one / F.col("mean__"), F.lit(0.0))).drop("mean__")

@@ -45,3 +45,11 @@ def top_mean(cells: DataFrame, authorship: DataFrame, m: int, *, sub: str = "sub
     w = Window.partitionBy(sub, author).orderBy(F.desc(s), pub)
     joined = cells.join(authorship.select(pub, author), pub)
     return joined.withColumn("r__", F.row_number().over(w)).filter(F.col("r__") <= m).groupBy(sub, author).agg(F.avg(s).alias(s))
+
+
+def histogram(scores: DataFrame, bins: int, s: str = "s") -> DataFrame:
+    """bin, n: counts of equal steps from the least score to the greatest, which is in the last; bins without a score aren't listed."""
+    ends = scores.agg(F.min(s).alias("low__"), F.max(s).alias("high__"))
+    step = F.coalesce((F.col(s) - F.col("low__")) / F.nullif(F.col("high__") - F.col("low__"), F.lit(0.0)), F.lit(0.0))
+    at = F.least(F.floor(step * bins), F.lit(bins - 1)).cast("int")
+    return scores.filter(F.col(s).isNotNull()).join(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))  # one row is broadcast

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinfold import functions as K
+from kinfold.operators import evaluation as E
 from kinfold.operators import graph as G
 from kinfold.operators import retrieval as R
 from kinfold.operators import sampling as S
@@ -31,11 +32,7 @@ def random_baseline(spark, sf_dir):
 @query(f"""{_ROWS}, g as (select s, sum(label) l, count(*) n from rows group by 1), th as (select s t, sum(l) over (order by s desc) tp, sum(n) over (order by s desc) k, (select sum(label) from rows) p, (select count(*) from rows) n from g)
 select round(max(2 * tp / (k + p)), 6) best_f1, round(max((tp + (n - p) - (k - tp)) / n), 6) best_accuracy from th""")
 def threshold_sweep(spark, sf_dir):
-    r = rows(spark, sf_dir)
-    g = r.groupBy("s").agg(F.sum("label").alias("l"), F.count("*").alias("n"))  # as many rows as there are scores of four digits
-    total = r.agg(F.sum("label").alias("p"), F.count("*").alias("all"))
-    w = Window.orderBy(F.desc("s"))
-    t = g.join(F.broadcast(total)).select("p", "all", F.sum("l").over(w).alias("tp"), F.sum("n").over(w).alias("k"))
+    t = E.thresholds(rows(spark, sf_dir))  # as many rows as there are scores of four digits
     return t.agg(F.round(F.max(2 * F.col("tp") / (F.col("k") + F.col("p"))), 6).alias("best_f1"), F.round(F.max((F.col("tp") + F.col("all") - F.col("p") - F.col("k") + F.col("tp")) / F.col("all")), 6).alias("best_accuracy"))
 
 

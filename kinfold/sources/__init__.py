@@ -92,6 +92,21 @@ def score_labels(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("target_id", "label"))).alias("targets"))
 
 
+def papers(spark: SparkSession, folder: str, texts: str | None = None) -> DataFrame:
+    """paper, title, abstract, year of a folder of JSON files named by paper, where all three are known; with a folder of texts, those that have one, and their text."""
+    rows = spark.read.schema("title string, abstract string, year int").json(folder).select(_stem().alias("paper"), "*").dropna(subset=["title", "abstract", "year"])
+    if texts is None:
+        return rows
+    found = spark.read.text(texts, wholetext=True).select(_stem().alias("paper"), F.from_json(F.concat(F.lit('{"text":'), "value", F.lit("}")), "text string")["text"].alias("text"))
+    return rows.join(found, "paper")
+
+
+def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a JSON lines file, or of one with tabs (.tsv, .csv)."""
+    reader = spark.read.schema(schema)
+    return reader.csv(path, sep="\t") if path.endswith((".tsv", ".csv")) else reader.json(path)
+
+
 class Dataset:
     """A folder with archives, submissions and bids, and metadata.json where there is one. Tables are read when asked for."""
 
@@ -149,6 +164,12 @@ def write_embeddings(rows: DataFrame, folder: str) -> None:
     rows.select("paper_id", "embedding").write.mode("overwrite").json(folder)
 
 
+def write_dump(rows: DataFrame, folder: str, kind: str = "json") -> None:
+    """json (a row a line), csv (tabs, with a header) or parquet, in place of whatever language's own format."""
+    out = rows.write.mode("overwrite")
+    {"json": out.json, "parquet": out.parquet, "csv": lambda f: out.csv(f, sep="\t", header=True)}[kind](folder)
+
+
 def stream_results(rows: DataFrame, chunk: int = 1000):
     """Rows in lists of ``chunk``, a partition at a time on the driver."""
     held = []

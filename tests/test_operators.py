@@ -323,3 +323,37 @@ def test_singlerank_weighs_links(spark):
     t = spark.createDataFrame([(1, ["aa", "bb", "aa", "bb", "cc"])], "id long, words array<string>")
     got = [r.word for r in graph.singlerank(graph.weighted_cooccurrences(t, 2), 3).orderBy("rank").collect()]
     assert got[0] == "bb" and got[-1] == "cc"
+
+
+def test_papers_records_and_dumps(spark, tmp_path):
+    from kinfold import sources
+
+    for name, row in {"a": {"title": "x", "abstract": "y", "year": 2020}, "b": {"title": "x", "abstract": None, "year": 2020}, "c": {"title": "z", "abstract": "w", "year": 2021}}.items():
+        (tmp_path / "papers").mkdir(exist_ok=True)
+        (tmp_path / "papers" / f"{name}.json").write_text(json.dumps(row))
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts" / "c.json").write_text(json.dumps("whole\ntext"))
+    assert sorted(r.paper for r in sources.papers(spark, str(tmp_path / "papers")).collect()) == ["a", "c"]
+    assert [tuple(r) for r in sources.papers(spark, str(tmp_path / "papers"), str(tmp_path / "texts")).select("paper", "text").collect()] == [("c", "whole\ntext")]
+    rows = spark.createDataFrame([(1, "p"), (2, "q")], "n int, s string")
+    for kind in ("json", "csv", "parquet"):
+        sources.write_dump(rows, str(tmp_path / kind), kind)
+    assert sorted(tuple(r) for r in sources.records(spark, str(tmp_path / "json"), "n int, s string").collect()) == [(1, "p"), (2, "q")]
+    (tmp_path / "t.tsv").write_text("1\tp\n2\tq\n")
+    assert sorted(tuple(r) for r in sources.records(spark, str(tmp_path / "t.tsv"), "n int, s string").collect()) == [(1, "p"), (2, "q")]
+    assert sorted(spark.read.csv(str(tmp_path / "csv"), sep="\t", header=True).columns) == ["n", "s"]
+
+
+def test_encoded_of_nothing_and_typed_tokens(spark):
+    from kinfold import functions as K
+    from kinfold.operators import retrieval as R
+    from pyspark.sql import functions as F
+
+    v = spark.createDataFrame([("a", 5, 2)], "item string, cnt long, idx long")
+    d = spark.createDataFrame([(1, ["b", "a", "a", "a"]), (2, []), (3, None), (4, [None, "a"])], "i int, w array<string>")
+    got = {r.i: list(r.ids) for r in R.encoded(d, "i", {"ids": F.col("w")}, v, 3).collect()}
+    assert got == {1: [1, 2, 2], 2: [0, 0, 0], 3: [0, 0, 0], 4: [1, 2, 0]}
+    tokens, types = K.typed_tokens(F.col("w"), F.array(F.lit("x"), F.lit("y")), most=4)
+    made = {r.i: (list(r.t), list(r.y)) for r in d.filter("i < 4").select("i", tokens.alias("t"), types.alias("y")).collect()}
+    assert made[1] == (["b", "a", "a", "<SEP>"], [0, 0, 0, 1])
+    assert made[2] == made[3] == (["<SEP>", "x", "y", "<SEP>"], [0, 1, 1, 1])
