@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from kinfold.functions import space_tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Postings of a term that one task joins with the queries.
+MOST_POSTINGS = 200_000
 
 
 def terms(docs: DataFrame, id_: str, text: str, tokens: Column | None = None) -> DataFrame:
@@ -16,36 +18,43 @@ def terms(docs: DataFrame, id_: str, text: str, tokens: Column | None = None) ->
     return docs.select(F.col(id_).alias("id"), F.explode(t).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, *, doc: str = "doc", text: str = "text", query: str = "q", query_text: str = "text") -> DataFrame:
-    """query, doc, s for pairs that share a term.
+def document_frequencies(docs: DataFrame, text: str, tokens: Column | None = None) -> DataFrame:
+    """term, df: the number of rows that have the term. Counted from each text's different terms, without a table of all terms' counts."""
+    t = space_tokens(F.col(text)) if tokens is None else tokens
+    return docs.select(F.explode(F.array_distinct(t)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def bm25(corpus: DataFrame, queries: DataFrame, *, doc: str = "doc", text: str = "text", query: str = "q", query_text: str = "text", most: int = MOST_POSTINGS) -> DataFrame:
+    """query, doc, s for pairs that share a term; ``doc`` tells documents apart, those without it or without text don't count.
 
     idf is ln(N - df + 0.5) - ln(df + 0.5), or a quarter of the mean idf where that is negative; a query's term counts
-    as often as it occurs. Only postings of terms in queries are joined.
+    as often as it occurs. Only postings of terms in queries are made and joined, a term of more than ``most`` of them in
+    as many groups as it needs, each beside all queries with the term.
     """
-    tf = terms(corpus, doc, text)
-    length = tf.groupBy("id").agg(F.sum("tf").alias("dl"))
-    size = length.agg(F.count("*").cast("double").alias("N"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(size))  # one row
+    cut = corpus.select(F.col(doc).alias("id"), space_tokens(F.col(text)).alias("t")).filter("id is not null and t is not null")
+    size = cut.agg(F.count("*").cast("double").alias("N"), F.avg(F.size("t")).alias("avgdl"))
+    df = document_frequencies(cut, "t", F.col("t")).join(F.broadcast(size))  # one row
     raw = F.log(F.col("N") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = df.select("term", raw.alias("raw"), "avgdl")
+    idf = df.select("term", "df", raw.alias("raw"), "avgdl")
     mean = idf.agg(F.avg("raw").alias("mean_idf"))
-    idf = idf.join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    idf = idf.join(F.broadcast(mean)).select("term", "avgdl", F.ceil(F.col("df") / most).alias("groups"), F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
     q = terms(queries, query, query_text).select(F.col("id").alias(query), "term", F.col("tf").alias("qtf"))
-    wanted = q.join(idf, "term")
+    wanted = q.join(idf, "term").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    asked = idf.select("term", "groups").join(q.select("term").distinct(), "term", "left_semi")
+    words = cut.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(asked, "term")
+    postings = words.groupBy("id", "dl", "term", "groups").agg(F.count("*").alias("tf")).withColumn("group", F.pmod(F.xxhash64("id"), F.col("groups"))).drop("groups")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    postings = tf.join(q.select("term").distinct(), "term", "left_semi").join(length, "id")
-    return postings.join(wanted, "term").groupBy(query, F.col("id").alias(doc)).agg(F.sum(part).alias("s"))
+    return postings.join(wanted, ["term", "group"]).groupBy(query, F.col("id").alias(doc)).agg(F.sum(part).alias("s"))
 
 
 def normalized_by_query(scores: DataFrame, documents: int, query: str = "q", s: str = "s") -> DataFrame:
     """Scores drawn to [0, 1] within each query by the least and greatest over all ``documents`` of the corpus, and
     ``rest``: what a document without a common term gets. These count as 0 before; where the least and the greatest are
     equal, what isn't 0 becomes 1."""
-    w = Window.partitionBy(query)
-    some = F.count("*").over(w) < F.lit(documents)
-    low = F.when(some, F.least(F.min(s).over(w), F.lit(0.0))).otherwise(F.min(s).over(w))
-    high = F.when(some, F.greatest(F.max(s).over(w), F.lit(0.0))).otherwise(F.max(s).over(w))
-    ends = scores.withColumns({"low__": low, "high__": high})
+    some = F.count("*") < F.lit(documents)
+    low = F.when(some, F.least(F.min(s), F.lit(0.0))).otherwise(F.min(s))
+    high = F.when(some, F.greatest(F.max(s), F.lit(0.0))).otherwise(F.max(s))
+    ends = scores.join(scores.groupBy(query).agg(low.alias("low__"), high.alias("high__")), query)
     one = F.col("low__") == F.col("high__")
     span = F.nullif(F.col("high__") - F.col("low__"), F.lit(0.0))
     made = F.when(one, F.when(F.col(s) != 0, 1.0).otherwise(0.0)).otherwise((F.col(s) - F.col("low__")) / span)
@@ -85,11 +94,10 @@ def without_documents(ownership: DataFrame, documents: DataFrame, owner: str = "
 
 
 def tfidf(corpus: DataFrame, id_: str, text: str, tokens: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(id, term, w) of unit length, and (term, idf) with idf = log2(N / df)."""
-    tf = terms(corpus, id_, text, tokens)
+    """(id, term, w) of unit length, and (term, idf) with idf = log2(N / df); ids tell documents apart."""
     n = corpus.agg(F.count("*").cast("double").alias("N"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", F.log2(F.col("N") / F.col("df")).alias("idf"))
-    return unit_weights(tf, idf), idf
+    idf = document_frequencies(corpus, text, tokens).join(F.broadcast(n)).select("term", F.log2(F.col("N") / F.col("df")).alias("idf"))
+    return unit_weights(terms(corpus, id_, text, tokens), idf), idf
 
 
 def unit_weights(tf: DataFrame, idf: DataFrame) -> DataFrame:
