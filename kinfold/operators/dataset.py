@@ -148,11 +148,17 @@ def machine_tier(notes: Column, small: int = 10_000, medium: int = 200_000) -> C
     return F.when(notes < small, F.lit("small")).when(notes < medium, F.lit("medium")).otherwise(F.lit("large"))
 
 
-def search_jobs(jobs: DataFrame, prefixes: dict[str, str], owner: str | None = None, owner_column: str = "owner") -> DataFrame:
-    """Jobs whose columns begin with the given text, whatever the case; all conditions hold. ``owner`` sees only theirs."""
+def search_jobs(jobs: DataFrame, prefixes: dict[str, str], owner: str | None = None, owner_column: str = "owner", superuser: str | None = None) -> DataFrame:
+    """Jobs whose columns begin with the given text, whatever the case; all conditions hold, and an empty one always does.
+
+    A dotted name is a field of an entity. A name that only the entities (structs entityA and entityB) have is looked for
+    in the first where it isn't empty. ``owner`` sees only theirs; ``superuser``, and None, see all.
+    """
     for c, p in prefixes.items():
-        jobs = jobs.filter(F.lower(F.col(c)).startswith(p.lower()))
-    return jobs if owner is None else jobs.filter(F.col(owner_column) == owner)
+        fields = [f"{e}.{c}" for e in ("entityA", "entityB") if c not in jobs.columns and e in jobs.columns and c in jobs.schema[e].dataType.names]
+        value = F.coalesce(*[F.nullif(F.col(f), F.lit("")) for f in fields or [c]], F.lit(""))
+        jobs = jobs.filter(F.lower(value).startswith(p.lower()))
+    return jobs if owner is None or owner == superuser else jobs.filter(F.col(owner_column) == owner)
 
 
 class ExpectedDataError(ValueError):

@@ -1,12 +1,13 @@
-"""Vectors from an injected model, with the cache in front; facet coefficients by projected gradient."""
+"""Vectors from an injected model, with the cache in front; facet coefficients in six ways; sampled options."""
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.operators import cache as C
@@ -37,28 +38,109 @@ def embed_missing(papers: DataFrame, cache: DataFrame, model: str, infer: Callab
     return held.unionByName(new), new
 
 
+def coefficients(p: np.ndarray, g: np.ndarray, method: str = "lc", *, rounds: int = 60, l1: float = 0.0, most: float = 1.0) -> np.ndarray:
+    """A row of facets' coefficients for each target, from the targets' products with the facets (p) and the facets' with one another (g).
+
+    lc, sgd_bmm: least squares with weights in [0, most] and an l1 penalty, by projected gradient. prod: the greatest
+    product less the penalty, scaled to a sum of 1, at the place where gradient steps with that scaling come to rest.
+    max: the facet of greatest cosine, its factor in [0, 1]. max_cos: the facet of greatest factor, which has no bound.
+    max_iter: twice the facet of greatest factor for what is left, not below 0. softmax: by the product with the unit facet.
+    """
+    own = np.maximum(np.diag(g), 1e-300)
+    made, rows = np.zeros_like(p), np.arange(len(p))
+    if method in ("lc", "sgd_bmm"):
+        step = 1.0 / max(float(np.linalg.eigvalsh(g)[-1]), 1e-12)
+        made += 0.5 * most / max(len(g), 1)
+        for _ in range(rounds):
+            made = np.clip(made - step * (made @ g - p + l1), 0.0, most)
+    elif method == "prod":
+        pull = np.maximum(p - l1, 0.0)
+        made = pull / np.maximum(pull.sum(1, keepdims=True), 1e-300)
+    elif method == "max":
+        at = (p / np.sqrt(own)).argmax(1)
+        made[rows, at] = np.clip((p / own)[rows, at], 0.0, 1.0)
+    elif method == "max_cos":
+        at = (p / own).argmax(1)
+        made[rows, at] = (p / own)[rows, at]
+    elif method == "max_iter":
+        for _ in range(2):
+            factor = (p - made @ g) / own
+            at = factor.argmax(1)
+            made[rows, at] += np.maximum(factor[rows, at], 0.0)
+    elif method == "softmax":
+        x = p / np.sqrt(own)
+        made = np.exp(x - x.max(1, keepdims=True))
+        made /= made.sum(1, keepdims=True)
+    else:
+        raise ValueError(f"no way to fit facets is called {method}")
+    return made
+
+
 def gradient_fit(bases: np.ndarray, target: np.ndarray, rounds: int = 60, most: float = 1.0) -> tuple[np.ndarray, float]:
     """Coefficients in [0, most] of the facets (rows of ``bases``) nearest to the target, by projected gradient, and the squared distance."""
-    g = bases @ bases.T
-    step = 1.0 / max(float(np.linalg.eigvalsh(g)[-1]), 1e-12)
-    c, pull = np.full(len(bases), 0.5 * most / max(len(bases), 1)), bases @ target
-    for _ in range(rounds):
-        c = np.clip(c - step * (g @ c - pull), 0.0, most)
+    c = coefficients((bases @ target)[None], bases @ bases.T, "lc", rounds=rounds, most=most)[0]
     return c, float(((c @ bases - target) ** 2).sum())
 
 
-def facet_distances(facets: DataFrame, targets: DataFrame, *, rounds: int = 60) -> DataFrame:
-    """sub, rev, d for targets (sub, e) and authors' facets (rev, facets: array of vectors): all facets of an author mixed."""
-    pairs = targets.crossJoin(facets)  # every author is scored for every target: as many rows as the result
+def _packed(df: DataFrame, id_: str, value: Column, name: str, rows: int) -> DataFrame:
+    """Rows of at most ``rows`` ids each, with their vectors in one matrix and how many vectors each id has; ``value`` is an array of vectors."""
+    kind = dict(df.dtypes)[id_]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.to_pylist()
-            d = [gradient_fit(np.array(r["facets"], float), np.array(r["e"], float), rounds)[1] for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("sub")), b.column(b.schema.get_field_index("rev")), pa.array(d)], names=["sub", "rev", "d"])
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                held = part.column(1)
+                flat = held.flatten().flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+                sizes = pa.array([[len(x) for x in held]], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), sizes, pa.array([flat.tobytes()], pa.binary())], names=[f"{name}_ids", f"{name}_sizes", f"{name}_matrix"])
+
+    return df.select(F.col(id_), value.alias("v")).mapInArrow(pack, f"{name}_ids array<{kind}>, {name}_sizes array<int>, {name}_matrix binary")
 
-    kind = dict(pairs.dtypes)
-    return pairs.select("sub", "rev", "e", "facets").mapInArrow(run, f"sub {kind['sub']}, rev {kind['rev']}, d double")
+
+def facet_distances(facets: DataFrame, targets: DataFrame, *, method: str = "lc", rounds: int = 60, l1: float = 0.0, block: int = 256) -> DataFrame:
+    """sub, rev, d for targets (sub, e) and authors' facets (rev, facets: array of vectors): the squared distance of each
+    target from the author's facets, mixed as ``coefficients`` says. Every author is scored for every target, which is
+    what is asked for; only blocks meet blocks, and what is fitted are their products."""
+    both = _packed(targets, "sub", F.array("e"), "a", block).crossJoin(_packed(facets, "rev", F.col("facets"), "b", block))
+    kind_a, kind_b = dict(targets.dtypes)["sub"], dict(facets.dtypes)["rev"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids_a, ids_b = (b.column(b.schema.get_field_index(n)) for n in ("a_ids", "b_ids"))
+            for i, row in enumerate(b.select(["b_sizes", "a_matrix", "b_matrix"]).to_pylist()):
+                subs, revs, total = ids_a[i].values, ids_b[i].values, sum(row["b_sizes"])
+                if not total:
+                    continue
+                x = np.frombuffer(row["a_matrix"]).reshape(len(subs), -1)
+                y = np.frombuffer(row["b_matrix"]).reshape(total, -1)
+                products, length, end = x @ y.T, (x * x).sum(1), 0
+                for j, size in enumerate(row["b_sizes"]):
+                    at, end = end, end + size
+                    if not size:
+                        continue
+                    p, g = products[:, at:end], y[at:end] @ y[at:end].T
+                    c = coefficients(p, g, method, rounds=rounds, l1=l1)
+                    d = np.maximum(length - 2 * (c * p).sum(1) + ((c @ g) * c).sum(1), 0.0)
+                    yield pa.RecordBatch.from_arrays([subs, revs.take(pa.array([j] * len(subs))), pa.array(d)], names=["sub", "rev", "d"])
+
+    return both.mapInArrow(run, f"sub {kind_a}, rev {kind_b}, d double")
+
+
+def sampled(space: dict[str, object], n: int, seed: int = 0) -> list[dict]:
+    """n candidates drawn from the space: a pair of floats is a range, a pair of whole numbers one without its end, a list a choice; anything else is taken as it is."""
+    draw, made = random.Random(seed), []
+    for _ in range(n):
+        one = {}
+        for name, v in space.items():
+            if isinstance(v, tuple) and all(isinstance(x, int) for x in v):
+                one[name] = draw.randrange(*v)
+            elif isinstance(v, tuple):
+                one[name] = draw.uniform(*v)
+            else:
+                one[name] = draw.choice(v) if isinstance(v, list) else v
+        made.append(one)
+    return made
 
 
 def best_options(candidates: list[dict], evaluate: Callable[[dict], DataFrame]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators.ordering import with_running
+
 
 def average_precision(rows: DataFrame, q: str = "q", s: str = "s", label: str = "label") -> DataFrame:
     """q, ap for queries with a positive; equal scores count as one step."""
@@ -15,7 +17,9 @@ def average_precision(rows: DataFrame, q: str = "q", s: str = "s", label: str =
 
 def ranked(rows: DataFrame, q: str | None, s: str, tie: str) -> DataFrame:
     """Adds rk, the place by score, then by ``tie``; over all rows where ``q`` is None."""
-    return rows.withColumn("rk", F.row_number().over((Window.partitionBy(q) if q else Window.partitionBy(F.lit(0))).orderBy(F.desc(s), tie)))
+    if q is None:
+        return with_running(rows, [F.col(s).isNull(), -F.col(s), F.col(tie)], {"rk": F.lit(1)})
+    return rows.withColumn("rk", F.row_number().over(Window.partitionBy(q).orderBy(F.desc(s), tie)))
 
 
 def hits_at(rows: DataFrame, k: int, q: str = "q", s: str = "s", label: str = "label", tie: str = "item") -> DataFrame:
@@ -140,10 +144,27 @@ def thresholds(rows: DataFrame, s: str = "s", label: str = "label") -> DataFrame
     """By score: its positives l, positives and rows from it up (tp, k), and all positives and rows (p, all). As many rows as there are different scores."""
     g = rows.groupBy(s).agg(F.sum(label).alias("l"), F.count("*").alias("n"))
     total = rows.agg(F.sum(label).alias("p"), F.count("*").alias("all"))
-    w = Window.orderBy(F.desc(s))
-    return g.join(F.broadcast(total)).select(s, "l", "p", "all", F.sum("l").over(w).alias("tp"), F.sum("n").over(w).alias("k"))
+    summed = with_running(g, [F.col(s).isNull(), -F.col(s)], {"tp": F.col("l"), "k": F.col("n")})
+    return summed.join(F.broadcast(total)).select(s, "l", "p", "all", "tp", "k")
 
 
 def pooled_precision(rows: DataFrame, s: str = "s", label: str = "label") -> DataFrame:
     """One row: average precision over the thresholds of all rows together."""
     return thresholds(rows, s, label).agg(F.sum(F.col("l") / F.col("p") * F.col("tp") / F.col("k")).alias("ap"))
+
+
+def cross_validated(candidates: list[DataFrame], folds: int, who: str = "who") -> DataFrame:
+    """fold, candidate, train, test: for each fold, the candidate (its place in the list, from 0) of least loss over the
+    other folds' people, the first of equals, and its loss over both. Candidates are ``gold_parts``: their sums by fold
+    are all that is compared, so no candidate is scored once a fold."""
+    from kinfold.operators.sampling import folds as dealt
+
+    parts = None
+    for i, c in enumerate(candidates):
+        one = dealt(c, who, folds).groupBy("fold").agg(F.sum("loss_n").alias("n"), F.sum("loss_d").alias("d")).withColumn("candidate", F.lit(i))
+        parts = one if parts is None else parts.union(one)
+    every = Window.partitionBy("candidate")
+    share = lambda n, d: n / F.nullif(d, F.lit(0.0))
+    losses = parts.select("fold", "candidate", share(F.sum("n").over(every) - F.col("n"), F.sum("d").over(every) - F.col("d")).alias("train"), share(F.col("n"), F.col("d")).alias("test"))
+    best = F.row_number().over(Window.partitionBy("fold").orderBy(F.asc_nulls_last("train"), "candidate"))
+    return losses.withColumn("r__", best).filter("r__ = 1").drop("r__")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators.ordering import with_running
+
 
 def scrambled(id_: Column, modulus: int = 1000) -> Column:
     """A number below the modulus that follows no pattern of neighbouring ids."""
@@ -27,11 +29,8 @@ def folds(ids: DataFrame, id_: str, k: int) -> DataFrame:
 
 def modulo_partition(ids: DataFrame, id_: str, n: int, p: int) -> DataFrame:
     """Rows whose place by id, from 0, leaves p modulo n. Places come from counts of ranges, not from one sorted task."""
-    keyed = ids.repartitionByRange(F.col(id_)).withColumn("pid", F.spark_partition_id())
-    sizes = keyed.groupBy("pid").agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = keyed.withColumn("r", F.row_number().over(Window.partitionBy("pid").orderBy(id_))).join(sizes.select("pid", before.alias("b")), "pid")
-    return placed.withColumn("place", F.col("b") + F.col("r") - 1).filter(F.col("place") % n == p).select(*ids.columns, "place")
+    placed = with_running(ids, [F.col(id_)], {"place": F.lit(1)}).withColumn("place", F.col("place") - 1)
+    return placed.filter(F.col("place") % n == p)
 
 
 def bid_sets(bids: DataFrame, positive: list[str], forum: str = "forum", who: str = "who", tag: str = "tag") -> DataFrame:
@@ -52,11 +51,11 @@ def bpr_triples(bids: DataFrame, positive: list[str], having: DataFrame, forum:
     return pos.join(neg, forum).filter("pos <> neg")
 
 
-def negatives(rows: DataFrame, id_: str, group: str, how: str = "uniform") -> DataFrame:
+def negatives(rows: DataFrame, id_: str, group: str, how: str = "uniform", among: DataFrame | None = None) -> DataFrame:
     """Adds neg: another group than the row's own, null where there is none. uniform: each of the others as likely, by the
     row's id; rotate: the next in order; shuffle: the next in an order that follows no pattern; paper_uniform: the group
-    of another row, each row as likely, drawn again in order until it is another group's."""
-    groups = rows.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("rows__"))
+    of another row, each row as likely, drawn again in order until it is another group's. Groups are those of ``among``, or of the rows."""
+    groups = (rows if among is None else among).filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("rows__"))
     order = [group] if how in ("uniform", "rotate", "paper_uniform") else [scrambled(F.crc32(F.col(group).cast("string").cast("binary")), 1_000_003), group]
     w = Window.orderBy(*order)  # over groups, not rows
     placed = groups.select(F.col(group).alias("neg"), (F.row_number().over(w) - 1).alias("at__"), F.count("*").over(Window.partitionBy()).alias("n__"), (F.sum("rows__").over(w) - F.col("rows__")).alias("first__"), "rows__", F.sum("rows__").over(Window.partitionBy()).alias("all__"))
@@ -69,7 +68,7 @@ def negatives(rows: DataFrame, id_: str, group: str, how: str = "uniform") -> Da
         tagged = tagged.withColumn("pick__", pick + F.when(pick >= F.col("from__"), F.col("size__")).otherwise(0))
         found = tagged.join(placed.select("neg", "first__", "rows__"), (F.col("pick__") >= F.col("first__")) & (F.col("pick__") < F.col("first__") + F.col("rows__")), "left")
         return found.select(*rows.columns, "neg")
-    step = (scrambled(F.col(id_)) % others if how == "uniform" else F.when(others.isNotNull(), F.lit(0))) + 1
+    step = (scrambled(F.col(id_), 1_000_000_007) % others if how == "uniform" else F.when(others.isNotNull(), F.lit(0))) + 1
     tagged = tagged.withColumn("at__", (F.col("own__") + step) % F.col("n__"))
     return tagged.join(placed.select("neg", "at__"), "at__", "left").select(*rows.columns, "neg")
 
@@ -82,6 +81,15 @@ def heldout_pairs(papers: DataFrame, author: str, id_: str, holdouts: int = 1) -
     return held.join(r.select(author, F.col(id_).alias("other")), author).filter("held <> other")
 
 
+def heldout_triples(papers: DataFrame, author: str, id_: str) -> DataFrame:
+    """author, held, other, neg: every paper held out beside each other one of its author, and another author, each of them
+    as likely, by both papers' ids. neg is null where there is no other author; papers without author are left out."""
+    named = papers.filter(F.col(author).isNotNull())
+    pairs = named.select(author, F.col(id_).alias("held")).join(named.select(author, F.col(id_).alias("other")), author).filter("held <> other")
+    keyed = pairs.withColumn("pair__", F.col("held") * 7919 + F.col("other"))
+    return negatives(keyed, "pair__", author, "uniform", among=named).drop("pair__")
+
+
 def union_labels(rows: DataFrame, features: list[str], label: str) -> DataFrame:
     """One row for equal features, with the labels of all, in order."""
     return rows.groupBy(*features).agg(F.array_sort(F.collect_set(label)).alias("labels"))

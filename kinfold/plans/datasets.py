@@ -165,6 +165,15 @@ def job_search(spark, sf_dir):
     return found.select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("on_day"))
 
 
+@query("""with j as (select o_orderkey, o_custkey, case when o_orderkey % 3 = 0 then '' else o_orderpriority end a, o_orderstatus || '-x' b from orders)
+select 'either' kind, o_orderkey from j where starts_with(lower(coalesce(nullif(a, ''), b)), 'o-') union all select 'first', o_orderkey from j where starts_with(lower(a), '1-') and o_custkey % 2 = 0""")
+def job_search_entities(spark, sf_dir):
+    first = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderpriority"))
+    jobs = _orders(spark, sf_dir).select("o_orderkey", F.when(F.col("o_custkey") % 2 == 0, "me").otherwise("other").alias("owner"), F.struct(first.alias("memberOf")).alias("entityA"), F.struct(F.concat("o_orderstatus", F.lit("-x")).alias("memberOf")).alias("entityB"))
+    either = D.search_jobs(jobs, {"memberOf": "O-"}, owner="root", superuser="root").select(F.lit("either").alias("kind"), "o_orderkey")
+    return either.union(D.search_jobs(jobs, {"entityA.memberOf": "1-"}, owner="me", superuser="root").select(F.lit("first"), "o_orderkey"))
+
+
 @query("select page_id, regexp_replace(url, '/[^/]*$', '') k, split_part(url, '/-/', 1) i from pages")
 def venue_key(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", K.venue_key(F.col("url")).alias("k"), K.invitation_prefix(F.col("url")).alias("i"))

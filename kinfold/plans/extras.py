@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinfold import functions as K
+from kinfold.operators import embedding
 from kinfold.operators import evaluation as E
 from kinfold.operators import graph as G
 from kinfold.operators import retrieval as R
@@ -86,7 +87,7 @@ def centroid_scores(spark, sf_dir):
 
 
 @query(f"""with g as (select source, row_number() over (order by source) - 1 at_, count(*) over () n, c, sum(c) over (order by source) - c f, sum(c) over () t from (select source, count(*) c from documents where source is not null group by 1)),
-d as (select d.doc_id, d.source, g.at_, n, f, c, ({_X.format('d.doc_id')} % nullif(n - 1, 0) + at_ + 1) % n u, case when n > 1 then (at_ + 1) % n end r, ((d.doc_id % 1000003) * 2654435761 % 4294967296) % 1000000007 % nullif(t - c, 0) k from documents d left join g using (source))
+d as (select d.doc_id, d.source, g.at_, n, f, c, (((d.doc_id % 1000003) * 2654435761 % 4294967296) % 1000000007 % nullif(n - 1, 0) + at_ + 1) % n u, case when n > 1 then (at_ + 1) % n end r, ((d.doc_id % 1000003) * 2654435761 % 4294967296) % 1000000007 % nullif(t - c, 0) k from documents d left join g using (source))
 select d.doc_id, d.source, u.source uniform, r.source rotate, p.source paper from d left join g u on u.at_ = d.u left join g r on r.at_ = d.r left join g p on d.k + case when d.k >= d.f then d.c else 0 end >= p.f and d.k + case when d.k >= d.f then d.c else 0 end < p.f + p.c""")
 def negative_sampling(spark, sf_dir):
     """Another source for every document, three ways."""
@@ -103,12 +104,31 @@ def rating_windows(spark, sf_dir):
     return windows(spark.read.parquet(f"{sf_dir}/events.parquet")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("began"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def _facets(spark, sf_dir):
+    subs, pubs, a = vectors(spark, sf_dir)
+    owned = pubs.join(a, "pub").withColumn("facet", F.col("pub") % 3)
+    return subs, owned.groupBy("rev", "facet").agg(F.min_by("e", "pub").alias("b")).groupBy("rev").agg(F.transform(F.array_sort(F.collect_list(F.struct("facet", "b"))), lambda x: x["b"]).alias("facets"))
+
+
 @query()
 def facet_mixture(spark, sf_dir):
     """Gradient-fitted mixtures of three facets an author; checked against least squares in the tests."""
-    from kinfold.operators import embedding
-
-    subs, pubs, a = vectors(spark, sf_dir)
-    owned = pubs.join(a, "pub").withColumn("facet", F.col("pub") % 3)
-    facets = owned.groupBy("rev", "facet").agg(F.min_by("e", "pub").alias("b")).groupBy("rev").agg(F.transform(F.array_sort(F.collect_list(F.struct("facet", "b"))), lambda x: x["b"]).alias("facets"))
+    subs, facets = _facets(spark, sf_dir)
     return embedding.facet_distances(facets, subs).withColumn("d", F.round("d", 6))
+
+
+@query(f"""with {_P2P}, f as (select rev, pub % 3 facet, min(pub) pub from p group by 1, 2), g as (select p.rev, f.facet, p.e from f join p using (pub)), gg as (select a.rev, a.facet fa, b.facet fb, list_dot_product(a.e, b.e) q from g a join g b using (rev)),
+x as (select sub, g.rev, facet, list_dot_product(g.e, t.e) p, list_dot_product(g.e, g.e) n, list_dot_product(t.e, t.e) tt from t cross join g),
+w as (select *, exp(p / sqrt(n)) / sum(exp(p / sqrt(n))) over (partition by sub, rev) w, row_number() over (partition by sub, rev order by p / n desc, facet) r from x),
+sm as (select a.sub, a.rev, sum(a.w * b.w * q) q from w a join w b using (sub, rev) join gg on gg.rev = a.rev and fa = a.facet and fb = b.facet group by 1, 2),
+sp as (select sub, rev, max(tt) - 2 * sum(w * p) s from w group by 1, 2), one as (select sub, rev, facet i, p / n k, greatest(p / n, 0) v, p, n, tt from w where r = 1),
+two as (select x.sub, x.rev, x.facet j, one.i, one.k, one.v, one.p, one.n, x.tt, x.p pj, x.n nj, gg.q, (x.p - one.v * gg.q) / x.n u, row_number() over (partition by x.sub, x.rev order by (x.p - one.v * gg.q) / x.n desc, x.facet) r from x join one using (sub, rev) join gg on gg.rev = x.rev and gg.fa = x.facet and gg.fb = one.i),
+it as (select sub, rev, tt - 2 * k * p + k * k * n mc, tt - 2 * (v * p + greatest(u, 0) * pj) + v * v * n + greatest(u, 0) * greatest(u, 0) * nj + 2 * v * greatest(u, 0) * q mi from two where r = 1)
+select sub, rev, round(mc, 6) max_cos, round(mi, 6) max_iter, round(s + q, 6) softmax from it join sm using (sub, rev) join sp using (sub, rev)""")
+def facet_methods(spark, sf_dir):
+    subs, facets = _facets(spark, sf_dir)
+    out = None
+    for how in ("max_cos", "max_iter", "softmax"):
+        d = embedding.facet_distances(facets, subs, method=how).withColumn("d", F.round("d", 6)).withColumnRenamed("d", how)
+        out = d if out is None else out.join(d, ["sub", "rev"])
+    return out

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kinfold.operators import embedding
 from kinfold.operators import evaluation as E
 from kinfold.operators import sampling as S
 from kinfold.plans.registry import query
-from kinfold.plans.scores import _MAX, reviewer_scores
+from kinfold.plans.scores import _MAX, _TWO, _two, reviewer_scores
 
 _ROWS = f"{_MAX}, rows as (select sub q, rev item, s, case when (sub // 10) % 4 = rev % 4 then 1 else 0 end label from sc)"
 _RK = _ROWS + ", rk as (select *, row_number() over (partition by q order by s desc, item) r, sum(label) over (partition by q) p from rows)"
@@ -28,9 +29,9 @@ def hits_at_k(spark, sf_dir):
     return E.hits_at(rows(spark, sf_dir), 3).select("q", F.round("hits", 6).alias("hits"))
 
 
-@query(f"{_RK}, e as (select q, m, max(p) p, sum(case when r <= m then label else 0 end) h from rk cross join range(0, 10) mm(m) group by 1, 2) select m, round(avg(case when p = 0 then 1.0 else h / p end), 6) recall from e group by 1")
+@query(f"{_RK}, e as (select q, m, max(p) p, sum(case when r <= m then label else 0 end) h from rk cross join range(0, 50) mm(m) group by 1, 2) select m, round(avg(case when p = 0 then 1.0 else h / p end), 6) recall from e group by 1")
 def recall_at_m(spark, sf_dir):
-    return E.recall_at(rows(spark, sf_dir), 10).select(F.col("m").cast("long").alias("m"), F.round("recall", 6).alias("recall"))
+    return E.recall_at(rows(spark, sf_dir), 50).select(F.col("m").cast("long").alias("m"), F.round("recall", 6).alias("recall"))
 
 
 @query(f"{_ROWS}, ti as (select *, q * 1000 + item tie from rows), r as (select *, row_number() over (order by s desc, tie) m from ti) select m, round(sum(label) over (order by m) / m, 6) \"precision\" from r where m <= 20")
@@ -180,3 +181,30 @@ def labels_scores_join(spark, sf_dir):
 @query("select doc_id, (((doc_id % 1000003) * 2654435761 % 4294967296) % 5045) % 5 fold from documents")
 def kfold(spark, sf_dir):
     return S.folds(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), "doc_id", 5)
+
+
+@query("""with p as (select a.o_custkey, a.o_orderkey held, b.o_orderkey other, a.o_orderkey * 7919 + b.o_orderkey k from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey <> b.o_orderkey),
+g as (select o_custkey, row_number() over (order by o_custkey) - 1 at_, count(*) over () n from (select distinct o_custkey from orders)), w as (select p.*, at_, n, ((k % 1000003) * 2654435761 % 4294967296) % 1000000007 % nullif(n - 1, 0) x from p join g using (o_custkey))
+select w.o_custkey, held, other, g.o_custkey neg from w left join g on g.at_ = (w.at_ + w.x + 1) % w.n""")
+def heldout_triples(spark, sf_dir):
+    return S.heldout_triples(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+
+
+_SHARES = [c["merge"] for c in embedding.sampled({"merge": (0.0, 1.0)}, 10, seed=5)]
+
+
+@query(f"""with {_TWO}, ca as (select * from (values {', '.join(f'({i}, {x!r}::double)' for i, x in enumerate(_SHARES))}) v(candidate, x)),
+g as (select candidate, a1.rev who, a1.sub item, ((a1.sub * 7 + a1.rev * 3) % 9) / 2.0::double + 1 gold, x * a1.s + (1.0::double - x) * a2.s s from a1 join a2 using (sub, rev) cross join ca),
+pr as (select a.candidate, a.who, a.gold x, b.gold y, a.s - b.s e from g a join g b on a.candidate = b.candidate and a.who = b.who and a.item < b.item),
+pf as (select candidate, (((who % 1000003) * 2654435761 % 4294967296) % 5045) % 5 fold, sum(case when e = 0 then abs(x - y) / 2 when sign(x - y) <> sign(e) then abs(x - y) else 0 end) n, sum(abs(x - y)) d from pr where x <> y group by 1, 2),
+lo as (select fold, candidate, (sum(n) over (partition by candidate) - n) / nullif(sum(d) over (partition by candidate) - d, 0) train, n / nullif(d, 0) test from pf),
+rk as (select *, row_number() over (partition by fold order by train nulls last, candidate) r from lo) select fold, candidate, round(train, 6) train, round(test, 6) test from rk where r = 1""")
+def cross_validation(spark, sf_dir):
+    """Shares of two models, drawn at random, and the best of them for each fold's people by the others'."""
+    a, b = _two(spark, sf_dir)
+    both = a.withColumnRenamed("s", "s1").join(b.withColumnRenamed("s", "s2"), ["sub", "rev"])
+    gold_ = ((F.col("sub") * 7 + F.col("rev") * 3) % 9) / 2.0 + 1
+    base = both.select(F.col("rev").alias("who"), F.col("sub").alias("item"), gold_.alias("gold"), "s1", "s2")
+    parts = [E.gold_parts(base.withColumn("s", F.lit(x) * F.col("s1") + (F.lit(1.0) - F.lit(x)) * F.col("s2"))) for x in _SHARES]
+    best = E.cross_validated(parts, 5)
+    return best.select("fold", "candidate", F.round("train", 6).alias("train"), F.round("test", 6).alias("test"))

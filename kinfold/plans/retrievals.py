@@ -159,7 +159,7 @@ def leave_one_out_rank(spark, sf_dir):
     return ranked(s, "q", "s", "source").join(held.select("q", "own"), "q").filter("source = own").groupBy("q").agg(F.min("rk").cast("long").alias("hit_rank"))
 
 
-_WORDS = "w as (select item_id id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) >= 2 and x not in ({})) words from benchmark)".format(", ".join(f"'{w}'" for w in K.STOP_WORDS))
+_WORDS = "w as (select item_id id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) >= 2 and x not in ({})) words from benchmark)".format(", ".join("'" + w.replace("'", "''") + "'" for w in K.STOP_WORDS))
 
 
 @query(f"""with {_WORDS}, p as (select id, words, unnest(range(1, len(words) + 1)) i from w), n as (select id, words[i] a, unnest(words[i + 1 : i + 3]) b from p)

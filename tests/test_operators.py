@@ -357,3 +357,80 @@ def test_encoded_of_nothing_and_typed_tokens(spark):
     made = {r.i: (list(r.t), list(r.y)) for r in d.filter("i < 4").select("i", tokens.alias("t"), types.alias("y")).collect()}
     assert made[1] == (["b", "a", "a", "<SEP>"], [0, 0, 0, 1])
     assert made[2] == made[3] == (["<SEP>", "x", "y", "<SEP>"], [0, 1, 1, 1])
+
+
+def test_running_sums_by_ranges(spark):
+    from kinfold.operators.ordering import range_of, with_running
+
+    values = [(i, None if i % 11 == 0 else float(i * 37 % 23)) for i in range(300)]
+    df = spark.createDataFrame(values, "i long, s double").repartition(5)
+    keys = [F.col("s").isNull(), -F.col("s"), F.col("i")]
+    ordered = sorted(values, key=lambda v: (v[1] is None, -(v[1] or 0.0), v[0]))
+    want = {(i, n + 1, sum(x for x, _ in ordered[: n + 1])) for n, (i, _) in enumerate(ordered)}
+    for parts in (1, 3, 64):
+        got = with_running(df, keys, {"rk": F.lit(1), "t": F.col("i")}, parts)
+        assert got.columns == ["i", "s", "rk", "t"]
+        assert {(r.i, r.rk, r.t) for r in got.collect()} == want
+    assert df.select(range_of(df, keys, 8).alias("p")).distinct().count() == 8
+    assert with_running(df.filter("i < 0"), keys, {"rk": F.lit(1)}).collect() == []
+
+
+def test_facet_coefficients(spark):
+    from kinfold.operators.embedding import coefficients, facet_distances
+
+    rng = np.random.default_rng(5)
+    b, t = rng.normal(size=(3, 6)), rng.normal(size=(4, 6))
+    p, g = t @ b.T, b @ b.T
+    for n in range(4):
+        f = p[n] / np.diag(g)
+        i = int(f.argmax())
+        assert np.allclose(coefficients(p, g, "max_cos")[n], np.eye(3)[i] * f[i])
+        c = np.eye(3)[i] * max(f[i], 0)
+        left = (t[n] - c @ b) @ b.T / np.diag(g)
+        c[left.argmax()] += max(left.max(), 0)
+        assert np.allclose(coefficients(p, g, "max_iter")[n], c)
+        e = np.exp(p[n] / np.linalg.norm(b, axis=1))
+        assert np.allclose(coefficients(p, g, "softmax")[n], e / e.sum())
+        j = int((p[n] / np.linalg.norm(b, axis=1)).argmax())
+        assert np.allclose(coefficients(p, g, "max")[n], np.eye(3)[j] * min(max(f[j], 0), 1))
+        c = rng.random(3) * 0.2  # steps along the product, scaled to a sum of at most 1
+        for _ in range(4000):
+            c = np.maximum(c + 0.05 * (p[n] - 0.01), 0)
+            c /= max(1.0, c.sum())
+        assert np.allclose(coefficients(p, g, "prod", l1=0.01)[n], c, atol=1e-6)
+    with pytest.raises(ValueError):
+        coefficients(p, g, "none")
+    facets = spark.createDataFrame([("x", b.tolist()), ("y", b[:1].tolist()), ("z", [])], "rev string, facets array<array<double>>")
+    targets = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(t)], "sub int, e array<double>")
+    got = {(r.sub, r.rev): r.d for r in facet_distances(facets, targets, method="softmax", block=3).collect()}
+    assert len(got) == 8
+    for (n, who), d in got.items():
+        k = 3 if who == "x" else 1
+        c = coefficients(p[n : n + 1, :k], g[:k, :k], "softmax")[0]
+        assert d == pytest.approx(((c @ b[:k] - t[n]) ** 2).sum())
+
+
+def test_sampled_options():
+    from kinfold.operators.embedding import sampled
+
+    got = sampled({"merge": (0.0, 1.0), "select": (1, 5), "kind": ["max", "avg"], "k": 3}, 50, seed=1)
+    assert got == sampled({"merge": (0.0, 1.0), "select": (1, 5), "kind": ["max", "avg"], "k": 3}, 50, seed=1)
+    assert {c["select"] for c in got} == {1, 2, 3, 4} and {c["kind"] for c in got} == {"max", "avg"}
+    assert all(0 <= c["merge"] < 1 and c["k"] == 3 for c in got)
+
+
+def test_heavy_terms_in_groups(spark):
+    from kinfold.operators.retrieval import bm25
+
+    docs = spark.createDataFrame([(i, " ".join(["a"] * (i % 3 + 1) + [f"w{i % 5}"])) for i in range(40)] + [(99, None)], "doc long, text string")
+    subs = spark.createDataFrame([(1, "a w1"), (2, "a a w4"), (3, None), (4, "zz")], "q long, text string")
+    whole, cut = ({(r.q, r.doc): round(r.s, 9) for r in bm25(docs, subs, most=m).collect()} for m in (1000, 3))
+    assert whole == cut and len(whole) == 80
+
+
+def test_negatives_reach_every_group(spark):
+    from kinfold.operators.sampling import negatives
+
+    rows = spark.range(40_000).withColumn("g", F.col("id") % 2000)
+    apart = negatives(rows, "id", "g").select(F.pmod(F.col("neg") - F.col("g"), F.lit(2000)).alias("d")).agg(F.min("d"), F.max("d")).first()
+    assert apart[0] >= 1 and apart[1] > 1900
