@@ -16,6 +16,7 @@ import base64
 import functools
 import hashlib
 import heapq
+from itertools import chain
 
 from pyspark.sql import DataFrame
 
@@ -26,6 +27,8 @@ from .pretoken import Chunks, pattern
 LEAF = 5
 #: Encodings of pieces of up to MEMO_BYTES bytes are kept, MEMO of them at most.
 MEMO_BYTES, MEMO = 12, 200_000
+#: Ids up to which a part is decoded directly.
+DECODED = 512
 
 
 @functools.cache
@@ -38,6 +41,7 @@ class TreeBPE:
     def __init__(self, path: str):
         self.ranks = load_ranks(path)
         self.words = {i: w for w, i in self.ranks.items()}
+        self.decimals = {i: str(i) for i in self.words}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.memo: dict[bytes, list[int]] = {}
         self.windows: dict[bytes, list[int]] = {}
@@ -111,7 +115,8 @@ class TreeBPE:
         """The encoding of the joined bytes of two encodings."""
         if not left or not right:
             return left or right
-        if self._stays(left[-1], right[0]):
+        known = self.pairs.get((left[-1], right[0]))
+        if known or known is None and self._stays(left[-1], right[0]):
             return left + right
         a = b = 1
         while True:
@@ -142,7 +147,7 @@ class TreeBPE:
         return self.join(self.encode(piece[:half]), self.encode(piece[half:]))
 
     def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= 64:
+        if len(ids) <= DECODED:
             return b"".join(map(self.words.__getitem__, ids))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
@@ -157,10 +162,10 @@ class TextCodec:
 
     def _make(self, chunks: list[str]) -> list[tuple[int, ...]]:
         split, encode = pattern().findall, self.bpe.encode
-        return [tuple(i for t in split(c) for i in encode(t.encode())) for c in chunks]
+        return [tuple(chain.from_iterable([encode(t.encode()) for t in split(c)])) for c in chunks]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        return [[i for x in chunks for i in x] for chunks in self.chunks.of([t or "" for t in texts])]
+        return [list(chain.from_iterable(chunks)) for chunks in self.chunks.of([t or "" for t in texts])]
 
 
 @functools.cache
@@ -199,7 +204,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", keep: list[str] | N
         n, ids_hash, decoded_hash = [], [], []
         for ids in own.encode(texts):
             n.append(len(ids))
-            ids_hash.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            ids_hash.append(hashlib.sha256(" ".join(map(own.bpe.decimals.__getitem__, ids)).encode()).hexdigest())
             decoded_hash.append(hashlib.sha256(own.bpe.decode(ids)).hexdigest())
         return [n, ids_hash, decoded_hash]
 
