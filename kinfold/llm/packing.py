@@ -34,7 +34,7 @@ CAPACITY = 1024
 #: Pieces of one length that are ranked in one group.
 GROUP_ROWS = 500
 #: Bytes of chunks that a worker keeps (see ``pretoken``); they settle time and memory, not results. A job whose workers hold much else can ask for less.
-KEPT_BYTES = 224 << 20
+KEPT_BYTES = 384 << 20
 
 
 def _four_bytes(ids: list[int]) -> bytes:
