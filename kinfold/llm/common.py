@@ -62,6 +62,33 @@ def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) ->
     return df.limit(most + 1).count() <= most
 
 
+def appended(spark: SparkSession, parts: Iterator[DataFrame], schema: str, name: str = "parts") -> DataFrame:
+    """The rows of all parts, each written before the next is asked for."""
+    path = f"{shared_dir(spark)}/kinfold/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
+    spark.createDataFrame([], schema).write.parquet(path)
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+#: A key of more than one in so many of all rows is met by broadcast: there are fewer than so many of these keys, at any size.
+HOT_KEYS = 4096
+
+
+def beside_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` with what ``groups`` has of their keys; rows of no group go. ``groups`` has one row a key, and in ``size`` how many
+    rows have the key. The few largest are met by broadcast and split as rows lie; no other holds more than a small share
+    of a shuffle. Both are read more than once: give written tables. Keys aren't null."""
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    cut = total // HOT_KEYS
+    hot = groups.filter(F.col(size) > cut)  # fewer than HOT_KEYS, since their sizes add up to no more than the total
+    if total < HOT_KEYS:
+        return rows.join(F.broadcast(hot), keys)
+    large = rows.join(F.broadcast(hot), keys)
+    return large.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.filter(F.col(size) <= cut), keys))
+
+
 _kept: list[Callable[[], None]] = []
 _holder: str | None = None
 

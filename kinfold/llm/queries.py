@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, packing, quality, secrets, tiff, tokens, treebpe, warc, wrapper
+from . import exact, hardneg, jaccard, language, packing, quality, secrets, tiff, tokens, treebpe, trie, warc, wrapper
 from .common import documents, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,24 @@ def op8_count_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
 
+@_query
+def op11_blocked_gemm_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"), "embedding")
+    return hardneg.hard_negatives(rows, F.col("id") % 50 == 0)
+
+
+@_query
+def op12_progressive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicates(documents(spark, sf_dir), all_digests=True).withColumnRenamed("sha256", "text_sha256")
+
+
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    made = trie.trie(trie.grafted(documents(spark, sf_dir, "conversations"), 100, lead, 5))
+    return made.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 # Base 32 of a digest: every five hexadecimal digits make four characters.
 ORACLES["op6_capture_index"] = """
 with p as (select page_id, coalesce(html, '') html from pages), h as (select page_id, html, sha1(html) s, min(page_id) over (partition by html) f from p)
@@ -108,3 +126,30 @@ l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where
 e as (select a, b from l union select b, a from l),
 r(doc_id, c) as (select doc_id, doc_id from d union select r.doc_id, e.b from r join e on e.a = r.c)
 select d.doc_id, coalesce(n.n, 0) n_shingles, m.c component_id from d left join n using (doc_id) join (select doc_id, min(c) c from r group by 1) m using (doc_id)"""
+
+ORACLES["op11_blocked_gemm_negatives"] = """
+with v as (select vec_id::bigint id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint label, list_transform(embedding, lambda x: floor(256 * x::double)) v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.id a, b.id b, a.label = b.label same, list_dot_product(a.v, b.v)::bigint s from v a join v b on a.id <> b.id where a.id % 50 = 0),
+p as (select a, b, s from (select *, row_number() over (partition by a order by s desc, b) r from s where same) where r <= 5),
+n as (select p.a, p.b, p.s, s.b nb, s.s ns, row_number() over (partition by p.a, p.b order by s.s desc, s.b) r from p join s on s.a = p.a and not s.same and 50 * p.s <= 100 * s.s and 100 * s.s <= 95 * p.s)
+select a anchor_id, b positive_id, r::int "rank", nb negative_id, s positive_score, ns negative_score from n where r <= 3"""
+
+ORACLES["op12_progressive_dedup"] = r"""
+with d as (select doc_id, length(coalesce(text, '')) c, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') t from documents)
+select doc_id, first_value(doc_id) over w keep_id, count(*) over (partition by t) group_size, row_number() over w = 1 kept, sha256(t) text_sha256
+from d window w as (partition by t order by c desc, doc_id nulls last rows between unbounded preceding and unbounded following)"""
+
+# crc32 byte by byte, from its table of 256, which is worked out bit by bit
+ORACLES["op13_prefix_trie"] = """
+with recursive bits(i, v, s) as (select i, i, 0 from range(256) r(i) union all select i, xor(v >> 1, 3988292384 * (v & 1)), s + 1 from bits where s < 8),
+crc as (select list(v order by i) t from bits where s = 8),
+own as (select conv_id c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) l from conversations where conv_id is not null group by 1),
+lead_ as (select c, l, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 6 h from own cross join crc),
+made as (select x.c, list_concat(coalesce(b.l, [])[1:x.h], x.l[x.h + 1:]) l from lead_ x left join own b on b.c = x.c - x.c % 100),
+pre as (select c, d, l[1:d] p, d = len(l) whole, case when d > 0 then length(l[d].text) else 0 end n from (select c, l, unnest(range(0, len(l) + 1)) d from made)),
+node as (select d, p, min(c) c, count(*) k, any_value(n) n, coalesce(string_agg(c::varchar, ',' order by c) filter (whole), '') e from pre group by 1, 2),
+kids as (select x.d, x.p, count(y.c) kids from node x left join node y on y.d = x.d + 1 and y.p[1:x.d] = x.p group by 1, 2),
+sub as (select x.d, x.p, count(*) filter (z.kids = 0) leaves, sum((y.k - 1) * y.n) saved from node x join node y on y.d >= x.d and y.p[1:x.d] = x.p join kids z on z.d = y.d and z.p = y.p group by 1, 2)
+select x.c conv_id, x.d depth, u.c parent_conv_id, x.k n_convs, kids n_children, leaves n_leaves, saved::bigint saved_tokens, sha256(x.e) ends_sha256
+from node x join kids using (d, p) join sub using (d, p) left join node u on u.d = x.d - 1 and u.p = x.p[1:x.d - 1]"""
