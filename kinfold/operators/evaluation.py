@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators.concordance import gold_sums
 from kinfold.operators.ordering import with_running
 
 
@@ -50,23 +51,16 @@ def average_rank(rows: DataFrame, q: str, s: str) -> DataFrame:
     return rows.withColumn("avg_rank", F.rank().over(w) + (F.count("*").over(same) - 1) / 2.0)
 
 
-def pairwise_loss(rows: DataFrame, who: str = "who", item: str = "item", gold: str = "gold", s: str = "s") -> DataFrame:
+def pairwise_loss(rows: DataFrame, who: str = "who", gold: str = "gold", s: str = "s") -> DataFrame:
     """One row, loss: over pairs of items of one person, the gold difference of pairs in wrong order (ties by half) over that of all."""
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col(f"a.{who}") == F.col(f"b.{who}")) & (F.col(f"a.{item}") < F.col(f"b.{item}")))
-    d, e = F.col(f"a.{gold}") - F.col(f"b.{gold}"), F.col(f"a.{s}") - F.col(f"b.{s}")
-    wrong = F.when(e == 0, F.abs(d) / 2.0).when(F.signum(d.cast("double")) != F.signum(e), F.abs(d)).otherwise(0.0)
-    return pairs.filter(d != 0).agg((F.sum(wrong) / F.sum(F.abs(d))).alias("loss"))
+    return gold_parts(rows, who, gold, s).agg((F.sum("loss_n") / F.sum("loss_d")).alias("loss"))
 
 
-def easy_hard(rows: DataFrame, who: str = "who", item: str = "item", gold: str = "gold", s: str = "s") -> DataFrame:
-    """kind, accuracy, n: pairs told apart; easy: one gold of 4 and more and one of 2 and less; hard: both of 4 and more. Equal golds are left out, equal scores are wrong by half."""
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col(f"a.{who}") == F.col(f"b.{who}")) & (F.col(f"a.{item}") < F.col(f"b.{item}")))
-    x, y, e = F.col(f"a.{gold}"), F.col(f"b.{gold}"), F.col(f"a.{s}") - F.col(f"b.{s}")
-    kind = F.when((F.greatest(x, y) >= 4) & (F.least(x, y) <= 2), F.lit("easy")).when(F.least(x, y) >= 4, F.lit("hard"))
-    right = F.when(e == 0, 0.5).when(F.signum((x - y).cast("double")) == F.signum(e), 1.0).otherwise(0.0)
-    return pairs.filter(x != y).select(kind.alias("kind"), right.alias("r")).filter("kind is not null").groupBy("kind").agg(F.avg("r").alias("accuracy"), F.count("*").alias("n"))
+def easy_hard(rows: DataFrame, who: str = "who", gold: str = "gold", s: str = "s") -> DataFrame:
+    """kind, accuracy, n: pairs told apart; easy: one gold of 4 and more and one of 2 and less; hard: both of 4 and more. Equal golds are left out, equal scores are wrong."""
+    sums = gold_parts(rows, who, gold, s).agg(*[F.sum(f"{k}_{x}").alias(f"{k}_{x}") for k in ("easy", "hard") for x in "nd"])
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_n").alias("right"), F.col(f"{k}_d").alias("n")) for k in ("easy", "hard")]))
+    return sums.select(kinds.alias("x")).select("x.*").filter("n > 0").select("kind", (F.col("right") / F.col("n")).alias("accuracy"), F.col("n").cast("long").alias("n"))
 
 
 def ranking_metrics(rows: DataFrame, ks: list[int], q: str = "q", s: str = "s", label: str = "label", tie: str = "item") -> DataFrame:
@@ -108,19 +102,9 @@ def with_popularity(rows: DataFrame, item: str = "item", s: str = "s", label: st
     return each.agg(F.corr("l", "m").alias("pearson"), F.avg(F.abs(F.col("l") - F.col("m"))).alias("deviation"))
 
 
-def gold_parts(rows: DataFrame, who: str = "who", item: str = "item", gold: str = "gold", s: str = "s") -> DataFrame:
-    """who, and numerators and denominators of loss, easy and hard over the person's pairs, as ``pairwise_loss`` and ``easy_hard`` have them."""
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col(f"a.{who}") == F.col(f"b.{who}")) & (F.col(f"a.{item}") < F.col(f"b.{item}")))
-    x, y, e = F.col(f"a.{gold}"), F.col(f"b.{gold}"), F.col(f"a.{s}") - F.col(f"b.{s}")
-    same = F.signum((x - y).cast("double")) == F.signum(e)
-    wrong = F.when(e == 0, F.abs(x - y) / 2.0).when(~same, F.abs(x - y)).otherwise(0.0)
-    right = F.when(e == 0, 0.5).when(same, 1.0).otherwise(0.0)
-    easy, hard = (F.greatest(x, y) >= 4) & (F.least(x, y) <= 2), F.least(x, y) >= 4
-    sums = [F.sum(wrong).alias("loss_n"), F.sum(F.abs(x - y)).alias("loss_d")]
-    for name, test in (("easy", easy), ("hard", hard)):
-        sums += [F.sum(F.when(test, right).otherwise(0.0)).alias(f"{name}_n"), F.sum(F.when(test, 1.0).otherwise(0.0)).alias(f"{name}_d")]
-    return pairs.filter(x != y).groupBy(F.col(f"a.{who}").alias(who)).agg(*sums)
+def gold_parts(rows: DataFrame, who: str = "who", gold: str = "gold", s: str = "s") -> DataFrame:
+    """who, and numerators and denominators of loss, easy and hard over the person's pairs, which aren't made."""
+    return gold_sums(rows, who, gold, s)
 
 
 def bootstrap(parts: DataFrame, who: str, names: list[str], draws: int = 1000) -> DataFrame:
@@ -128,7 +112,7 @@ def bootstrap(parts: DataFrame, who: str, names: list[str], draws: int = 1000) -
     are, with replacement. Who is picked is arithmetic on the draw and the pick, so that every engine resamples alike."""
     from kinfold.operators.sampling import scrambled
 
-    people = parts.withColumn("at", F.row_number().over(Window.orderBy(who)) - 1)  # a gold standard's people: a few hundred
+    people = with_running(parts, [F.col(who)], {"at": F.lit(1)}).withColumn("at", F.col("at") - 1)
     n = people.count()
     if not n:
         return people.sparkSession.createDataFrame([], "name string, low double, high double")

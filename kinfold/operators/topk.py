@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 def sparse_topk(scores: DataFrame, k: int, *, row: str = "sub", col: str = "rev", s: str = "s") -> DataFrame:
     """Pairs among the k best of their row or of their column; ties go to the lesser id."""
-    by_row = Window.partitionBy(row).orderBy(F.desc(s), col)
-    by_col = Window.partitionBy(col).orderBy(F.desc(s), row)
-    ranked = scores.withColumn("r1__", F.row_number().over(by_row)).withColumn("r2__", F.row_number().over(by_col))
-    return ranked.filter((F.col("r1__") <= k) | (F.col("r2__") <= k)).drop("r1__", "r2__")
+
+    def best(of: str, other: str) -> DataFrame:
+        # a limit of its own for each side, which tasks keep to before they shuffle
+        place = F.row_number().over(Window.partitionBy(of).orderBy(F.desc(s), other))
+        return scores.withColumn("r__", place).filter(F.col("r__") <= k).drop("r__")
+
+    return best(row, col).union(best(col, row)).distinct()
 
 
 def rank_lists(scores: DataFrame, *, row: str = "sub", col: str = "rev", s: str = "s", digits: int = 4) -> DataFrame:

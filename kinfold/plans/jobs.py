@@ -9,7 +9,8 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.operators import retrieval, scoring, topk
+from kinfold.operators import postings, retrieval, scoring, topk
+from kinfold.operators.blocks import ranked
 from kinfold.operators.dataset import WeightRule, venue_weight
 
 MODELS = ("bm25", "vectors", "vectors+vectors")
@@ -89,18 +90,17 @@ def _publications(o: JobOptions, pubs: DataFrame) -> DataFrame:
 
 
 @scorer("vectors")
-def by_vectors(o: JobOptions, subs: DataFrame, pubs: DataFrame, authorship: DataFrame, vector: str = "e") -> DataFrame:
-    """subs (sub, e), pubs (pub, e, is_bad, w or venue and submitted): normalised vectors. Extremes are those of all cells, bad ones too; then bad publications go."""
+def by_vectors(o: JobOptions, subs: DataFrame, pubs: DataFrame, authorship: DataFrame, vector: str = "e", sparse: int | None = None) -> DataFrame:
+    """subs (sub, e), pubs (pub, e, is_bad, w or venue and submitted): normalised vectors. Extremes are those of all cells, bad ones too; then bad publications go. With ``sparse`` the best so many of each side may be all that comes."""
     pubs = _publications(o, pubs)
     good = authorship.join(pubs.filter("is_bad").select("pub"), "pub", "left_anti") if "is_bad" in pubs.columns else authorship
-    if not o.normalize and "w" not in pubs.columns and o.how in ("max", "mean"):
-        return scoring.author_scores(subs, pubs, good, o.how, vector=vector)
-    cells = scoring.pairwise(subs, pubs, vector=vector)
-    if o.normalize:
-        cells = scoring.minmax(cells)
-    if "w" in pubs.columns:
-        cells = scoring.weighted(cells, pubs.select("pub", "w"))
-    return scoring.by_author(cells, good, o.how)
+    ends = scoring.extremes(subs, pubs, vector=vector) if o.normalize else None
+    options = {"vector": vector, "ends": ends, "weight": "w" if "w" in pubs.columns else None}
+    if o.percentile is not None:
+        return scoring.percentile_scores(subs, pubs, good, o.percentile / 100, **options)
+    if sparse and o.how == "max":
+        return scoring.best_pairs(subs, pubs, good, sparse, **options)
+    return scoring.author_scores(subs, pubs, good, o.how, **options)
 
 
 @scorer("vectors+vectors")
@@ -134,6 +134,20 @@ def by_terms(o: JobOptions, subs: DataFrame, pubs: DataFrame, authorship: DataFr
     return out.select(F.col("q").alias("sub"), "rev", scoring.rounded(F.col("s"), 4).alias("s"))
 
 
+def best_by_terms(o: JobOptions, subs: DataFrame, pubs: DataFrame, authorship: DataFrame, sparse: int) -> DataFrame:
+    """The same scores, of the greatest publication, where they are among the best so many of their submission or author: postings are read in blocks, and no pair that isn't leaves them."""
+    found = None
+    for corpus, asked in zip(corpora(o, pubs, "pub"), corpora(o, subs, "sub"), strict=True):
+        asked = asked.withColumnRenamed("doc", "q")
+        weights, cut, avgdl = postings.weighted_queries(corpus, asked)
+        ends = postings.score_ends(weights, cut, avgdl)
+        own = authorship.select(F.col("pub").alias("doc"), "rev").filter("rev is not null")
+        none = own.select("rev").distinct().join(own.join(cut.select("doc"), "doc", "left_semi").select("rev"), "rev", "left_anti")
+        part = postings.best_candidates(weights, ends, cut, avgdl, own, sparse).union(postings.without_any(asked, none, sparse))
+        found = part if found is None else found.union(part)
+    return ranked(found, sparse).select("sub", F.col("who").alias("rev"), "s")
+
+
 def no_expertise(o: JobOptions, pubs: DataFrame, authorship: DataFrame) -> DataFrame:
     """Authors without a publication that can be scored."""
     a, b = corpora(o, pubs, "pub")
@@ -141,7 +155,12 @@ def no_expertise(o: JobOptions, pubs: DataFrame, authorship: DataFrame) -> DataF
 
 
 def run(o: JobOptions, subs: DataFrame, pubs: DataFrame, authorship: DataFrame) -> DataFrame:
-    """Scores of a job, made sparse where asked for."""
+    """Scores of a job, made sparse where asked for: inside the products of blocks where the model can."""
+    if o.model == "vectors" and o.sparse:
+        s = by_vectors(o, subs, pubs, authorship, sparse=o.sparse)
+        return s if o.how == "max" else topk.sparse_topk(s, o.sparse)
+    if o.model == "bm25" and o.sparse and o.how == "max":
+        return best_by_terms(o, subs, pubs, authorship, o.sparse)
     s = SCORERS[o.model](o, subs, pubs, authorship)
     return topk.sparse_topk(s, o.sparse) if o.sparse else s
 

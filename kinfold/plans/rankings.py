@@ -59,7 +59,7 @@ def pairwise_loss(spark, sf_dir):
     return E.pairwise_loss(gold(spark, sf_dir)).select(F.round("loss", 6).alias("loss"))
 
 
-@query(f"{_PAIR}, k as (select case when greatest(x, y) >= 4 and least(x, y) <= 2 then 'easy' when least(x, y) >= 4 then 'hard' end kind, case when e = 0 then 0.5 when sign(x - y) = sign(e) then 1 else 0 end r from pr where x <> y) select kind, round(avg(r), 6) accuracy, count(*) n from k where kind is not null group by 1")
+@query(f"{_PAIR}, k as (select case when greatest(x, y) >= 4 and least(x, y) <= 2 then 'easy' when least(x, y) >= 4 then 'hard' end kind, case when sign(x - y) = sign(e) then 1 else 0 end r from pr where x <> y) select kind, round(avg(r), 6) accuracy, count(*) n from k where kind is not null group by 1")
 def easy_hard_accuracy(spark, sf_dir):
     return E.easy_hard(gold(spark, sf_dir)).select("kind", F.round("accuracy", 6).alias("accuracy"), "n")
 
@@ -100,8 +100,8 @@ def load_imbalance(spark, sf_dir):
 
 
 _PARTS = _PAIR.replace("select a.gold x", "select a.who, a.gold x") + """, pp as (select who, sum(case when e = 0 then abs(x - y) / 2 when sign(x - y) <> sign(e) then abs(x - y) else 0 end) loss_n, sum(abs(x - y)) loss_d,
-sum(case when greatest(x, y) >= 4 and least(x, y) <= 2 then case when e = 0 then 0.5 when sign(x - y) = sign(e) then 1 else 0 end else 0 end) easy_n, count(*) filter (greatest(x, y) >= 4 and least(x, y) <= 2) easy_d,
-sum(case when least(x, y) >= 4 then case when e = 0 then 0.5 when sign(x - y) = sign(e) then 1 else 0 end else 0 end) hard_n, count(*) filter (least(x, y) >= 4) hard_d from pr where x <> y group by 1),
+sum(case when greatest(x, y) >= 4 and least(x, y) <= 2 then case when sign(x - y) = sign(e) then 1 else 0 end else 0 end) easy_n, count(*) filter (greatest(x, y) >= 4 and least(x, y) <= 2) easy_d,
+sum(case when least(x, y) >= 4 then case when sign(x - y) = sign(e) then 1 else 0 end else 0 end) hard_n, count(*) filter (least(x, y) >= 4) hard_d from pr where x <> y group by 1),
 pe as (select *, row_number() over (order by who) - 1 at_, (select count(*) from pp) n from pp), nn as (select count(*) n from pp), pk as (select id // n draw, (((((id * 7 + 3) % 1000003) * 2654435761 % 4294967296) % 1000000007) // 64) % n at_ from nn, range(0, 1000 * (select count(*) from pp)) r(id)),
 dr as (select draw, sum(loss_n) / sum(loss_d) loss, sum(easy_n) / nullif(sum(easy_d), 0) easy, sum(hard_n) / nullif(sum(hard_d), 0) hard from pk join pe using (at_) group by 1)"""
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinfold import functions as K
 from kinfold.operators import graph as G
+from kinfold.operators import postings as P
 from kinfold.operators import retrieval as R
 from kinfold.operators import sampling as S
 from kinfold.plans.registry import query
@@ -89,6 +90,22 @@ def bm25_job(spark, sf_dir):
     return jobs.run(jobs.JobOptions.from_request({"model": "bm25", "average": True, "sparse": None}), *_papers(spark, sf_dir))
 
 
+_BEST = _BOTH.replace("avg(x.s)", "max(x.s)") + ", sc as (select sub, rev, round_even(s, 4) s from (select * from o1 union all select * from o2))"
+
+
+@query(f"""with {_BEST} select sub, rev, s from (select *, row_number() over (partition by sub order by s desc, rev) a, row_number() over (partition by rev order by s desc, sub) b from sc) where a <= 3 or b <= 3""")
+def bm25_sparse(spark, sf_dir):
+    """A whole job by options: the best three of each submission and author, from blocks of postings."""
+    from kinfold.plans import jobs
+
+    return jobs.run(jobs.JobOptions.from_request({"model": "bm25", "sparse": 3}), *_papers(spark, sf_dir))
+
+
+@query(f"with {_FULL}, r as (select q, doc, round_even(s, 6) s from full_) select q, doc, s from (select *, row_number() over (partition by q order by s desc, doc) n from r) where n <= 10")
+def bm25_best(spark, sf_dir):
+    return P.best_documents(*_tables(spark, sf_dir), 10)
+
+
 @query("select distinct source rev from documents where source not in (select source from documents where lang = 'en' and length(text) > 0 and source is not null)")
 def no_expertise(spark, sf_dir):
     from kinfold.plans import jobs

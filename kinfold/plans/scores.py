@@ -35,7 +35,7 @@ def cells(spark: SparkSession, sf_dir: str, dims: int | None = None) -> tuple[Da
 def reviewer_scores(spark: SparkSession, sf_dir: str, how: str = "max") -> DataFrame:
     if how in ("max", "mean"):
         return scoring.author_scores(*vectors(spark, sf_dir), how)
-    return scoring.by_author(*cells(spark, sf_dir), how)
+    return scoring.percentile_scores(*vectors(spark, sf_dir), float(how.split(":")[1]) / 100)
 
 
 @query(f"with {_P2P} select sub, pub, round_even(s, 4) s from c")
@@ -60,16 +60,16 @@ def reviewer_percentile(spark, sf_dir):
 
 @query(f"with {_MM} select sub, rev, round_even(max(s), 4) s from n group by 1, 2")
 def minmax_normalize(spark, sf_dir):
-    c, a = cells(spark, sf_dir)
-    return scoring.by_author(scoring.minmax(c), a)
+    subs, pubs, a = vectors(spark, sf_dir)
+    return scoring.author_scores(subs, pubs, a, ends=scoring.extremes(subs, pubs))
 
 
 @query(f"""with {_MM}, w as (select *, greatest(1.0::double + (pub % 5) * 0.5, 1e-8) w, least(greatest(s, 1e-8), 1 - 1e-8) k from n)
 select sub, rev, round_even(max(w * k / (1 - k + w * k)), 4) s from w group by 1, 2""")
 def weighted_scores(spark, sf_dir):
-    c, a = cells(spark, sf_dir)
-    weights = a.select("pub", (1.0 + (F.col("pub") % 5) * 0.5).alias("w"))
-    return scoring.by_author(scoring.weighted(scoring.minmax(c), weights), a)
+    subs, pubs, a = vectors(spark, sf_dir)
+    weighted = pubs.withColumn("w", 1.0 + (F.col("pub") % 5) * 0.5)
+    return scoring.author_scores(subs, weighted, a, ends=scoring.extremes(subs, pubs), weight="w")
 
 
 _TWO = _P2P + """,
@@ -78,7 +78,7 @@ a1 as (select sub, rev, round_even(max(s), 4) s from c group by 1, 2), a2 as (se
 
 
 def _two(spark, sf_dir):
-    return reviewer_scores(spark, sf_dir), scoring.by_author(*cells(spark, sf_dir, 32))
+    return reviewer_scores(spark, sf_dir), scoring.author_scores(*vectors(spark, sf_dir, 32))
 
 
 @query(f"with {_TWO} select sub, rev, round_even(0.8::double * a1.s + 0.2::double * a2.s, 4) s from a1 join a2 using (sub, rev)")
@@ -107,7 +107,8 @@ def bad_embedding_skip(spark, sf_dir):
     bad = F.col("pub") % 7 == 3
     marked = pubs.select("pub", F.when(~bad, F.col("e")).alias("e"))
     filled = marked.select("pub", K.zero_filled(F.col("e"), 64).alias("e"))
-    return scoring.by_author(scoring.minmax(scoring.pairwise(subs, filled)), authorship.join(marked.filter("e is not null"), "pub", "left_semi"))
+    good = authorship.join(marked.filter("e is not null"), "pub", "left_semi")
+    return scoring.author_scores(subs, filled, good, ends=scoring.extremes(subs, filled))
 
 
 @query("""select label rev, i - 1 pos, round(avg(embedding[i]::double), 6) v from embeddings, range(1, 65) r(i) where vec_id % 10 <> 0 group by 1, 2""")
@@ -135,7 +136,7 @@ _MAX = f"with {_P2P}, sc as (select sub, rev, round_even(max(s), 4) s from c gro
 
 @query(f"""{_MAX} select sub, rev, s from (select *, row_number() over (partition by sub order by s desc, rev) a, row_number() over (partition by rev order by s desc, sub) b from sc) where a <= 3 or b <= 3""")
 def sparse_topk(spark, sf_dir):
-    return topk.sparse_topk(reviewer_scores(spark, sf_dir), 3)
+    return scoring.best_pairs(*vectors(spark, sf_dir), 3)
 
 
 @query(f"""{_MAX} select sub, string_agg(rev::varchar || ';' || printf('%.4f', s), ',' order by s desc, rev) ranks from sc group by 1""")
@@ -174,6 +175,43 @@ def topm_mean(spark, sf_dir):
     return topk.top_mean(*cells(spark, sf_dir), 3).withColumn("s", F.round("s", 6))
 
 
+# Whole jobs by options: rules weigh publications by their venue (the type of the part of their number), papers without a vector are bad.
+_RULES = [{"prefix": "STANDARD", "weight": 2.5}, {"prefix": "PROMO BR", "weight": 0}, {"value": "SMALL PLATED TIN", "weight": 0.5}, {"submitted": True, "weight": 4}]
+_VENUES = """v as (select p_partkey::bigint pub, p_type venue, p_size % 4 = 0 submitted from part),
+wr as (select pub, case when venue like 'STANDARD%' then 2.5::double when venue like 'PROMO BR%' then 0 when venue = 'SMALL PLATED TIN' then 0.5 when submitted then 4 else 1 end w from v),
+kc as (select sub, c.pub, rev, s, coalesce(w, 1) w, c.pub % 11 = 5 bad from (select sub, pub, rev, case when pub % 11 = 5 then 0 else s end s from c) c left join wr using (pub) where coalesce(w, 1) <> 0),
+ke as (select min(s) lo, max(s) hi from kc),
+kn as (select sub, rev, w, least(greatest((s - lo) / (hi - lo), 1e-8::double), 1 - 1e-8::double) k from kc cross join ke where not bad),
+ks as (select sub, rev, w * k / (1 - k + w * k) s from kn)"""
+
+
+def _job(spark, sf_dir, request):
+    """A vector job over the embeddings, with venues."""
+    from kinfold.plans import jobs
+
+    subs, pubs, authorship = vectors(spark, sf_dir)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("pub"), F.col("p_type").alias("venue"), (F.col("p_size") % 4 == 0).alias("submitted"))
+    bad = F.col("pub") % 11 == 5
+    pubs = pubs.select("pub", K.zero_filled(F.when(~bad, F.col("e")), 64).alias("e"), bad.alias("is_bad")).join(part, "pub", "left")
+    return jobs.run(jobs.JobOptions.from_request(request), subs, pubs, authorship)
+
+
+@query(f"""with {_P2P}, {_VENUES}, sc as (select sub, rev, round_even(max(s), 4) s from ks group by 1, 2)
+select sub, rev, s from (select *, row_number() over (partition by sub order by s desc, rev) a, row_number() over (partition by rev order by s desc, sub) b from sc) where a <= 2 or b <= 2""")
+def vector_job(spark, sf_dir):
+    return _job(spark, sf_dir, {"model": "vectors", "normalize": True, "sparse": 2, "weights": _RULES})
+
+
+@query(f"with {_P2P}, {_VENUES} select sub, rev, round_even(avg(s), 4) s from ks group by 1, 2")
+def vector_job_mean(spark, sf_dir):
+    return _job(spark, sf_dir, {"model": "vectors", "average": True, "normalize": True, "sparse": None, "weights": _RULES})
+
+
+@query(f"with {_P2P}, {_VENUES} select sub, rev, round_even(quantile_cont(s, 0.3), 4) s from ks group by 1, 2")
+def vector_job_percentile(spark, sf_dir):
+    return _job(spark, sf_dir, {"model": "vectors", "percentile": 30, "normalize": True, "sparse": None, "weights": _RULES})
+
+
 # The cache: orders stand in, an order's customer is the paper, its date the embedding's.
 _CACHE = "cache as (select case when o_orderkey % 2 = 0 then 'm1' else 'm2' end model, o_custkey paper_id, o_orderdate embedding_date, o_orderkey oid from orders)"
 _PAPERS = "papers as (select c_custkey paper_id, case when c_custkey % 5 = 0 then null else epoch_ms(timestamp '1995-06-01') end mdate from customer where c_custkey % 3 = 0)"

@@ -434,3 +434,73 @@ def test_negatives_reach_every_group(spark):
     rows = spark.range(40_000).withColumn("g", F.col("id") % 2000)
     apart = negatives(rows, "id", "g").select(F.pmod(F.col("neg") - F.col("g"), F.lit(2000)).alias("d")).agg(F.min("d"), F.max("d")).first()
     assert apart[0] >= 1 and apart[1] > 1900
+
+
+def _small_job(spark, seed=4, clustered=False):
+    rng = np.random.default_rng(seed)
+    centres = np.eye(8) * 10 if clustered else np.zeros((8, 8))
+    sign = np.where(np.eye(8) > 0, 1, -1) if clustered else np.ones((8, 8))
+
+    def some(n):
+        of = np.sort(rng.integers(0, 8, n))
+        return [(i, (np.abs(rng.normal(size=8)) * sign[of[i]] * 0.1 + centres[of[i]]).tolist() if clustered else rng.normal(size=8).tolist()) for i in range(n)]
+
+    subs = spark.createDataFrame(some(60), "sub long, e array<double>").coalesce(1)
+    pubs = spark.createDataFrame(some(90), "pub long, e array<double>").coalesce(1)
+    own = spark.createDataFrame([(i, f"r{i * 17 // 50 if clustered else i * i % 23:02d}") for i in range(90)] + [(3, "r01"), (5, "only"), (99, "none"), (7, None)], "pub long, rev string")
+    return subs, pubs, own
+
+
+@pytest.mark.parametrize("block", [5, 2048])
+@pytest.mark.parametrize("k", [1, 3, 500])
+def test_best_pairs_are_those_of_all_scores(spark, block, k):
+    subs, pubs, own = _small_job(spark)
+    want = topk.sparse_topk(scoring.author_scores(subs, pubs, own), k)
+    assert pairs(scoring.best_pairs(subs, pubs, own, k, block=block), "sub", "rev", "s") == pairs(want, "sub", "rev", "s")
+
+
+def test_best_pairs_of_equal_scores(spark):
+    subs = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(9)], "sub long, e array<double>").repartition(3)
+    pubs = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "pub long, e array<double>").repartition(2)
+    own = pubs.select("pub", (9 - F.col("pub")).alias("rev"))
+    assert pairs(scoring.best_pairs(subs, pubs, own, 2, block=2), "sub", "rev") == {(i, j) for i in range(9) for j in range(1, 10) if i < 2 or j < 3}
+    assert scoring.best_pairs(subs.limit(0), pubs, own, 2).count() == 0
+
+
+def test_blocks_that_bring_nothing_are_left_out(spark):
+    subs, pubs, own = _small_job(spark, clustered=True)
+    skipped = spark.sparkContext.accumulator(0)
+    got = pairs(scoring.best_pairs(subs, pubs, own, 1, block=4, skipped=skipped), "sub", "rev", "s")
+    assert got == pairs(topk.sparse_topk(scoring.author_scores(subs, pubs, own), 1), "sub", "rev", "s")
+    assert skipped.value > 10
+    before = skipped.value
+    ends = scoring.extremes(subs, pubs, block=2, skipped=skipped).first()
+    cells = scoring.pairwise(subs, pubs).agg(F.min("s").alias("low"), F.max("s").alias("high")).first()
+    assert (ends.low, ends.high) == pytest.approx((cells.low, cells.high)) and skipped.value > before
+
+
+def test_what_leaves_a_block(spark):
+    from kinfold.operators.blocks import best_of
+
+    s = np.random.default_rng(2).integers(0, 4, (40, 30)).astype(float)  # ties in plenty
+    for k in (1, 4, 30, 40):
+        line, column = best_of(s, k, 1), best_of(s, k, 0)
+        assert (line.sum(1) == min(k, 30)).all() and (column.sum(0) == min(k, 40)).all()
+        for i in range(40):
+            assert set(np.flatnonzero(line[i])) == set(sorted(range(30), key=lambda j: (-s[i, j], j))[:k])
+
+
+@pytest.mark.parametrize("block", [6, 2048])
+def test_percentiles_without_lists(spark, block):
+    subs, pubs, own = _small_job(spark)
+    weights = pubs.withColumn("w", F.when(F.col("pub") % 3 == 0, 2.0))
+    ends = scoring.extremes(subs, pubs)
+    cells = scoring.weighted(scoring.minmax(scoring.pairwise(subs, pubs)), weights.filter("w is not null").select("pub", "w"))
+    for p in (0, 30, 75, 100, 400):
+        want = {(r["sub"], r.rev): r.s for r in scoring.by_author(cells, own.filter("rev is not null"), f"percentile:{p}").collect()}
+        got = {(r["sub"], r.rev): r.s for r in scoring.percentile_scores(subs, weights, own, p / 100, block=block, ends=ends, weight="w").collect()}
+        assert got == pytest.approx(want, abs=1.01e-4)
+    for how in ("max", "mean"):
+        want = {(r["sub"], r.rev): r.s for r in scoring.by_author(cells, own.filter("rev is not null"), how).collect()}
+        got = {(r["sub"], r.rev): r.s for r in scoring.author_scores(subs, weights, own, how, block=block, ends=ends, weight="w").collect()}
+        assert got == pytest.approx(want, abs=1.01e-4)
