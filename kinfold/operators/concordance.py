@@ -119,12 +119,14 @@ def _by_group(rows: DataFrame, keys: list[str], level: float, whole: bool) -> Da
     return dealt.select("who", *[k for k in keys if k != "who"], "s", "gold", "times").mapInArrow(work, f"who {kind}, {', '.join(f'{c} double' for c in _SUMS)}")
 
 
-def gold_sums(rows: DataFrame, who: str = "who", gold: str = "gold", s: str = "s", parts: int | None = None) -> DataFrame:
+def gold_sums(rows: DataFrame, who: str = "who", gold: str = "gold", s: str = "s", parts: int | None = None, bounds: list[float] | None = None) -> DataFrame:
     """who, and numerators and denominators over the person's pairs: loss (the gold difference of pairs in wrong order, of
     equal scores by half, over that of all), easy and hard (pairs of different golds in right order, equal scores being
-    wrong, over all such). Items without gold or score, and people without a pair of different golds, are left out."""
+    wrong, over all such). Items without gold or score, and people without a pair of different golds, are left out. ``bounds``
+    part the scores where they are known to lie, in place of a sample's."""
     slim = rows.select(F.col(who).alias("who"), F.col(gold).cast("double").alias("gold"), F.col(s).cast("double").alias("s")).filter("who is not null and gold is not null and s is not null")
-    ranged = slim.withColumn("range", range_of(slim, [F.col("s")], parts))
+    at = range_of(slim, [F.col("s")], parts) if bounds is None else F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < F.col("s")))
+    ranged = slim.withColumn("range", at)
     within = _by_group(ranged.withColumn("times", F.lit(1.0)), ["who", "range"], 0.5, False)
     levels = ranged.groupBy("who", "range", "gold").agg(F.count("*").alias("times")).withColumn("s", F.col("range").cast("double"))
     across = _by_group(levels, ["who"], 0.0, True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -113,6 +113,39 @@ def venue_weight(venue: Column, submitted: Column, rules: list[WeightRule]) -> C
     return F.lit(1.0) if made is None else made.otherwise(F.lit(1.0))
 
 
+def rule_table(spark: SparkSession, rules: list[WeightRule]) -> DataFrame:
+    """kind, key, weight, place of rules, as ``with_venue_weight`` takes them."""
+    kinds = ("prefix", "value", "submitted")
+    made = [(k, str(getattr(r, k)).lower() if k == "submitted" else getattr(r, k), float(r.weight), i) for i, r in enumerate(rules) for k in kinds if getattr(r, k) is not None]
+    return spark.createDataFrame(made, "kind string, key string, weight double, place long")
+
+
+def with_venue_weight(rows: DataFrame, rules: DataFrame, *, prefix: Column, value: Column, submitted: Column, name: str = "w") -> DataFrame:
+    """Adds the weight of the first rule (by ``place``) of the strongest kind that a row meets: ``prefix`` begins with the
+    rule's key, ``value`` is its key, or it is about ``submitted``; 1 where none does.
+
+    Rules are a table of any length. Different venues, not rows, meet it, and by equality alone: a venue stands once for
+    each length that prefixes have. Of equal rules the first stands.
+    """
+    rank = {"prefix": 0, "value": 1, "submitted": 2}
+    order = F.struct(F.create_map(*[F.lit(x) for k, v in rank.items() for x in (k, v)])[F.col("kind")].alias("kind"), F.col("place"))
+    first = rules.groupBy("kind", "key").agg(F.min(F.struct(order.alias("order"), F.col("weight"))).alias("rule"))
+    lengths = rules.filter("kind = 'prefix'").agg(F.coalesce(F.collect_set(F.length("key")), F.array().cast("array<int>")).alias("lengths__"))  # one row: as many as there are lengths
+    marked = rows.withColumns({"p__": prefix, "v__": value, "s__": submitted})
+    venues = marked.select("p__", "v__", "s__").distinct().crossJoin(F.broadcast(lengths))
+    at = F.filter("lengths__", lambda n: F.length("p__") >= n)
+    keys = F.concat(
+        F.transform(at, lambda n: F.struct(F.lit("prefix").alias("kind"), F.substring(F.col("p__"), F.lit(1), n).alias("key"))),
+        F.array(F.struct(F.lit("value").alias("kind"), F.col("v__").alias("key")), F.struct(F.lit("submitted").alias("kind"), F.col("s__").cast("string").alias("key"))),
+    )
+    met = venues.select("p__", "v__", "s__", F.explode(keys).alias("k")).select("p__", "v__", "s__", "k.*").join(first, ["kind", "key"])
+    best = met.groupBy("p__", "v__", "s__").agg(F.min("rule").alias("rule")).select(*[F.col(c).alias(f"{c}of") for c in ("p__", "v__", "s__")], F.col("rule.weight").alias("weight__"))
+    same = F.lit(True)
+    for c in ("p__", "v__", "s__"):
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}of"))
+    return marked.join(best, same, "left").select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce("weight__", F.lit(1.0)).alias(name))
+
+
 def member_kind(member: Column) -> Column:
     """profile for ids with a tilde, email (to be lower-cased) for those with an at sign, else null."""
     return F.when(member.startswith("~"), F.lit("profile")).when(member.contains("@"), F.lit("email"))

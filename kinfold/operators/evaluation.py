@@ -102,9 +102,9 @@ def with_popularity(rows: DataFrame, item: str = "item", s: str = "s", label: st
     return each.agg(F.corr("l", "m").alias("pearson"), F.avg(F.abs(F.col("l") - F.col("m"))).alias("deviation"))
 
 
-def gold_parts(rows: DataFrame, who: str = "who", gold: str = "gold", s: str = "s") -> DataFrame:
+def gold_parts(rows: DataFrame, who: str = "who", gold: str = "gold", s: str = "s", bounds: list[float] | None = None) -> DataFrame:
     """who, and numerators and denominators of loss, easy and hard over the person's pairs, which aren't made."""
-    return gold_sums(rows, who, gold, s)
+    return gold_sums(rows, who, gold, s, bounds=bounds)
 
 
 def bootstrap(parts: DataFrame, who: str, names: list[str], draws: int = 1000) -> DataFrame:

@@ -116,17 +116,44 @@ def no_profile_antijoin(spark, sf_dir):
 @query("""select p_partkey, case when p_type like (select left(min(p_type), 4) from part) || '%' then 0.5 when p_brand = 'Brand#11' then 2.0 when p_brand = 'Brand#12' then 3.0 when p_size % 2 = 0 then 1.5 else 1.0 end::double w from part""")
 def venue_weights(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    prefix = part.agg(F.substring(F.min("p_type"), 1, 4).alias("prefix"))
-    rules = [D.WeightRule(1.5, submitted=True), D.WeightRule(2.0, value="Brand#11"), D.WeightRule(3.0, value="Brand#12")]
-    weight = F.when(F.col("p_type").startswith(F.col("prefix")), F.lit(0.5)).otherwise(D.venue_weight(F.col("p_brand"), F.col("p_size") % 2 == 0, rules))
-    return part.join(F.broadcast(prefix)).select("p_partkey", weight.alias("w"))
+    prefix = part.agg(F.lit("prefix").alias("kind"), F.substring(F.min("p_type"), 1, 4).alias("key"), F.lit(0.5).alias("weight"), F.lit(9).cast("long").alias("place"))
+    rules = [D.WeightRule(1.5, submitted=True), D.WeightRule(2.0, value="Brand#11"), D.WeightRule(3.0, value="Brand#12"), D.WeightRule(7.0, value="Brand#11")]
+    table = D.rule_table(spark, rules).union(prefix)
+    return D.with_venue_weight(part, table, prefix=F.col("p_type"), value=F.col("p_brand"), submitted=F.col("p_size") % 2 == 0).select("p_partkey", "w")
+
+
+# Every brand's own rule, from the table itself; prefixes of several lengths, the first by place before the longer.
+@query("""with r as (select 'prefix' kind, left(p_type, 6 + p_size % 5) key, p_size * 0.25::double weight, p_partkey place from part where p_size % 3 = 0),
+b as (select p_partkey, case when p_size % 2 = 0 then p_type else p_brand end v from part),
+p as (select b.p_partkey, min_by(r.weight, r.place) w from b join r on starts_with(b.v, r.key) group by 1),
+vr as (select p_brand key, min_by(p_retailprice, p_partkey) weight from part group by 1)
+select b.p_partkey, coalesce(p.w, vr.weight, 1.0) w from b left join p using (p_partkey) left join vr on vr.key = b.v""")
+def venue_rules(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    place = F.col("p_partkey").alias("place")
+    prefixes = part.filter("p_size % 3 = 0").select(F.lit("prefix").alias("kind"), F.expr("left(p_type, 6 + p_size % 5)").alias("key"), (F.col("p_size") * 0.25).alias("weight"), place)
+    values = part.select(F.lit("value").alias("kind"), F.col("p_brand").alias("key"), F.col("p_retailprice").alias("weight"), place)
+    venue = F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(F.col("p_brand"))
+    return D.with_venue_weight(part, prefixes.union(values), prefix=venue, value=venue, submitted=F.lit(None).cast("boolean")).select("p_partkey", "w")
+
+
+# Archives written a file an author and read back, by the data source and by name.
+@query("select source author, doc_id::varchar id, lang title, length(text) n, md5(text) digest from documents where source is not null")
+def archive_round_trip(spark, sf_dir):
+    from kinfold import sources
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("source is not null")
+    folder = sources.scratch(spark, "archives")
+    content = F.struct(F.col("lang").alias("title"), F.col("text").alias("abstract"))
+    sources.write_archives(docs.select(F.col("source").alias("author"), F.col("doc_id").cast("string").alias("id"), content.alias("content")), folder)
+    return sources.archive_lines(spark, folder).select("author", "id", "content.title", F.length("content.abstract").cast("long").alias("n"), F.md5("content.abstract").alias("digest"))
 
 
-@query("select '~' || c_name \"member\" from customer where c_custkey % 2 = 0 union select lower(s_name) || '@x.org' from supplier union select '~' || c_name from customer where c_custkey % 3 = 0")
+@query("select '~' || c_name \"member\" from customer union select lower(s_name) || '@x.org' from supplier")
 def member_union(spark, sf_dir):
     c, s = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "supplier"))
     name = F.concat(F.lit("~"), "c_name").alias("m")
-    return D.members(c.filter("c_custkey % 2 = 0").select(name), s.select(F.concat(F.upper("s_name"), F.lit("@X.org")).alias("m")), c.filter("c_custkey % 3 = 0").select(name), s.select(F.lit("neither").alias("m")))
+    return D.members(c.select(name), s.select(F.concat(F.upper("s_name"), F.lit("@X.org")).alias("m")), c.select(name), s.select(F.lit("neither").alias("m")))
 
 
 @query("""with u as (select item_id id, text, 0 p from benchmark union all select doc_id, lang, 1 from documents union all select r_regionkey::bigint, r_name, 2 from region)
@@ -214,7 +241,7 @@ def profiles_split(spark, sf_dir):
     return valid.union(invalid.select("member", F.lit(None).cast("string").alias("profile")))
 
 
-_BID_PAPERS = "select distinct user_id who, event_id % 100 doc_id from events where event_type in (select unnest([min(event_type), max(event_type)]) from events)"
+_BID_PAPERS = "select distinct user_id who, event_id % (select max(doc_id) + 1 from documents) doc_id from events where event_type in (select unnest([min(event_type), max(event_type)]) from events)"
 
 
 @query(f"select b.who, d.doc_id, d.lang from ({_BID_PAPERS}) b join documents d using (doc_id)")
@@ -222,8 +249,9 @@ def bid_expertise(spark, sf_dir):
     """Bids of the wanted labels stand for publications."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     ends = list(e.agg(F.min("event_type"), F.max("event_type")).first())
-    bids = e.select(F.col("user_id").alias("who"), (F.col("event_id") % 100).alias("doc_id"), F.col("event_type").alias("label"))
     notes = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    n = notes.agg(F.max("doc_id") + 1).first()[0]
+    bids = e.select(F.col("user_id").alias("who"), (F.col("event_id") % n).alias("doc_id"), F.col("event_type").alias("label"))
     return D.bid_publications(notes, bids, ends, paper="doc_id", author="who").select("who", "doc_id", "lang")
 
 

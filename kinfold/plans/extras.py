@@ -12,20 +12,18 @@ from kinfold.operators import graph as G
 from kinfold.operators import retrieval as R
 from kinfold.operators import sampling as S
 from kinfold.operators import scoring
+from kinfold.plans.arithmetic import scrambled
 from kinfold.plans.rankings import _ROWS, rows
 from kinfold.plans.registry import query
 from kinfold.plans.scores import _P2P, vectors
 
-_X = "((({} % 1000003) * 2654435761 % 4294967296) % 1000)"
-
-
 @query(f"{_ROWS}, pp as (select item, avg(label) pop from rows group by 1) select q, item, round(pop, 6) s from rows join pp using (item)")
 def popularity_baseline(spark, sf_dir):
     r = rows(spark, sf_dir)
     return r.join(r.groupBy("item").agg(F.avg("label").alias("p")), "item").select("q", "item", F.round("p", 6).alias("s"))
 
 
-@query(f"{_ROWS} select q, item, {_X.format('(q * 100 + item)')} / 1000.0::double s from rows")
+@query(f"{_ROWS} select q, item, {scrambled('q * 100 + item')} / 1000.0::double s from rows")
 def random_baseline(spark, sf_dir):
     return rows(spark, sf_dir).select("q", "item", (S.scrambled(F.col("q") * 100 + F.col("item")) / 1000.0).alias("s"))
 
@@ -37,7 +35,7 @@ def threshold_sweep(spark, sf_dir):
     return t.agg(F.round(F.max(2 * F.col("tp") / (F.col("k") + F.col("p"))), 6).alias("best_f1"), F.round(F.max((F.col("tp") + F.col("all") - F.col("p") - F.col("k") + F.col("tp")) / F.col("all")), 6).alias("best_accuracy"))
 
 
-@query(f"select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by year(o_orderdate) desc, {_X.format('o_orderkey')}, o_orderkey) r from orders) where r <= 2")
+@query(f"select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by year(o_orderdate) desc, {scrambled('o_orderkey')}, o_orderkey) r from orders) where r <= 2")
 def recent_k_random_ties(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     w = Window.partitionBy("o_custkey").orderBy(F.desc(F.year("o_orderdate")), S.scrambled(F.col("o_orderkey")), "o_orderkey")
@@ -87,7 +85,7 @@ def centroid_scores(spark, sf_dir):
 
 
 @query(f"""with g as (select source, row_number() over (order by source) - 1 at_, count(*) over () n, c, sum(c) over (order by source) - c f, sum(c) over () t from (select source, count(*) c from documents where source is not null group by 1)),
-d as (select d.doc_id, d.source, g.at_, n, f, c, (((d.doc_id % 1000003) * 2654435761 % 4294967296) % 1000000007 % nullif(n - 1, 0) + at_ + 1) % n u, case when n > 1 then (at_ + 1) % n end r, ((d.doc_id % 1000003) * 2654435761 % 4294967296) % 1000000007 % nullif(t - c, 0) k from documents d left join g using (source))
+d as (select d.doc_id, d.source, g.at_, n, f, c, ({scrambled('d.doc_id', 1_000_000_007)} % nullif(n - 1, 0) + at_ + 1) % n u, case when n > 1 then (at_ + 1) % n end r, {scrambled('d.doc_id', 1_000_000_007)} % nullif(t - c, 0) k from documents d left join g using (source))
 select d.doc_id, d.source, u.source uniform, r.source rotate, p.source paper from d left join g u on u.at_ = d.u left join g r on r.at_ = d.r left join g p on d.k + case when d.k >= d.f then d.c else 0 end >= p.f and d.k + case when d.k >= d.f then d.c else 0 end < p.f + p.c""")
 def negative_sampling(spark, sf_dir):
     """Another source for every document, three ways."""
@@ -97,6 +95,13 @@ def negative_sampling(spark, sf_dir):
     return d
 
 
+@query(f"""with k as (select source, {scrambled("('0x' || substr(md5(source), 1, 15))::bigint", 1 << 61)} x from (select distinct source from documents where source is not null)), g as (select source, row_number() over (order by x, source) - 1 at_, count(*) over () n from k)
+select d.doc_id, d.source, case when g.n > 1 then h.source end neg from documents d left join g using (source) left join g h on h.at_ = (g.at_ + 1) % g.n""")
+def negatives_shuffled(spark, sf_dir):
+    """Another source for every document: the next in an order without a pattern."""
+    return S.negatives(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"), "doc_id", "source", "shuffle")
+
+
 @query("select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') began, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2")
 def rating_windows(spark, sf_dir):
     from kinfold.streaming import rating_windows as windows

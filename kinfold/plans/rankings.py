@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinfold.operators import embedding
 from kinfold.operators import evaluation as E
 from kinfold.operators import sampling as S
+from kinfold.plans.arithmetic import DIGITS, permuted, scrambled
 from kinfold.plans.registry import query
 from kinfold.plans.scores import _MAX, _TWO, _two, reviewer_scores
 
@@ -101,8 +102,8 @@ def load_imbalance(spark, sf_dir):
 
 _PARTS = _PAIR.replace("select a.gold x", "select a.who, a.gold x") + """, pp as (select who, sum(case when e = 0 then abs(x - y) / 2 when sign(x - y) <> sign(e) then abs(x - y) else 0 end) loss_n, sum(abs(x - y)) loss_d,
 sum(case when greatest(x, y) >= 4 and least(x, y) <= 2 then case when sign(x - y) = sign(e) then 1 else 0 end else 0 end) easy_n, count(*) filter (greatest(x, y) >= 4 and least(x, y) <= 2) easy_d,
-sum(case when least(x, y) >= 4 then case when sign(x - y) = sign(e) then 1 else 0 end else 0 end) hard_n, count(*) filter (least(x, y) >= 4) hard_d from pr where x <> y group by 1),
-pe as (select *, row_number() over (order by who) - 1 at_, (select count(*) from pp) n from pp), nn as (select count(*) n from pp), pk as (select id // n draw, (((((id * 7 + 3) % 1000003) * 2654435761 % 4294967296) % 1000000007) // 64) % n at_ from nn, range(0, 1000 * (select count(*) from pp)) r(id)),
+sum(case when least(x, y) >= 4 then case when sign(x - y) = sign(e) then 1 else 0 end else 0 end) hard_n, count(*) filter (least(x, y) >= 4) hard_d from pr where x <> y group by 1),""" + f"""
+pe as (select *, row_number() over (order by who) - 1 at_, (select count(*) from pp) n from pp), nn as (select count(*) n from pp), pk as (select id // n draw, ({scrambled('id * 7 + 3', 1_000_000_007)} // 64) % n at_ from nn, range(0, 1000 * (select count(*) from pp)) r(id)),
 dr as (select draw, sum(loss_n) / sum(loss_d) loss, sum(easy_n) / nullif(sum(easy_d), 0) easy, sum(hard_n) / nullif(sum(hard_d), 0) hard from pk join pe using (at_) group by 1)"""
 
 
@@ -122,7 +123,7 @@ def ranking_cutoffs(spark, sf_dir):
     return r.select("q", *[F.round(c, 6).alias(c) for c in r.columns if c != "q"])
 
 
-@query(f"""{_RK}, e as (select q, sum(case when r <= 3 then label else 0 end) / least(3, max(p)) hits, sum(case when r <= 5 then label else 0 end) / max(p) recall from rk group by q having max(p) > 0), f as (select (((q % 1000003) * 2654435761 % 4294967296) % 5045) % 5 fold, avg(hits) hits, avg(recall) recall from e group by 1) select round(avg(hits), 6) hits, round(avg(recall), 6) recall from f""")
+@query(f"""{_RK}, e as (select q, sum(case when r <= 3 then label else 0 end) / least(3, max(p)) hits, sum(case when r <= 5 then label else 0 end) / max(p) recall from rk group by q having max(p) > 0), f as (select {scrambled('q', 5045)} % 5 fold, avg(hits) hits, avg(recall) recall from e group by 1) select round(avg(hits), 6) hits, round(avg(recall), 6) recall from f""")
 def fold_means(spark, sf_dir):
     r = rows(spark, sf_dir)
     each = E.hits_at(r, 3).join(E.cutoffs(r, [5]).select("q", F.col("recall_5").alias("recall")), "q")
@@ -178,13 +179,13 @@ def labels_scores_join(spark, sf_dir):
     return l.join(present, "doc_id").join(best, "doc_id", "left").select("doc_id", "quality", F.coalesce("s", F.lit(0.0)).alias("s"))
 
 
-@query("select doc_id, (((doc_id % 1000003) * 2654435761 % 4294967296) % 5045) % 5 fold from documents")
+@query(f"with g as ({DIGITS.format('documents')}) select doc_id, {permuted('at_')} % 5 fold from (select doc_id, row_number() over (order by doc_id) - 1 at_ from documents), g")
 def kfold(spark, sf_dir):
-    return S.folds(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), "doc_id", 5)
+    return S.even_folds(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), "doc_id", 5)
 
 
-@query("""with p as (select a.o_custkey, a.o_orderkey held, b.o_orderkey other, a.o_orderkey * 7919 + b.o_orderkey k from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey <> b.o_orderkey),
-g as (select o_custkey, row_number() over (order by o_custkey) - 1 at_, count(*) over () n from (select distinct o_custkey from orders)), w as (select p.*, at_, n, ((k % 1000003) * 2654435761 % 4294967296) % 1000000007 % nullif(n - 1, 0) x from p join g using (o_custkey))
+@query(f"""with p as (select a.o_custkey, a.o_orderkey held, b.o_orderkey other, a.o_orderkey * 7919 + b.o_orderkey k from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey <> b.o_orderkey),
+g as (select o_custkey, row_number() over (order by o_custkey) - 1 at_, count(*) over () n from (select distinct o_custkey from orders)), w as (select p.*, at_, n, {scrambled('k', 1_000_000_007)} % nullif(n - 1, 0) x from p join g using (o_custkey))
 select w.o_custkey, held, other, g.o_custkey neg from w left join g on g.at_ = (w.at_ + w.x + 1) % w.n""")
 def heldout_triples(spark, sf_dir):
     return S.heldout_triples(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
@@ -196,7 +197,7 @@ _SHARES = [c["merge"] for c in embedding.sampled({"merge": (0.0, 1.0)}, 10, seed
 @query(f"""with {_TWO}, ca as (select * from (values {', '.join(f'({i}, {x!r}::double)' for i, x in enumerate(_SHARES))}) v(candidate, x)),
 g as (select candidate, a1.rev who, a1.sub item, ((a1.sub * 7 + a1.rev * 3) % 9) / 2.0::double + 1 gold, x * a1.s + (1.0::double - x) * a2.s s from a1 join a2 using (sub, rev) cross join ca),
 pr as (select a.candidate, a.who, a.gold x, b.gold y, a.s - b.s e from g a join g b on a.candidate = b.candidate and a.who = b.who and a.item < b.item),
-pf as (select candidate, (((who % 1000003) * 2654435761 % 4294967296) % 5045) % 5 fold, sum(case when e = 0 then abs(x - y) / 2 when sign(x - y) <> sign(e) then abs(x - y) else 0 end) n, sum(abs(x - y)) d from pr where x <> y group by 1, 2),
+pf as (select candidate, {scrambled('who', 5045)} % 5 fold, sum(case when e = 0 then abs(x - y) / 2 when sign(x - y) <> sign(e) then abs(x - y) else 0 end) n, sum(abs(x - y)) d from pr where x <> y group by 1, 2),
 lo as (select fold, candidate, (sum(n) over (partition by candidate) - n) / nullif(sum(d) over (partition by candidate) - d, 0) train, n / nullif(d, 0) test from pf),
 rk as (select *, row_number() over (partition by fold order by train nulls last, candidate) r from lo) select fold, candidate, round(train, 6) train, round(test, 6) test from rk where r = 1""")
 def cross_validation(spark, sf_dir):
@@ -205,6 +206,6 @@ def cross_validation(spark, sf_dir):
     both = a.withColumnRenamed("s", "s1").join(b.withColumnRenamed("s", "s2"), ["sub", "rev"])
     gold_ = ((F.col("sub") * 7 + F.col("rev") * 3) % 9) / 2.0 + 1
     base = both.select(F.col("rev").alias("who"), F.col("sub").alias("item"), gold_.alias("gold"), "s1", "s2")
-    parts = [E.gold_parts(base.withColumn("s", F.lit(x) * F.col("s1") + (F.lit(1.0) - F.lit(x)) * F.col("s2"))) for x in _SHARES]
+    parts = [E.gold_parts(base.withColumn("s", F.lit(x) * F.col("s1") + (F.lit(1.0) - F.lit(x)) * F.col("s2")), bounds=[0.0, 0.25, 0.5, 0.75]) for x in _SHARES]
     best = E.cross_validated(parts, 5)
     return best.select("fold", "candidate", F.round("train", 6).alias("train"), F.round("test", 6).alias("test"))

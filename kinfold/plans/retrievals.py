@@ -9,6 +9,7 @@ from kinfold.operators import graph as G
 from kinfold.operators import postings as P
 from kinfold.operators import retrieval as R
 from kinfold.operators import sampling as S
+from kinfold.plans.arithmetic import DIGITS, permuted
 from kinfold.plans.registry import query
 
 _BM25 = """
@@ -201,7 +202,7 @@ def singlerank_top(spark, sf_dir):
     return G.singlerank(cooccur_weights(spark, sf_dir))
 
 
-@query("select doc_id, case when x < 600 then 'train' when x < 700 then 'dev' else 'test' end part from (select doc_id, ((doc_id % 1000003) * 2654435761 % 4294967296) % 1000 x from documents)")
+@query(f"with g as ({DIGITS.format('documents')}), p as (select doc_id, n, {permuted('at_')} x from (select doc_id, row_number() over (order by doc_id) - 1 at_ from documents), g) select doc_id, case when x < floor(0.6 * n) then 'train' when x < floor(0.7 * n) then 'dev' else 'test' end part from p")
 def split_60_10_30(spark, sf_dir):
     d = _tables(spark, sf_dir)[0].select(F.col("doc").alias("doc_id"))
     return S.split(d, "doc_id", {"train": 0.6, "dev": 0.1, "test": 0.3})

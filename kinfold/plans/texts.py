@@ -12,7 +12,7 @@ from kinfold.operators import graph as G
 from kinfold.operators import retrieval as R
 from kinfold.operators import sampling as S
 from kinfold.operators import topk as T
-from kinfold.plans.extras import _X
+from kinfold.plans.arithmetic import DIGITS, permuted, scrambled
 from kinfold.plans.rankings import _ROWS, rows
 from kinfold.plans.registry import query
 
@@ -108,16 +108,12 @@ def pooled_precision(spark, sf_dir):
     return E.pooled_precision(rows(spark, sf_dir)).select(F.round("ap", 6).alias("ap"))
 
 
-def _scrambled(modulus: int) -> str:
-    return _X.format("o_orderkey").replace("% 1000)", f"% {modulus})")
-
-
-@query(f"select *, row_number() over (partition by pile order by {_scrambled(1_000_000_007)}, o_orderkey) place from (select o_orderkey, {_scrambled(16 * 1009)} % 16 pile from orders)")
+@query(f"with g as ({DIGITS.format('orders')}), p as (select o_orderkey, {permuted('at_')} x from (select o_orderkey, row_number() over (order by o_orderkey) - 1 at_ from orders), g) select o_orderkey, x % 16 pile, x // 16 + 1 place from p")
 def pile_shuffle(spark, sf_dir):
     return S.shuffled(_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 16)
 
 
-@query(f"select o_orderkey from orders where {_scrambled(1000)} < 100")
+@query(f"select o_orderkey from orders where {scrambled('o_orderkey')} < 100")
 def subsample(spark, sf_dir):
     """A tenth; the sample is the feature."""
     return S.subsample(_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.1)

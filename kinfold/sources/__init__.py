@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinfold.sources.archive import Archives
+
 CONTENT = "struct<title:string,abstract:string,venueid:string,weight:double>"
 NOTE = f"id string, cdate bigint, mdate bigint, pdate bigint, odate bigint, content {CONTENT}"
 BID = "forum string, signature string, tag string"
@@ -13,13 +15,22 @@ SCORE = "a string, b string, score double"
 
 
 def _stem() -> Column:
-    """File name up to its last dot."""
-    return F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    """File name up to its last dot. Spark gives names as parts of an address; a plus sign stands for itself there."""
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
 def archives(spark: SparkSession, folder: str) -> DataFrame:
     """author, id, dates, content: a row a publication; the file's name is the author."""
-    return spark.read.schema(NOTE).json(folder).select(_stem().alias("author"), "*").filter("id is not null")
+    author = F.replace(F.replace(_stem(), F.lit("%2F"), F.lit("/")), F.lit("%25"), F.lit("%"))
+    return spark.read.schema(NOTE).json(folder).select(author.alias("author"), "*").filter("id is not null")
+
+
+def archive_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows through the data source of archives."""
+    spark.dataSource.register(Archives)
+    lines = spark.read.format("archives").load(folder)
+    return lines.select("author", F.from_json("line", NOTE).alias("n")).select("author", "n.*").filter("id is not null")
 
 
 def submissions(spark: SparkSession, folder: str | None = None, file: str | None = None) -> DataFrame:
@@ -143,11 +154,28 @@ class Dataset:
         return stream_results({"archives": self.archives, "submissions": self.submissions, "bids": self.bids}[kind](), size)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and the executors share: beneath spark.checkpoint.dir, or a local one where the session is one process."""
+    import tempfile
+    import uuid
+
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set: the driver and the executors need a folder that they share")
+        found = f"file://{tempfile.mkdtemp(prefix='kinfold-')}"
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 # ---- writers
 
 
-def write_archives(rows: DataFrame, folder: str, author: str = "author") -> None:
-    rows.write.mode("overwrite").partitionBy(author).json(folder)
+def write_archives(rows: DataFrame, folder: str, author: str = "author", order: str = "id", mode: str = "overwrite") -> None:
+    """One file an author, named by it, a line a publication in order of ``order``; ``append`` keeps the files of other authors. An author's lines go through one task, which holds none of them."""
+    rows.sparkSession.dataSource.register(Archives)
+    line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != author]))
+    lines = rows.select(F.col(author).cast("string").alias("author"), line.alias("line"), F.col(order).alias("order__"))
+    lines.repartition("author").sortWithinPartitions("author", "order__").select("author", "line").write.format("archives").mode(mode).save(folder)
 
 
 def write_scores(rows: DataFrame, folder: str, digits: int | None = None, s: str = "score") -> None:

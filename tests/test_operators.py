@@ -150,7 +150,46 @@ def test_textrank_against_numpy(spark):
 def test_split_is_whole_and_disjoint(spark):
     got = sampling.split(spark.range(1000), "id", {"train": 0.6, "dev": 0.1, "test": 0.3}).groupBy("part").count().collect()
     n = dict(got)
-    assert sum(n.values()) == 1000 and abs(n["train"] - 600) < 60
+    assert n == {"train": 600, "dev": 100, "test": 300}
+    few = dict(sampling.split(spark.range(17), "id", {"train": 0.6, "dev": 0.1, "test": 0.3}).groupBy("part").count().collect())
+    assert few == {"train": 10, "dev": 1, "test": 6}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 12, 50, 97, 1000])
+def test_places_are_a_bijection(spark, n):
+    got = [r[0] for r in spark.range(n).select(sampling.permuted(F.col("id"), n, 3)).collect()]
+    assert sorted(got) == list(range(n)) and (n < 12 or got != sorted(got))
+    assert n < 50 or got != [r[0] for r in spark.range(n).select(sampling.permuted(F.col("id"), n, 4)).collect()]
+
+
+def test_no_pattern_repeats_past_a_million_ids(spark):
+    """Beyond 1,000,003 ids every place is taken once, every mixed number is new, and neighbours in place are no neighbours by id."""
+    n = 3_000_009
+    ids = spark.range(n).select("id", sampling.permuted(F.col("id"), n).alias("place"), sampling.scrambled(F.col("id"), 1 << 61).alias("x"))
+    r = ids.agg(F.countDistinct("place").alias("places"), F.min("place").alias("low"), F.max("place").alias("high"), F.countDistinct("x").alias("mixed"), F.corr("id", "place").alias("along"), F.corr(F.col("id") % 1000, F.col("place") % 1000).alias("within")).first()
+    assert (r.places, r.low, r.high, r.mixed) == (n, 0, n - 1, n) and abs(r.along) < 0.01 and abs(r.within) < 0.01
+    far = spark.createDataFrame([(-1,), (0,), (2**62,), (2**62 + 1,), (2**32,), (2**32 + 1,), (-(2**63),)], "id long")
+    assert far.select(sampling.scrambled(F.col("id"), 1 << 40).alias("x")).distinct().count() == 7
+
+
+def test_shuffled_piles(spark):
+    got = sampling.shuffled(spark.range(1003), "id", 10).collect()
+    assert sorted((r.pile, r.place) for r in got) == sorted((i % 10, i // 10 + 1) for i in range(1003))
+    assert {len([r for r in got if r.pile == p]) for p in range(10)} == {100, 101}
+    folds = sampling.even_folds(spark.range(1003), "id", 5).groupBy("fold").count().collect()
+    assert sorted(r["count"] for r in folds) == [200, 200, 201, 201, 201]
+
+
+def test_drawn_rows_of_other_groups(spark):
+    """Each row of another group as likely; joined by place, not by ranges of them."""
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 4 < 2, "big").when(F.col("id") % 4 == 2, "mid").otherwise(F.concat(F.lit("g"), (F.col("id") % 40).cast("string"))).alias("g"))
+    got = sampling.negatives(rows, "id", "g", "paper_uniform")
+    assert got.filter("neg = g or neg is null").count() == 0
+    n = {r.neg: r["count"] for r in got.filter("g = 'big'").groupBy("neg").count().collect()}
+    assert n["mid"] == pytest.approx(1000, abs=120) and len(n) == 11 and all(v == pytest.approx(100, abs=45) for k, v in n.items() if k != "mid")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString().replace("BroadcastNestedLoopJoin BuildRight, Cross", "")
+    assert "windowspecdefinition(source" not in plan and "windowspecdefinition(neg" not in plan
 
 
 def test_sources(spark, tmp_path):
