@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions import STOP_WORDS
@@ -85,6 +85,79 @@ def chunk_runs(tags: DataFrame, id_: str, pos: str, tag: str, word: str) -> Data
     return runs.groupBy(id_, "run__", tag).agg(F.array_join(F.transform(packed, lambda x: x["w"]), "_").alias("phrase")).drop("run__")
 
 
+#: Signs that end a word within a row of words, by its tag: they are taken out of words first.
+_ADJECTIVE, _NOUN, _OTHER = "\ue001", "\ue002", "\ue003"
+
+
+def noun_chunks(words: Column, tags: Column, adjective: str = "JJ", noun: str = "NN") -> Column:
+    """Phrases of the grammar ``JJ* NN``, in lower case, words joined by underscores: a noun and the adjectives straight
+    before it; phrases that follow each other without a word between are one. Stop words, and phrases that are all
+    punctuation, are left out. ``words`` and ``tags`` are arrays of one length; a null word is empty, a null tag is no part of a phrase.
+
+    Words and tags become one row of signs that an expression runs along once: what stands between two other words, up to its last noun.
+    """
+    plain = lambda w: F.translate(F.coalesce(w, F.lit("")), _ADJECTIVE + _NOUN + _OTHER, "")
+    sign = lambda t: F.when(t == adjective, _ADJECTIVE).when(t == noun, _NOUN).otherwise(_OTHER)
+    signs = F.array_join(F.zip_with(words, tags, lambda w, t: F.concat(plain(w), sign(t))), "")
+    found = F.regexp_extract_all(signs, F.lit(f"(?<![^{_OTHER}])[^{_OTHER}]*{_NOUN}"), F.lit(0))
+    phrases = F.transform(found, lambda x: F.lower(F.translate(F.substring(x, F.lit(1), F.length(x) - 1), _ADJECTIVE + _NOUN, "__")))
+    return F.filter(phrases, lambda x: ~x.isin(STOP_WORDS) & ~x.rlike(r"^[!-/:-@\[-`{-~]*$"))
+
+
+def tagged_words(words: Column, tags: Column, good: list[str]) -> Column:
+    """Words with one of the tags, in lower case; stop words and words that are all punctuation are left out."""
+    both = F.zip_with(words, tags, lambda w, t: F.struct(F.lower(w).alias("w"), t.alias("t")))
+    kept = F.filter(both, lambda x: F.coalesce(x["t"].isin(good) & ~x["w"].isin(STOP_WORDS) & ~x["w"].rlike(r"^[!-/:-@\[-`{-~]*$"), F.lit(False)))
+    return F.transform(kept, lambda x: x["w"])
+
+
+#: How likely a period after an abbreviation is; and from which score a word is one.
+ALWAYS, ABBREVIATION = 0.99, 0.3
+
+
+def abbreviations(docs: DataFrame, text: str) -> DataFrame:
+    """word, score: words that stand before a period far more often than chance has it, by the ratio of likelihoods of two
+    coins: one that falls as often as periods follow words at all, one that falls nearly always. Short words count for more, and
+    so do those with periods inside; every time a word stands without its period counts against it. One grouped count over all texts."""
+    token = docs.select(F.explode(F.split(text, r"\s+", -1)).alias("t")).filter("t <> ''")
+    word = F.lower(F.regexp_replace("t", r"\.$", ""))
+    counts = token.select(word.alias("word"), F.col("t").endswith(".").cast("long").alias("with")).groupBy("word").agg(F.count("*").cast("double").alias("n"), F.sum("with").cast("double").alias("a"))
+    whole = counts.agg(F.sum("n").alias("all"), F.sum("a").alias("ends"))
+    lettered = counts.filter("a > 0").filter(F.col("word").rlike(r"^[^\d\s]*[^\W\d_][^\d\s]*$")).crossJoin(F.broadcast(whole))  # one row
+    p, b = F.col("ends") / F.col("all"), F.col("n") - F.col("a")
+    chance = F.col("a") * F.log(p) + F.when(b > 0, b * F.log(F.greatest(1 - p, F.lit(1e-12)))).otherwise(0.0)
+    always = F.col("a") * F.log(F.lit(ALWAYS)) + b * F.log(F.lit(1 - ALWAYS))
+    inside = F.length(F.regexp_replace("word", r"[^.]", ""))
+    long = F.length("word") - inside
+    score = -2 * (chance - always) * F.exp(-long.cast("double")) * (inside + 1) * F.pow(long.cast("double"), -b)
+    return lettered.select("word", score.alias("score")).filter(F.col("score") >= ABBREVIATION)
+
+
+def sentences(docs: DataFrame, id_: str, text: str, short: DataFrame | None = None) -> DataFrame:
+    """id, at, sentence: sentences in order from 1, words joined by single spaces. One ends after a word with . ! or ? (and
+    closing marks), at an empty line and at the end; not after an abbreviation (of ``short``, or of these texts), nor after a
+    letter with a period, nor where the next word begins in lower case."""
+    short = abbreviations(docs, text) if short is None else short
+    lines = F.regexp_replace(F.col(text), r"\n\s*\n", " \ue004 ")
+    token = docs.select(F.col(id_).alias("id"), F.posexplode(F.filter(F.split(lines, r"\s+", -1), lambda t: t != "")).alias("i", "t"))
+    w = Window.partitionBy("id").orderBy("i")
+    token = token.withColumn("next", F.lead("t").over(w))
+    open_ = F.col("t").rlike(r"""[.!?]['"\u201d\u2019)\]]*$""") & ~F.coalesce(F.col("next").rlike(r"^\p{Ll}"), F.lit(False)) & ~F.col("t").rlike(r"^\p{L}\.$")
+    word = F.when(open_ & F.col("t").endswith("."), F.lower(F.regexp_replace("t", r"\.$", "")))
+    asked = token.withColumns({"open": open_, "word": word})
+    held = asked.filter("word is not null").join(short.select("word"), "word", "left_semi").select("id", "i", F.lit(True).alias("short"))
+    ends = asked.join(held, ["id", "i"], "left").withColumn("end", (F.col("open") & F.col("short").isNull()) | (F.col("t") == "\ue004"))
+    of = F.coalesce(F.sum(F.col("end").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    packed = F.array_sort(F.collect_list(F.struct("i", "t")))
+    made = ends.withColumn("of", of).filter(F.col("t") != "\ue004").groupBy("id", "of").agg(F.array_join(F.transform(packed, lambda x: x["t"]), " ").alias("sentence"))
+    return made.select("id", F.row_number().over(Window.partitionBy("id").orderBy("of")).cast("long").alias("at"), "sentence")
+
+
+def sentence_words(parts: DataFrame) -> DataFrame:
+    """id, words of each sentence as ``words`` has them: windows over these rows stay inside sentences."""
+    return words(parts, "id", "sentence")
+
+
 def first_phrases(rows: DataFrame, id_: str, phrase: str, score: str, top: int) -> DataFrame:
     """id, phrase, score, place: each phrase once, at its best score, up to ``top``; the lesser phrase first among equals."""
     best = rows.groupBy(id_, phrase).agg(F.max(score).alias(score))

@@ -69,21 +69,25 @@ def by_owner(scores: DataFrame, queries: DataFrame, ownership: DataFrame, how: s
     sizes = own.groupBy(owner).agg(F.count("*").alias("n__"))
     every = queries.select(query).distinct().crossJoin(ownership.select(owner).distinct().join(sizes, owner, "left"))
     rests = scores.groupBy(query).agg(F.first("rest").alias("rest__"))
-    held = [F.max(s).alias("max__"), F.sum(s).alias("sum__"), F.count("*").alias("hits__")]
+    n, rest = F.col("n__"), F.coalesce("rest__", F.lit(0.0))
+    joined = scores.join(own, doc)
     if how.startswith("percentile:"):
-        held.append(F.collect_list(s).alias("all__"))
-    found = scores.join(own, doc).groupBy(query, owner).agg(*held)
-    rows = every.join(rests, query, "left").join(found, [query, owner], "left")
-    n, hits, rest = F.col("n__"), F.coalesce("hits__", F.lit(0)), F.coalesce("rest__", F.lit(0.0))
-    if how == "mean":
-        value = (F.coalesce("sum__", F.lit(0.0)) + rest * (n - hits)) / n
-    elif how == "max":
-        value = F.greatest("max__", F.when(hits < n, rest))
-    else:
-        whole = F.array_sort(F.concat(F.coalesce("all__", F.array().cast("array<double>")), F.array_repeat(rest, (n - hits).cast("int"))))
+        # places of hits in the owner's sorted documents, those without a common term standing together; the two that count are picked
         at = F.lit(min(max(float(how.split(":")[1]) / 100, 0.0), 1.0)) * (n - 1)
-        low, high = F.get(whole, F.floor(at).cast("int")), F.get(whole, F.ceil(at).cast("int"))
+        pair = Window.partitionBy(query, owner)
+        ranked = joined.withColumns({"r__": F.row_number().over(pair.orderBy(s)) - 1, "hits__": F.count("*").over(pair)}).join(sizes, owner)
+        place = F.col("r__") + F.when(F.col(s) > F.col("rest"), n - F.col("hits__")).otherwise(0)
+        picked = ranked.withColumn("at__", place).filter((F.col("at__") == F.floor(at)) | (F.col("at__") == F.ceil(at)))
+        found = picked.groupBy(query, owner).agg(*[F.max(F.when(F.col("at__") == end(at), F.col(s))).alias(name) for end, name in ((F.floor, "low__"), (F.ceil, "high__"))])
+        rows = every.join(rests, query, "left").join(found, [query, owner], "left")
+        low, high = F.coalesce("low__", rest), F.coalesce("high__", rest)
         value = low + (high - low) * (at - F.floor(at))
+    else:
+        found = joined.groupBy(query, owner).agg(F.max(s).alias("max__"), F.sum(s).alias("sum__"), F.count("*").alias("hits__"))
+        rows = every.join(rests, query, "left").join(found, [query, owner], "left")
+        hits = F.coalesce("hits__", F.lit(0))
+        mean = (F.coalesce("sum__", F.lit(0.0)) + rest * (n - hits)) / n
+        value = mean if how == "mean" else F.greatest("max__", F.when(hits < n, rest))
     return rows.select(query, owner, F.coalesce(F.when(n > 0, value), F.lit(0.0)).alias(s))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators.ordering import with_running
 
 def sparse_topk(scores: DataFrame, k: int, *, row: str = "sub", col: str = "rev", s: str = "s") -> DataFrame:
     """Pairs among the k best of their row or of their column; ties go to the lesser id."""
@@ -32,9 +33,17 @@ def roles(scores: DataFrame, symmetric: bool, *, row: str = "sub", col: str = "r
 
 
 def statistics(scores: DataFrame, s: str = "s") -> DataFrame:
-    q = F.percentile(s, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    made = scores.agg(F.count(s).alias("n"), F.avg(s).alias("mean"), F.stddev_samp(s).alias("std"), F.min(s).alias("min"), q.alias("q"), F.max(s).alias("max"))
-    return made.select("n", "mean", "std", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
+    """One row: n, mean, std, min, quartiles, max. Quartiles are interpolated between the values at their places, which come from counts of ranges; no task has all scores."""
+    known = scores.filter(F.col(s).isNotNull()).select(F.col(s).alias("s__"))
+    made = known.agg(F.count("s__").alias("n"), F.avg("s__").alias("mean"), F.stddev_samp("s__").alias("std"), F.min("s__").alias("min"), F.max("s__").alias("max"))
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    at = {name: F.lit(q) * (F.col("n") - 1) for name, q in shares.items()}
+    ends = {f"{name}_{end.__name__}": end(x) for name, x in at.items() for end in (F.floor, F.ceil)}
+    placed = with_running(known, [F.col("s__")], {"place__": F.lit(1)}).crossJoin(F.broadcast(made.select("n")))  # one row
+    picked = placed.withColumn("place__", F.col("place__") - 1).agg(*[F.max(F.when(F.col("place__") == x, F.col("s__"))).alias(name) for name, x in ends.items()])
+    whole = made.crossJoin(F.broadcast(picked))
+    value = lambda name: F.col(f"{name}_floor") + (F.col(f"{name}_ceil") - F.col(f"{name}_floor")) * (at[name] - F.floor(at[name]))
+    return whole.select("n", "mean", "std", "min", *[value(name).alias(name) for name in shares], "max")
 
 
 def closest(cells: DataFrame, *, sub: str = "sub", pub: str = "pub", s: str = "s") -> DataFrame:

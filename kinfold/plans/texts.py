@@ -161,3 +161,52 @@ def author_key(spark, sf_dir):
 def scalar_json(spark, sf_dir):
     n = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").withColumn("list", F.array("n_name"))
     return n.select(D.scalar_json(n).alias("j"))
+
+
+# Tags are an input; here they follow from the words: lengths 4, 7 and 10 are nouns, 2, 5 and 6 adjectives.
+_TAG = "case when length({0}) in (4, 7, 10) then 'NN' when length({0}) in (2, 5, 6) then 'JJ' else 'DT' end"
+_PUNCTUATION = r"[!-/:-@\[-`{{-~]*".replace("{{", "{")
+_STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in K.STOP_WORDS)
+
+
+def _tagged(spark, sf_dir):
+    words = _table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ", -1).alias("words"))
+    return words.select("doc_id", "words", F.transform("words", lambda w: F.when(F.length(w).isin(4, 7, 10), "NN").when(F.length(w).isin(2, 5, 6), "JJ").otherwise("DT")).alias("tags"))
+
+
+@query(f"""with w as (select doc_id, unnest(string_split(text, ' ')) w, generate_subscripts(string_split(text, ' '), 1) i from documents), t as (select *, {_TAG.format('w')} t from w),
+n as (select *, min(case when t <> 'JJ' then i * 2 + case when t = 'NN' then 1 else 0 end end) over (partition by doc_id order by i rows between current row and unbounded following) after from t),
+c as (select *, coalesce(after % 2 = 1, false) inside from n), r as (select *, i - row_number() over (partition by doc_id, inside order by i) run from c),
+p as (select doc_id, run, lower(string_agg(w, '_' order by i)) phrase, min(i) i from r where inside group by 1, 2)
+select doc_id, row_number() over (partition by doc_id order by i) at_, phrase from p where phrase not in ({_STOPS}) and not regexp_full_match(phrase, '{_PUNCTUATION}')""")
+def noun_chunks(spark, sf_dir):
+    chunks = _tagged(spark, sf_dir).select("doc_id", F.posexplode(G.noun_chunks(F.col("words"), F.col("tags"))).alias("at", "phrase"))
+    return chunks.select("doc_id", (F.col("at") + 1).cast("long").alias("at_"), "phrase")
+
+
+@query(f"""with w as (select doc_id, unnest(string_split(text, ' ')) w, generate_subscripts(string_split(text, ' '), 1) i from documents), t as (select *, {_TAG.format('w')} t from w)
+select doc_id, lower(w) word, count(*) n from t where t in ('JJ', 'NN') and lower(w) not in ({_STOPS}) and not regexp_full_match(w, '{_PUNCTUATION}') group by 1, 2""")
+def tagged_words(spark, sf_dir):
+    words = _tagged(spark, sf_dir).select("doc_id", F.explode(G.tagged_words(F.col("words"), F.col("tags"), ["JJ", "NN"])).alias("word"))
+    return words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+
+
+_SHORT = r"""t as (select doc_id, unnest(string_split_regex(text, '\s+')) t from documents), c as (select lower(regexp_replace(t, '\.$', '')) word, count(*)::double n, count(*) filter (suffix(t, '.'))::double a from t where t <> '' group by 1),
+a0 as (select sum(n) al, sum(a) en from c), s0 as (select word, n, a, n - a b, en / al p, length(regexp_replace(word, '[^.]', '', 'g')) ins, length(word) - length(regexp_replace(word, '[^.]', '', 'g')) lo from c, a0 where a > 0 and regexp_matches(word, '^[^\d\s]*[\pL][^\d\s]*$')),
+short as (select word, -2 * (a * ln(p) + case when b > 0 then b * ln(greatest(1 - p, 1e-12)) else 0 end - (a * ln(0.99::double) + b * ln((1 - 0.99::double)))) * exp(-lo::double) * (ins + 1) * pow(lo::double, -b) score from s0)"""
+
+
+@query(f"with {_SHORT} select word, round(score, 6) score from short where score >= 0.3")
+def abbreviations(spark, sf_dir):
+    return G.abbreviations(_table(spark, sf_dir, "documents"), "text").select("word", F.round("score", 6).alias("score"))
+
+
+@query(rf"""with {_SHORT}, x as (select doc_id, list_filter(string_split_regex(regexp_replace(text, '\n\s*\n', ' ' || chr(57348) || ' ', 'g'), '\s+'), lambda q: q <> '') l from documents),
+k as (select doc_id, unnest(l) t, generate_subscripts(l, 1) i from x), nx as (select *, lead(t) over (partition by doc_id order by i) nt from k),
+e as (select *, (regexp_matches(t, '[.!?][''"\x{{201d}}\x{{2019}})\]]*$') and not coalesce(regexp_matches(nt, '^\p{{Ll}}'), false) and not regexp_matches(t, '^\pL\.$') and not (suffix(t, '.') and lower(regexp_replace(t, '\.$', '')) in (select word from short where score >= 0.3))) or t = chr(57348) en from nx),
+o as (select *, coalesce(sum(en::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) of_ from e),
+s as (select doc_id, of_, string_agg(t, ' ' order by i) s from o where t <> chr(57348) group by 1, 2)
+select doc_id, row_number() over (partition by doc_id order by of_) at_, md5(s) digest, length(s) n from s""")
+def sentences(spark, sf_dir):
+    made = G.sentences(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return made.select(F.col("id").alias("doc_id"), F.col("at").alias("at_"), F.md5("sentence").alias("digest"), F.length("sentence").cast("long").alias("n"))
