@@ -81,7 +81,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is its end mark; repeated rows, and rows without doc_id, are packed each."""
-    return packing.packed(docs, vocabulary("byte_bpe_50k.json"), keep=["doc_id"], order=["doc_id"], kept_bytes=KEPT_BYTES)
+    return packing.packed(docs, vocabulary("byte_bpe_50k.json"), keep=["doc_id"], kept_bytes=KEPT_BYTES)
 
 
 STAGES = [
