@@ -4,12 +4,12 @@ How many sequences are needed, and of what, depends on nothing but how many piec
 plan is made on that histogram (as many rows as a sequence has tokens, whatever the input): a sequence is filled
 greedily by the longest piece that fits; then its shortest piece gives way to two unpacked ones that fit the widened gap
 more tightly, as long as there are such. The pattern found is repeated as often as the histogram allows. Pieces take
-their places by rank within their length; ranks are counted in salted groups, so no length meets in one task.
+their places by rank within their length: a task numbers the pieces of each length that it writes, and how many earlier
+tasks wrote is added, from a small table of tasks and lengths. Pieces are neither sorted nor brought together.
 
 Defined results: a null or empty text is the end mark alone; a text of any length is cut into as many pieces as it needs.
-Every row is a document, repeated rows too. Which of two pieces of one length lies where is settled by the number that
-each got when it was written, and by ``order`` before that within a salted group; of patterns that fit equally well the
-one with the longer first piece is taken. An empty table gives an empty one. Input columns named as a new one are replaced.
+Every row is a document, repeated rows too. Which of two pieces of one length lies where is settled by the order in which
+they were written; of patterns that fit equally well the one with the longer first piece is taken. An empty table gives an empty one. Input columns named as a new one are replaced.
 """
 
 from __future__ import annotations
@@ -23,16 +23,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, map_text, unpacked, written
+from .common import kept, map_text, small_enough, unpacked, written
 from .pretoken import Chunks
 
 END = 2
 CAPACITY = 1024
-#: Pieces of one length that are ranked in one group.
-GROUP_ROWS = 500
 #: Bytes of chunks that a worker keeps (see ``pretoken``); they settle time and memory, not results. A job whose workers hold much else can ask for less.
 KEPT_BYTES = 384 << 20
 
@@ -82,23 +81,29 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, *, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, kept_bytes: int = KEPT_BYTES) -> DataFrame:
-    """A row for each piece: ``keep``, piece, start, length, ids_crc32, and ids (bytes) if asked for."""
+def pieces(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, *, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, numbered: bool = False, kept_bytes: int = KEPT_BYTES) -> DataFrame:
+    """A row for each piece: ``keep``, piece, start, length, ids_crc32, and ids (bytes) if asked for. ``numbered``: the task too, and how many pieces of this length it has made before."""
     keep = df.columns if keep is None else keep
     tail = np.array([end], "<u4").tobytes()
+    made_by: dict[str, object] = {"attempt": None}
 
     def work(texts):
+        context = TaskContext.get()
+        if made_by["attempt"] != context.taskAttemptId():
+            made_by.update(attempt=context.taskAttemptId(), task=context.partitionId(), counts=[0] * (capacity + 1))
+        task, counts = made_by["task"], made_by["counts"]
         out = []
         for ids in encoder(path, kept_bytes).encode(texts):
             ids += tail
             row = []
             for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
                 part = ids[4 * s : 4 * (s + n)]
-                row.append({"piece": k, "start": s, "length": n, "ids_crc32": zlib.crc32(part)} | ({"ids": part} if with_ids else {}))
+                row.append({"piece": k, "start": s, "length": n, "ids_crc32": zlib.crc32(part)} | ({"ids": part} if with_ids else {}) | ({"task__": task, "nth__": counts[n]} if numbered else {}))
+                counts[n] += 1
             out.append(row)
         return [out]
 
-    fields = "piece:int,start:bigint,length:bigint,ids_crc32:bigint" + ",ids:binary" * with_ids
+    fields = "piece:int,start:bigint,length:bigint,ids_crc32:bigint" + ",ids:binary" * with_ids + ",task__:int,nth__:bigint" * numbered
     keep = _others(keep, with_ids)
     made = map_text(df.select(*kept(keep), F.col(f"`{text}`").alias("text")), "text", ["kept__"] * bool(keep), f"pieces__ array<struct<{fields}>>", work)
     new = [f.split(":")[0] for f in fields.split(",")]
@@ -172,34 +177,32 @@ def places(patterns: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
     return {n: np.array(x, np.int64) for n, x in out.items()}
 
 
-def packed(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, *, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, order: list[str] | None = None, kept_bytes: int = KEPT_BYTES) -> DataFrame:
-    """The rows of ``pieces`` with sequence_id (from 0, without gaps) and offset. ``order`` ranks pieces of one length."""
+def packed(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, *, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, kept_bytes: int = KEPT_BYTES) -> DataFrame:
+    """The rows of ``pieces`` with sequence_id (from 0, without gaps) and offset."""
     keep = _others(df.columns if keep is None else keep, with_ids)
     own = ["piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    made = pieces(df.select(*kept(keep), F.col(f"`{text}`").alias("text")), path, "text", ["kept__"] * bool(keep), capacity=capacity, end=end, with_ids=with_ids, kept_bytes=kept_bytes)
-    columns = made.columns
-    # the number by which a piece is salted is written with it, so that every reading deals alike
-    found = written(made.withColumn("number__", F.monotonically_increasing_id()), "pieces")
-    histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    made = pieces(df.select(*kept(keep), F.col(f"`{text}`").alias("text")), path, "text", ["kept__"] * bool(keep), capacity=capacity, end=end, with_ids=with_ids, numbered=True, kept_bytes=kept_bytes)
+    # a piece's number is written with it, so that every reading finds the same
+    found = written(made, "pieces")
+    counts = written(found.groupBy("task__", "length").agg(F.count("*").alias("n__")), "counts")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n__").alias("n")).collect()}
     table = places(plan(histogram, capacity))
-    groups = F.array(*[F.lit(-(-histogram.get(n, 0) // GROUP_ROWS) or 1) for n in range(capacity + 1)])
-    salted = found.withColumn("salt__", F.pmod(F.xxhash64("number__"), F.get(groups, F.col("length").cast("int"))))
-    w = Window.partitionBy("length", "salt__").orderBy(*[F.col("kept__").getField(c) for c in order or []], "piece", "number__")
-    counts = salted.groupBy("length", "salt__").agg(F.count("*").alias("n__"))
-    before = Window.partitionBy("length").orderBy("salt__").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("length", "salt__", F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("base__"))
-    ranked = salted.withColumn("row__", F.row_number().over(w) - 1).join(bases, ["length", "salt__"]).withColumn("rank__", F.col("row__") + F.col("base__"))
-    frame = ranked.select(*[f"`{c}`" for c in columns], "rank__")
-    out = made.schema.add("sequence_id", "long").add("offset", "long")
+    before = Window.partitionBy("length").orderBy("task__").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    bases = counts.select("task__", "length", F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("base__"))
+    side = F.broadcast(bases) if small_enough(counts, 24) else bases
+    columns = [*["kept__"] * bool(keep), *own]
+    frame = found.join(side, ["task__", "length"]).select(*columns, (F.col("nth__") + F.col("base__")).alias("rank__"))
+    out = frame.drop("rank__").schema.add("sequence_id", "long").add("offset", "long")
 
     def place(batches):
         at = columns.index("length")
         for b in batches:
             lengths, ranks = b.column(at).to_numpy(zero_copy_only=False), b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
             sequence, offset = np.empty(len(ranks), np.int64), np.empty(len(ranks), np.int64)
-            for n in np.unique(lengths):
-                mine = lengths == n
-                t = table[int(n)]
+            order = np.argsort(lengths, kind="stable")
+            starts = np.flatnonzero(np.diff(lengths[order], prepend=-1))
+            for mine in np.split(order, starts[1:]) if len(order) else []:
+                t = table[int(lengths[mine[0]])]
                 k = np.searchsorted(t[:, 0], ranks[mine], side="right") - 1
                 sequence[mine] = t[k, 1] + ranks[mine] - t[k, 0]
                 offset[mine] = t[k, 2]

@@ -66,7 +66,7 @@ def op9_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), keep=["doc_id"], order=["doc_id"])
+    return packing.packed(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), keep=["doc_id"])
 
 
 @_query

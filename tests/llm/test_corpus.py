@@ -279,7 +279,7 @@ def test_packing(docs, empty, texts, vocab):
 
     library = Tokenizer.from_file(vocab("byte_bpe_50k.json"))
     ids = lambda d: library.encode("no id at all " * 20 if d is None else texts[d] or "", add_special_tokens=False).ids + [2]
-    got = packing.packed(docs, vocab("byte_bpe_50k.json"), keep=["doc_id"], order=["doc_id"]).collect()
+    got = packing.packed(docs, vocab("byte_bpe_50k.json"), keep=["doc_id"]).collect()
     n, tokens = check_packing(got, ids)
     assert n <= -(-tokens // packing.CAPACITY) + 1
     assert packing.packed(empty, vocab("byte_bpe_50k.json")).count() == 0
