@@ -108,7 +108,13 @@ def all_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[
     if not text:
         return [], []
     base = base_spans(text)
-    own = [("entropy", a, b) for a, b in entropy_spans(text) if not any(s <= a and b <= e for _, s, e in base)]
+    own, k, reach = [], 0, 0  # both lists go by start: reach is the furthest end of base spans that begin no later
+    for a, b in entropy_spans(text):
+        while k < len(base) and base[k][1] <= a:
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach < b:
+            own.append(("entropy", a, b))
     return base, sorted(base + own, key=lambda x: (x[1], KINDS.index(x[0]))) if own else base
 
 

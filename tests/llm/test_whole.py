@@ -269,3 +269,94 @@ def test_decision_list_verdicts_by_hand(spark, docs):
         first = next((k for k, rule in enumerate(rules.rules, 1) if all((value[f] >= t) == above for f, above, t in rule.conditions)), 0)
         failed = n < 50 or 100 * repeat > 50 * n
         assert (r.base_failed, r.rule, r.kept) == (failed, first, not failed and not first)
+
+
+def _story(host, i, blocks=3):
+    body = "".join(f"<p>Story {host} {i} part {k}</p>" for k in range(blocks))
+    return f"<html><body><div class=top>Welcome to {host}</div><div class=story>{body}</div><div class=end>All rights of {host}</div></body></html>"
+
+
+def test_wrappers_sent_with_their_pages(spark, monkeypatch):
+    """Past the bound of broadcasts: the same texts, whether a host has one group or several, hosts without template too."""
+    rows = [(h * 1000 + i, f"http://h{h}.example/{i}", _story(h, i)) for h, n in ((1, 40), (2, 5), (3, 1)) for i in range(n)] + [(9, None, None), (8, "http://h1.example/x", ""), (7, None, "<p>alone")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    want = sorted(tuple(r) for r in wrapper.extract(pages, keep=["page_id"]).collect())
+    assert (1000, "\n".join(f"Story 1 0 part {k}" for k in range(3)), 50) in want
+    monkeypatch.setattr(wrapper, "BROADCAST_BYTES", 0)
+    for group in (2000, 7):
+        monkeypatch.setattr(wrapper, "GROUP_PAGES", group)
+        assert sorted(tuple(r) for r in wrapper.extract(pages, keep=["page_id"]).collect()) == want
+
+
+def test_long_pages_align_in_bounded_time_and_memory():
+    import time
+    import tracemalloc
+
+    rng = random.Random(1)
+    turns = ["<body>" + "".join(f"<h2>H{i}</h2><p>text {i} {k}</p>" for i in range(5000)) + "</body>" for k in (1, 2)]
+    mixed = ["<body>" + "".join(rng.choice(["<h2>{0}</h2>", "<p>{0}</p>", "<pre>{0}</pre>", "<hr><section class=s><p>{0}</p></section>"]).format(i) for i in range(5000)) + "</body>" for _ in range(2)]
+    for a, b in (turns, mixed):
+        began = time.time()
+        tracemalloc.start()
+        x, y = (wrapper.slots(wrapper.parse(p)) for p in (a, b))
+        wrapper.matching(x, y)
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20
+        tracemalloc.stop()
+        assert time.time() - began < 30
+    for tags in ("<a ' " * 100_000, "<a '>" * 100_000 + "'", "<! " * 100_000, "<" * 100_000):
+        began = time.time()
+        wrapper.parse(tags)
+        assert time.time() - began < 5
+
+
+def plain_alignment(x, y):
+    """The whole table, a cell at a time, and the way back through it."""
+    table = [[0.0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    weigh = lambda p, q: (wrapper.matching(p, q)[0] if p.kids and q.kids else 1.0) + 0.5 * (not p.kids and p.text == q.text)
+    for i, p in enumerate(x, 1):
+        for j, q in enumerate(y, 1):
+            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + weigh(p, q) if p.key == q.key else 0)
+    pairs, i, j = [], len(x), len(y)
+    while i and j:
+        if table[i][j] == table[i - 1][j]:
+            i -= 1
+        elif table[i][j] == table[i][j - 1]:
+            j -= 1
+        else:
+            pairs.append((i - 1, j - 1))
+            i, j = i - 1, j - 1
+    return table[-1][-1], pairs[::-1]
+
+
+def test_alignment_is_that_of_the_whole_table(monkeypatch):
+    rng = random.Random(3)
+    some = lambda: wrapper.slots(wrapper.parse("".join(rng.choice(["<h2>a{0}</h2>", "<p>b{0}</p>", "<pre>c</pre>", "<div><p>{0}</p><h3>d</h3></div>"]).format(rng.randint(0, 3)) for _ in range(rng.randint(0, 30)))))
+    for cells in (1 << 27, 20):
+        monkeypatch.setattr(wrapper, "CELLS", cells)
+        for _ in range(60):
+            a, b = some(), some()
+            if [k.key for k in a.kids] == [k.key for k in b.kids]:
+                continue
+            best, pairs = plain_alignment(a.kids, b.kids)
+            weight, got = wrapper.matching(a, b)
+            assert weight == 1.0 + best
+            if cells > 20:
+                assert [(a.kids.index(p), b.kids.index(q)) for p, q, _ in got] == pairs
+
+
+def test_many_spans_of_secrets():
+    """Entropy spans beside base spans, both in thousands: one walk along both."""
+    import time
+
+    from kinfold.llm import secrets
+
+    rng = random.Random(2)
+    sign = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    words = [f'token = "{sign()}"' if i % 2 else sign() for i in range(12_000)]
+    few = " ".join(words[:300])
+    base, own = secrets.base_spans(few), secrets.entropy_spans(few)
+    want = [("entropy", a, b) for a, b in own if not any(s <= a and b <= e for _, s, e in base)]
+    assert [x for x in secrets.all_spans(few)[1] if x[0] == "entropy"] == want and want
+    began = time.time()
+    secrets.all_spans(" ".join(words))
+    assert time.time() - began < 20
