@@ -11,6 +11,9 @@ sets; the order puts shingles first that few sets have, by a counting sketch of
 passages that many documents share bring few sets together. Sets that share such a shingle are in the cluster that is
 named by the least of them; a set is in a cluster once, however many shingles brought it there.
 
+Large sets have more groups, in proportion to their size, or the bound would say nothing of them; groups are runs of
+hashes, so that a point of many groups has also its counts by fewer, for trees in which it meets smaller sets.
+
 A cluster's points are packed into a tree by halving along the coordinate of greatest spread, and the tree is joined
 with itself, box against box. Sets of a pair that the bound lets pass go, as shingles, to the cluster's place, where the
 pairs are verified; only links that join what was apart there leave it, so what comes out is in proportion to the sets.
@@ -45,7 +48,8 @@ from .common import map_text, slices, small_enough, written
 SHINGLE = 4
 #: A similarity of RATIO[0] / RATIO[1] or more links.
 RATIO = (85, 100)
-GROUPS = 256
+#: Groups of a set of up to GROUP_SETS shingles; twice as many for each doubling of a set's size beyond, so that a group has 16 shingles at most.
+GROUPS, GROUP_SETS = 256, 4096
 SKETCH_BITS, CHUNK_BITS = 20, 16
 #: Points of a box of the lowest level, boxes of a box above.
 LEAF = 16
@@ -129,9 +133,15 @@ def key_of(x: np.ndarray) -> bytes | None:
     return hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None
 
 
-def point(x: np.ndarray) -> np.ndarray:
-    """Counts by group."""
-    return np.bincount((x >> _U(56)).astype(np.int64), minlength=GROUPS)
+def groups_of(n: np.ndarray | int):
+    """The number of groups of a set of n shingles."""
+    return GROUPS << np.ceil(np.log2(np.maximum(n, GROUP_SETS) / GROUP_SETS)).astype(np.int64)
+
+
+def point(x: np.ndarray, groups: int | None = None) -> np.ndarray:
+    """Counts by group: by the first bits of the hash, so that neighbours together are the groups of half as many."""
+    groups = int(groups_of(len(x))) if groups is None else groups
+    return np.bincount((x >> _U(64 - (groups.bit_length() - 1))).astype(np.int64), minlength=groups)
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -144,21 +154,21 @@ def _packed(counts: np.ndarray) -> bytes:
     return unit.to_bytes(8, "little") + (-(-counts // unit)).astype(np.uint8).tobytes()
 
 
-def _points(data: list[bytes]) -> np.ndarray:
+def _points(data: list[bytes], groups: int = GROUPS) -> np.ndarray:
+    """Points of so many groups; those packed with more are put together."""
     size = np.fromiter(map(len, data), np.int64, len(data))
-    small, out = size == GROUPS // 2, np.empty((len(data), GROUPS), np.uint8)
-    x = np.frombuffer(b"".join(d for d in data if len(d) == GROUPS // 2), np.uint8).reshape(-1, GROUPS // 2)
-    out[np.ix_(small, range(0, GROUPS, 2))], out[np.ix_(small, range(1, GROUPS, 2))] = x & 15, x >> 4
-    if small.all():
-        return out
-    x = np.frombuffer(b"".join(d for d in data if len(d) != GROUPS // 2), np.uint8).reshape(-1, GROUPS + 8)
-    unit = np.ascontiguousarray(x[:, :8]).view("<i8")
-    if (unit == 1).all():
-        out[~small] = x[:, 8:]
-        return out
-    out = out.astype(np.int64)
-    out[~small] = x[:, 8:] * unit
-    return out
+    out = np.zeros((len(data), groups), np.int64)
+    for length in np.unique(size).tolist():
+        at = np.flatnonzero(size == length)
+        half = length & (length - 1) == 0  # a power of two: half bytes, without a unit
+        x = np.frombuffer(b"".join(data[i] for i in at), np.uint8).reshape(len(at), length)
+        if half:
+            counts = np.empty((len(at), 2 * length), np.uint8)
+            counts[:, ::2], counts[:, 1::2] = x & 15, x >> 4
+        else:
+            counts = x[:, 8:] * np.ascontiguousarray(x[:, :8]).view("<i8")
+        out[at] = counts.reshape(len(at), groups, -1).sum(2, dtype=np.int64)
+    return out.astype(np.uint8) if out.max(initial=0) < 256 else out
 
 
 def least_shared(n: np.ndarray | int, m: np.ndarray | int, ratio=RATIO):
@@ -198,22 +208,23 @@ def _packing(points: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
 class CountTree:
     """An R-tree over points. A box has its points' greatest counts, the least size of a set, and the least and greatest
     class and side of its points. ``classes``: pairs within one aren't asked for. ``sides``: nor are pairs within side 0
-    or within side 1; points of side 2 meet all."""
+    or within side 1; points of side 2 meet all. ``fine``: nor are pairs of which both are so."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, classes: np.ndarray | None = None, sides: np.ndarray | None = None, ratio=RATIO):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, classes: np.ndarray | None = None, sides: np.ndarray | None = None, ratio=RATIO, fine: np.ndarray | None = None):
         n, self.ratio = len(points), ratio
         classes = np.arange(n) if classes is None else classes
         sides = np.full(n, 2) if sides is None else sides
         much = np.bincount(classes)[classes] > LEAF if n else classes  # a class of some size fills its own boxes
-        runs = np.where(much, classes + 1, 0) * 3 + sides
+        fine = np.zeros(n, bool) if fine is None else fine
+        runs = (np.where(much, classes + 1, 0) * 3 + sides) * 2 + fine
         order = [_packing(points, np.flatnonzero(runs == r)) for r in np.unique(runs)]
         self.order = np.concatenate([x for run in order for x in run]) if n else np.zeros(0, np.int64)
         at = self.order
-        level = (points[at], sizes[at].astype(np.int64), classes[at], classes[at], sides[at], sides[at])
+        level = (points[at], sizes[at].astype(np.int64), classes[at], classes[at], sides[at], sides[at], fine[at])
         self.levels = [level]
         while len(level[0]) > LEAF:
             cut = np.arange(0, len(level[0]), LEAF)
-            level = tuple(f.reduceat(x, cut, axis=0) for f, x in zip((np.maximum, np.minimum, np.minimum, np.maximum, np.minimum, np.maximum), level, strict=True))
+            level = tuple(f.reduceat(x, cut, axis=0) for f, x in zip((np.maximum, np.minimum, np.minimum, np.maximum, np.minimum, np.maximum, np.logical_and), level, strict=True))
             self.levels.append(level)
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -225,12 +236,12 @@ class CountTree:
             if len(i) > STRIP:
                 left += [(depth, i[a : a + STRIP], j[a : a + STRIP]) for a in range(0, len(i), STRIP)]
                 continue
-            points, sizes, low, high, first, last = self.levels[depth]
+            points, sizes, low, high, first, last, fine = self.levels[depth]
             one_class = (low[i] == high[j]) & (high[i] == low[j])
             one_side = (first[i] == last[j]) & (last[i] == first[j]) & (first[i] < 2)
-            may = ~(one_class | one_side)
+            may = ~(one_class | one_side | (fine[i] & fine[j]))
             i, j = i[may], j[may]
-            over = np.minimum(points[i], points[j]).sum(1, dtype=np.uint16 if points.dtype == np.uint8 else np.int64).astype(np.int64) - least_shared(sizes[i], sizes[j], self.ratio)
+            over = np.minimum(points[i], points[j]).sum(1, dtype=np.uint16 if points.dtype == np.uint8 and points.shape[1] <= 257 else np.int64).astype(np.int64) - least_shared(sizes[i], sizes[j], self.ratio)
             may = over >= 0
             i, j, over = i[may], j[may], over[may]
             if not len(i):
@@ -245,6 +256,18 @@ class CountTree:
             left.append((depth - 1, a[may], b[may]))
 
 
+def tree_pairs(points, sizes: np.ndarray, classes: np.ndarray, sides: np.ndarray, ratio=RATIO) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs that a tree leaves for each number of groups: of sets that have it, with each other and with larger sets of a size that can link.
+    ``points`` gives the points of the rows named, with so many groups."""
+    groups = groups_of(sizes)
+    reach = 2 * ratio[1] / ratio[0]
+    for g in np.unique(groups).tolist():
+        at = np.flatnonzero((groups >= g) & (groups <= reach * g))
+        tree = CountTree(points(at, g), sizes[at], np.unique(classes[at], return_inverse=True)[1].reshape(-1), sides[at], ratio, groups[at] > g)
+        for i, j, over in tree.pairs():
+            yield at[i], at[j], over
+
+
 # ---- passes over the texts
 
 
@@ -423,9 +446,9 @@ def _candidates(members: DataFrame, ratio) -> DataFrame:
         for rows in _each_place(batches):
             labels = {}
             classes = np.array([labels.setdefault(r[3], len(labels)) for r in rows])
-            tree = CountTree(_points([r[5] for r in rows]), np.array([r[4] for r in rows]), classes, np.array([r[1] for r in rows]), ratio)
+            points = lambda at, g: _points([rows[i][5] for i in at], g)  # noqa: B023, E731
             some = np.zeros(len(rows), bool)
-            for i, j, _ in tree.pairs():
+            for i, j, _ in tree_pairs(points, np.array([r[4] for r in rows]), classes, np.array([r[1] for r in rows]), ratio):
                 some[i] = some[j] = True
             out += [rows[i][:4] for i in np.flatnonzero(some).tolist()]
             if len(out) > 20_000:
@@ -468,9 +491,9 @@ def _links(members: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, te
             sets_ = [np.frombuffer(r[4], _U) for r in rows]
             classes = _Classes([r[3] for r in rows])
             now = np.array([classes.find(i) for i in range(len(rows))])
-            tree = CountTree(np.array([point(x) for x in sets_]), np.array(list(map(len, sets_))), np.unique(now, return_inverse=True)[1], np.array([r[1] for r in rows]), ratio)
+            points = lambda at, g: np.array([point(sets_[i], g) for i in at])  # noqa: B023, E731
             out = []
-            for i, j, over in tree.pairs():
+            for i, j, over in tree_pairs(points, np.array(list(map(len, sets_))), now, np.array([r[1] for r in rows]), ratio):
                 best = np.argsort(-over, kind="stable")
                 for a, b in zip(i[best].tolist(), j[best].tolist(), strict=True):
                     p, q = classes.find(a), classes.find(b)

@@ -125,11 +125,11 @@ def test_count_tree_finds_all_that_the_bound_allows():
         keep = base[rng.random(400) < rng.choice([0.3, 0.9, 0.97])]
         more = rng.integers(0, 1 << 62, 9000 if i % 60 == 0 else rng.integers(0, 30), dtype=np.uint64) << np.uint64(2)
         sets.append(np.unique(np.concatenate([keep, more])))
-    counts = [jaccard.point(x) for x in sets]
+    counts = [jaccard.point(x, jaccard.GROUPS) for x in sets]
     assert (jaccard._points([jaccard._packed(c) for c in counts]) >= counts).all()
     for some in (sets, [x for x in sets if len(x) < 9000], sets[:1], []):
         n = np.array(list(map(len, some)), int)
-        c = jaccard._points([jaccard._packed(jaccard.point(x)) for x in some]) if some else np.zeros((0, jaccard.GROUPS), np.uint8)
+        c = jaccard._points([jaccard._packed(jaccard.point(x, jaccard.GROUPS)) for x in some]) if some else np.zeros((0, jaccard.GROUPS), np.uint8)
         classes, sides = rng.integers(0, 9, len(some)), rng.integers(0, 3, len(some))
         for kinds, halves in ((None, None), (classes, None), (classes, sides)):
             got = [(min(p), max(p)) for i, j, _ in jaccard.CountTree(c, n, kinds, halves).pairs() for p in zip(i.tolist(), j.tolist(), strict=True)]

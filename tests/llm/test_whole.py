@@ -360,3 +360,62 @@ def test_many_spans_of_secrets():
     began = time.time()
     secrets.all_spans(" ".join(words))
     assert time.time() - began < 20
+
+
+def _unrelated(n, count, seed=1):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    return [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for _ in range(count)]
+
+
+def test_the_bound_says_something_of_sets_of_any_size():
+    """Of unrelated sets of one size less than a hundredth pass, at both similarities; of linked ones all do."""
+    import numpy as np
+
+    for n in (1000, 5000, 8000, 12_000, 20_000, 60_000):
+        sets = _unrelated(n, 40)
+        size = np.array(list(map(len, sets)))
+        near = [np.sort(np.concatenate([x[: len(x) * 9 // 10 + len(x) // 100], y[: len(y) // 20]])) for x, y in zip(sets[:4], sets[4:8], strict=True)]
+        for ratio in ((80, 100), (85, 100)):
+            every = [*sets, *near]
+            sizes = np.array(list(map(len, every)))
+            points = lambda at, g: jaccard._points([jaccard._packed(jaccard.point(every[i])) for i in at], g)  # noqa: B023, E731
+            got = {(min(i, j), max(i, j)) for a, b, _ in jaccard.tree_pairs(points, sizes, np.arange(len(every)), np.full(len(every), 2), ratio) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+            assert sum(j < 40 for _, j in got) <= 0.01 * 40 * 39 / 2
+            assert {(k, 40 + k) for k in range(4) if jaccard.linked(every[k], every[40 + k], ratio)} <= got
+            assert not any(i == j for i, j in got) and size.min() > 0
+
+
+def test_trees_of_several_sizes_lose_no_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = _unrelated(9000, 6, 5)
+    sets = [np.sort(x[rng.permutation(len(x))[: int(len(x) * f)]]) for x in base for f in (1.0, 0.95, 0.88, 0.9, 0.46, 0.45, 0.42)]
+    sizes, kinds = np.array(list(map(len, sets))), rng.integers(0, 30, len(sets))
+    sides = rng.integers(0, 3, len(sets))
+    points = lambda at, g: np.array([jaccard.point(sets[i], g) for i in at])
+    got = [(min(p), max(p)) for i, j, _ in jaccard.tree_pairs(points, sizes, kinds, sides, (80, 100)) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if jaccard.linked(sets[i], sets[j], (80, 100)) and kinds[i] != kinds[j] and not (sides[i] == sides[j] < 2)}
+    assert len(set(got)) == len(got) and want and want <= set(got)
+
+
+def test_long_texts_in_one_cluster(spark):
+    """Texts of some thousand words that share a passage of rare words: links as all pairs have them."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    shared = [word() for _ in range(300)]
+    rows = []
+    for i in range(14):
+        own = [word() for _ in range(5000 + 400 * i)]
+        rows.append((len(rows), " ".join(shared + own)))
+        if i % 2:
+            copy = list(own)
+            for at in range(50, len(copy), 250 if i % 4 == 1 else 30):
+                copy[at] = word()
+            rows.append((len(rows), " ".join(shared + copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()}
+    want = components_by_all_pairs(rows, 4, jaccard.RATIO)
+    assert got == want and 14 < len(set(want.values())) < len(rows)
