@@ -104,10 +104,20 @@ def request_key(*parts: Column) -> Column:
     return F.concat_ws(":", *parts)
 
 
+#: The signs of a job's id, without those that look alike.
+ID_ALPHABET = "123456789abcdefghijkmnopqrstuvwxyz"
+
+
 def job_id(seed: Column) -> Column:
-    """Ten characters that the seed settles: a letter, then letters and digits."""
+    """Ten signs that the seed settles: a letter, then nine of the whole alphabet."""
     digest = F.sha2(seed.cast("string"), 256)
-    return F.concat(F.translate(F.substring(digest, 1, 1), "0123456789", "ghijklmnop"), F.substring(digest, 2, 9))
+    letters = "".join(c for c in ID_ALPHABET if c.isalpha())
+
+    def sign(i: int, among: str) -> Column:
+        n = F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int")
+        return F.substring(F.lit(among), n % len(among) + 1, F.lit(1))
+
+    return F.concat(sign(0, letters), *[sign(i, ID_ALPHABET) for i in range(1, 10)])
 
 
 # ---- vectors
@@ -157,6 +167,11 @@ def softmax(a: Column) -> Column:
     return _once(raised, lambda v: _once(total(v), lambda t: F.transform(v, lambda x: x / t)))
 
 
+def smoothed_weight(share: Column, alpha: float) -> Column:
+    """How much more than a uniform draw an item counts: (alpha + share) / alpha; 1 where alpha is 0."""
+    return F.lit(1.0) if not alpha else (F.lit(float(alpha)) + share) / F.lit(float(alpha))
+
+
 def entropy(shares: Column) -> Column:
     return F.aggregate(shares, F.lit(0.0), lambda s, x: s - F.when(x > 0, x * F.ln(x)).otherwise(0.0))
 

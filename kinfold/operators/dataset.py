@@ -177,6 +177,25 @@ def metadata(submissions: DataFrame, archives: DataFrame, members_: DataFrame, a
     return submissions.agg(F.count("*").alias("submission_count")).join(archives.agg(F.count("*").alias("archives_count"))).join(none)
 
 
+def without_publications(members_: DataFrame, archives: DataFrame, author: str) -> DataFrame:
+    """Members of whom the archives have nothing."""
+    return members_.select(author).distinct().join(archives.select(author), author, "left_anti")
+
+
+def archive_papers(archives: DataFrame, *, author: str = "author", id_: str = "id", title: str = "title", abstract: str = "abstract", mdate: str = "mdate", weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(papers, authorship) of archives, a row an author and publication. Publications with neither a title nor an abstract
+    go; a paper stands once, with its authors in order, what is blank as a full stop, as the first of its authors has it,
+    at its latest date. Its weight is the last author's, 1 where they have none."""
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    dot = lambda x: F.when(x == "", F.lit(".")).otherwise(x)
+    some = archives.withColumns({"t__": text(title), "a__": text(abstract)}).filter("t__ <> '' or a__ <> ''")
+    authorship = some.select(F.col(id_).alias("pub"), F.col(author).alias("rev")).distinct()
+    value = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
+    first = F.min(F.struct(F.col(author).alias("who"), "t__", "a__"))
+    papers = some.groupBy(F.col(id_).alias("pub")).agg(first.alias("x__"), F.max(mdate).alias("mdate"), F.max_by(value, F.col(author)).alias("w"), F.array_sort(F.collect_set(author)).alias("authors"))
+    return papers.select("pub", dot(F.col("x__.t__")).alias("title"), dot(F.col("x__.a__")).alias("abstract"), "mdate", "authors", "w"), authorship
+
+
 def machine_tier(notes: Column, small: int = 10_000, medium: int = 200_000) -> Column:
     return F.when(notes < small, F.lit("small")).when(notes < medium, F.lit("medium")).otherwise(F.lit("large"))
 

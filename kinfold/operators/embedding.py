@@ -127,6 +127,13 @@ def facet_distances(facets: DataFrame, targets: DataFrame, *, method: str = "lc"
     return both.mapInArrow(run, f"sub {kind_a}, rev {kind_b}, d double")
 
 
+def facet_scores(distances: DataFrame, special: int = 0) -> DataFrame:
+    """sub, rev, s of facets' distances (sub, rev, d): 1 - d, under an author's name up to a bar (what follows tells its
+    facets or roles apart). Authors of the first ``special`` places of a vocabulary (``idx``) stand for no one and are left out."""
+    some = distances.filter(F.col("idx") >= special) if special else distances
+    return some.select("sub", F.substring_index(F.col("rev").cast("string"), "|", 1).alias("rev"), (1.0 - F.col("d")).alias("s"))
+
+
 def sampled(space: dict[str, object], n: int, seed: int = 0) -> list[dict]:
     """n candidates drawn from the space: a pair of floats is a range, a pair of whole numbers one without its end, a list a choice; anything else is taken as it is."""
     draw, made = random.Random(seed), []

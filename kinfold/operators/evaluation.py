@@ -152,3 +152,16 @@ def cross_validated(candidates: list[DataFrame], folds: int, who: str = "who") -
     losses = parts.select("fold", "candidate", share(F.sum("n").over(every) - F.col("n"), F.sum("d").over(every) - F.col("d")).alias("train"), share(F.col("n"), F.col("d")).alias("test"))
     best = F.row_number().over(Window.partitionBy("fold").orderBy(F.asc_nulls_last("train"), "candidate"))
     return losses.withColumn("r__", best).filter("r__ = 1").drop("r__")
+
+
+def overlap_correlation(pairs: DataFrame, wanted: str, found: str, s: str = "s") -> DataFrame:
+    """One row, recall, precision, f1 and n: how scores, drawn to [0, 1] by the least and greatest of all that are finite, go with
+    what the ``found`` subjects have of the ``wanted`` ones (Pearson)."""
+    from kinfold.functions import overlap
+
+    known = pairs.filter(F.col(s).isNotNull() & (F.abs(s) < float("inf")) & ~F.isnan(s))
+    ends = known.agg(F.min(s).alias("low__"), F.max(s).alias("high__"))
+    drawn = (F.col(s) - F.col("low__")) / F.nullif(F.col("high__") - F.col("low__"), F.lit(0.0))
+    shares = overlap(F.col(found), F.col(wanted))
+    each = known.crossJoin(F.broadcast(ends)).select(drawn.alias("s"), *[x.alias(n) for x, n in zip(shares, ("recall", "precision", "f1"), strict=True)])  # one row
+    return each.agg(*[F.corr("s", n).alias(n) for n in ("recall", "precision", "f1")], F.count("s").alias("n"))

@@ -16,6 +16,12 @@ def words(docs: DataFrame, id_: str, text: str) -> DataFrame:
     return docs.select(F.col(id_).alias("id"), F.filter(all_, lambda w: (F.length(w) >= 2) & ~w.isin(STOP_WORDS)).alias("words"))
 
 
+def first_places(tokens: DataFrame) -> DataFrame:
+    """id, word, first, n: where each word of a document first stands, from 0, and how often it does."""
+    at = tokens.select("id", F.posexplode("words").alias("i", "word"))
+    return at.groupBy("id", "word").agg(F.min("i").alias("first"), F.count("*").alias("n"))
+
+
 def cooccurrences(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     """id, w1, w2: distinct pairs of different words less than ``window`` places apart, w1 first in the alphabet."""
     at = tokens.select("id", "words", F.posexplode("words").alias("i", "a"))

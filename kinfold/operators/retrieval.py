@@ -147,3 +147,15 @@ def encoded(rows: DataFrame, id_: str, lists: dict[str, Column], vocab: DataFram
         return F.slice(filled, 1, width)
 
     return found.groupBy(id_).agg(*[of(k).alias(name) for k, name in enumerate(lists)])
+
+
+def batches(rows: DataFrame, id_: str, tokens: Column, vocab: DataFrame, size: int) -> DataFrame:
+    """batch, rows, tokens, unknown, longest: rows in order of their ids in batches of ``size``, with how many tokens they have, how
+    many the vocabulary doesn't know, and the most of a row, to which the others are filled up. No task has all rows."""
+    from kinfold.operators.ordering import with_running
+
+    placed = with_running(rows.select(F.col(id_).alias("id"), tokens.alias("t")), [F.col("id")], {"place": F.lit(1)})
+    known = placed.select("id", F.explode("t").alias("item")).groupBy("id", "item").agg(F.count("*").alias("n")).join(vocab.select("item", "idx"), "item", "left")
+    unknown = known.groupBy("id").agg(F.sum(F.when(F.col("idx").isNull(), F.col("n")).otherwise(0)).alias("unknown"))
+    each = placed.select("id", F.floor((F.col("place") - 1) / size).cast("long").alias("batch"), F.size("t").alias("n")).join(unknown, "id", "left")
+    return each.groupBy("batch").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"), F.coalesce(F.sum("unknown"), F.lit(0)).alias("unknown"), F.max("n").alias("longest"))

@@ -52,6 +52,12 @@ def closest(cells: DataFrame, *, sub: str = "sub", pub: str = "pub", s: str = "s
     return cells.groupBy(sub).agg(best.alias("b__")).select(sub, (-F.col("b__.p")).alias(pub), F.col(f"b__.{s}").alias(s))
 
 
+def predictions(rows: DataFrame, k: int, q: str = "q", s: str = "s", item: str = "item") -> DataFrame:
+    """q, item, s, place: the k best items of each query, the lesser id first among equals."""
+    w = Window.partitionBy(q).orderBy(F.desc(s), item)
+    return rows.select(q, item, s).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
 def top_mean(cells: DataFrame, authorship: DataFrame, m: int, *, sub: str = "sub", pub: str = "pub", author: str = "rev", s: str = "s") -> DataFrame:
     """Mean of each author's m best publications."""
     w = Window.partitionBy(sub, author).orderBy(F.desc(s), pub)

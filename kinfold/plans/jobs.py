@@ -9,6 +9,7 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.functions import ID_ALPHABET
 from kinfold.operators import postings, retrieval, scoring, topk
 from kinfold.operators.blocks import ranked
 from kinfold.operators.dataset import WeightRule, venue_weight
@@ -165,10 +166,6 @@ def run(o: JobOptions, subs: DataFrame, pubs: DataFrame, authorship: DataFrame)
     return topk.sparse_topk(s, o.sparse) if o.sparse else s
 
 
-#: What an id is made of, without signs that look alike.
-ID_ALPHABET = "23456789abcdefghijkmnopqrstuvwxyz"
-
-
 def job_id() -> str:
     """A letter and nine more signs, drawn at random."""
     letters = [c for c in ID_ALPHABET if c.isalpha()]

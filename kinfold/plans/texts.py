@@ -130,10 +130,11 @@ def newest_jobs(spark, sf_dir):
     return D.newest(_table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderdate", "o_orderkey", 7).select("o_orderpriority", "o_orderkey")
 
 
-_KEY = "sha256(p_partkey::varchar)"
+_LETTERS = "".join(c for c in K.ID_ALPHABET if c.isalpha())
+_SIGNS = " || ".join(f"'{x}'[('0x' || substr(h, {2 * i + 1}, 2))::int % {len(x)} + 1]" for i, x in enumerate([_LETTERS] + [K.ID_ALPHABET] * 9))
 
 
-@query(f"select p_partkey, concat_ws(':', p_brand, p_type, p_partkey::varchar) key, translate({_KEY}[1], '0123456789', 'ghijklmnop') || {_KEY}[2:10] id from part")
+@query(f"select p_partkey, concat_ws(':', p_brand, p_type, p_partkey::varchar) key, {_SIGNS} id from (select *, sha256(p_partkey::varchar) h from part)")
 def job_keys(spark, sf_dir):
     key = K.request_key(F.col("p_brand"), F.col("p_type"), F.col("p_partkey").cast("string"))
     return _table(spark, sf_dir, "part").select("p_partkey", key.alias("key"), K.job_id(F.col("p_partkey")).alias("id"))

@@ -61,12 +61,33 @@ def inline_submissions(spark: SparkSession, given: list[dict]) -> DataFrame:
     return spark.createDataFrame([(str(x["id"]), x.get("title"), x.get("abstract")) for x in given], "id string, title string, abstract string")
 
 
-def embeddings(spark: SparkSession, path: str, dimensions: int) -> DataFrame:
-    """paper_id, e (zeros where there is none), is_bad. Lines that aren't JSON or lack a field are passed over; another length is an error."""
-    rows = spark.read.schema(EMBEDDING).json(path).filter("paper_id is not null and embedding is not null")
+def embeddings(spark: SparkSession, path: str, dimensions: int, *, normalize: bool = False, weights: DataFrame | None = None, cached: str | None = None) -> DataFrame:
+    """paper_id, e (zeros where there is none), is_bad. Lines that aren't JSON or lack a field are passed over; another
+    length is an error. ``normalize`` draws vectors to unit length; ``weights`` (paper_id, w) adds w, 1 where there is none;
+    vectors of ``cached``, a file or folder of the same form beside it, stand for papers that the first doesn't have."""
+    found = spark.read.schema(EMBEDDING).json(path).filter("paper_id is not null and embedding is not null")
+    if cached is not None:
+        before = spark.read.schema(EMBEDDING).json(cached).filter("paper_id is not null and embedding is not null")
+        found = found.unionByName(before.join(found.select("paper_id"), "paper_id", "left_anti"))
+    made = loaded(found, dimensions, normalize)
+    return made if weights is None else made.join(weights.select("paper_id", F.col("w").alias("w__")), "paper_id", "left").withColumn("w", F.coalesce("w__", F.lit(1.0))).drop("w__")
+
+
+def loaded(rows: DataFrame, dimensions: int, normalize: bool = False) -> DataFrame:
+    """paper_id, e, is_bad of rows of paper_id and embedding."""
+    from kinfold.functions import l2_normalized
     n = F.size("embedding")
     checked = F.when(n == 0, F.array_repeat(F.lit(0.0), dimensions)).when(n == dimensions, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit("embedding of another length: "), "paper_id")).cast("array<double>"))
-    return rows.select("paper_id", checked.alias("e"), (n == 0).alias("is_bad"))
+    made = rows.select("paper_id", checked.alias("e"), (n == 0).alias("is_bad"))
+    return made.withColumn("e", l2_normalized(F.col("e"))) if normalize else made
+
+
+def results(spark: SparkSession, path: str, symmetric: bool, legacy: bool = False) -> DataFrame:
+    """entityA, entityB, score of a job's result files, headerless CSV or (``legacy``) JSON lines; which of them is which depends on whether the job was symmetric."""
+    from kinfold.operators.topk import roles
+
+    rows = spark.read.schema("submission string, user string, score double").json(path).toDF("a", "b", "score") if legacy else spark.read.schema(SCORE).csv(path)
+    return roles(rows, symmetric, row="a", col="b", s="score")
 
 
 def scores(spark: SparkSession, path: str, first: bool = False) -> DataFrame:
