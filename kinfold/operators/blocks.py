@@ -193,7 +193,8 @@ def author_scores(subs: DataFrame, pubs: DataFrame, authorship: DataFrame, how:
     ``ends`` (one row, low and high) draws products to [0, 1]; ``weight`` names publications' weights."""
     owned = _owned(pubs, authorship, pub, author, vector, weight)
     kind = owned.schema["who"].dataType.simpleString()
-    near = owned.repartition("who", F.pmod(F.hash("v"), F.lit(8)))  # an author's vectors in a few blocks, a hot author's in several
+    # an author's vectors in a few blocks; ranges part those of a hot author too
+    near = owned.withColumn("h__", F.xxhash64("v")).repartitionByRange("who", "h__").sortWithinPartitions("who").drop("h__")
     both = _with_ends(_lines(subs, sub, vector, block), ends).crossJoin(_columns(near, block))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

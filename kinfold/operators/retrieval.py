@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions import space_tokens
+from kinfold.operators.ordering import with_running
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Postings of a term that one task joins with the queries.
@@ -117,12 +118,9 @@ def cosine(a: DataFrame, b: DataFrame, query: str, doc: str) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, text: str, tokens: Column, least: int = 1) -> DataFrame:
-    """item, cnt, idx: 0 and 1 are for padding and unknown items, the first item has 2; items by count, then by name. Ranking runs within counts; a distributed sort gives the order of counts."""
+    """item, cnt, idx: 0 and 1 are for padding and unknown items, the first item has 2; items by count, then by name. Places come from counts of ranges, so no task ranks all words of one count."""
     counts = docs.select(F.explode(tokens).alias("item")).groupBy("item").agg(F.count("*").alias("cnt")).filter(F.col("cnt") >= least)
-    sizes = counts.groupBy("cnt").agg(F.count("*").alias("n"))
-    above = sizes.select("cnt", (F.sum("n").over(Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1))).alias("above"))
-    within = F.row_number().over(Window.partitionBy("cnt").orderBy("item"))
-    return counts.withColumn("r", within).join(above, "cnt").select("item", "cnt", (F.coalesce("above", F.lit(0)) + F.col("r") + 1).cast("long").alias("idx"))
+    return with_running(counts, [-F.col("cnt"), F.col("item")], {"r": F.lit(1)}).select("item", "cnt", (F.col("r") + 1).cast("long").alias("idx"))
 
 
 def vocabulary_with_unknown(docs: DataFrame, text: str, tokens: Column, least: int) -> DataFrame:
@@ -152,8 +150,6 @@ def encoded(rows: DataFrame, id_: str, lists: dict[str, Column], vocab: DataFram
 def batches(rows: DataFrame, id_: str, tokens: Column, vocab: DataFrame, size: int) -> DataFrame:
     """batch, rows, tokens, unknown, longest: rows in order of their ids in batches of ``size``, with how many tokens they have, how
     many the vocabulary doesn't know, and the most of a row, to which the others are filled up. No task has all rows."""
-    from kinfold.operators.ordering import with_running
-
     placed = with_running(rows.select(F.col(id_).alias("id"), tokens.alias("t")), [F.col("id")], {"place": F.lit(1)})
     known = placed.select("id", F.explode("t").alias("item")).groupBy("id", "item").agg(F.count("*").alias("n")).join(vocab.select("item", "idx"), "item", "left")
     unknown = known.groupBy("id").agg(F.sum(F.when(F.col("idx").isNull(), F.col("n")).otherwise(0)).alias("unknown"))

@@ -28,7 +28,7 @@ def _tables(spark, sf_dir):
 @query(f"with {_BM25} select q, doc, round(s, 4) s from bm")
 def bm25_scores(spark, sf_dir):
     docs, subs = _tables(spark, sf_dir)
-    return R.bm25(docs, subs).withColumn("s", F.round("s", 4))
+    return P.all_scores(docs, subs).withColumn("s", F.round("s", 4))
 
 
 # every query beside every document, those without a common term at 0; then the rule as it is written: least and greatest over all
@@ -39,7 +39,7 @@ drawn as (select q, doc, source, case when hi = lo then case when s <> 0 then 1
 
 def _owned(spark, sf_dir, how):
     docs, subs = _tables(spark, sf_dir)
-    scores = R.normalized_by_query(R.bm25(docs, subs), docs.count())
+    scores = R.normalized_by_query(P.all_scores(docs, subs), docs.count())
     return R.by_owner(scores, subs, docs.select("doc", "source"), how, owner="source").withColumn("s", F.round("s", 4))
 
 
@@ -171,7 +171,7 @@ au as (select q, source, round(max(s), 4) s from bm join documents d on d.doc_id
 def leave_one_out_rank(spark, sf_dir):
     docs, _ = _tables(spark, sf_dir)
     held = docs.filter("doc % 50 = 0").select(F.col("doc").alias("q"), "text", F.col("source").alias("own"))  # the held-out set is the feature
-    s = R.bm25(docs, held).filter("q <> doc").join(docs.select("doc", "source"), "doc").groupBy("q", "source").agg(F.round(F.max("s"), 4).alias("s"))
+    s = P.all_scores(docs, held).filter("q <> doc").join(docs.select("doc", "source"), "doc").groupBy("q", "source").agg(F.round(F.max("s"), 4).alias("s"))
     from kinfold.operators.evaluation import ranked
 
     return ranked(s, "q", "s", "source").join(held.select("q", "own"), "q").filter("source = own").groupBy("q").agg(F.min("rk").cast("long").alias("hit_rank"))

@@ -57,6 +57,16 @@ def test_best_documents_read_fewer_postings(spark):
     assert 0 < few.value < every.value / 3
 
 
+def test_all_scores_are_those_of_joined_terms(papers):
+    subs, pubs, _ = papers
+    docs = pubs.select(F.col("pub").alias("doc"), F.col("abstract").alias("text"))
+    asked = subs.select(F.col("sub").alias("q"), F.col("title").alias("text"))
+    want = {(r.q, r.doc): r.s for r in retrieval.bm25(docs, asked).collect()}
+    got = postings.all_scores(docs, asked, shard=30).collect()
+    assert len(got) == len(want) and {(r.q, r.doc): r.s for r in got} == pytest.approx(want)
+    assert postings.all_scores(docs.limit(0), asked).count() == 0 and postings.all_scores(docs, asked.limit(0)).count() == 0
+
+
 def test_score_ends(papers):
     subs, pubs, _ = papers
     docs = pubs.select(F.col("pub").alias("doc"), F.col("abstract").alias("text")).filter("text is not null")
