@@ -35,6 +35,20 @@ def op1_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.fuse(scored, model, language.gather(scored, model)).select("doc_id", "language", "confidence", "kept")
 
 
+def page_evidence(pages: DataFrame) -> DataFrame:
+    """page_id, text (without markup, scripts and styles), declared (the markup's language) and host of pages."""
+    text = F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<[^>]*>", " ")
+    return pages.select("page_id", text.alias("text"), language.markup_language(F.col("html")).alias("declared"), language.host_of(F.col("url")).alias("host"))
+
+
+@_query
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, language, confidence, kept of every page: the text model of the documents, with markup, suffix and hosts of the pages as evidence."""
+    model = language.fit(documents(spark, sf_dir))
+    scored = written(language.scored(page_evidence(documents(spark, sf_dir, "pages")), model, keep=["page_id", "declared", "host"]), "scores")
+    return language.fuse(scored, model, language.gather(scored, model)).select("page_id", "language", "confidence", "kept")
+
+
 @_query
 def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and the verdict of the list learnt from labels.quality."""

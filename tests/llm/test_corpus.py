@@ -309,8 +309,16 @@ def test_best_two_fit_tightens():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_covers_its_table(spark, sf_dir, name):
-    table, id_ = ("pages", "page_id") if name.split("_")[0] in ("op5", "op6") else ("documents", "doc_id")
     got = QUERIES[name](spark, sf_dir)
+    kind = name.split("_")[0]
+    if kind == "op11":  # anchors are asked for; each that has a result is one
+        anchors = documents(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select("vec_id")
+        assert 0 < got.select("anchor_id").distinct().count() == got.select("anchor_id").distinct().join(anchors, got.anchor_id == anchors.vec_id).count()
+        return
+    if kind == "op13":  # all conversations are members of the root
+        assert got.filter("depth = 0").first().n_convs == documents(spark, sf_dir, "conversations").select("conv_id").distinct().count()
+        return
+    table, id_ = ("pages", "page_id") if kind in ("op5", "op6", "page") else ("documents", "doc_id")
     assert got.select(id_).distinct().count() == documents(spark, sf_dir, table).select(id_).distinct().count()
 
 
@@ -318,6 +326,7 @@ def test_pipeline(spark, sf_dir, vocab):
     """Each stage against a plain version on what the stage before kept."""
     import corpus_pipeline as P
     from kinfold.llm import secrets
+    from test_whole import components_by_all_pairs
     from tokenizers import Tokenizer
 
     docs, labels = documents(spark, sf_dir), {r.doc_id: r.quality for r in documents(spark, sf_dir, "labels").collect()}
@@ -332,7 +341,7 @@ def test_pipeline(spark, sf_dir, vocab):
     assert {r.doc_id for r in known.collect()} == kept
     single = P.written(stage["near_duplicates"](spark, known, sf_dir))
     rows = [(r.doc_id, r.text) for r in known.collect()]
-    assert sorted(r.doc_id for r in single.collect()) == sorted({c for *_, c in plain_components(rows)})
+    assert sorted(r.doc_id for r in single.collect()) == sorted(set(components_by_all_pairs(rows, P.SHINGLE, P.RATIO).values()))
     clean = P.written(stage["secret_scan"](spark, single, sf_dir))
     assert {r.doc_id: r.text for r in clean.collect()} == {r.doc_id: secrets.redact(r.text) for r in single.collect()}
     assert all(x.columns == docs.columns for x in (good, known, single, clean))
@@ -342,6 +351,37 @@ def test_pipeline(spark, sf_dir, vocab):
     assert P.run(spark, sf_dir).count() > 0
 
 
+def test_language_stage_drops_what_is_no_language_of_the_labels(spark, sf_dir):
+    import corpus_pipeline as P
+
+    rng = random.Random(6)
+    docs = documents(spark, sf_dir)
+    odd = [(10_000 + i, "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(300)), None, None, 300) for i in range(4)] + [(10_010, None, None, None, 0), (10_011, "", "en", None, 0)]
+    both = docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = {r.doc_id for r in dict(P.STAGES)["language_id"](spark, both, sf_dir).select("doc_id").collect()}
+    assert not kept & {r[0] for r in odd}
+    assert {r.doc_id for r in docs.filter("length(text) > 200").select("doc_id").collect()} <= kept
+
+
+def test_pages_declare_their_language(spark, sf_dir):
+    """Markup and hosts as evidence: what the text leaves open goes by them, and a long text goes by itself."""
+    from kinfold.llm.queries import page_evidence
+
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs)
+    long = {r.lang: r.t for r in docs.filter("length(text) > 400").groupBy("lang").agg(F.min("text").alias("t")).collect()}
+    first, second = sorted(x for x in long if x in model.languages)[:2]
+    page = lambda lang, body: f"<html lang='{lang}-XX'><head><style>p {{}}</style><script>var the = 'of';</script></head><body><p>{body}</p></body></html>"
+    rows = [(i, f"http://one.{first}/{i}", page(first, long[first] + f" {i}")) for i in range(30)] + [(100 + i, f"http://two.{second}/{i}", page(second, long[second] + f" {i}")) for i in range(30)]
+    rows += [(200, f"http://one.{first}/x", page(first, "ok")), (201, f"http://new.{second}/x", page(second, "ok")), (202, f"http://one.{first}/y", page(first, long[second])), (203, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = page_evidence(pages)
+    assert {r.page_id: (r.declared, r.host) for r in seen.filter("page_id in (0, 203)").collect()} == {0: (first, f"one.{first}"), 203: (None, None)}
+    scored = language.scored(seen, model, keep=["page_id", "declared", "host"])
+    got = {r.page_id: r.language for r in language.fuse(scored, model, language.gather(scored, model)).collect()}
+    assert got[200] == first and got[201] in (second, "und") and got[202] == second and got[203] == "und" and got[0] == first and got[100] == second
+
+
 def test_pipeline_stages_take_odd_tables(spark, docs, empty, sf_dir):
     import corpus_pipeline as P
 
