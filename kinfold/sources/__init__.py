@@ -57,6 +57,11 @@ def csv_submissions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, title string, abstract string").csv(path, header=False, multiLine=True, escape='"')
 
 
+def with_expertise(archives: DataFrame, expertise: DataFrame) -> DataFrame:
+    """author, id, title, abstract of archives and of a file of expertise (``csv_expertise``), one after the other."""
+    return expertise.unionByName(archives.select("author", "id", "content.title", "content.abstract"))
+
+
 def inline_submissions(spark: SparkSession, given: list[dict]) -> DataFrame:
     return spark.createDataFrame([(str(x["id"]), x.get("title"), x.get("abstract")) for x in given], "id string, title string, abstract string")
 
@@ -204,6 +209,16 @@ def write_scores(rows: DataFrame, folder: str, digits: int | None = None, s: str
     (rows if digits is None else rows.withColumn(s, F.bround(s, digits))).write.mode("overwrite").csv(folder, header=False)
 
 
+def write_expertise(rows: DataFrame, folder: str) -> None:
+    """Headerless CSV of four columns (author, id, title, abstract) that ``csv_expertise`` reads."""
+    rows.write.mode("overwrite").csv(folder, header=False, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def write_vocabulary(vocab: DataFrame, folder: str) -> None:
+    """item, idx, cnt between tabs, as ``vocabulary_file`` reads them."""
+    vocab.select("item", F.col("idx").cast("int").alias("idx"), "cnt").write.mode("overwrite").csv(folder, sep="\t", header=False)
+
+
 def write_matrix(rows: DataFrame, folder: str) -> None:
     """Scores in long form; a matrix is never laid out wide."""
     rows.write.mode("overwrite").parquet(folder)
