@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,28 +30,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Tables written by this driver and not yet discarded.
-_paths: list[str] = []
+class _Written(threading.local):
+    """Tables written by a thread of this driver and not yet discarded: jobs that run side by side have lists of their own."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_written = _Written()
 
 
 def discard(spark: SparkSession, since: int) -> None:
-    """Delete the tables written after the first ``since``, but for the last, which was made of them."""
+    """Delete the tables that this thread wrote after the first ``since``, but for the last, which was made of them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _paths[since:-1]:
+    for path in _written.paths[since:-1]:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
-    del _paths[since:]
+    del _written.paths[since:]
 
 
 def tables_written() -> int:
-    return len(_paths)
+    return len(_written.paths)
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: its lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinfold/{name}-{uuid.uuid4().hex}"
-    _paths.append(path)
+    _written.paths.append(path)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -65,7 +72,7 @@ def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) ->
 def appended(spark: SparkSession, parts: Iterator[DataFrame], schema: str, name: str = "parts") -> DataFrame:
     """The rows of all parts, each written before the next is asked for."""
     path = f"{shared_dir(spark)}/kinfold/{name}-{uuid.uuid4().hex}"
-    _paths.append(path)
+    _written.paths.append(path)
     spark.createDataFrame([], schema).write.parquet(path)
     for part in parts:
         part.write.mode("append").parquet(path)

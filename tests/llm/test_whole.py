@@ -419,3 +419,29 @@ def test_long_texts_in_one_cluster(spark):
     got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()}
     want = components_by_all_pairs(rows, 4, jaccard.RATIO)
     assert got == want and 14 < len(set(want.values())) < len(rows)
+
+
+def test_jobs_side_by_side_keep_their_tables(spark):
+    """What one thread discards is its own."""
+    import threading
+
+    from kinfold.llm import common
+
+    ready, done, rows = threading.Event(), threading.Event(), []
+
+    def other():
+        held = common.written(spark.range(5), "other")
+        ready.set()
+        done.wait(120)
+        rows.append(held.count())
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    at = common.tables_written()
+    common.written(spark.range(3), "mine")
+    last = common.written(spark.range(4), "mine")
+    ready.wait(120)
+    common.discard(spark, at)
+    done.set()
+    thread.join(120)
+    assert rows == [5] and last.count() == 4 and common.tables_written() == at
