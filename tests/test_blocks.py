@@ -41,6 +41,13 @@ def test_sparse_terms_job_is_the_whole_job_made_sparse(papers, k, monkeypatch):
     assert rows_of(got, "sub", "rev", "s") == rows_of(topk.sparse_topk(whole, k), "sub", "rev", "s")
 
 
+def test_sparse_terms_job_with_ids_of_text(papers):
+    subs, pubs, own = (d.withColumn(c, F.concat(F.lit("n"), F.col(c).cast("string"))) for d, c in zip(papers, ("sub", "pub", "pub"), strict=True))
+    whole = jobs.run(jobs.JobOptions(model="bm25", sparse=None), subs, pubs, own).filter("rev is not null")
+    got = jobs.run(jobs.JobOptions(model="bm25", sparse=2), subs, pubs, own)
+    assert rows_of(got, "sub", "rev", "s") == rows_of(topk.sparse_topk(whole, 2), "sub", "rev", "s")
+
+
 def test_best_documents_read_fewer_postings(spark):
     """A few documents answer a query of rare words: blocks that have none of them aren't read."""
     texts = some_texts(600, 5)
