@@ -15,6 +15,10 @@ PRIME = 2147483647
 MIXES = ((1103515245, 805306457, 12345, 1597334677, 1431655781), (1540483477, 1181783497, 54321, 1640531513, 1013904223))
 
 
+#: Bands that each side of a forum's pairs is cut into: tasks meet one band of each, and a row is moved as often as there are bands.
+BANDS = 8
+
+
 def _mix(id_: Column, a: int, b: int, c: int, d: int, e: int) -> Column:
     p = F.lit(PRIME).cast("long")
     x = (F.pmod(id_.bitwiseAND(F.lit(4294967295).cast("long")), p) * F.lit(a).cast("long") + F.pmod(F.shiftright(id_, 32), p) * F.lit(b).cast("long") + F.lit(c)) % p
@@ -116,8 +120,14 @@ def bid_labels(bids: DataFrame, positive: list[str], forum: str = "forum", who:
 def bpr_triples(bids: DataFrame, positive: list[str], having: DataFrame, forum: str = "forum", who: str = "who", tag: str = "tag") -> DataFrame:
     """forum, pos, neg: everyone with a positive bid beside everyone without one; all three must be in ``having`` (people with keyphrases)."""
     labelled = bid_labels(bids, positive, forum, who, tag).join(having, who, "left_semi")
-    pos, neg = (labelled.filter(F.col("label") == v).select(forum, F.col(who).alias(n)) for v, n in ((1, "pos"), (0, "neg")))
-    return pos.join(neg, forum).filter("pos <> neg")
+    part = F.pmod(F.xxhash64(who), F.lit(BANDS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
+    # each side is in one band of its own and in all of the other's; the number of partitions is given, so that few bytes which make many rows aren't put together
+    n = max(BANDS, int(bids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = [forum, "row__", "column__"]
+    pos = labelled.filter("label = 1").select(forum, F.col(who).alias("pos"), part.alias("row__"), every.alias("column__")).repartition(n, *keys)
+    neg = labelled.filter("label = 0").select(forum, F.col(who).alias("neg"), every.alias("row__"), part.alias("column__")).repartition(n, *keys)
+    return pos.join(neg.hint("merge"), keys).filter("pos <> neg").select(forum, "pos", "neg")
 
 
 def negatives(rows: DataFrame, id_: str, group: str, how: str = "uniform", among: DataFrame | None = None) -> DataFrame:
