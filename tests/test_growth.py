@@ -1,8 +1,9 @@
 """Steps that used to grow faster than their input: what they give, and what leaves their tasks."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from kinfold.operators import sampling
+from kinfold.operators import postings, retrieval, sampling
 
 
 def test_pairs_of_one_forum_are_made_in_many_tasks(spark):
@@ -18,3 +19,17 @@ def test_pairs_of_one_forum_are_made_in_many_tasks(spark):
     want = sorted((f, a, b) for f, a, s in some for g, b, t in some if f == g and s == "yes" and t == "no" and a != b)
     assert sorted((r.forum, r.pos, r.neg) for r in got) == want
     assert len({r.task for r in got if r.forum == 1}) > 1
+
+
+def test_best_of_owners_leave_a_shard_as_a_row_each(spark):
+    words = ["a b c", "a b", "c d", "a", "d d b", None, "x y", "a c d"]
+    docs = spark.createDataFrame([(i, t, None if i % 5 == 4 else f"s{i % 3}") for i, t in enumerate(words)], "doc long, text string, source string")
+    asked = docs.filter("doc % 2 = 0").select(F.col("doc").alias("q"), "text")
+    scores = retrieval.bm25(docs, asked).filter("q <> doc").join(docs.select("doc", "source"), "doc").collect()
+    want = {}
+    for r in scores:
+        want[r.q, r.source] = max(r.s, want.get((r.q, r.source), float("-inf")))
+    for shard in (2, 100):
+        got = postings.best_of_owners(docs, asked, shard=shard)
+        assert {(r.q, r.source): r.s for r in got.collect()} == pytest.approx(want) and got.count() == len(want)
+    assert postings.best_of_owners(docs.limit(0), asked).count() == 0
