@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.operators import postings, retrieval, sampling
+from kinfold.operators import postings, retrieval, sampling, scoring, topk
 
 
 def test_pairs_of_one_forum_are_made_in_many_tasks(spark):
@@ -33,3 +33,27 @@ def test_best_of_owners_leave_a_shard_as_a_row_each(spark):
         got = postings.best_of_owners(docs, asked, shard=shard)
         assert {(r.q, r.source): r.s for r in got.collect()} == pytest.approx(want) and got.count() == len(want)
     assert postings.best_of_owners(docs.limit(0), asked).count() == 0
+
+
+@pytest.fixture(scope="module")
+def few_vectors(spark):
+    rows = [(i, [float((i * k) % 7 - 3) for k in (1, 2, 3)], f"r{i % 2}" if i else "r9") for i in range(23)]
+    pubs = spark.createDataFrame(rows, "pub long, e array<double>, rev string").repartition(3)
+    subs = spark.createDataFrame([(i, [float(i % 4 - 1), 1.0, float(i % 3)]) for i in range(9)], "sub long, e array<double>").repartition(2)
+    return subs, pubs, pubs.select("pub", "rev")
+
+
+def test_closest_pairs_leave_a_block_as_a_row_a_submission(few_vectors):
+    subs, pubs, _ = few_vectors
+    want = sorted(tuple(r) for r in topk.closest(scoring.pairwise(subs, pubs)).collect())
+    parts = scoring.closest_pairs(subs, pubs, block=5)
+    assert sorted(tuple(r) for r in topk.closest(parts).collect()) == want
+    assert parts.count() < subs.count() * pubs.count() / 2
+
+
+@pytest.mark.parametrize("block", [4, 100])
+def test_best_means_are_those_of_all_cells(few_vectors, block):
+    subs, pubs, own = few_vectors
+    want = {(r["sub"], r.rev): r.s for r in topk.top_mean(scoring.pairwise(subs, pubs), own, 3).collect()}
+    got = scoring.best_means(subs, pubs, own, 3, block=block).collect()
+    assert len(got) == len(want) and {(r["sub"], r.rev): r.s for r in got} == pytest.approx(want)
