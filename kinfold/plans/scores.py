@@ -159,7 +159,8 @@ def score_stats(spark, sf_dir):
 
 @query(f"""with {_P2P}, r as (select sub, pub, round_even(s, 4) s from c) select sub, pub, s from (select *, row_number() over (partition by sub order by s desc, pub) n from r) where n = 1""")
 def closest_match(spark, sf_dir):
-    return topk.closest(p2p_cosine(spark, sf_dir))
+    subs, pubs, _ = vectors(spark, sf_dir)
+    return topk.closest(scoring.closest_pairs(subs, pubs))
 
 
 @query(f"""{_MAX}, g as (select distinct label::int + 100 b, vec_id::bigint sub from embeddings where vec_id % 10 = 0 union all select 999, 7) select rev a, b, round_even(avg(s), 2) s from g join sc using (sub) group by 1, 2""")
