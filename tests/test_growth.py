@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kinfold.functions import rounded
 from kinfold.operators import postings, retrieval, sampling, scoring, topk
 
 
@@ -57,3 +58,10 @@ def test_best_means_are_those_of_all_cells(few_vectors, block):
     want = {(r["sub"], r.rev): r.s for r in topk.top_mean(scoring.pairwise(subs, pubs), own, 3).collect()}
     got = scoring.best_means(subs, pubs, own, 3, block=block).collect()
     assert len(got) == len(want) and {(r["sub"], r.rev): r.s for r in got} == pytest.approx(want)
+
+
+def test_cells_are_drawn_and_rounded_in_their_blocks(few_vectors):
+    subs, pubs, _ = few_vectors
+    want = {(r["sub"], r.pub): r.s for r in scoring.minmax(scoring.pairwise(subs, pubs)).withColumn("s", rounded(F.col("s"))).collect()}
+    got = scoring.pairwise(subs, pubs, block=4, ends=scoring.extremes(subs, pubs), digits=4)
+    assert {(r["sub"], r.pub): r.s for r in got.collect()} == want and len(want) == 9 * 23
