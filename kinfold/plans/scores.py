@@ -97,7 +97,8 @@ def ensemble_clamped(spark, sf_dir):
 
 @query(f"with {_MM} select sub, pub, round_even(s, 4) s from n")
 def paper_paper(spark, sf_dir):
-    return scoring.minmax(cells(spark, sf_dir)[0]).withColumn("s", K.rounded(F.col("s")))
+    subs, pubs, _ = vectors(spark, sf_dir)
+    return scoring.pairwise(subs, pubs, ends=scoring.extremes(subs, pubs), digits=4)
 
 
 @query(f"""with {_P2P}, b as (select sub, pub, rev, case when pub % 7 = 3 then 0.0 else s end s, pub % 7 = 3 bad from c), mm as (select min(s) mn, max(s) mx from b)
