@@ -65,3 +65,16 @@ def test_cells_are_drawn_and_rounded_in_their_blocks(few_vectors):
     want = {(r["sub"], r.pub): r.s for r in scoring.minmax(scoring.pairwise(subs, pubs)).withColumn("s", rounded(F.col("s"))).collect()}
     got = scoring.pairwise(subs, pubs, block=4, ends=scoring.extremes(subs, pubs), digits=4)
     assert {(r["sub"], r.pub): r.s for r in got.collect()} == want and len(want) == 9 * 23
+
+
+@pytest.mark.parametrize(("most", "leave"), [(6, True), (100, False)])
+def test_quantiles_of_a_large_author_are_taken_in_one_block(few_vectors, monkeypatch, most, leave):
+    from kinfold.operators import blocks
+
+    subs, pubs, own = few_vectors
+    want = {(r["sub"], r.rev): r.s for r in scoring.by_author(scoring.pairwise(subs, pubs), own, "percentile:30").collect()}
+    cells, plain = [], blocks.quantile
+    monkeypatch.setattr(blocks, "quantile", lambda rows, *rest: cells.append(rows) or plain(rows, *rest))
+    got = scoring.percentile_scores(subs, pubs, own, 0.3, block=4, most=most)
+    assert {(r["sub"], r.rev): r.s for r in got.collect()} == pytest.approx(want) and got.count() == len(want)
+    assert bool(cells[0].count()) == leave
