@@ -78,3 +78,11 @@ def test_quantiles_of_a_large_author_are_taken_in_one_block(few_vectors, monkeyp
     got = scoring.percentile_scores(subs, pubs, own, 0.3, block=4, most=most)
     assert {(r["sub"], r.rev): r.s for r in got.collect()} == pytest.approx(want) and got.count() == len(want)
     assert bool(cells[0].count()) == leave
+
+
+def test_shards_are_bounded_by_their_tokens(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(postings, "TOKENS", 5)
+    assert list(postings._cuts(np.array([2, 3, 1, 9, 0, 0, 5]), 100)) == [(0, 2), (2, 3), (3, 4), (4, 7)]
+    assert list(postings._cuts(np.array([1, 1, 1, 1, 1]), 2)) == [(0, 2), (2, 4), (4, 5)] and not list(postings._cuts(np.array([], int), 2))
