@@ -127,10 +127,13 @@ def by_terms(o: JobOptions, subs: DataFrame, pubs: DataFrame, authorship: DataFr
     out = None
     for corpus, asked in zip(corpora(o, pubs, "pub"), corpora(o, subs, "sub"), strict=True):
         asked = asked.withColumnRenamed("doc", "q")
-        scores = retrieval.normalized_by_query(postings.all_scores(corpus, asked), corpus.count())
         own = authorship.select(F.col("pub").alias("doc"), "rev").join(corpus.select("doc", F.lit(1).alias("in__")), "doc", "left")
-        own = own.select("rev", F.when(F.col("in__").isNotNull(), F.col("doc")).alias("doc"))
-        part = retrieval.by_owner(scores, asked, own, o.how)
+        own = own.select("rev", F.when(F.col("in__").isNotNull() & F.col("rev").isNotNull(), F.col("doc")).alias("doc"))
+        if o.percentile is None:
+            part = postings.by_owner(corpus, asked, own, o.how)
+        else:
+            scores = retrieval.normalized_by_query(postings.all_scores(corpus, asked), corpus.count())
+            part = retrieval.by_owner(scores, asked, own, o.how)
         out = part if out is None else out.union(part)
     return out.select(F.col("q").alias("sub"), "rev", scoring.rounded(F.col("s"), 4).alias("s"))
 

@@ -86,3 +86,20 @@ def test_shards_are_bounded_by_their_tokens(spark, monkeypatch):
     monkeypatch.setattr(postings, "TOKENS", 5)
     assert list(postings._cuts(np.array([2, 3, 1, 9, 0, 0, 5]), 100)) == [(0, 2), (2, 3), (3, 4), (4, 7)]
     assert list(postings._cuts(np.array([1, 1, 1, 1, 1]), 2)) == [(0, 2), (2, 4), (4, 5)] and not list(postings._cuts(np.array([], int), 2))
+
+
+@pytest.mark.parametrize("how", ["max", "mean"])
+def test_scores_by_owner_leave_a_shard_as_a_row_each(spark, monkeypatch, how):
+    words = ["a b c", "a b", "c d", "a", "d d b", None, "x y", "a c d", "a a x"]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc long, text string")
+    own = spark.createDataFrame([(i, f"s{i % 3}") for i in range(8)] + [(1, "s0"), (99, "s2"), (None, "none")], "doc long, rev string")
+    asked = spark.createDataFrame([(1, "a b"), (2, "d"), (3, "zz"), (4, "a b c d x y")], "q long, text string")
+    scores = retrieval.normalized_by_query(retrieval.bm25(docs, asked), docs.count())
+    inside = own.join(docs.select("doc"), "doc", "left_semi").union(own.filter("doc is null"))
+    want = {(r.q, r.rev): r.s for r in retrieval.by_owner(scores, asked, inside, how).collect()}
+    monkeypatch.setattr(postings, "all_scores", None)  # no row a pair
+    for shard in (2, 100):
+        got = postings.by_owner(docs, asked, own, how, shard=shard).collect()
+        assert {(r.q, r.rev): r.s for r in got} == pytest.approx(want) and len(got) == len(want) == 16
+    unowned = postings.by_owner(docs.filter("text is not null"), asked, own.withColumn("rev", F.when(F.col("doc") > 3, F.col("rev"))), how).collect()
+    assert {r.rev for r in unowned} == {None, "s0", "s1", "s2"} and max(r.s for r in unowned if r.rev is None) > 0
