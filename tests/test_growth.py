@@ -103,3 +103,14 @@ def test_scores_by_owner_leave_a_shard_as_a_row_each(spark, monkeypatch, how):
         assert {(r.q, r.rev): r.s for r in got} == pytest.approx(want) and len(got) == len(want) == 16
     unowned = postings.by_owner(docs.filter("text is not null"), asked, own.withColumn("rev", F.when(F.col("doc") > 3, F.col("rev"))), how).collect()
     assert {r.rev for r in unowned} == {None, "s0", "s1", "s2"} and max(r.s for r in unowned if r.rev is None) > 0
+
+
+def test_a_batch_of_tokens_moves_different_ones_once(spark):
+    rows = spark.createDataFrame([(1, ["a", "a", None, "b"]), (2, []), (3, None), (4, ["c", None, None])], "id long, t array<string>").coalesce(1)
+    got = retrieval.counted(rows, "id", "t")
+    assert sorted((r.id, r.item or "", r.n) for r in got.collect()) == [(1, "", 1), (1, "a", 2), (1, "b", 1), (4, "", 2), (4, "c", 1)]
+    assert retrieval.counted(rows.limit(0), "id", "t").count() == 0
+    made = retrieval.batches(rows, "id", F.col("t"), spark.createDataFrame([("a",), ("c",)], "item string"), 2)
+    assert sorted(tuple(r)[:4] for r in made.collect())[0] == (0, 2, 4, 2)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan
