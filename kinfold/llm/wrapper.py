@@ -1,10 +1,14 @@
 """Main text of web pages by wrapper induction.
 
-Pages are parsed into trees of blocks. Of each host up to ``SAMPLE_PAGES`` different pages, those of the least digests,
-are aligned by simple tree matching and merged into one tree of slots. Then every page of the host is aligned with this
-tree, and what is counted of each slot (pages that have it, characters there, least and greatest digest of its text) is
-summed over all pages. Which pages are sampled, the order in which they merge, and the sums depend on the pages alone,
-so a wrapper is the same however rows are dealt, and its size is bounded by that of the sample. A page is then aligned
+Pages are parsed into trees of blocks. What all pages of a host have is counted first: in how many a text stands at a path
+of kinds, and how many characters stand there. Every such text that at least half of the pages have, and every path that
+holds a share of one in ``SHARES`` of the host's characters, names the page of least digest that has it; these pages are
+aligned by simple tree matching and merged into one tree of slots. A template slot has one text in at least half of the
+pages, so the tree has a slot for each that any page could show; as each page drawn is likely to have a text that half of
+them have, there are few. Then every page of the host is aligned with this tree, and what is counted of each slot (pages
+that have it, characters there, those of slots inside that the tree lacks, least and greatest digest of its text) is
+summed over all pages. Which pages are merged, their order, and the sums depend on the pages alone, so a wrapper is the
+same however rows are dealt. A page is then aligned
 with its host's wrapper: slots that most pages have and that never vary are template, and the slot in which most of the
 varying text lies holds the content. Inside it, elements whose tag, role or class says menu, notice, advert, form or
 comment are left out; where articles or mains are marked, all of them are the content.
@@ -30,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, HOT_KEYS, kept, slices, small_enough, unpacked, written
+from .common import BROADCAST_BYTES, HOT_KEYS, beside_groups, kept, slices, small_enough, unpacked, written
 from .language import host_of
 
 LEAST_PAGES = 3
 #: A node's share of its parent's varying text above which the content slot is looked for inside it.
 MAIN_SHARE = 0.6
-#: Different pages of a host whose slots make its wrapper's; what is counted there is counted on all pages.
-SAMPLE_PAGES = 16
+#: A path of kinds that holds one in so many of a host's characters, or more, is in its wrapper.
+SHARES = 64
 #: Neighbouring elements of one kind above which they are a list.
 REPEATS = 32
 #: Pages that a wrapper is sent with at least, where it is sent to pages.
@@ -474,7 +478,7 @@ def load(text: str) -> Slot:
 @_flat
 def _varying(s: Slot) -> int:
     if s.varying is None:
-        total = s.chars if s.text is None else 0
+        total = s.chars if s.text is None or s.kids else 0
         for k in s.kids:
             total += yield _varying.step(k)
         s.varying = total
@@ -598,14 +602,71 @@ class _Wrappers:
         return find
 
 
-def _sampled(rows: DataFrame) -> DataFrame:
-    """host, digest, html of the sample of ``rows`` (host, digest, html): a page once, however many copies there are."""
-    from pyspark.sql import Window
+def _number(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"\0".join(parts), digest_size=8).digest(), "little", signed=True)
 
-    named = rows.select("host", "digest").distinct()
-    least = named.withColumn("row__", F.row_number().over(Window.partitionBy("host").orderBy("digest"))).filter(F.col("row__") <= SAMPLE_PAGES).select("host", "digest")
-    least = written(least, "sampled")
-    found = rows.join(F.broadcast(least) if small_enough(least, 96) else least, ["host", "digest"]).select("host", "digest", "html")
+
+def marks(page: Slot) -> tuple[set[int], dict[int, int]]:
+    """Numbers of the texts of a page with the kinds they stand in, and characters by path of kinds."""
+    texts, paths, left = set(), {}, [(page, b"")]
+    inside: dict[tuple[bytes, str], bytes] = {}
+    while left:
+        s, above = left.pop()
+        if (path := inside.get((above, s.key))) is None:
+            path = inside[above, s.key] = hashlib.blake2b(above + b"\0" + s.key.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        if s.kids:
+            left += [(k, path) for k in s.kids]
+        elif s.chars:
+            texts.add(_number(path, s.text.encode()))
+            at = _number(path)
+            paths[at] = paths.get(at, 0) + s.chars
+    return texts, paths
+
+
+def _marked(batches):
+    """host, mark, n, chars, digest of pages (host, digest, html): summed by mark as far as a worker holds them; mark 0 stands for the host."""
+    held: dict[tuple[str, int], list[int]] = {}
+
+    def add(key: tuple[str, int], n: int, chars: int, digest: int) -> None:
+        if (x := held.get(key)) is None:
+            held[key] = [n, chars, digest]
+        else:
+            x[0], x[1], x[2] = x[0] + n, x[1] + chars, min(x[2], digest)
+
+    def out():
+        hosts, numbers = zip(*held, strict=True)
+        n, chars, digests = zip(*held.values(), strict=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *[pa.array(x, pa.int64()) for x in (numbers, n, chars, digests)]], names=["host", "mark", "n", "chars", "digest"])
+
+    for b in slices(batches, "html", holder=__name__):
+        for host, digest, source in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            texts, paths = marks(slots(parse(source)))
+            add((host, 0), 1, sum(paths.values()), digest)
+            for x in texts:
+                add((host, x), 1, 0, digest)
+            for x, chars in paths.items():
+                add((host, x), 0, chars, digest)
+            if len(held) > OPEN_SLOTS:
+                yield out()
+    if held:
+        yield out()
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """host, digest of the pages whose slots make the wrappers, by what all ``rows`` (host, digest, html) have."""
+    found = rows.mapInArrow(_marked, "host string, mark long, n long, chars long, digest long")
+    sums = written(found.groupBy("host", "mark").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.min("digest").alias("digest")), "marks")
+    hosts = written(sums.groupBy("host").agg(F.max(F.when(F.col("mark") == 0, F.col("n"))).alias("pages"), F.max(F.when(F.col("mark") == 0, F.col("chars"))).alias("all"), F.count("*").alias("marks")), "hosts")
+    half = (F.col("n") >= LEAST_PAGES) & (2 * F.col("n") >= F.col("pages"))
+    share = (F.col("chars") > 0) & (SHARES * F.col("chars") >= F.col("all"))
+    return beside_groups(sums, hosts, ["host"], "marks").filter((F.col("mark") == 0) | half | share).select("host", "digest").distinct()
+
+
+def _chosen(rows: DataFrame) -> DataFrame:
+    """host, digest, html of the named pages of ``rows`` (host, digest, html): a page once, however many copies there are."""
+    named = written(_named(rows), "named")
+    found = rows.join(F.broadcast(named) if small_enough(named, 96) else named, ["host", "digest"]).select("host", "digest", "html")
 
     def once(batches):
         seen = set()
@@ -638,14 +699,23 @@ def _merged(batches):
         yield pa.RecordBatch.from_pydict({"host": [host], "wrapper": [dump(held)]})
 
 
-def aligned(own: Slot, wrapper: Slot) -> Iterator[tuple[Slot, Slot]]:
-    """Pairs of a page's slots and the wrapper's that simple tree matching gives."""
-    yield own, wrapper
-    left = [matching(own, wrapper)[1]]
+def aligned(own: Slot, wrapper: Slot) -> Iterator[tuple[Slot, Slot, int]]:
+    """Pairs of a page's slots and the wrapper's that simple tree matching gives, and the characters of the page's slot that belong to no pair further inside."""
+    left = [(own, wrapper, matching(own, wrapper)[1])]
     while left:
-        for p, q, inner in left.pop():
-            yield p, q
-            left.append(inner)
+        p, q, inner = left.pop()
+        matched = {id(x) for x, _, _ in inner}
+        yield p, q, p.chars + sum(_chars(k) for k in p.kids if id(k) not in matched)
+        left += inner
+
+
+def _chars(s: Slot) -> int:
+    n, left = 0, [s]
+    while left:
+        x = left.pop()
+        n += x.chars
+        left += x.kids
+    return n
 
 
 def _counted(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
@@ -674,10 +744,10 @@ def _counted(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
                     counts[host] = ([0] * k, [0] * k, [None] * k, [None] * k)
                     size += k
                 n, chars, low, high = counts[host]
-                for p, q in aligned(slots(parse(source)), wrapper):
+                for p, q, here in aligned(slots(parse(source)), wrapper):
                     i = q.at
                     n[i] += 1
-                    chars[i] += p.chars
+                    chars[i] += here
                     if low[i] is None or p.text < low[i]:
                         low[i] = p.text
                     if high[i] is None or p.text > high[i]:
@@ -706,10 +776,10 @@ def _filled(batches):
 
 
 def induce(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, wrapper for each host: slots by a sample of its pages, counts by all."""
+    """host, wrapper for each host: slots by what all its pages have in common, counts by all."""
     rows = pages.select(F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.col(html).cast("string").alias("html")).filter("html <> ''")
-    sample = _sampled(rows.select("host", F.xxhash64("html").alias("digest"), "html"))
-    trees = written(sample.repartition("host").sortWithinPartitions("host", "digest").mapInArrow(_merged, "host string, wrapper string"), "trees")
+    chosen = _chosen(rows.select("host", F.xxhash64("html").alias("digest"), "html"))
+    trees = written(chosen.repartition("host").sortWithinPartitions("host", "digest").mapInArrow(_merged, "host string, wrapper string"), "trees")
     counts = _counted(rows, trees).groupBy("host").agg(F.collect_list(F.struct("at", "n", "chars", "low", "high")).alias("counts"))
     return trees.join(counts, "host").select("host", "wrapper", "counts").mapInArrow(_filled, "host string, wrapper string")
 

@@ -76,6 +76,25 @@ def test_large_wrappers_count_all_pages(spark):
         assert wrapper.main_text(late[0], made) == "Story 0"
 
 
+def test_wrapper_has_what_half_of_the_pages_have(spark):
+    """A text that most pages have is template, though the twenty pages of least digest lack it; of pages that are left out no character is lost to the counts."""
+    page = "<body><div class=top>Site</div>{1}<div class=story><p>Story {0} of the day</p><p>More of {0}</p></div></body>".format
+    both = [(str(with_), page(i, "<div class=strip><p>Read our terms</p></div>" * with_)) for i in range(120) for with_ in (0, 1)]
+    seen = spark.createDataFrame(both, "has string, html string").selectExpr("has", "html", "xxhash64(html) as d").collect()
+    plain = sorted((r for r in seen if r.has == "0"), key=lambda r: r.d)[:20]
+    rows = plain + sorted((r for r in seen if r.has == "1"), key=lambda r: r.d)[-24:]
+    assert max(r.d for r in plain) < min(r.d for r in rows[20:])
+    df = spark.createDataFrame([(i, f"https://a.example/{i}", r.html) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    assert not [r.text for r in wrapper.extract(df.repartition(3), keep=["page_id"]).collect() if "terms" in r.text or "Story" not in r.text]
+    (r,) = wrapper.induce(df).collect()
+    made = wrapper.load(r.wrapper)
+    left, chars = [made], 0
+    while left:
+        s = left.pop()
+        chars, left = chars + s.chars, left + s.kids
+    assert made.n == 44 and chars == sum(wrapper._chars(wrapper.slots(wrapper.parse(r.html))) for r in rows)
+
+
 def test_wrappers_depend_on_the_pages_alone(spark):
     """Three templates of 300 blocks each on one host, in several orders and partitions: one text a page, without the blocks of any template."""
     letters = lambda x: "".join(chr(97 + x // 26**i % 26) for i in range(3))
