@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import pytest
-from kinfold.operators import concordance, evaluation, postings, retrieval, topk
+from kinfold.operators import blocks, concordance, evaluation, postings, retrieval, topk
 from kinfold.plans import jobs
 from pyspark.sql import functions as F
 
@@ -129,3 +129,49 @@ def test_many_pairs_of_one_person(spark):
 def test_out_of_order_by_hand():
     n, excess = concordance.out_of_order(np.array([0, 0, 0, 1, 1]), np.array([3.0, 1.0, 2.0, 1.0, 5.0]), np.array([1.0, 2.0, 1.0, 1.0, 1.0]), 2)
     assert n.tolist() == [3.0, 0.0] and excess.tolist() == [5.0, 0.0]
+
+
+def test_quantiles_are_those_of_whole_lines_sorted_in_place():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 10, 997):
+        for share in (0.0, 0.25, 0.3, 0.5, 0.77, 1.0):
+            s = rng.normal(size=(7, n))
+            want = np.quantile(s, share, axis=1)
+            assert (blocks._quantiles(s, share) == want).all()
+    bad = np.array([[1.0, np.nan, 0.0], [1.0, 2.0, 0.0]])
+    assert np.isnan(blocks._quantiles(bad, 0.0)).tolist() == [True, False]
+
+
+def test_scores_need_no_memory_but_one_more_of_their_size():
+    """Before, each of five steps made an array of the size of the products."""
+    import tracemalloc
+
+    s, weights = np.random.default_rng(4).normal(size=(100, 10_000)), np.tile([np.nan, 0.5, 1.0, 2.0], 2500)
+    k = np.clip((s + 5) / 10, 1e-8, 1 - 1e-8)
+    w = np.where(np.isnan(weights), 1.0, weights)
+    want = w * k / (1.0 - k + w * k)
+    tracemalloc.start()
+    got = blocks._scored(s, weights, -5.0, 5.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and peak < 1.1 * s.nbytes
+
+
+def test_blocks_are_packed_once(spark):
+    """Before, each partition of one side packed the other side's anew."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(600)], "id long, e array<double>").repartition(4, "id")
+    subs, pubs = rows.filter("id < 60").withColumnRenamed("id", "sub"), rows.filter("id >= 60").withColumnRenamed("id", "pub").mapInArrow(note, "pub long, e array<double>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        (r,) = blocks.extremes(subs, pubs).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < r.low < r.high and seen.value == 540
