@@ -16,35 +16,31 @@ from __future__ import annotations
 
 import functools
 import os
-import sys
 import zlib
-from array import array
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, map_text, small_enough, unpacked, written
-from .pretoken import Chunks
+from .common import frees, kept, map_text, small_enough, unpacked, written
+from .pretoken import cut_texts
 
 END = 2
 CAPACITY = 1024
-#: Bytes of chunks that a worker keeps (see ``pretoken``); they settle time and memory, not results. A job whose workers hold much else can ask for less.
-KEPT_BYTES = 384 << 20
-
-
-def _four_bytes(ids: list[int]) -> bytes:
-    made = array("I", ids)
-    if sys.byteorder == "big":
-        made.byteswap()
-    return made.tobytes()
+#: Bytes of chunks and their ids that a worker keeps (see ``pretoken``), and of text that is encoded end to end; they settle time and memory, not results. A job whose workers hold much else can ask for less.
+KEPT_BYTES, JOINED_BYTES = 48 << 20, 64 << 10
 
 
 class Encoder:
-    """Ids of whole texts as the library gives them, as little-endian unsigned 32-bit numbers."""
+    """Ids of whole texts as the library gives them, as little-endian unsigned 32-bit numbers.
+
+    Chunks that begin with a space are encoded end to end, since each begins a match wherever it stands, and come apart
+    again by the bytes that ids stand for. What is kept are two Arrow arrays, of chunks and of their ids.
+    """
 
     def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,18 +49,74 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chunks = Chunks(self._make, kept_bytes)
-
-    def _make(self, chunks: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(chunks), 20_000):
-            got = self.tokenizer.encode_batch_fast(chunks[i : i + 20_000], add_special_tokens=False)
-            out += [_four_bytes(e.ids) for e in got]
+        added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        sizes = {i: len(t) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()} | added  # a character of a byte-level vocabulary is a byte
+        self.bytes_of = np.zeros(max(sizes) + 1, np.int64)
+        self.bytes_of[list(sizes)] = list(sizes.values())
+        self.most = kept_bytes
+        self.clear()
+        frees(self.clear)
+
+    def clear(self) -> None:
+        self.names, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.met = np.zeros(0, bool)
+
+    def _lists(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _apart(self, chunks: list[str]) -> pa.Array:
+        """Ids of each chunk, encoded by itself."""
+        return pa.array([np.array(x, "<u4").tobytes() for x in self._lists(chunks)], pa.large_binary())
+
+    def _joined(self, chunks: pa.Array) -> pa.Array:
+        """Ids of each chunk of this array, a space before it, encoded end to end; one by one where the ids don't come apart between chunks."""
+        size = 1 + np.asarray(pc.binary_length(chunks)).astype(np.int64)
+        ends, out, at = np.cumsum(size), [], 0
+        while at < len(chunks):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + JOINED_BYTES, side="right")))
+            part = [" " + x for x in chunks.slice(at, to - at).to_pylist()]
+            ids = np.array(self._lists(["".join(part)])[0], "<u4")
+            found, want = np.cumsum(self.bytes_of[ids]), np.cumsum(size[at:to])
+            cut = np.searchsorted(found, want, side="left")
+            if len(ids) and cut[-1] == len(ids) - 1 and (found[cut] == want).all():
+                offsets = np.concatenate([[0], 4 * (cut + 1)])
+                out.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]))
+            else:
+                out.append(self._apart(part))
+            at = to
+        return pa.concat_arrays(out) if out else pa.array([], pa.large_binary())
+
+    def _inner(self, names: pa.Array) -> pa.Array:
+        """Ids of chunks by their names, a chunk without its space. At half of the bytes kept, what wasn't met since the last time goes."""
+        at = np.asarray(pc.fill_null(pc.index_in(names, self.names), -1)).astype(np.int64)
+        new = at < 0
+        self.met[at[~new]] = True
+        fresh = names.filter(pa.array(new))
+        at[new] = len(self.ids) + np.arange(len(fresh))
+        kept = self.ids
+        self.names, self.ids = pa.concat_arrays([self.names, fresh]), pa.concat_arrays([kept, self._joined(fresh)])
+        out = self.ids.take(pa.array(at))
+        self.met = np.concatenate([self.met, np.zeros(len(fresh), bool)])
+        if 2 * (self.names.nbytes + self.ids.nbytes) > self.most:
+            live = pa.array(self.met)
+            self.names, self.ids = self.names.filter(live), self.ids.filter(live)
+            if 2 * (self.names.nbytes + self.ids.nbytes) > self.most:
+                self.clear()
+            self.met = np.zeros(len(self.names), bool)
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        found, which, start, end = self.chunks.flat([t or "" for t in texts])
-        ids = pa.array(found, pa.large_binary()).take(pa.array(which))
+        words, start, end = cut_texts([t or "" for t in texts])
+        which = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        inside = np.ones(len(which), bool)
+        inside[start] = False
+        used, heads = np.zeros(len(words.dictionary), bool), np.zeros(len(words.dictionary), bool)
+        used[which[inside]], heads[which[start]] = True, True
+        inner, first = self._inner(words.dictionary.filter(pa.array(used))), self._apart(words.dictionary.filter(pa.array(heads)).to_pylist())
+        begins = len(inner) + (np.cumsum(heads) - 1)[which[start]]
+        which = (np.cumsum(used) - 1)[which]
+        which[start] = begins
+        ids = pa.concat_arrays([inner, first]).take(pa.array(which))
         at = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
         whole = memoryview(ids.buffers()[2] or b"")
         return [whole[a:b].tobytes() for a, b in zip(at[start].tolist(), at[end].tolist(), strict=True)]

@@ -69,6 +69,22 @@ def _cuts() -> tuple[re.Pattern, re.Pattern]:
     return re.compile(f" (?:[{spaces}]|\\Z)"), re.compile(f" (?![{spaces}]|\\Z)")
 
 
+def cut_texts(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """The chunks of texts without the space that each begins with, but for those that begin a text; and where each text's chunks start and end among them."""
+    odd, cut = _cuts()
+    plain = [i for i, t in enumerate(texts) if odd.search(t) is None]
+    rest = [i for i, t in enumerate(texts) if odd.search(t) is not None] if len(plain) < len(texts) else []
+    parts = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+    others = [cut.split(texts[i]) for i in rest]
+    words = pa.concat_arrays([parts.values, pa.array([x for p in others for x in p], pa.large_string())]).dictionary_encode()
+    ends = np.concatenate([parts.offsets.to_numpy(zero_copy_only=False)[1:], parts.offsets[-1].as_py() + np.cumsum(list(map(len, others)), dtype=np.int64)]).astype(np.int64)
+    end = np.empty(len(texts), np.int64)
+    start = np.empty(len(texts), np.int64)
+    order = [*plain, *rest]
+    end[order], start[order] = ends, np.concatenate([[0], ends[:-1]])[: len(ends)]
+    return words, start, end
+
+
 class _Held:
     """Results by chunk, of chunks that stand after ``lead``. Those met again live on when the dictionary begins anew."""
 
@@ -111,17 +127,7 @@ class Chunks:
             self.inner.anew()
             self.first.anew()
             self.size = 0
-        odd, cut = _cuts()
-        plain = [i for i, t in enumerate(texts) if odd.search(t) is None]
-        rest = [i for i, t in enumerate(texts) if odd.search(t) is not None] if len(plain) < len(texts) else []
-        parts = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
-        others = [cut.split(texts[i]) for i in rest]
-        words = pa.concat_arrays([parts.values, pa.array([x for p in others for x in p], pa.large_string())]).dictionary_encode()
-        ends = np.concatenate([parts.offsets.to_numpy(zero_copy_only=False)[1:], parts.offsets[-1].as_py() + np.cumsum(list(map(len, others)), dtype=np.int64)]).astype(np.int64)
-        end = np.empty(len(texts), np.int64)
-        start = np.empty(len(texts), np.int64)
-        order = [*plain, *rest]
-        end[order], start[order] = ends, np.concatenate([[0], ends[:-1]])[: len(ends)]
+        words, start, end = cut_texts(texts)
         which, names = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary.to_pylist()
         inside = np.ones(len(which), bool)
         inside[start] = False

@@ -274,6 +274,37 @@ def check_packing(rows, ids_of, capacity=packing.CAPACITY):
     return len(by_sequence), sum(r.length for r in rows)
 
 
+class Counting:
+    """A tokenizer that counts the strings it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.strings = inner, 0
+
+    def encode_batch_fast(self, strings, **options):
+        self.strings += len(strings)
+        return self.inner.encode_batch_fast(strings, **options)
+
+
+def test_chunks_are_encoded_end_to_end(texts, vocab):
+    from tokenizers import Tokenizer
+
+    path = vocab("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    many = [*texts, *[" ".join(f"w{i}x{k}," for i in range(400)) for k in range(5)], "a  b \n c\t d ", " <|endoftext|> x<|endoftext|>  y"]
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in many]
+    made = packing.Encoder(path)
+    made.tokenizer = Counting(made.tokenizer)
+    assert [bytes(x) for x in made.encode(many)] == want
+    assert made.tokenizer.strings < 100  # the first chunks of texts, and the others end to end
+    before = made.tokenizer.strings
+    assert made.encode(many) == want and made.tokenizer.strings - before <= len(many)  # what was met is kept
+    small = packing.Encoder(path, 1 << 10)  # nearly nothing is kept
+    assert [small.encode(many[i : i + 3]) for i in range(0, len(many), 3)] == [want[i : i + 3] for i in range(0, len(many), 3)]
+    small.clear()
+    small.bytes_of[:] = 7  # where ids don't come apart between chunks, each is encoded by itself
+    assert small.encode(many) == want
+
+
 def test_packing(docs, empty, texts, vocab):
     from tokenizers import Tokenizer
 
