@@ -36,6 +36,28 @@ def test_best_of_owners_leave_a_shard_as_a_row_each(spark):
     assert postings.best_of_owners(docs.limit(0), asked).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1 << 16, 8, 0])
+def test_cosines_leave_a_shard_whole(spark, monkeypatch, hot):
+    monkeypatch.setattr(retrieval, "HOT_TERMS", hot)
+    words = ["a b c a", "a b", "c d", "a", "d d b", None, "x y", "a c d", ""]
+    docs = spark.createDataFrame([(i, t, None if i % 5 == 4 else f"s{i % 3}") for i, t in enumerate(words)], "doc long, text string, source string")
+    asked = spark.createDataFrame([(1, "a b b z"), (2, "d y"), (3, "none"), (4, None), (5, "c c a")], "q long, text string")
+    weights, idf = retrieval.tfidf(docs, "doc", "text")
+    plain = retrieval.cosine(retrieval.unit_weights(retrieval.terms(asked, "q", "text"), idf), weights, "q", "doc")
+    want = {(r.q, r.doc): r.s for r in plain.collect()}
+    best = {}
+    for r in plain.join(docs.select("doc", "source"), "doc").collect():
+        best[r.q, r.source] = max(r.s, best.get((r.q, r.source), 0.0))
+    for shard in (2, 100):
+        got = postings.tfidf_scores(docs, asked, shard=shard).collect()
+        assert {(r.q, r.doc): r.s for r in got} == pytest.approx(want) and len(got) == len(want) > 0
+        got = postings.tfidf_of_owners(docs, asked, shard=shard).collect()
+        assert {(r.q, r.source): r.s for r in got} == pytest.approx(best) and len(got) == len(best)
+    assert postings.tfidf_scores(docs.limit(0), asked).count() == 0
+    same = spark.createDataFrame([(1, "a"), (2, "a")], "doc long, text string")  # idf and lengths of 0
+    assert {(r.q, r.doc, r.s) for r in postings.tfidf_scores(same, asked).collect()} == {(q, d, 0.0) for q in (1, 5) for d in (1, 2)}
+
+
 @pytest.fixture(scope="module")
 def few_vectors(spark):
     rows = [(i, [float((i * k) % 7 - 3) for k in (1, 2, 3)], f"r{i % 2}" if i else "r9") for i in range(23)]
