@@ -125,6 +125,7 @@ def gold_sums(rows: DataFrame, who: str = "who", gold: str = "gold", s: str = "s
     wrong, over all such). Items without gold or score, and people without a pair of different golds, are left out. ``bounds``
     part the scores where they are known to lie, in place of a sample's."""
     slim = rows.select(F.col(who).alias("who"), F.col(gold).cast("double").alias("gold"), F.col(s).cast("double").alias("s")).filter("who is not null and gold is not null and s is not null")
+    slim = slim.localCheckpoint(eager=False)  # scores are read for their ranges, within these and across, and made once
     at = range_of(slim, [F.col("s")], parts) if bounds is None else F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < F.col("s")))
     ranged = slim.withColumn("range", at)
     within = _by_group(ranged.withColumn("times", F.lit(1.0)), ["who", "range"], 0.5, False)

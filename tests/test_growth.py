@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold.functions import rounded
-from kinfold.operators import postings, retrieval, sampling, scoring, topk
+from kinfold.operators import evaluation, postings, retrieval, sampling, scoring, topk
 
 
 def test_pairs_of_one_forum_are_made_in_many_tasks(spark):
@@ -58,6 +58,21 @@ def test_cosines_leave_a_shard_whole(spark, monkeypatch, hot):
     assert {(r.q, r.doc, r.s) for r in postings.tfidf_scores(same, asked).collect()} == {(q, d, 0.0) for q in (1, 5) for d in (1, 2)}
 
 
+def test_scores_of_a_bootstrap_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = [(i % 5, float(i * 7 % 9) / 2 + 1, float(i * 31 % 17)) for i in range(100)]
+    scores = spark.createDataFrame(rows, "who long, gold double, s double").repartition(3).mapInArrow(counted, "who long, gold double, s double")
+    got = evaluation.bootstrap(evaluation.gold_parts(scores), "who", ["loss", "easy", "hard"], draws=50).collect()
+    assert {r.name for r in got} == {"loss", "easy", "hard"} and all(0 <= r.low <= r.high <= 1 for r in got)
+    assert made.value == len(rows)
+
+
 @pytest.fixture(scope="module")
 def few_vectors(spark):
     rows = [(i, [float((i * k) % 7 - 3) for k in (1, 2, 3)], f"r{i % 2}" if i else "r9") for i in range(23)]
