@@ -17,6 +17,8 @@ MIXES = ((1103515245, 805306457, 12345, 1597334677, 1431655781), (1540483477, 11
 
 #: Bands that each side of a forum's pairs is cut into: tasks meet one band of each, and a row is moved as often as there are bands.
 BANDS = 8
+#: People of a side in one array at most. The other side's person meets them in a row, so that rows come in short runs, which files encode in few bytes.
+TILE = 256
 
 
 def _mix(id_: Column, a: int, b: int, c: int, d: int, e: int) -> Column:
@@ -120,14 +122,22 @@ def bid_labels(bids: DataFrame, positive: list[str], forum: str = "forum", who:
 def bpr_triples(bids: DataFrame, positive: list[str], having: DataFrame, forum: str = "forum", who: str = "who", tag: str = "tag") -> DataFrame:
     """forum, pos, neg: everyone with a positive bid beside everyone without one; all three must be in ``having`` (people with keyphrases)."""
     labelled = bid_labels(bids, positive, forum, who, tag).join(having, who, "left_semi")
-    part = F.pmod(F.xxhash64(who), F.lit(BANDS)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     # each side is in one band of its own and in all of the other's; the number of partitions is given, so that few bytes which make many rows aren't put together
     n = max(BANDS, int(bids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = [forum, "row__", "column__"]
-    pos = labelled.filter("label = 1").select(forum, F.col(who).alias("pos"), part.alias("row__"), every.alias("column__")).repartition(n, *keys)
-    neg = labelled.filter("label = 0").select(forum, F.col(who).alias("neg"), every.alias("row__"), part.alias("column__")).repartition(n, *keys)
-    return pos.join(neg.hint("merge"), keys).filter("pos <> neg").select(forum, "pos", "neg")
+    pos = _tiles(labelled.filter("label = 1"), forum, who, "row__", "pos").withColumn("column__", every).repartition(n, *keys)
+    neg = _tiles(labelled.filter("label = 0"), forum, who, "column__", "neg").withColumn("row__", every).repartition(n, *keys)
+    # a higher-order function isn't compiled into the join, so pairs of tiles are taken apart one after the other and few rows are held
+    met = pos.join(neg.hint("merge"), keys).select(forum, F.inline(F.transform("pos", lambda p: F.struct(p.alias("pos"), F.col("neg").alias("neg")))))
+    return met.select(forum, "pos", F.explode("neg").alias("neg")).filter("pos <> neg")
+
+
+def _tiles(people: DataFrame, forum: str, who: str, band: str, name: str) -> DataFrame:
+    """forum, band, and by ``name`` up to TILE of the forum's people in the band."""
+    banded = people.select(forum, F.col(who).alias(name), F.pmod(F.xxhash64(who), F.lit(BANDS)).cast("int").alias(band))
+    place = F.row_number().over(Window.partitionBy(forum, band).orderBy(name)) - 1
+    return banded.withColumn("tile__", F.floor(place / TILE)).groupBy(forum, band, "tile__").agg(F.collect_list(name).alias(name)).drop("tile__")
 
 
 def negatives(rows: DataFrame, id_: str, group: str, how: str = "uniform", among: DataFrame | None = None) -> DataFrame:

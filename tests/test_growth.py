@@ -22,6 +22,18 @@ def test_pairs_of_one_forum_are_made_in_many_tasks(spark):
     assert len({r.task for r in got if r.forum == 1}) > 1
 
 
+def test_pairs_of_a_forum_come_in_short_runs(spark, monkeypatch):
+    from itertools import groupby
+
+    monkeypatch.setattr(sampling, "TILE", 4, raising=False)
+    bids = spark.createDataFrame([(f, f"p{who}", "yes" if who % 3 else "no") for f in (1, None) for who in range(300)] + [(1, "p1", "no"), (1, None, "no")], "forum long, who string, tag string")
+    having = spark.range(300).select(F.concat(F.lit("p"), "id").alias("who"))
+    got = sampling.bpr_triples(bids, ["yes"], having).withColumn("task", F.spark_partition_id()).collect()
+    pos, neg = {f"p{i}" for i in range(300) if i % 3}, {f"p{i}" for i in range(300) if not i % 3} | {"p1"}
+    assert sorted((r.forum, r.pos, r.neg) for r in got) == sorted((1, p, n) for p in pos for n in neg if p != n)
+    assert len(list(groupby((r.task, r.pos) for r in got))) > len(got) / 5  # before, a person met all of a band's, twelve and more
+
+
 def test_best_of_owners_leave_a_shard_as_a_row_each(spark):
     words = ["a b c", "a b", "c d", "a", "d d b", None, "x y", "a c d"]
     docs = spark.createDataFrame([(i, t, None if i % 5 == 4 else f"s{i % 3}") for i, t in enumerate(words)], "doc long, text string, source string")
