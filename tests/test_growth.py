@@ -116,6 +116,17 @@ def test_cells_are_drawn_and_rounded_in_their_blocks(few_vectors):
     assert {(r["sub"], r.pub): r.s for r in got.collect()} == want and len(want) == 9 * 23
 
 
+def test_cells_of_a_block_come_in_short_runs(few_vectors, monkeypatch):
+    from itertools import groupby
+
+    subs, pubs, _ = few_vectors
+    x, y = ({r[0]: r.e for r in side.collect()} for side in (subs, pubs))
+    monkeypatch.setattr(scoring, "COLUMNS", 3, raising=False)
+    got = scoring.pairwise(subs.coalesce(1), pubs.coalesce(1)).collect()
+    assert {(r["sub"], r["pub"]): r.s for r in got} == {(i, j): sum(a * b for a, b in zip(x[i], y[j], strict=True)) for i in x for j in y} and len(got) == 9 * 23
+    assert max(len(list(g)) for _, g in groupby(r["sub"] for r in got)) <= 2 * 3  # the last of a run of columns may begin the next
+
+
 @pytest.mark.parametrize(("most", "leave"), [(6, True), (100, False)])
 def test_quantiles_of_a_large_author_are_taken_in_one_block(few_vectors, monkeypatch, most, leave):
     from kinfold.operators import blocks
