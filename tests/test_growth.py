@@ -48,6 +48,41 @@ def test_best_of_owners_leave_a_shard_as_a_row_each(spark):
     assert postings.best_of_owners(docs.limit(0), asked).count() == 0
 
 
+@pytest.mark.parametrize(("shared", "lines", "summed", "low"), [(256, 1024, 1 << 20, 1.0), (0, 1024, 3, 1.0), (1 << 40, 1024, 3, 1.0), (1 << 40, 2, 5, 0.0), (256, 1024, 1 << 20, -1.0)])
+def test_all_queries_of_a_block_are_scored_in_one(spark, monkeypatch, shared, lines, summed, low):
+    import numpy as np
+
+    for name, value in (("SHARED", shared), ("LINES", lines), ("SUMMED", summed)):
+        monkeypatch.setattr(postings, name, value)
+    docs = spark.createDataFrame([(i, " ".join("abcdefgh"[i * k % 8] for k in range(i % 5)) + f" w{i % 7}", f"s{i % 3}") for i in range(40)], "doc long, text string, source string").coalesce(1)
+    weights, cut, avgdl = postings.weighted_queries(docs, docs.select(F.col("doc").alias("q"), F.when(F.col("doc") > 3, F.col("text")).otherwise("none").alias("text")))
+    # weights may be 0 or less, where a term is common
+    weights = weights.withColumn("terms", F.transform("terms", lambda x: F.struct(x["term"].alias("term"), F.when(x["term"] == "a", F.least(x["w"], F.lit(low))).otherwise(x["w"]).alias("w"))))
+    shards = postings._shards(cut.select(F.lit("o").alias("who"), "t", F.col("doc").alias("id")).crossJoin(F.broadcast(avgdl)), 16, 4)
+    seen = 0
+    for b in shards.crossJoin(postings._asked(weights)).toArrow().to_batches():
+        for k in range(b.num_rows):
+            m = postings.Meeting(b, k)
+            want = np.stack([m.hits(*m.pieces(i)) for i in range(len(m.ids))])
+            got = m.every_hit()
+            assert (np.isinf(got) == np.isinf(want)).all() and np.allclose(np.maximum(got, -9), np.maximum(want, -9), rtol=0, atol=1e-12)
+            seen += got.size
+    assert seen == 36 * 40
+
+
+def test_a_shard_is_moved_to_many_queries_at_once(spark):
+    docs = spark.createDataFrame([(i, f"a w{i}", "s") for i in range(1200)], "doc long, text string, source string")
+    weights, _, _ = postings.weighted_queries(docs, docs.select(F.col("doc").alias("q"), "text"))
+    made = []
+    keep = postings._lines
+    try:
+        postings._lines = lambda *rest: made.append(keep(*rest)) or made[-1]
+        postings.best_of_owners(docs, docs.select(F.col("doc").alias("q"), "text"))
+    finally:
+        postings._lines = keep
+    assert made[0].count() == postings.PARTS < weights.count() / 2 / 256
+
+
 @pytest.mark.parametrize("hot", [1 << 16, 8, 0])
 def test_cosines_leave_a_shard_whole(spark, monkeypatch, hot):
     monkeypatch.setattr(retrieval, "HOT_TERMS", hot)
